@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrove.llm import packing
+from quillgrove.llm import packing, suffix_dedup
 from quillgrove.llm.store import table
 
 
@@ -14,8 +14,12 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_two_fit,)}
+    return {f.__name__: f for f in (op3_best_two_fit, op7_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,6 +40,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id within an operator, as joins don't match nulls.
+NO_ID = -(1 << 63)
+
+
+def keyed(df: DataFrame, id_name: str = "doc_id") -> DataFrame:
+    return df.withColumn(id_name, F.coalesce(F.col(id_name).cast("long"), F.lit(NO_ID)))
+
+
+def named(df: DataFrame, id_name: str = "doc_id") -> DataFrame:
+    """Undoes keyed()."""
+    return df.withColumn(id_name, F.nullif(F.col(id_name), F.lit(NO_ID)))
+
+
 def text_bytes(col: str | Column) -> Column:
     """UTF-8 bytes of a text, none for null."""
     return F.coalesce(F.encode(F.col(col) if isinstance(col, str) else col, "UTF-8"), F.lit(b""))
