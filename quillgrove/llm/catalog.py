@@ -15,7 +15,7 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("doc", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

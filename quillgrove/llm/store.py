@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -32,9 +33,13 @@ def shared_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet in the shared folder and reread: its lineage ends here.
 
-    A lost executor costs the tasks that it ran, not the steps before the table.
+    A lost executor costs the tasks that it ran, not the steps before the table. Spark deletes the
+    shuffle files of earlier steps when the driver collects its garbage, which may be long after, so
+    it is asked to here: they would otherwise add up to several times the input.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -124,16 +129,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Stored, a side is broadcast if it is small, and else Spark may split a centre's rows.
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        mins = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.where("a <> b").distinct(), "large")
+        mins = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         linked = large.join(mins, "a")
         small = linked.select("a", F.col("m").alias("b")).unionByName(
             linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         now = stored(small.where("a <> b").distinct(), "edges")
-        seen = now.agg(F.count(F.lit(1)), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == before:
             break
         before = seen

@@ -101,7 +101,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Per document its size, SHA-256 and runs, as packed numbers: anchor, run text, first and last start."""
+    """Per document its size, SHA-256 and runs, as packed numbers: anchor, run text, and first << 32 | last start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,25 +126,19 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                         begin = at[i] - at[k]
                         found[i].append((f[a:b], t[a:b], s[a:b] - begin, e[a:b] - begin))
                 k = stop
-            packed: list[list[bytes]] = [[], [], [], []]
+            packed: list[list[bytes]] = [[], [], []]
             for parts in found:
-                for c in range(4):
-                    kind = U if c < 2 else np.uint32
-                    packed[c].append(b"".join(x[c].astype(kind, copy=False).tobytes() for x in parts))
+                for c in range(2):
+                    packed[c].append(b"".join(x[c].tobytes() for x in parts))
+                packed[2].append(b"".join((x[2] << 32 | x[3]).tobytes() for x in parts))
             view = memoryview(data)
             digests = [hashlib.sha256(view[at[i] : at[i + 1]]).digest() for i in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(digests, pa.binary()), pa.array(map(_tag, digests), pa.int64()), *(pa.array(p, pa.binary()) for p in packed)],
-                names=["doc_id", "n_bytes", "sha", "tag", "anchor", "run", "first", "last"],
+                [batch.column("doc_id"), batch.column("doc"), pa.array(np.diff(at)), pa.array(digests, pa.binary()), *(pa.array(p, pa.binary()) for p in packed)],
+                names=["doc_id", "doc", "n_bytes", "sha", "anchor", "run", "span"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_bytes long, sha binary, tag long, anchor binary, run binary, first binary, last binary"
-    )
-
-
-def _tag(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+    return docs.mapInArrow(run, "doc_id long, doc long, n_bytes long, sha binary, anchor binary, run binary, span binary")
 
 
 def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -162,17 +156,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        anchor, row = _numbers(batch.column("anchor"), np.int64)
-        own, _ = _numbers(batch.column("run"), np.int64)
-        first, _ = _numbers(batch.column("first"), np.uint32)
-        last, _ = _numbers(batch.column("last"), np.uint32)
-        ids, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
+        (anchor, row), (own, _), (span, _) = (_numbers(batch.column(c), np.int64) for c in ("anchor", "run", "span"))
+        docs = batch.column("doc").to_numpy()[row]
         for a in range(0, len(anchor), 50_000):
-            s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[s]), pa.array(own[s]), pa.array(ids[row[s]]), pa.array(tag[row[s]]), pa.array(first[s].astype(np.int64)), pa.array(last[s].astype(np.int64))],
-                names=["anchor", "run", "doc_id", "tag", "first", "last"],
-            )
+            some = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (anchor, own, docs, span)], names=["anchor", "run", "doc", "span"])
 
 
 class Suffixes:
@@ -338,24 +326,20 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(m, pa.binary())], names=["anchor", "run", "marks"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of runs: rows (doc_id, tag, runs) joined with the document's text."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The texts of runs: rows (doc, runs) joined with the document's text."""
     for batch in batches:
         data, at = _texts(batch, "text")
         view, lists = memoryview(data), batch.column("runs")
         offsets, flat = lists.offsets.to_numpy(), lists.flatten()
         offsets = offsets - offsets[0]
-        values = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(6)]
-        own = (_tag(hashlib.sha256(view[at[i] : at[i + 1]]).digest()) for i in range(batch.num_rows))
-        fits = np.fromiter(own, np.int64) == batch.column("tag").to_numpy()
+        values = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        keep = np.flatnonzero(fits[row])
-        for a in range(0, len(keep), 20_000):
-            k = keep[a : a + 20_000]
-            begin = at[row[k]] + values[4][k]
-            end = at[row[k]] + values[5][k]
-            texts = pa.array([view[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(values[c][k]) for c in range(4)), texts], names=["anchor", "run", "often", "blocks", "text"])
+        begin, end = at[row] + (values[4] >> 32), at[row] + (values[4] & 0xFFFFFFFF) + length
+        for a in range(0, len(row), 20_000):
+            some = slice(a, a + 20_000)
+            texts = pa.array([view[x:y].tobytes() for x, y in zip(begin[some].tolist(), end[some].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[some]) for v in values[:4]), texts], names=["anchor", "run", "often", "blocks", "text"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,8 +359,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int((last - first).sum()))
             count.append(len(first))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tag"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(spans, pa.binary())],
-            names=["doc_id", "tag", "n_removed", "n_spans", "spans"],
+            [batch.column("doc"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(spans, pa.binary())],
+            names=["doc", "n_removed", "n_spans", "spans"],
         )
 
 
@@ -386,100 +370,81 @@ def _kept_bytes(text: memoryview, spans: bytes) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Covered bytes of a document from the marks of its runs."""
+    for batch in batches:
+        marks, row = _numbers(batch.column("marks"), np.uint32)
+        marks, row = marks.astype(np.int64), row[::2]
+        first = batch.column("span").to_numpy()[row] >> 32
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(batch.column("doc").to_numpy()[row]), pa.array(first + marks[::2]), pa.array(first + marks[1::2] + length)], names=["doc", "a", "b"]
+        )
+
+
 def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     """Which bytes of documents(doc_id, text) lie in strings of `length` bytes that also start elsewhere.
 
-    Returns two tables. The first has a row for each input row: doc_id, tag (which tells texts of an
-    equal doc_id apart), n_bytes, sha (of the text), n_removed, n_spans, spans (packed begin and end
-    of maximal stretches; null if none). The second has doc_id and text of the documents that share
-    any anchor, all those with spans among them.
+    Returns two tables. The first has a row for each input row: doc_id, doc (a hash of id and text),
+    n_bytes, sha (of the text), n_removed, n_spans, spans (packed begin and end of maximal
+    stretches; null if none). The second has doc and text of the documents that share any anchor,
+    all those with spans among them. Ids here are keyed().
 
     Null and empty texts, and those shorter than `length`, have no spans. Rows that are equal in
     everything are documents of their own, so a text of `length` bytes in both goes from both.
     """
-    docs = keyed(docs).select("doc_id", "text")
+    docs = keyed(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), "text")
     base = stored(anchored(docs, length), "runs")
-    often = stored(
-        base.select("anchor").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
-        "anchors",
-    )
-    single = "anchor long, run long, doc_id long, tag long, first long, last long"
-    places = base.select("doc_id", "tag", "anchor", "run", "first", "last").mapInArrow(_occurrences, single)
-    places = stored(places.join(often, "anchor"), "places")
-    distinct = stored(
-        places.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("doc_id", "tag", "first", "last")).alias("p")).select("anchor", "run", "often", "p.*"),
-        "distinct",
-    )
-    size = F.col("last") - F.col("first") + length + 1
+    often = base.select("anchor").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = base.select("doc", "anchor", "run", "span").mapInArrow(_occurrences, "anchor long, run long, doc long, span long")
+    places = stored(places.join(stored(often.select("anchor"), "anchors"), "anchor"), "places")
+    distinct = places.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("doc", "span")).alias("p"))
+    distinct = stored(distinct.select("anchor", "run", "often", "p.*"), "distinct")
+    size = F.expr(f"(span & 4294967295L) - shiftright(span, 32) + {length + 1}")
     total = distinct.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    blocks = distinct.groupBy("anchor").agg(F.ceil(F.sum(size) / SHARD).alias("blocks")).where("blocks > 1")
-    wanted = distinct.join(blocks, "anchor", "left").groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("anchor", "run", "often", F.coalesce("blocks", F.lit(1)).alias("blocks"), "first", (F.col("last") + length).alias("end"))).alias("runs")
-    )
-    texts = docs.select("doc_id", "text").join(stored(places.select("doc_id").distinct(), "ids"), "doc_id")
-    texts = stored(texts, "texts")
-    cut = wanted.join(texts, "doc_id").mapInArrow(_cut, "anchor long, run long, often long, blocks long, text binary")
+    blocks = stored(distinct.groupBy("anchor").agg(F.ceil(F.sum(size) / SHARD).alias("blocks")).where("blocks > 1"), "blocks")
+    wanted = distinct.join(blocks, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "run", "often", F.coalesce("blocks", F.lit(1)).alias("blocks"), "span")).alias("runs"))
+    texts = stored(docs.select("doc", "text").join(stored(places.select("doc").distinct(), "ids"), "doc"), "texts")
+    cut = wanted.join(texts, "doc").mapInArrow(lambda b: _cut(b, length), "anchor long, run long, often long, blocks long, text binary")
     cut = cut.withColumn("side", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("run"), "blocks")).otherwise(-1).cast("int"))
     light = cut.where("side < 0").select(F.pmod("anchor", F.lit(shards)).alias("shard"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "side", "anchor", "run", "often", "text")
     heavy = cut.where("side >= 0").withColumn("k", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
     heavy = heavy.select(F.col("anchor").alias("shard"), F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "anchor", "run", "often", "text")
-    dealt = light.unionByName(heavy).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "anchor", "run")
+    # Few anchors, if any, are spread; without them the texts of runs are cut once.
+    both = light if blocks.isEmpty() else light.unionByName(heavy)
+    dealt = both.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "anchor", "run")
     found = stored(dealt.mapInArrow(lambda b: _shard(b, length), "anchor long, run long, marks binary"), "marks")
-    marked = places.join(found, ["anchor", "run"]).mapInArrow(
-        lambda b: _stretches(b, length), "doc_id long, tag long, a long, b long"
-    )
-    covered = marked.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))
-    spans = covered.mapInArrow(_merge, "doc_id long, tag long, n_removed long, n_spans long, spans binary")
-    spans = base.select("doc_id", "tag", "n_bytes", "sha").join(stored(spans, "spans"), ["doc_id", "tag"], "left")
-    return spans, texts
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks, row = _numbers(batch.column("marks"), np.uint32)
-        marks, row = marks.astype(np.int64), row[::2]
-        first = batch.column("first").to_numpy()[row]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("doc_id", "tag")] + [pa.array(first + marks[::2]), pa.array(first + marks[1::2] + length)],
-            names=["doc_id", "tag", "a", "b"],
-        )
+    marked = places.join(found, ["anchor", "run"]).mapInArrow(lambda b: _stretches(b, length), "doc long, a long, b long")
+    covered = marked.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))
+    spans = stored(covered.mapInArrow(_merge, "doc long, n_removed long, n_spans long, spans binary"), "spans")
+    return base.select("doc_id", "doc", "n_bytes", "sha").join(spans, "doc", "left"), texts
 
 
 def removed(docs: DataFrame, length: int = 200) -> DataFrame:
-    """Per document what `repeats` removes: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+    """Per document what `repeats` removes: doc_id, doc, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
-    `kept` is the remaining bytes if some are removed and some remain; null otherwise: then either
-    all bytes remain or none does. Every input row gives a row.
+    `kept` is the remaining text if some bytes are removed and some remain, less the bytes of
+    characters cut in two; null otherwise: then either all bytes remain or none does. kept_sha256 is
+    of all remaining bytes. Every input row gives a row.
     """
     spans, texts = repeats(docs, length)
     spans = stored(spans, "decided")
-    rest = "n_removed is null or n_removed = n_bytes"
-    plain = spans.where(rest).select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+    plain = spans.where("n_removed is null or n_removed = n_bytes").select(
+        "doc_id", "doc", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.when(F.col("n_removed").isNull(), F.lower(F.hex("sha"))).otherwise(F.lit(hashlib.sha256(b"").hexdigest())).alias("kept_sha256"),
-        F.lit(None).cast("binary").alias("kept"),
+        F.lit(None).cast("string").alias("kept"),
     )
-    partly = spans.where("n_removed < n_bytes").select("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "spans")
+    partly = spans.where("n_removed < n_bytes").drop("sha").dropDuplicates(["doc"])  # each copy of a row meets one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = _texts(batch, "text")
             view = memoryview(data)
-            keep, kept = [], []
-            for i, (tag, own) in enumerate(zip(batch.column("tag").to_pylist(), batch.column("spans"), strict=True)):
-                text = view[at[i] : at[i + 1]]
-                if _tag(hashlib.sha256(text).digest()) == tag:
-                    keep.append(i)
-                    kept.append(_kept_bytes(text, own.as_py()))
-            rows = batch.take(pa.array(keep, pa.int64()))
+            kept = [_kept_bytes(view[at[i] : at[i + 1]], own.as_py()) for i, own in enumerate(batch.column("spans"))]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(c) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [*(batch.column(c) for c in ("doc_id", "doc", "n_bytes", "n_removed", "n_spans")), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())],
+                names=["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    # Rows that repeat a document in everything: one row of spans meets each copy's text.
-    cut = partly.dropDuplicates(["doc_id", "tag"]).join(texts, "doc_id").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    cut = partly.join(texts, "doc").mapInArrow(run, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return named(plain.unionByName(cut))
