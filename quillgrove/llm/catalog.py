@@ -6,21 +6,95 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrove.llm import packing, suffix_dedup
+from quillgrove.llm import decontaminate, html_main, jaccard_join, lattice_lm, packing, sharding, suffix_dedup, topk, toxicity, warc
 from quillgrove.llm.store import table
 
 
+def op1_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op5_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("doc", "kept")
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("tag", "kept")
+
+
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc")
+
+
+def op9_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+QUERIES = (
+    op1_site_template_removal, op2_classifier_chain, op3_best_two_fit, op4_subword_lattice, op5_no_random_access,
+    op6_label_propagation, op7_suffix_array_dedup, op8_positional_index, op9_chunked_records, op10_bayes_jaccard,
+)
+
+_VECTORS = """
+rows as (select row_number() over () as row, vec_id, list_transform(embedding, lambda v: floor(1024 * v::double)::bigint) as x
+    from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0)
+"""
+OP5 = f"""
+with {_VECTORS}, scored as (
+    select q.row, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::bigint as score
+    from rows q, rows c where q.vec_id % 100 = 0 and q.row <> c.row and len(q.x) = len(c.x))
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by row order by score desc, vec_id) as rank from scored) where rank <= 10
+"""
+
+OP8 = r"""
+with doc as (select row_number() over () as row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, list_slice(w, k, k + 9) as g from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from item where len(w) > 0)),
+sizes as (select distinct len(g) as n from win),
+spot as (select d.row, s.n, d.k, list_slice(d.w, d.k, d.k + s.n - 1) as g from (select row, w, unnest(range(1, len(w) + 1)) as k from doc) d, sizes s where d.k + s.n - 1 <= len(d.w)),
+met as (select spot.row, spot.k, spot.n, win.item_id from spot join win using (g)),
+hit as (select row, count(distinct p) as n_hit from (select row, unnest(range(k, k + n)) as p from met) group by row),
+owned as (select row, count(*) as n_items, string_agg(i, ',' order by i) as names from (select distinct row, item_id::varchar as i from met) group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+from doc left join hit using (row) left join owned using (row)
+"""
+
+OP9 = """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+last as (select payload_digest, payload_bytes, max(page_id) as last from p where payload_bytes >= 1000 group by all)
+select page_id, payload_bytes, payload_digest, case when last is null or last = page_id then 'response' else 'revisit' end as record_type,
+    case when last <> page_id then last end as refers_to
+from p left join last using (payload_digest, payload_bytes)
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_two_fit, op7_suffix_array_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9}
