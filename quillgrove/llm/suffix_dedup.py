@@ -404,8 +404,10 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     shards = max(1, -(-total // SHARD))
     blocks = stored(distinct.groupBy("anchor").agg(F.ceil(F.sum(size) / SHARD).alias("blocks")).where("blocks > 1"), "blocks")
     wanted = distinct.join(blocks, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "run", "often", F.coalesce("blocks", F.lit(1)).alias("blocks"), "span")).alias("runs"))
-    texts = stored(docs.select("doc", "text").join(stored(places.select("doc").distinct(), "ids"), "doc"), "texts")
-    cut = wanted.join(texts, "doc").mapInArrow(lambda b: _cut(b, length), "anchor long, run long, often long, blocks long, text binary")
+    # Texts are joined by sorting at every size: what fits into a broadcast here won't on a large corpus.
+    ids = stored(places.select("doc").distinct(), "ids")
+    texts = stored(docs.select("doc", "text").join(ids.hint("merge"), "doc"), "texts")
+    cut = wanted.hint("merge").join(texts, "doc").mapInArrow(lambda b: _cut(b, length), "anchor long, run long, often long, blocks long, text binary")
     cut = cut.withColumn("side", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("run"), "blocks")).otherwise(-1).cast("int"))
     light = cut.where("side < 0").select(F.pmod("anchor", F.lit(shards)).alias("shard"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "side", "anchor", "run", "often", "text")
     heavy = cut.where("side >= 0").withColumn("k", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
@@ -446,5 +448,5 @@ def removed(docs: DataFrame, length: int = 200) -> DataFrame:
                 names=["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    cut = partly.join(texts, "doc").mapInArrow(run, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = partly.hint("merge").join(texts, "doc").mapInArrow(run, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return named(plain.unionByName(cut))
