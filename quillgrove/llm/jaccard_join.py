@@ -270,7 +270,8 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     around = lambda by, name: cells.select("part", (F.col("cell") + by).alias("cell"), F.col("blocks").alias(name))
     members = members.join(cells.join(around(-1, "above"), ["part", "cell"], "left").join(around(1, "below"), ["part", "cell"], "left").fillna(0), ["part", "cell"])
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int"))
-    active = stored(members, "active").join(docs, ["doc_id", "node"])
+    # By sorting at every size: what fits into a broadcast here won't on a large corpus.
+    active = stored(members, "active").hint("merge").join(docs, ["doc_id", "node"])
     payload = active.select("part", "cell", "block", "blocks", "above", "below", "node", "text").mapInArrow(
         _payload, "part long, cell int, block int, blocks int, above int, below int, node long, hashes binary, grams binary"
     )
