@@ -4,15 +4,18 @@ A word's lattice has an edge for every piece of an existing vocabulary that matc
 probability is the sum over all paths, by forward recursion in log space. A word of the training
 texts is one more edge, over all of its lattice: it weighs what is left of the word's share after
 an absolute discount, and the paths through pieces divide what was discounted. As no edge reaches
-over a word's end, a text's log probability is the sum of its words' and of the end's.
+over a word's end, a text's log probability is the sum of its words' and of the end's. Texts are
+of classes (languages, in training) with shares and scores of their own; a text's probability is
+the sum over the classes it may be of.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,9 @@ U = np.uint64
 #: Most frequent words that each executor knows by heart; others are joined.
 HEAD = 1 << 18
 #: Passes of expectation maximisation, and what each piece's count is raised by.
-PASSES, FLOOR = 3, 0.01
+PASSES, FLOOR = 2, 0.01
+#: Classes of texts at most.
+CLASSES = 6
 #: Words of more bytes are scored one by one.
 LONG = 64
 #: Distinct words that a task counts before it hands them on.
@@ -72,78 +77,69 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """Forward and backward recursions over the lattices of many words."""
+    """Forward and backward recursions over the lattices of many words, for several sets of scores at once."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
-        self.scores = np.append(scores, -np.inf)  # the last is for what is no piece
-        self.none = len(pieces)
+        self.scores = scores  # a row for each class of texts
+        self.size = len(pieces)
         self.lengths = sorted({len(p) for p in pieces})
-        self.longest = self.lengths[-1]
-        keys = np.array([self._key(p) for p in pieces], U)
+        powers, _ = _powers(self.lengths[-1])
+        keys = np.array([int((OF_BYTE[np.frombuffer(p, np.uint8)] * powers[: len(p)]).sum(dtype=U)) + len(p) & (1 << 64) - 1 for p in pieces], U)
+        keys = _mix(keys)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
-        self.bits = 18
-        heads = (self.keys >> U(64 - self.bits)).astype(np.int64)
-        self.at = np.searchsorted(heads, np.arange((1 << self.bits) + 1))
-        self.deep = int(np.diff(self.at).max())
-
-    @staticmethod
-    def _key(piece: bytes) -> int:
-        powers, _ = _powers(len(piece))
-        total = (OF_BYTE[np.frombuffer(piece, np.uint8)] * powers[: len(piece)]).sum(dtype=U)
-        return int(_mix(np.array([total + U(len(piece))]))[0])
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of pieces with these hashes, or `none`."""
-        head = (hashes >> U(64 - self.bits)).astype(np.int64)
-        first, end = self.at[head], self.at[head + 1]
-        out = np.full(len(hashes), self.none)
-        todo = np.flatnonzero(first < end)
-        for k in range(self.deep):
-            place = first[todo] + k
-            inside = place < end[todo]
-            todo, place = todo[inside], place[inside]
-            if not len(todo):
-                break
-            hit = self.keys[place] == hashes[todo]
-            out[todo[hit]] = self.ids[place[hit]]
-        return out
-
-    def _edges(self, words: np.ndarray) -> dict[int, list[tuple[int, np.ndarray]]]:
-        """For each end: begins and ids of pieces, of words (rows) of one length."""
+        self.taken = np.zeros(1 << 18, bool)  # most substrings are told apart from pieces by this alone
+        self.taken[(keys >> U(46)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces', and these pieces."""
+        maybe = np.flatnonzero(self.taken[(hashes >> U(46)).view(np.int64)])
+        own = hashes[maybe]
+        place = np.minimum(np.searchsorted(self.keys, own), self.size - 1)
+        hit = self.keys[place] == own
+        return maybe[hit], self.ids[place[hit]]
+
+    def _edges(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, words, pieces) of words (rows) of one length, by end."""
         n, size = words.shape
         powers, inverse = _powers(size)
-        sums = np.zeros((n, size + 1), U)
-        np.cumsum(OF_BYTE[words] * powers[:size], axis=1, out=sums[:, 1:])
-        edges: dict[int, list] = {}
+        sums = np.zeros((size + 1, n), U)
+        np.cumsum((OF_BYTE[words] * powers[:size]).T, axis=0, out=sums[1:])
+        edges = []
         for end in range(1, size + 1):
-            edges[end] = []
             for length in self.lengths:
                 begin = end - length
                 if begin < 0:
                     break
-                ids = self.find(_mix((sums[:, end] - sums[:, begin]) * inverse[begin] + U(length)))
-                if length == 1 or (ids != self.none).any():
-                    edges[end].append((begin, ids))
+                rows, ids = self.find(_mix((sums[end] - sums[begin]) * inverse[begin] + U(length)))
+                if len(rows):
+                    edges.append((begin, end, rows, ids))
         return edges
 
-    def forward(self, edges: dict, n: int) -> list[np.ndarray]:
-        ahead = [np.zeros(n)]
-        for end in range(1, len(edges) + 1):
-            parts = np.stack([ahead[begin] + self.scores[ids] for begin, ids in edges[end]])
-            top = parts.max(axis=0)
-            ahead.append(top + np.log(np.exp(parts - top).sum(axis=0)))
+    def forward(self, edges: list, size: int, n: int, scores: np.ndarray) -> np.ndarray:
+        """Log probabilities of the paths up to each place: place, class, word."""
+        ahead = np.full((size + 1, len(scores), n), -np.inf)
+        ahead[0] = 0
+        for end, own in groupby(edges, key=lambda e: e[1]):
+            parts = [(rows, ahead[begin][:, rows] + scores[:, ids]) for begin, _, rows, ids in own]
+            top = np.full((len(scores), n), -np.inf)
+            for rows, value in parts:
+                top[:, rows] = np.maximum(top[:, rows], value)
+            total = np.zeros_like(top)
+            for rows, value in parts:
+                total[:, rows] += np.exp(value - top[:, rows])
+            ahead[end] = top + np.log(total)
         return ahead
 
     def _grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of equal length, a space before each word, and their indices; long words one by one."""
+        """Rows of equal length, a space before each word, and their indices."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         ends = np.append(np.flatnonzero(np.diff(sizes[order])) + 1, len(order))
         begin = 0
         for end in ends.tolist():
             size = int(sizes[order[begin]]) if end > begin else 0
-            step = 1 if size > LONG else 8192
+            step = max(1, 100_000 // (size + 1))
             for a in range(begin, end, step):
                 own = order[a : min(a + step, end)]
                 flat = b"".join(b" " + words[k] for k in own.tolist())
@@ -151,169 +147,174 @@ class Lattice:
             begin = end
 
     def marginal(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word, over all its segmentations."""
-        out = np.zeros(len(words))
+        """Log probability of each word (column) in each class (row), over all its segmentations."""
+        out = np.zeros((len(self.scores), len(words)))
         for own, rows in self._grouped(words):
-            out[own] = self._long(rows[0]) if rows.shape[1] > LONG + 1 else self.forward(self._edges(rows), len(own))[-1]
+            if rows.shape[1] > LONG:
+                for k, r in zip(own.tolist(), rows, strict=True):
+                    out[:, k] = self._long(r)
+            else:
+                out[:, own] = self.forward(self._edges(rows), rows.shape[1], len(own), self.scores)[-1]
         return out
 
-    def _positions(self, word: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For each piece length, the ids at every begin of one long word."""
-        powers, inverse = _powers(len(word))
-        sums = np.zeros(len(word) + 1, U)
-        np.cumsum(OF_BYTE[word] * powers[: len(word)], out=sums[1:])
-        return [(k, self.find(_mix((sums[k:] - sums[:-k]) * inverse[: len(word) + 1 - k] + U(k)))) for k in self.lengths if k <= len(word)]
-
-    def _long(self, word: np.ndarray) -> float:
-        return float(self._long_forward(len(word), self._positions(word))[-1])
-
-    def _long_forward(self, size: int, found: list) -> np.ndarray:
-        at: dict[int, list] = {}
-        for k, ids in found:
-            for begin in np.flatnonzero(ids != self.none).tolist():
-                at.setdefault(begin + k, []).append((begin, self.scores[ids[begin]]))
-        ahead = np.zeros(size + 1)
+    def _long(self, word: np.ndarray) -> np.ndarray:
+        """The same for one long word: its pieces are found at all places at once."""
+        size = len(word)
+        powers, inverse = _powers(size)
+        sums = np.zeros(size + 1, U)
+        np.cumsum(OF_BYTE[word] * powers[:size], out=sums[1:])
+        at: list[list] = [[] for _ in range(size + 1)]
+        for k in self.lengths:
+            if k <= size:
+                begins, ids = self.find(_mix((sums[k:] - sums[:-k]) * inverse[: size + 1 - k] + U(k)))
+                for b, i in zip(begins.tolist(), ids.tolist(), strict=True):
+                    at[b + k].append((b, i))
+        ahead = np.zeros((size + 1, len(self.scores)))
         for end in range(1, size + 1):
-            parts = [ahead[b] + s for b, s in at[end]]
-            top = max(parts)
-            ahead[end] = top + math.log(sum(math.exp(p - top) for p in parts))
-        return ahead
+            begins, ids = zip(*at[end], strict=True)
+            ahead[end] = np.logaddexp.reduce(ahead[list(begins)] + self.scores[:, list(ids)].T, axis=0)
+        return ahead[-1]
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in words that occur so often."""
-        total = np.zeros(self.none + 1)
+    def expected(self, words: list[bytes], k: int) -> np.ndarray:
+        """Expected number of each piece in these words, each once, with the scores of class k."""
+        total, scores = np.zeros(self.size), self.scores[k : k + 1]
         for own, rows in self._grouped(words):
             n, size = rows.shape
-            weight = counts[own]
             edges = self._edges(rows)
-            ahead = self.forward(edges, n)
-            behind = [np.full(n, -np.inf) for _ in range(size)] + [np.zeros(n)]
-            for end in range(size, 0, -1):
-                for begin, ids in edges[end]:
-                    through = self.scores[ids] + behind[end]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        share = np.exp(ahead[begin] + through - ahead[-1])
-                    total += np.bincount(ids, np.where(ids == self.none, 0, share) * weight, self.none + 1)
-                    behind[begin] = np.logaddexp(behind[begin], through)
-        return total[:-1]
+            ahead = self.forward(edges, size, n, scores)[:, 0]
+            behind = np.full((size + 1, n), -np.inf)
+            behind[size] = 0
+            whole = ahead[-1]
+            for begin, end, some, ids in reversed(edges):
+                through = scores[0, ids] + behind[end, some]
+                behind[begin, some] = np.logaddexp(behind[begin, some], through)
+                total += np.bincount(ids, np.exp(ahead[begin, some] + through - whole[some]), self.size)
+        return total
 
 
 @dataclass
 class Model:
-    """Pieces and their log probabilities, and what is known of training tokens: words, and an end for each text."""
+    """What was learnt. Texts fall into classes; each has its words, piece scores and share of texts."""
 
     pieces: list[bytes]
-    scores: np.ndarray
-    train_docs: int
+    scores: np.ndarray  # class, piece
+    words: np.ndarray  # of each class: tokens that are words, distinct ones, texts, and the discount
     train_words: int
     word_types: int
-    discount: float
 
     @property
-    def train_tokens(self) -> int:
-        return self.train_words + self.train_docs
+    def train_docs(self) -> int:
+        return int(self.words[:, 2].sum())
 
     @property
-    def types(self) -> int:
-        return self.word_types + (self.train_docs > 0)
-
-    def word(self, count: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """log10 probability of words that occur so often, from their log probability over pieces."""
-        if not self.train_words:
-            return lattice / math.log(10)
-        whole = np.maximum(count - self.discount, 0) / self.train_tokens
-        rest = math.log(self.discount * self.word_types / self.train_tokens) + lattice
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(whole), rest) / math.log(10)
-
-    def end(self) -> float:
-        """log10 probability of a text's end."""
-        return math.log10(self.train_docs / self.train_tokens) if self.train_docs else 0.0
+    def train_tokens(self) -> int:
+        return self.train_words + self.train_docs
 
     def base(self, count):
         """log10 of the smoothed share of tokens that occur so often in training."""
-        return np.log10((np.asarray(count, float) + 0.1) / (self.train_tokens + 0.1 * (self.types + 1)))
+        types = self.word_types + (self.train_docs > 0)
+        return np.log10((np.asarray(count, float) + 0.1) / (self.train_tokens + 0.1 * (types + 1)))
+
+    def word(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """log10 probability of words (columns) in classes (rows), from their counts there and their lattices."""
+        tokens, types, texts, discount = self.words[:, :, None].transpose(1, 0, 2)
+        whole = np.maximum(counts - discount, 0) / np.maximum(tokens + texts, 1)
+        rest = np.where(types > 0, discount * types / np.maximum(tokens + texts, 1), 1.0)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(whole), np.log(rest) + lattice) / math.log(10)
+
+    def end(self) -> np.ndarray:
+        """log10 of each class's share of texts and of the probability of a text's end in it."""
+        tokens, _, texts, _ = self.words.T
+        if not self.train_docs:
+            return np.full(len(tokens), -math.log10(len(tokens)))
+        with np.errstate(divide="ignore"):
+            return np.log10(texts / texts.sum()) + np.log10(texts / np.maximum(tokens + texts, 1))
 
 
 def _words(text: pa.Scalar) -> list[bytes]:
-    """Words with A-Z lowered: what space and \\t to \\r set apart."""
+    """Words with A-Z lowered: what space and \t to \r set apart."""
     return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(word, c, c_all) over documents(text, held_out): occurrences in training, and in all."""
+def counted(docs: DataFrame, classes: int) -> DataFrame:
+    """(word, c0, c1, ..., c_all) over documents(text, class, held_out): occurrences in training by class, and in all."""
+    names = [*(f"c{k}" for k in range(classes)), "c_all"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, list[int]] = {}
+        counts: list[dict[bytes, int]] = [{} for _ in range(classes + 1)]  # the last: texts held out
 
-        def out() -> pa.RecordBatch:
-            table = np.array(list(counts.values()), np.int64)
-            made = pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy())], names=["word", "c", "c_all"])
-            counts.clear()
-            return made
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, own in enumerate(counts):
+                if own:
+                    n = pa.array(list(own.values()), pa.int64())
+                    zero = pa.array(np.zeros(len(own), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), *(n if j == k else zero for j in range(classes)), n], names=["word", *names])
+                    own.clear()
 
         for batch in batches:
-            for text, held in zip(batch.column("text").cast(pa.large_binary()), batch.column("held_out").to_pylist(), strict=True):
-                if held:
-                    for w in _words(text):
-                        if w in counts:
-                            counts[w][1] += 1
-                        else:
-                            counts[w] = [0, 1]
-                else:
-                    for w in _words(text):
-                        if w in counts:
-                            own = counts[w]
-                            own[0] += 1
-                            own[1] += 1
-                        else:
-                            counts[w] = [1, 1]
-                if len(counts) > HELD:
-                    yield out()
-        if counts:
-            yield out()
-
-    found = docs.select("text", "held_out").mapInArrow(run, "word binary, c long, c_all long")
-    return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
-
-
-def fit(words: DataFrame, train_docs: int, path: str) -> Model:
-    """Piece probabilities by expectation maximisation over all training words, from the vocabulary's scores on.
+            kinds, helds = batch.column("class").to_pylist(), batch.column("held_out").to_pylist()
+            for text, kind, held in zip(batch.column("text").cast(pa.large_binary()), kinds, helds, strict=True):
+                own = counts[classes if held else kind]
+                for w, n in Counter(_words(text)).items():
+                    own[w] = own.get(w, 0) + n
+                if sum(map(len, counts)) > HELD:
+                    yield from out()
+        yield from out()
+
+    found = docs.select("text", "class", "held_out").mapInArrow(run, ", ".join(["word binary", *(f"{c} long" for c in names)]))
+    return found.groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def fit(words: DataFrame, texts: list[int], path: str) -> Model:
+    """Piece probabilities of each class by expectation maximisation over its training words, from the vocabulary's scores on.
 
     Paths through pieces speak for words that are rare or unseen, so each distinct word counts once.
-    Of each pass only the expected counts, one a piece, go to the driver.
+    Of each pass only the expected counts, one a class and piece, go to the driver.
     """
-    spark = words.sparkSession
-    pieces, scores = vocabulary(path)
-    known = words.where("c > 0")
-    total, types, once, twice = known.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    for _ in range(PASSES if types else 0):
+    spark, classes = words.sparkSession, len(texts)
+    pieces, first = vocabulary(path)
+    scores = np.stack([first] * classes)
+    columns = [f"c{k}" for k in range(classes)]
+    every = sum((F.col(c) for c in columns), F.lit(0))
+    sums = words.agg(F.count_if(every > 0), *(f(c) for c in columns for f in (F.sum, lambda c: F.count_if(F.col(c) > 0), lambda c: F.count_if(F.col(c) == 1), lambda c: F.count_if(F.col(c) == 2)))).first()
+    table = np.zeros((classes, 4))
+    for k in range(classes):
+        total, types, once, twice = (x or 0 for x in sums[1 + 4 * k : 5 + 4 * k])
+        table[k] = total, types, texts[k], min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+    for _ in range(PASSES if table[:, 1].any() else 0):
         held = spark.sparkContext.broadcast((pieces, scores))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            lattice, sums = Lattice(*held.value), 0
+            lattice = Lattice(*held.value)
+            sums = np.zeros((classes, lattice.size))
             for batch in batches:
-                sums = sums + lattice.expected(batch.column("word").to_pylist(), np.ones(batch.num_rows))
-            if np.ndim(sums):
-                k = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[k])], names=["piece", "n"])
-
-        found = known.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        counts = np.full(len(pieces), FLOOR)
-        for r in found:
-            counts[r.piece] += r.n
-        scores = np.log(counts / counts.sum())
-    discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
-    return Model(pieces, scores, train_docs, total or 0, types, discount)
-
-
-def score(docs: DataFrame, path: str | None = None, part: int = 10) -> DataFrame:
-    """Scores documents(doc_id, text); learns from those whose crc32(doc_id as text) mod `part` is not 0.
+                listed = batch.column("word").to_pylist()
+                for k in range(classes):
+                    own = np.flatnonzero(batch.column(f"c{k}").to_numpy())
+                    if len(own):
+                        sums[k] += lattice.expected([listed[i] for i in own.tolist()], k)
+            k = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums.ravel()[k])], names=["piece", "n"])
+
+        known = words.where(every > 0).select("word", *columns)
+        found = known.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.full(scores.size, FLOOR)
+        counts[found.column("piece").to_numpy()] += found.column("n").to_numpy()
+        counts = counts.reshape(scores.shape)
+        scores = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return Model(pieces, scores, table, int(table[:, 0].sum()), sums[0])
+
+
+def score(docs: DataFrame, path: str | None = None, part: int = 10, most: int = CLASSES) -> DataFrame:
+    """Scores documents(doc_id, text, lang); learns from those whose crc32(doc_id as text) mod `part` is not 0.
 
     Returns per row doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are
-    words and one end a text. base_score is the smoothed share of whole tokens, score the log10
-    probability over all segmentations (see Model.word). Null and empty texts are their end alone; a null
-    doc_id counts as the text "". Repeated rows are trained on and scored each.
+    words and one end a text. base_score is the smoothed share of whole tokens; score the log10
+    probability over all segmentations, summed over the classes that a text may be of. Classes are
+    learnt from `lang` (the `most` - 1 commonest, the rest one) of training texts; a text is scored
+    without it. Null and empty texts are their end alone; a null doc_id counts as the text "".
+    Repeated rows are trained on and scored each.
     """
     if path is None:
         import public_tokenizers
@@ -321,28 +322,39 @@ def score(docs: DataFrame, path: str | None = None, part: int = 10) -> DataFrame
         path = public_tokenizers.path("piece_bpe_32k.model")
     spark = docs.sparkSession
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", "text", (F.crc32(text_id.cast("binary")) % part == 0).alias("held_out"))
-    words = stored(counted(rows), "words")
-    train_docs = rows.where("not held_out").count()
-    model = fit(words, train_docs, path)
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = docs.select("doc_id", "text", lang.alias("lang"), (F.crc32(text_id.cast("binary")) % part == 0).alias("held_out"))
+    common = [r.lang for r in rows.where("not held_out").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most - 1).collect()]
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, common)), F.col("lang")) - 1, F.lit(0)) if common else F.lit(0)
+    rows = rows.withColumn("class", F.when(kind < 0, len(common)).otherwise(kind).cast("int")).drop("lang")
+    texts = {r["class"]: r.n for r in rows.where("not held_out").groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = max(texts, default=0) + 1
+    columns = [f"c{k}" for k in range(classes)]
+    rows = rows.withColumn("class", F.least("class", F.lit(classes - 1)))  # a class of held-out texts alone is none
+    words = stored(counted(rows, classes), "words")
+    model = fit(words, [texts.get(k, 0) for k in range(classes)], path)
     held = spark.sparkContext.broadcast(model)
+    numbers = ["known", "base", *(f"p{k}" for k in range(classes))]
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(held.value.pieces, held.value.scores)
         for batch in batches:
-            count = batch.column("c").to_numpy()
-            found = held.value.word(count, lattice.marginal(batch.column("word").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c_all"), pa.array((count > 0).astype(np.int64)), pa.array(held.value.base(count)), pa.array(found)], names=["word", "c_all", "known", "base", "lm"])
+            counts = np.stack([batch.column(c).to_numpy() for c in columns]).astype(float)
+            found = held.value.word(counts, lattice.marginal(batch.column("word").to_pylist()))
+            whole = counts.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c_all"), *map(pa.array, ((whole > 0).astype(float), held.value.base(whole), *found))], names=["word", "c_all", *numbers])
 
-    scored = stored(words.mapInArrow(marginals, "word binary, c_all long, known long, base double, lm double"), "scored")
+    scored = words.mapInArrow(marginals, "word binary, c_all long, " + ", ".join(f"{c} double" for c in numbers))
+    scored = stored(scored, "scored")
     head = scored.orderBy(F.desc("c_all"), "word").limit(HEAD).drop("c_all").toArrow()
-    by_heart = spark.sparkContext.broadcast((head.column("word").to_pylist(), np.stack([head.column(c).to_numpy().astype(float) for c in ("known", "base", "lm")], 1)))
+    by_heart = spark.sparkContext.broadcast((head.column("word").to_pylist(), np.stack([head.column(c).to_numpy() for c in numbers], 1)))
+    names = ["row", "word", "doc_id", "held_out", "n_tokens", *(f"_{c}" for c in numbers)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (listed, values) = held.value, by_heart.value
         place = {w: k for k, w in enumerate(listed)}.get
-        values = np.concatenate([values, np.zeros((1, 3))])
-        end = np.array([float(model.train_docs > 0), float(model.base(model.train_docs)), model.end()])
+        values = np.concatenate([values, np.zeros((1, len(numbers)))])
+        end = np.array([model.train_docs > 0, model.base(model.train_docs), *model.end()], float)
         for batch in batches:
             keys, parts, tail = batch.column("row").to_numpy(), [], []
             for row, text in zip(keys.tolist(), batch.column("text").cast(pa.large_binary()), strict=True):
@@ -350,27 +362,24 @@ def score(docs: DataFrame, path: str | None = None, part: int = 10) -> DataFrame
                 at = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
                 parts.append((len(words) + 1, *(values[at].sum(axis=0) + end)))
                 tail += [(row, words[k]) for k in np.flatnonzero(at < 0).tolist()]
-            table = np.array(parts, float).reshape(-1, 4)
+            table = np.array(parts, float).reshape(-1, 1 + len(numbers))
             # 0xff is in no text: these rows, of which each has a key of its own, meet no word.
             own = [b"\xff%d" % k for k in keys.tolist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(own, pa.binary()), batch.column("doc_id"), batch.column("held_out"), pa.array(table[:, 0].astype(np.int64)), pa.array(table[:, 1].astype(np.int64)), *(pa.array(table[:, k].copy()) for k in (2, 3))],
-                names=NAMES,
+                [batch.column("row"), pa.array(own, pa.binary()), batch.column("doc_id"), batch.column("held_out"), pa.array(table[:, 0].astype(np.int64)), *(pa.array(c.copy()) for c in table[:, 1:].T)], names=names
             )
             for a in range(0, len(tail), 100_000):
                 some = tail[a : a + 100_000]
-                none = [pa.nulls(len(some), kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int64()), pa.array([w for _, w in some], pa.binary()), *none], names=NAMES)
-
-    read_rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(
-        read, "row long, word binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    )
-    tail = scored.select("word", "known", "base", "lm")
-    met = read_rows.join(tail, "word", "left").select(
-        "row", "doc_id", "held_out", "n_tokens", F.coalesce("n_known", "known").alias("n_known"), F.coalesce("base_score", "base").alias("base_score"), F.coalesce("score", "lm").alias("score")
+                none = [pa.nulls(len(some), k) for k in (pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * len(numbers))]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int64()), pa.array([w for _, w in some], pa.binary()), *none], names=names)
+
+    kinds = "row long, word binary, doc_id long, held_out boolean, n_tokens long, " + ", ".join(f"_{c} double" for c in numbers)
+    read_rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(read, kinds)
+    met = read_rows.join(scored.drop("c_all"), "word", "left").select("row", "doc_id", "held_out", "n_tokens", *(F.coalesce(f"_{c}", c).alias(c) for c in numbers))
+    summed = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in numbers))
+    likely = [F.col(f"p{k}") for k in range(classes)]
+    top = F.greatest(*likely) if classes > 1 else likely[0]
+    total = top + F.log10(sum((F.pow(F.lit(10.0), F.greatest(p - top, F.lit(-300.0))) for p in likely), F.lit(0.0)))
+    return summed.select(
+        "doc_id", "held_out", "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score")
     )
-    summed = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-NAMES = ["row", "word", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]

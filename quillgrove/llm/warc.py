@@ -110,16 +110,17 @@ def typed(pages: DataFrame) -> DataFrame:
     return met.withColumn("refers_to", F.when(F.col("last") != F.col("page_id"), F.col("last"))).drop("last")
 
 
-def write(pages: DataFrame) -> DataFrame:
+def write(pages: DataFrame, size: int = CHUNK) -> DataFrame:
     """The chunked record table of pages(page_id, url, html): record, page_id, row, chunk, data, sha1_so_far.
 
-    `row` tells records of a repeated page_id apart. Null html is an empty payload.
+    `row` tells records of a repeated page_id apart. Null html is an empty payload. A chunk has `size`
+    bytes at most, but for the first, which holds the whole header, and the line ends after the last.
     """
     rows = typed(pages).withColumn("row", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        waiting = 0
 
         def out() -> pa.RecordBatch:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
@@ -133,12 +134,12 @@ def write(pages: DataFrame) -> DataFrame:
             for *row, body in zip(*fields, bodies, strict=True):
                 page, url, n, sha1, refers, key = row
                 payload = memoryview(body.as_buffer()) if body.is_valid and refers is None else memoryview(b"")
-                for k, (data, so_far) in enumerate(chunks_of(heads(page, url, n, sha1, refers), payload)):
+                for k, (data, so_far) in enumerate(chunks_of(heads(page, url, n, sha1, refers), payload, size)):
                     held.append((record_name(page), page, key, k, data, so_far))
-                    size += len(data)
-                    if size > BATCH:
+                    waiting += len(data)
+                    if waiting > BATCH:
                         yield out()
-                        size = 0
+                        waiting = 0
         if held:
             yield out()
 
@@ -185,7 +186,7 @@ def as_stream(rows: Iterable) -> bytes:
     return b"".join(bytes(r.data) for r in sorted(rows, key=lambda r: (r.row, r.chunk)))
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, size: int = CHUNK) -> DataFrame:
     """Writes pages(page_id, url, html) and reads the archive back. Every row is a record, an empty table none."""
-    read_back = read(write(keyed(pages, "page_id")))
+    read_back = read(write(keyed(pages, "page_id"), size))
     return named(named(read_back, "page_id"), "refers_to")

@@ -1,0 +1,247 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quillgrove.llm import decontaminate, html_main, lattice_lm, sharding, topk, toxicity, warc
+
+# ---- main text
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a>menu</a></ul></nav><!-- c <p>x</p> -->
+<div class="ad">buy</div><article><header><h1>Head &amp;  one</h1></header><p><b>First<br>line &lt;x&gt; &#233;<p>Second<script>var a="</p>";</script> part</p><aside>side</aside>
+<ul><li>one<li>two</ul><form>f</form><section class="comments"><p>me too</p></section></article><footer>&copy; f</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_main.main_text(PAGE) == "Head & one\n\nFirst line <x> é\n\nSecond part\n\none\n\ntwo"
+    assert html_main.main_text(None) == html_main.main_text("") == html_main.main_text("<html><body></body></html>") == ""
+    assert html_main.main_text("plain &amp; simple") == "plain & simple"
+    assert html_main.main_text("<p>a<table><tr><td>x<td>y</table>") == "a\n\nx\n\ny"
+    assert html_main.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
+
+
+def test_templates(spark):
+    body = lambda k: f"<html><body><div><span>Same top of the site</span></div><div><p>{'Own words of page ' + str(k) + ' and more of them, '} and on.</p></div><div><p>Read our terms everywhere and always, please do.</p></div></body></html>"
+    rows = [(k, "http://a.example/x", body(k)) for k in range(12)] + [(100, "http://b.example/", body(100)), (101, None, body(1)), (102, "http://a.example/", None), (None, "http://A.example:80/y", "")]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3][0] == "Own words of page 3 and more of them, and on." and got[3][1] == len(got[3][0])
+    assert "terms" in got[100][0] and "terms" in got[101][0]
+    assert got[102] == got[None] == ("", 0)
+    assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---- toxicity
+
+
+def test_chain(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    docs, labels = [], []
+    for k in range(600):
+        low, bad = k % 5 == 0, k % 7 == 0
+        words = [word() for _ in range(60)] + ["#"] * 3
+        for _ in range(4 if bad else 0):
+            words[rng.randrange(60)] = rng.choice(["zzgrr", "zzgrrx", "Zzugh!"])
+        words += ["spam", "spammy"] * 6 if low else []
+        docs.append((k, " ".join(words), "p"))
+        if k % 2:
+            labels.append((k, int(not low), int(bad)))
+    docs += [(1000, None, "p"), (1001, "", "p"), (None, "plain", "p")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, p_toxic string")
+    got = {r.doc_id: r.toxic for r in toxicity.classify(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(got[k] == (k % 7 == 0) for k in range(0, 600, 2)) >= 297  # held out
+    assert not got[1000] and not got[1001] and not got[None]
+    assert toxicity.classify(frame.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+# ---- lattice
+
+
+def test_marginal_is_the_sum_over_segmentations():
+    rng = np.random.default_rng(0)
+    pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b" ab", b"bc", b"abc", b" abcabc", "é".encode()]
+    scores = np.log(rng.dirichlet(np.ones(len(pieces)), 2))
+    lattice = lattice_lm.Lattice(pieces, scores)
+    place = {p: k for k, p in enumerate(pieces)}
+
+    def brute(word, k):
+        ways = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            ways[end] = sum(ways[b] * math.exp(scores[k][place[word[b:end]]]) for b in range(end) if word[b:end] in place)
+        return math.log(ways[-1])
+
+    words = [b"abc", b"abcabc", "éa".encode(), b"x", b"abc" * 40, b"abcab", b"b"]
+    found = lattice.marginal(words)
+    for k in range(2):
+        assert np.allclose(found[k], [brute(b" " + w, k) for w in words])
+    gained = lattice.expected(words[:3], 0)
+    for p in (b" abcabc", b"bc"):  # the expected count is the derivative by the piece's score
+        moved = scores.copy()
+        moved[0, place[p]] += 1e-6
+        change = lattice_lm.Lattice(pieces, moved).marginal(words[:3])[0].sum() - found[0][:3].sum()
+        assert gained[place[p]] == pytest.approx(change / 1e-6, rel=1e-3, abs=1e-6)
+
+
+def test_scores(spark):
+    rng = random.Random(2)
+    syllables = {"en": ["th", "er", "ing", "on"], "fr": ["eau", "é", "oi", "que"]}
+    docs = []
+    for k in range(300):
+        lang = "en" if k % 3 else "fr"
+        docs.append((k, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))).capitalize() for _ in range(40)), lang))
+    docs += [(900, None, None), (901, "", "en"), (902, "x" * 300 + "\t" + "y", "de"), (5, docs[5][1], "en")]
+    got = lattice_lm.score(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(docs)
+    words = lambda t: re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    train = Counter(w for d, t, _ in docs if not held(d) for w in [*words(t), b"\n"])
+    total, types = sum(train.values()), len(train)
+    own = {}
+    for r in got:
+        own.setdefault(r.doc_id, r)
+    for d, t, _ in docs:
+        tokens = [*words(t), b"\n"]
+        r = own[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(tokens), sum(train[w] > 0 for w in tokens), total)
+        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.1) / (total + 0.1 * (types + 1))) for w in tokens), abs=1e-6)
+        assert math.isfinite(r.score) and r.score < 0
+    unseen = [r for r in got if r.held_out and r.n_tokens > 10]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
+    assert lattice_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ---- top-k
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    rows = [(int(k), [float(np.float32(v)) for v in rng.normal(0, 0.3, 8)]) for k in range(700)]
+    rows += [(700, rows[3][1]), (701, rows[3][1]), (702, None), (800, [1.0] * 7 + [None]), (801, [float("nan")] + [1.0] * 7), (900, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (0, rows[0][1]), (1000, []), (1100, [1.0, 2.0])]
+    good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    expected = []
+    for a, (i, q) in enumerate(good):
+        if i % 100 == 0:
+            scored = sorted((-int(x @ q), j) for b, (j, x) in enumerate(good) if a != b and len(x) == len(q))[:10]
+            expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lists_stop_early():
+    rng = np.random.default_rng(4)
+    vectors = np.floor(1024 * rng.normal(0, 0.02, (4000, 4))).astype(np.int64)
+    vectors[7] = 900
+    found, read = topk.Lists(vectors).best(np.array([5, 3, 2, 1]), 1, -np.inf)
+    assert 7 in found and read < 0.5 * vectors.size
+
+
+# ---- shards
+
+
+def test_shards(spark):
+    texts = [f"text {k % 40}" if k < 200 else f"own {k}" for k in range(900)] + ["hot"] * 300 + [None, ""]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = sharding.shard_documents(docs).collect()
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r)
+    sizes = [len(v) for v in by_shard.values()]
+    assert len(rows) == len(texts) and len(sizes) == 24 and max(sizes) - min(sizes) <= 1
+    for own in by_shard.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    of = {r.doc_id: r for r in rows}
+    for k, t in enumerate(texts):
+        body = (t or "").encode()
+        assert (of[k].size, of[k].text_crc32, of[k].law, of[k].grown_shard) == (len(body) + 8, zlib.crc32(body), "rows", None)
+    together = sum(len({of[k].shard for k in range(g, 200, 40)}) == 1 for g in range(40))
+    assert together >= 34
+    assert len({of[k].shard for k in range(900, 1200)}) <= 18
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+# ---- benchmark passages
+
+
+def words_of(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def test_decontaminate(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["Aé", "b", "c1", "dÉ", "rare"]) + str(rng.randint(0, 30))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([3, 10, 14, 25, 1, 2, 40])] + [(50, None), (51, "..."), (None, "the the the")]
+    docs = []
+    for k in range(120):
+        parts = [word() for _ in range(rng.randint(0, 60))]
+        if k % 3 == 0:
+            own = words_of(items[rng.randrange(7)][1])
+            a = rng.randint(0, max(0, len(own) - 10))
+            parts[rng.randint(0, len(parts)) : 0] = [x.upper() if x.isascii() else x for x in own[a : a + rng.randint(8, 30)]]
+        docs.append((k, ", ".join(parts)))
+    docs += [(200, None), (201, ""), (3, docs[3][1]), (None, items[1][1]), (202, "the the the the")]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    wins = []
+    for i, t in items:
+        w = words_of(t)
+        wins += [(i, tuple(w[k : k + 10])) for k in range(max(1, len(w) - 9))] if w else []
+    expected = []
+    for d, t in docs:
+        w = words_of(t)
+        hit, own = set(), set()
+        for i, g in wins:
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit.update(range(k, k + len(g)))
+                    own.add(i)
+        names = ",".join(sorted(str(i) for i in own if i is not None))
+        expected.append((d, len(w), len(hit), len([i for i in own if i is not None]), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    assert Counter(tuple(r)[:6] for r in got) == Counter(expected)
+    none = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"))
+    assert none.where("contaminated").count() == 0 and none.count() == len(docs)
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a x x b x c"), (2, "c b a"), (3, "a x x x x x b c"), (4, "a b"), (5, "b a c b")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(9, "a"), (9, "b"), (9, "c")], "window long, term string")
+    postings = decontaminate.index(docs, wanted)
+    ids = {r.doc: r.doc_id for r in postings.select("doc", "doc_id").distinct().collect()}
+    near = lambda k: {ids[r.doc] for r in decontaminate.proximity(postings, wanted, k).collect()}
+    assert near(3) == {2, 5} and near(6) == {1, 2, 5}
+
+
+# ---- WARC
+
+
+def test_warc(spark):
+    big, other = "é" * 3000, "<p>" * 400
+    pages = [(1, "http://a/", big), (2, "http://a/x", big), (9, None, big), (3, "http://b/", other), (4, "http://b/", "small"), (5, "", "small"), (6, "u", None), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 200), (None, "u", "x" * 2000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: tuple(r)[1:] for r in warc.round_trip(frame, 700).collect()}
+    for i, _, t in pages:
+        body = (t or "").encode()
+        kind = ("revisit", 9) if i in (1, 2) else ("response", None)
+        assert got[i] == (len(body), hashlib.sha1(body).hexdigest(), *kind)
+    table = warc.write(frame.where("page_id is not null"), 700).collect()
+    assert max(len(r.data) for r in table) <= 1200
+    stream = warc.as_stream(table)
+    count = 0
+    while stream:  # a plain reader of the format
+        head, _, rest = stream.partition(b"\r\n\r\n")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        n = int(fields[b"Content-Length"])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        stream, count = rest[n + 4 :], count + 1
+    assert count == 8
+    assert warc.round_trip(frame.limit(0)).count() == 0
+    damaged = spark.createDataFrame([r.asDict() | {"data": bytes(r.data).replace(b"<p><p>", b"<p><b>", 1)} for r in table], "record string, page_id long, row long, chunk int, data binary, sha1_so_far string")
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read(damaged).collect()
