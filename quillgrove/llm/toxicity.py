@@ -15,7 +15,7 @@ from quillgrove.llm.store import keyed, stored
 
 #: Labelled documents that a model is fitted on at most, and features of a category.
 SAMPLE, FEATURES = 12_000, 2048
-FOLDS, PENALTY, ROUNDS = 5, 1.0, 250
+FOLDS, PENALTY, ROUNDS = 5, 1.0, 120
 #: Bytes of a word's beginnings that are features, beside the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A-Z lowered; ASCII other than letters and digits splits words.
@@ -56,7 +56,7 @@ class Reader:
 
     def ids_of(self, word: bytes) -> tuple[int, ...]:
         own = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
-        if len(self.known) > 200_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         self.known[word] = own
         return own
@@ -85,14 +85,20 @@ def _logistic(rows: tuple[np.ndarray, np.ndarray, np.ndarray], extra: np.ndarray
     n, more = len(target), extra.shape[1]
     weight = np.zeros(width + more + 1)
     look, momentum = weight.copy(), 1.0
-    power = np.zeros(n)
-    np.add.at(power, row, value * value)
-    step = 4 / (power.mean() + (extra**2).sum(axis=1).mean() + 1 + 4 * PENALTY / n) if n else 1.0  # the trace bounds the curvature
+    if not n:
+        return weight
+    # Power iterations find the largest curvature, which bounds the step.
+    ahead = np.ones(width + more + 1)
+    for _ in range(8):
+        ahead /= np.linalg.norm(ahead)
+        moved = np.bincount(row, value * ahead[column], n) + extra @ ahead[width : width + more] + ahead[-1]
+        ahead = np.concatenate([np.bincount(column, value * moved[row], width), extra.T @ moved, [moved.sum()]])
+    step = 4 * n / (1.2 * np.linalg.norm(ahead) + 4 * PENALTY)
     for _ in range(ROUNDS):
         score = np.bincount(row, value * look[column], n) + extra @ look[width : width + more] + look[-1]
-        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) / max(n, 1)
+        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) / n
         gradient = np.concatenate([np.bincount(column, value * error[row], width), extra.T @ error, [error.sum()]])
-        gradient[:-1] += PENALTY / max(n, 1) * look[:-1]
+        gradient[:-1] += PENALTY / n * look[:-1]
         after = look - step * gradient
         faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         look = after + (momentum - 1) / faster * (after - weight)
@@ -114,18 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     flags = [f"_{k}" for k in range(len(categories))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, np.ndarray] = {}
+        kinds: dict[tuple, Counter[bytes]] = {}  # documents with a feature, by their labels
         for batch in batches:
-            flag = np.stack([np.ones(batch.num_rows, np.int64), *(batch.column(c).to_numpy() for c in flags)], 1)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for f in {f for w in set(words_of(text)) for f in features_of(w)}:
-                    if f in counts:
-                        counts[f] += flag[i]
-                    else:
-                        counts[f] = flag[i].copy()
-        if counts:
-            table = np.stack(list(counts.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array(table[:, k].copy()) for k in range(table.shape[1]))], names=["feature", "n", *flags])
+            labels = zip(*(batch.column(c).to_pylist() for c in flags), strict=True)
+            for kind, text in zip(labels, batch.column("text").to_pylist(), strict=True):
+                kinds.setdefault(kind, Counter()).update({f for w in set(words_of(text)) for f in features_of(w)})
+        for kind, counts in kinds.items():
+            n = np.fromiter(counts.values(), np.int64, len(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(n), *(pa.array(n * k) for k in kind)], names=["feature", "n", *flags])
 
     found = own.mapInArrow(count, "feature binary, n long, " + ", ".join(f"{c} long" for c in flags))
     found = stored(found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", *flags))).where("n >= 3"), "features")
