@@ -74,7 +74,10 @@ class Element:
             return True
         if "display:none" in own.get("style", "").replace(" ", "").lower():
             return True
-        for name in NAME.split(f"{own.get('class', '')} {own.get('id', '')}".lower()):
+        names = NAME.split(f"{own.get('class', '')} {own.get('id', '')}".lower())
+        if self.tag == "article":  # a comment may be one; other names say nothing of it
+            return not {"comment", "comments", "reply"}.isdisjoint(names)
+        for name in names:
             if name in NO_NAMES or not NO_NAMES.isdisjoint(PART.split(name)[:1]):
                 return True
         return False
