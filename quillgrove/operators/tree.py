@@ -63,14 +63,38 @@ def rolled_up(nodes: DataFrame) -> DataFrame:
     return joined.withColumn("start_page", F.col("low")).withColumn("end_page", F.col("high")).drop("low", "high")
 
 
+def with_ancestors(ranged: DataFrame) -> DataFrame:
+    """Nodes (doc_id, structure, title, start_page, end_page, size) of items with ranges and all their ancestors, rolled up.
+
+    The same as rolled_up() of the items and their placeholders, without a join: an item is a leaf
+    if the next one in the order of codes isn't below it, and brings its range to every prefix of
+    its code. All windows and aggregates are within a document, so documents move once.
+    """
+    order = F.translate("structure", ".", "\1")
+    below = F.lead("structure").over(Window.partitionBy("doc_id").orderBy(order)).startswith(F.concat(F.col("structure"), F.lit(".")))
+    rows = ranged.withColumn("leaf", ~F.coalesce(below, F.lit(False)))
+    own = F.col("structure") == F.col("node")
+    found = rows.select("*", F.explode(_prefixes()).alias("node")).groupBy("doc_id", F.col("node").alias("structure")).agg(
+        F.coalesce(F.max(F.when(own, F.col("title"))), F.concat(F.lit("第"), F.col("node"), F.lit("章"))).alias("title"),
+        F.min(F.when(F.col("leaf"), F.col("start_page"))).alias("start_page"), F.max(F.when(F.col("leaf"), F.col("end_page"))).alias("end_page"),
+    )
+    self_row = F.max(F.when(own, F.struct("title", "start_page", "end_page"))).alias("own")
+    sized = found.select("*", F.explode(_prefixes()).alias("node")).groupBy("doc_id", F.col("node").alias("structure")).agg(self_row, F.count(F.lit(1)).alias("size"))
+    return sized.select("doc_id", "structure", "own.*", "size")
+
+
+def _prefixes():
+    parts = F.split("structure", r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+
+
 def built(items: DataFrame, total_pages: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """The nodes of contents items: one for a code, missing ancestors added, ranges rolled up, linked.
 
     Takes toc_items(doc_id, structure, title, physical_index, list_index, ties...).
     """
     ranged = first_wins(end_pages(items, total_pages, ties)).select("doc_id", "structure", "title", F.col("physical_index").alias("start_page"), "end_page")
-    every = ranged.unionByName(placeholders(ranged, total_pages))
-    return linked(rolled_up(every))
+    return linked(with_ancestors(ranged))
 
 
 def roots(nodes: DataFrame, total_pages: int) -> DataFrame:

@@ -17,7 +17,7 @@ def test_page_groups(spark):
     cut = grouping.greedy_groups(pages.where("doc_id = 2"), 100).collect()
     assert [(r.token_count, len(r.text)) for r in cut] == [(100, 400)]
     many = grouping.greedy_groups(pages.where("doc_id = 3"), 40).orderBy("group_no").collect()
-    assert [(r.start_page, r.end_page, r.token_count) for r in many] == [(1, 4, 40), (3, 6, 40), (5, 6, 20) if False else (5, 7, 30)] or len(many) >= 2
+    assert len(many) >= 2 and all(r.token_count <= 40 for r in many)
     assert many[0].start_page == 1 and many[-1].end_page == 9
     assert all(r.text.count("\n") == r.end_page - r.start_page for r in many)
     assert grouping.greedy_groups(pages.where("doc_id = 4"), 100).count() == 0
@@ -49,6 +49,15 @@ def test_merge_items(spark):
     assert rows(toc.merge_new_items(old, new), "structure", "title") == [("1", "A"), ("2", "B"), ("3", "D"), ("4", "E")]
 
 
+def test_with_ancestors(spark):
+    items = [(1, "1.2.3", "deep", 4, 6), (1, "1.2", "mid", 1, 9), (1, "10", "ten", 7, 8), (1, "1.10", "b", 9, 9), (2, "3.1", "x", 2, 5)]
+    ranged = spark.createDataFrame(items, "doc_id int, structure string, title string, start_page int, end_page int")
+    names = ("doc_id", "structure", "title", "start_page", "end_page", "size")
+    fast = rows(tree.with_ancestors(ranged), *names)
+    assert fast == rows(tree.rolled_up(ranged.unionByName(tree.placeholders(ranged, 9))), *names)
+    assert (1, "1", "第1章", 4, 9, 4) in fast and (1, "1.2", "mid", 4, 6, 2) in fast
+
+
 def test_overlap(spark):
     nodes = spark.createDataFrame([(1, "root", 1, 20), (1, "a", 1, 5), (1, "b", 6, 15), (1, "c", 16, 20)], "doc_id int, node_id string, start_page int, end_page int")
     wanted = {(6, 10): 2, (3, 12): 3, (6, 6): 2, (25, 30): 0, (1, 20): 4}
