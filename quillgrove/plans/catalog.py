@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgrove.functions import jsonrepair, text, tokens
 from quillgrove.operators import grouping, provider, summaries, toc, tree
 from quillgrove.plans import pipeline
+from quillgrove.plans.lineage import settled
 from quillgrove.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,7 +165,7 @@ def tree_merge_versions(spark, sf):
     select doc_id, 0 as depth, 1 as ordinal, 'Document' as title, min(start_page) as start_page, max(end_page) as end_page from g where not contains(structure, '.') group by doc_id
     union all select doc_id, 1, o, title, start_page, case when lim is null then end_page else least(end_page, lim) end from tops""")
 def tree_group_merge(spark, sf):
-    groups = nodes(spark, sf).select("doc_id", "node_id", "parent_id", "title", "start_page", "end_page")
+    groups = settled(nodes(spark, sf).select("doc_id", "node_id", "parent_id", "title", "start_page", "end_page"))
     return tree.groups_merged(groups).select("doc_id", "depth", "ordinal", "title", "start_page", "end_page")
 
 
