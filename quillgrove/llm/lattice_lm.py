@@ -237,6 +237,18 @@ def _words(text: pa.Scalar) -> list[bytes]:
     return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
 
 
+def _larger(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together: words of one length are worked on at once, and a batch alone has few of each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def counted(docs: DataFrame, classes: int) -> DataFrame:
     """(word, c0, c1, ..., c_all) over documents(text, class, held_out): occurrences in training by class, and in all."""
     names = [*(f"c{k}" for k in range(classes)), "c_all"]
@@ -288,7 +300,7 @@ def fit(words: DataFrame, texts: list[int], path: str) -> Model:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*held.value)
             sums = np.zeros((classes, lattice.size))
-            for batch in batches:
+            for batch in _larger(batches):
                 listed = batch.column("word").to_pylist()
                 for k in range(classes):
                     own = np.flatnonzero(batch.column(f"c{k}").to_numpy())
@@ -338,7 +350,7 @@ def score(docs: DataFrame, path: str | None = None, part: int = 10, most: int =
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(held.value.pieces, held.value.scores)
-        for batch in batches:
+        for batch in _larger(batches):
             counts = np.stack([batch.column(c).to_numpy() for c in columns]).astype(float)
             found = held.value.word(counts, lattice.marginal(batch.column("word").to_pylist()))
             whole = counts.sum(axis=0)
