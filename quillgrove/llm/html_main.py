@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -186,23 +186,44 @@ def prune(root: Element, template: frozenset[int]) -> None:
         now.children = kept
 
 
-def article(root: Element) -> Element:
-    """The element that holds the article: the longest article, else main, else where most paragraph text lies together."""
-    own = list(walk(root))
+def outermost(root: Element, wanted: Callable[[Element], bool]) -> list[Element]:
+    """The wanted elements that lie in no other wanted one."""
+    found, stack = [], [root]
+    while stack:
+        now = stack.pop()
+        if wanted(now):
+            found.append(now)
+        else:
+            stack += [c for c in reversed(now.children) if not isinstance(c, str)]
+    return found
+
+
+def common(root: Element, found: list[Element]) -> Element:
+    """The lowest element that holds all of them."""
+    held = {id(e): 1 for e in found}
+    for e in reversed(list(walk(root))):
+        n = held.get(id(e), 0)
+        if n == len(found) or e is root:
+            return e
+        if n:
+            held[id(e.parent)] = held.get(id(e.parent), 0) + n
+    return root
+
+
+def article(root: Element) -> list[Element]:
+    """The elements that hold the article, in page order.
+
+    One is the common ancestor of all outermost articles, else of article bodies, else of mains, else of
+    all texts that are no links. The others are main headings (h1) outside of it.
+    """
     for wanted in (lambda e: e.tag == "article", lambda e: "articlebody" in e.attrs.lower(), lambda e: e.tag == "main" or 'role="main"' in e.attrs.lower()):
-        if found := [e for e in own if wanted(e) and e.length]:
-            return max(found, key=lambda e: e.length)
-    points: dict[int, float] = {}
-    by_id = {id(e): e for e in own}
-    for e in own:
-        if e.tag in ("p", "pre", "blockquote") and e.parent is not None and e.length - 2 * e.links > 25:
-            points[id(e.parent)] = points.get(id(e.parent), 0) + e.length - 2 * e.links
-    if points:
-        best = by_id[max(points, key=points.get)]
-        whole = next((e for e in own if e.tag == "body"), root)
-        # Where the paragraphs of several elements make the text, their common body is the article.
-        return best if points[id(best)] >= 0.5 * sum(points.values()) else whole
-    return next((e for e in own if e.tag == "body" and e.length), root)
+        if found := [e for e in outermost(root, wanted) if e.length]:
+            top = common(root, found)
+            heads = outermost(root, lambda e: e is top or e.tag == "h1")
+            return heads if any(e is top for e in heads) else [top]
+    found = outermost(root, lambda e: e.tag == "a" or any(isinstance(c, str) and c.strip() for c in e.children))
+    found = [e for e in found if e.tag != "a"]
+    return [common(root, found) if found else root]
 
 
 def text_of(top: Element) -> str:
@@ -240,7 +261,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     digest(root)
     prune(root, template)
     digest(root)
-    return text_of(article(root))
+    return "\n\n".join(filter(None, map(text_of, article(root))))
 
 
 def host(url) -> F.Column:

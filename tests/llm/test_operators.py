@@ -26,6 +26,15 @@ def test_main_text():
     assert html_main.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_main_text_is_whole():
+    page = lambda body: html_main.main_text(f"<html><body>{body}</body></html>")
+    assert page("<div><article><p>First part.</p></article><article><p>Second, longer part.</p></article></div>") == "First part.\n\nSecond, longer part."
+    assert page("<article>One<article class=comment>me too</article></article><nav>menu</nav><article>Two</article>") == "One\n\nTwo"
+    assert page("<h1>Head</h1><div><a>home</a></div><main><p>Text.</p></main>") == "Head\n\nText."
+    long = "Words of the text that go on for more than half of it. " * 4
+    assert page(f"<div><h1>Head</h1></div><div><p>{long}</p></div><div><p>Own words, fewer of them, and on.</p>Short.</div>") == f"Head\n\n{long.strip()}\n\nOwn words, fewer of them, and on.\n\nShort."
+
+
 def test_templates(spark):
     body = lambda k: f"<html><body><div><span>Same top of the site</span></div><div><p>{'Own words of page ' + str(k) + ' and more of them, '} and on.</p></div><div><p>Read our terms everywhere and always, please do.</p></div></body></html>"
     rows = [(k, "http://a.example/x", body(k)) for k in range(12)] + [(100, "http://b.example/", body(100)), (101, None, body(1)), (102, "http://a.example/", None), (None, "http://A.example:80/y", "")]
