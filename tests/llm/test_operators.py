@@ -176,6 +176,39 @@ def test_shards(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def cut_rows(rows, texts):
+    """Rows that are not in the shard that holds most of their text's rows."""
+    held = {}
+    for r in rows:
+        held.setdefault(texts[r.doc_id], Counter())[r.shard] += 1
+    return sum(c.total() - max(c.values()) for c in held.values())
+
+
+@pytest.mark.parametrize("texts, most", [([f"pair {k // 2}" for k in range(2400)], 0), ([f"five {k // 5}" for k in range(2280)] + [f"own {k}" for k in range(120)], 0), ([f"many {k // 240}" for k in range(2400)], 1400)])
+def test_shards_of_copies(spark, texts, most):
+    rows = sharding.shard_documents(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [100] * 24
+    assert cut_rows(rows, texts) <= most
+
+
+def test_packed():
+    rng = random.Random(7)
+    for _ in range(200):
+        sizes = {rng.randint(2, 60): rng.randint(1, 9) for _ in range(6)}
+        total = sum(n * m for n, m in sizes.items()) + rng.randint(0, 20)
+        rooms = [total // 8 + (s < total % 8) for s in range(8)]
+        plan = sharding.packed(sizes, rooms)
+        loads, parts = [0] * 8, {}
+        for n, first, last, low, high, s in plan:
+            loads[s] += (last - first) * (high - low)
+            for g in range(first, last):
+                parts.setdefault((n, g), []).append((low, high))
+        assert all(a <= b for a, b in zip(loads, rooms, strict=True))
+        assert set(parts) == {(n, g) for n, m in sizes.items() for g in range(m)}
+        assert all(p[0][0] == 0 and p[-1][1] == n and all(a[1] == b[0] for a, b in zip(p, p[1:])) for (n, _), p in parts.items())
+        assert sum(len(p) > 1 for p in parts.values()) <= 8
+
+
 # ---- benchmark passages
 
 
