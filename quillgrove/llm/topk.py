@@ -1,9 +1,11 @@
 """Exact top-k by inner product, by aggregation of sorted lists without random access.
 
-A block of vectors has a list for each component, sorted by it. A query reads all lists side by
-side, best products first. What it has read of a vector, with the worst and the best that the unread
-lists can still add, bounds its score. Reading stops when few vectors are left whose upper bound
-reaches the k-th lower bound; only theirs are resolved.
+A block of vectors has a list for each component, sorted by it. All queries of a block read its lists
+side by side, best products first, in a few depths. What a query has read of a vector, with the worst
+and the best that the unread lists can still add, bounds its score from below and above. A query stops
+when the vectors whose upper bound reaches the k-th lower bound have less left to read than the next
+depth would read; only theirs are resolved. A block whose upper bound is below what a query has found
+already is not read for it at all.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 
 from quillgrove.llm.store import sorted_groups, stored
 
-#: Vectors in a block, queries that go through a block together, and lanes of blocks.
-BLOCK, QUERIES, LANES = 4096, 1024, 64
-#: Parts in which lists are read, and vectors beside k whose scores are resolved at the end.
-STEPS, REST = 12, 54
+#: Vectors in a block, queries that go through a block together, blocks in a lane at least (what is found
+#: in one spares reading in the next), and lanes at most.
+BLOCK, QUERIES, FOLLOWING, LANES = 4096, 16_384, 4, 64
+#: Shares of the lists that are read before each look at the bounds, and queries bounded at a time.
+DEPTHS, AT_ONCE = (1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 1.0), 256
 
 
 class Lists:
@@ -28,53 +31,62 @@ class Lists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # a list for each component
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(float)
-
-    def best(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, int]:
-        """Indices of all vectors that may be among the k best and reach floor; how many entries were read."""
-        n, _ = self.vectors.shape
-        used = np.flatnonzero(query)
-        weight = query[used].astype(float)
-        down = weight > 0
-        top = np.where(down, self.values[used, -1], self.values[used, 0]) * weight
-        low = np.where(down, self.values[used, 0], self.values[used, -1]) * weight
-        slack = 1e-9 * (np.abs(top).sum() + np.abs(low).sum())
-        if top.sum() + slack < floor:
-            return np.zeros(0, np.int64), 0
-        total, seen = np.zeros(n), np.zeros((n, len(used)), np.float32)
-        lists, column = np.arange(len(used)), np.arange(len(used))[:, None]
-        left, at = np.arange(n), 0
-        while at < n:
-            end = min(n, at + max(1, -(-n // STEPS)))
-            ahead = np.arange(at, end)
-            place = np.where(down[:, None], n - 1 - ahead, ahead)
-            rows = self.order[used[:, None], place]
-            product = self.values[used[:, None], place] * weight[:, None]
-            total += np.bincount(rows.ravel(), product.ravel(), n)
-            seen[rows, column] = 1
-            frontier = product[lists, -1]
-            unread = 1 - seen
-            lower = total + unread @ low.astype(np.float64)
-            upper = total + unread @ frontier
-            bar = max(floor, float(np.partition(lower, n - k)[n - k])) if n > k else floor
-            left = np.flatnonzero(upper + slack >= bar)
-            at = end
-            if len(left) <= k + REST:
-                break
-        return left, at * len(used)
+        self.rows = vectors.astype(float)
+        self.lists = np.sort(self.rows, axis=0)  # a list for each component, smallest first
+        self.read = 0
+
+    def depth(self, n: int) -> tuple[np.ndarray, ...]:
+        """Best and worst values by row and component, read from the large and from the small end, when n entries of each end are read; how many those are, as equal values are read together."""
+        rows, lists = self.rows, self.lists
+        first, last = lists[-n], lists[n - 1]
+        above, below = rows >= first, rows <= last
+        return np.maximum(rows, first), np.minimum(rows, last), np.where(above, rows, lists[0]), np.where(below, rows, lists[-1]), above.sum(axis=0), below.sum(axis=0)
+
+    def best(self, queries: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query (a row) that the block may hold something for: its place, and the rows that may be among the k best and reach its floor, with their scores."""
+        size, width = self.vectors.shape
+        up, down = np.maximum(queries, 0).T.astype(float), np.minimum(queries, 0).T.astype(float)
+        ceiling = self.lists[-1] @ up + self.lists[0] @ down
+        slack = 1e-9 * (np.abs(self.lists).max(axis=0) @ (up - down))
+        active = np.flatnonzero(ceiling + slack >= floor)
+        used = (queries != 0).sum(axis=1)
+        for at, share in enumerate(DEPTHS):
+            if not len(active):
+                return
+            top, low, top_worst, low_worst, n_top, n_low = self.depth(max(1, round(size * share)))
+            ahead = DEPTHS[min(at + 1, len(DEPTHS) - 1)] - share
+            going = []
+            for a in range(0, len(active), AT_ONCE):
+                own = active[a : a + AT_ONCE]
+                high = top @ up[:, own] + low @ down[:, own]
+                bar = floor[own]
+                if size > k:
+                    sure = top_worst @ up[:, own] + low_worst @ down[:, own]
+                    bar = np.maximum(bar, np.partition(sure, size - k, axis=0)[size - k])
+                left = high + slack[own] >= bar
+                count = left.sum(axis=0)
+                done = (count * (1 - share) <= size * ahead) | (share == 1)
+                spent = n_top @ (up[:, own] > 0) + n_low @ (down[:, own] < 0)
+                for c in np.flatnonzero(done):
+                    rows = np.flatnonzero(left[:, c])
+                    self.read += int(spent[c] + len(rows) * max(0.0, used[own[c]] - spent[c] / size))
+                    if len(rows):
+                        yield int(own[c]), rows, self.vectors[rows] @ queries[own[c]]
+                going.append(own[~done])
+            active = np.concatenate(going)
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     lane, queries = None, None
-    best: list[list[tuple[int, int, int]]] = []
+    best: list[tuple[np.ndarray, np.ndarray]] = []  # scores and vec_ids of each query, best first
 
     def out() -> Iterator[pa.RecordBatch]:
         if queries is None:
             return
-        rows = [(int(queries[0][i]), int(queries[1][i]), -s, v) for i, own in enumerate(best) for s, v, _ in own]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["row", "query_id", "score", "vec_id"])
+        sizes = [len(s) for s, _ in best]
+        if sum(sizes):
+            columns = (np.repeat(queries[0], sizes), np.repeat(queries[1], sizes), np.concatenate([s for s, _ in best]), np.concatenate([v for _, v in best]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "score", "vec_id"])
 
     for group in sorted_groups(batches, ["dims", "of", "lane", "block"]):
         group = group.combine_chunks()
@@ -83,21 +95,19 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         vectors = group.column("vector").chunk(0).flatten().to_numpy().reshape(-1, dims)
         if block < 0:
             yield from out()
-            lane, queries, best = (dims, of, own), (rows, ids, vectors), [[] for _ in rows]
+            lane, queries = (dims, of, own), (rows, ids, vectors)
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(rows)
+            floor = np.full(len(rows), -np.inf)
             continue
         if lane != (dims, of, own):
             continue
-        lists = Lists(vectors)
-        for i, query in enumerate(queries[2]):
-            mine = best[i]
-            floor = float(-mine[k - 1][0]) if len(mine) >= k else -np.inf
-            found, _ = lists.best(query, k + 1, floor)  # one more: the query's own row may be among them
-            found = found[rows[found] != queries[0][i]]
-            if len(found):
-                scores = vectors[found] @ query
-                mine += zip((-scores).tolist(), ids[found].tolist(), rows[found].tolist(), strict=True)
-                mine.sort()
-                del mine[k:]
+        for i, found, scores in Lists(vectors).best(queries[2], k + 1, floor):  # one more: the query's own row may be among them
+            other = rows[found] != queries[0][i]
+            scores, names = np.concatenate([best[i][0], scores[other]]), np.concatenate([best[i][1], ids[found[other]]])
+            order = np.lexsort((names, -scores))[:k]
+            best[i] = scores[order], names[order]
+            if len(order) == k:
+                floor[i] = scores[order[-1]]
     yield from out()
 
 
@@ -118,7 +128,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
     n = rows.count()
     asked = F.col("vec_id") % every == 0
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-rows.where(asked).count() // QUERIES))
-    lanes = min(blocks, LANES)
+    lanes = min(-(-blocks // FOLLOWING), LANES)
     deal = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(m)).cast("int")
     held = rows.withColumn("block", deal(blocks, 13)).withColumn("lane", F.col("block") % lanes).withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     queries = rows.where(asked).withColumn("of", deal(parts, 17)).withColumn("block", F.lit(-1)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))

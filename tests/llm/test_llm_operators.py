@@ -149,8 +149,22 @@ def test_lists_stop_early():
     rng = np.random.default_rng(4)
     vectors = np.floor(1024 * rng.normal(0, 0.02, (4000, 4))).astype(np.int64)
     vectors[7] = 900
-    found, read = topk.Lists(vectors).best(np.array([5, 3, 2, 1]), 1, -np.inf)
-    assert 7 in found and read < 0.5 * vectors.size
+    lists = topk.Lists(vectors)
+    ((at, found, scores),) = lists.best(np.array([[5, 3, -2, 1]]), 1, np.full(1, -np.inf))
+    assert at == 0 and scores.max() == (vectors @ [5, 3, -2, 1]).max() and lists.read < 0.5 * vectors.size
+    assert not list(lists.best(np.array([[5, 3, 2, 1]]), 1, np.full(1, 1e6)))
+
+
+def test_bounds_are_sound():
+    rng = np.random.default_rng(5)
+    for scale, width in ((3, 5), (1000, 64)):  # many ties, and none
+        vectors = np.floor(scale * rng.normal(0, 1, (600, width))).astype(np.int64)
+        queries = np.concatenate([vectors[:20], np.zeros((1, width), np.int64)])
+        lists = topk.Lists(vectors)
+        for i, rows, scores in lists.best(queries, 10, np.full(21, -np.inf)):
+            every = vectors @ queries[i]
+            assert set(np.flatnonzero(every >= np.sort(every)[-10])) <= set(rows.tolist()) and (every[rows] == scores).all()
+        assert lists.read < 0.9 * vectors.size * 21
 
 
 # ---- shards
