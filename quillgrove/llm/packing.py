@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from array import array
@@ -24,18 +23,23 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Units(dict):
-    """Ids of units as unsigned 32-bit little-endian bytes. It keeps at most `most` short units."""
+    """Ids of units as unsigned 32-bit little-endian bytes. It keeps at most `most` short units.
 
-    def __init__(self, path: str, pattern: str, most: int = 150_000):
-        import tiktoken
+    Added tokens of the vocabulary file (as <|endoftext|>) are found in a text before its units are.
+    """
+
+    def __init__(self, path: str, most: int = 150_000):
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.most = most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: added tokens that take in what is around them are not known here")
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
 
     def __missing__(self, unit: str) -> bytes:
-        ids = array("I", self.encode(unit)).tobytes()
+        ids = array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
         if len(unit) < 40:
             if len(self) >= self.most:
                 self.clear()
@@ -43,7 +47,10 @@ class Units(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        return b"".join(self.added[x] if k % 2 else b"".join(map(self.__getitem__, UNIT.findall(x))) for k, x in enumerate(parts))
 
 
 _units: dict[str, Units] = {}
@@ -54,16 +61,16 @@ def units(vocabulary: str) -> Units:
     import public_tokenizers
 
     if vocabulary not in _units:
-        _units[vocabulary] = Units(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+        _units[vocabulary] = Units(public_tokenizers.path(vocabulary))
     return _units[vocabulary]
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Token pieces of documents(doc_id, text): doc_id, piece, start, length, ids_crc32.
 
     A document is its ids and then id 0. One of more than `capacity` tokens is cut into pieces of
     `capacity`, the first being what is left over. A null or empty text gives the one piece of id 0.
-    `vocabulary` holds the same ids as byte_bpe_50k.json, as ranks (tests compare the two).
+    Ids are those that `tokenizers` gives for the whole text, added tokens in it included.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +144,7 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int
     return bins
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Packs all documents(doc_id, text) into sequences of at most `capacity` tokens.
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. Every document
@@ -149,7 +156,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.
     a common length is no task of its own, and the number tells bin and place.
     """
     spark = docs.sparkSession
-    made = stored(pieces(docs, capacity, vocabulary), "pieces")
+    made = stored(pieces(docs, capacity, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row.length] = row.n
@@ -177,7 +184,7 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = spread_number(made, "length", ["doc_id", "piece", "ids_crc32"], "rank")
+    ranked = spread_number(made, "length", ["row"], "rank")
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         run, PIECES + ", sequence_id long, offset long"
     )

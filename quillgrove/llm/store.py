@@ -66,13 +66,15 @@ def text_bytes(col: str | Column) -> Column:
 def spread_number(df: DataFrame, group: str, ties: Sequence[str], out: str, cell_rows: int = 256) -> DataFrame:
     """Adds `out`: 0, 1, 2, ... within each value of `group`, without putting a group into one task.
 
-    Rows fall by a hash of `ties` into cells of about `cell_rows` rows. The cells' counts, summed
-    along the group, give each cell its first number; rows are numbered only within their cell.
+    Rows fall by a hash of `ties` into cells of about `cell_rows` rows, or of the square root of the
+    group's rows if that is more: neither a cell nor the cells of a group are much for one task. The
+    cells' counts, summed along the group, give each cell its first number; rows are numbered only
+    within their cell.
     `group` must have few values (shards, lengths); rows that are equal in `ties` are interchangeable.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     dealt = df.join(F.broadcast(sizes), group).withColumn(
-        "_cell", F.pmod(F.xxhash64(F.lit(71), *ties), F.ceil(F.col("_n") / cell_rows))
+        "_cell", F.pmod(F.xxhash64(F.lit(71), *ties), F.ceil(F.col("_n") / F.greatest(F.lit(cell_rows), F.ceil(F.sqrt(F.col("_n").cast("double"))))))
     )
     from pyspark.sql import Window
 
