@@ -9,10 +9,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrove.functions.text import page_range
 from quillgrove.operators.tree import as_json, from_json
 from quillgrove.plans import pipeline
+from quillgrove.plans.lineage import settled
 from quillgrove.sources.adapters import files, markdown_pages, pdf_pages
 
+#: What an index file's nodes are as rows; a file is one tree, whose document is ONE.
+ONE = "0"
 NODES = "doc_id string, node_id string, parent_id string, ordinal int, title string, start_page int, end_page int, summary string"
 
 
@@ -28,9 +32,10 @@ def parser() -> argparse.ArgumentParser:
         source.add_argument("--md")
         verb.add_argument("-o", "--output", default=out)
         verb.add_argument("--max-tokens", type=int, default=16_000)
+        verb.add_argument("--max-concurrency", type=int, default=5, help="model calls under way at a time")
     make.add_argument("--summaries", action="store_true")
     search.add_argument("--index", required=True)
-    search.add_argument("--query", required=True)
+    search.add_argument("-q", "--query", required=True)
     search.add_argument("-o", "--output")
     update.add_argument("--existing", required=True)
     return top
@@ -47,7 +52,7 @@ def pages_of(spark: SparkSession, path: str) -> DataFrame:
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     with open(path, encoding="utf-8") as file:
         held = json.load(file)
-    return spark.createDataFrame([(str(d), *rest) for d, *rest in from_json(held["root"], 0)], NODES), held
+    return spark.createDataFrame(from_json(held["root"], ONE), NODES), held
 
 
 def save(tree: dict, path: str) -> None:
@@ -59,26 +64,34 @@ def main(arguments: Sequence[str] | None = None) -> int:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
     if args.verb == "generate":
-        pages = pages_of(spark, args.pdf or args.md)
-        nodes = pipeline.generate(pages, tokens=args.max_tokens, summarise=args.summaries)
-        save({"root": json.loads(as_json(nodes).first().tree), "total_pages": pages.count()}, args.output)
+        path = args.pdf or args.md
+        pages = settled(pages_of(spark, path))
+        nodes = pipeline.generate(pages, tokens=args.max_tokens, summarise=args.summaries, calls=args.max_concurrency)
+        total = pages.count()
+        save({"root": json.loads(as_json(nodes).first().tree), "total_pages": total, "document_info": path, "version": 0}, args.output)
+        print(f"Pages: {total}\nNodes: {nodes.count()}\nSaved to: {args.output}")
     elif args.verb == "search":
         nodes, _ = load(spark, args.index)
-        asked = spark.createDataFrame([("q", "0", args.query)], "query_id string, doc_id string, query string")
+        asked = spark.createDataFrame([("q", ONE, args.query)], "query_id string, doc_id string, query string")
         answers, found = pipeline.search(asked, nodes)
         row = answers.first()
-        result = {"query": args.query, "answer": row.answer if row else None, "nodes": [r.asDict() for r in found.orderBy("rank").drop("query_id").collect()]}
-        print(json.dumps(result, ensure_ascii=False, indent=2))
+        listed = [r.asDict() for r in found.orderBy("rank").drop("query_id").withColumn("pages", page_range("start_page", "end_page")).collect()]
+        print(f"Query: {args.query}\nAnswer: {row.answer if row else None}")
+        for r in listed:
+            print(f"  {r['rank']}. {r['title']} ({r.pop('pages')})")
         if args.output:
-            save(result, args.output)
+            save({"query": args.query, "answer": row.answer if row else None, "nodes": listed}, args.output)
     else:
         old, held = load(spark, args.existing)
-        pages = pages_of(spark, args.pdf or args.md).withColumn("doc_id", F.lit("0"))
-        trees = spark.createDataFrame([("0", held.get("total_pages") or held["root"]["end_page"], held.get("document_info", ""), held.get("version", 0))], "tree_id string, total_pages int, document_info string, version int")
-        nodes, made = pipeline.update(old.withColumnRenamed("doc_id", "tree_id"), trees, pages, tokens=args.max_tokens)
-        rows = nodes.withColumnRenamed("tree_id", "doc_id").withColumns({"ordinal": F.col("start_page"), "summary": F.lit(None).cast("string")})
+        path = args.pdf or args.md
+        pages = settled(pages_of(spark, path).withColumn("doc_id", F.lit(ONE)))
+        known = (ONE, held.get("total_pages") or held["root"]["end_page"], held.get("document_info") or "", held.get("version") or 0)
+        trees = spark.createDataFrame([known], "tree_id string, total_pages int, document_info string, version int")
+        nodes, made = pipeline.update(old.withColumnRenamed("doc_id", "tree_id"), trees, pages, tokens=args.max_tokens, calls=args.max_concurrency, info=F.lit(path))
+        rows = settled(nodes.withColumnRenamed("tree_id", "doc_id"))
         own = made.first()
-        save({"root": json.loads(as_json(rows, 6).first().tree), "total_pages": own.total_pages, "document_info": own.document_info, "version": own.version}, args.output)
+        save({"root": json.loads(as_json(rows).first().tree), "total_pages": own.total_pages, "document_info": own.document_info, "version": own.version}, args.output)
+        print(f"Pages: {own.total_pages}\nNodes: {rows.count()}\nSaved to: {args.output}")
     return 0
 
 

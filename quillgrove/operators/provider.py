@@ -83,23 +83,35 @@ def scripted(replies: dict[str, str], other: str = "") -> Provider:
 def by_rule(prompt: str) -> str:
     """The offline provider: the task is the prompt's first line, its matter what follows.
 
-    contents: whether at least three lines end in leaders or a number; appears: whether the first
-    line of the matter occurs in the rest; starts: whether the rest begins with it; summary: the
-    first sentence; structure: a node for each heading, or one for the text; items: the headings;
-    search: the nodes that share the most words with the query.
+    contents: whether at least three lines end in leaders or a number; numbered: whether most lines of
+    a contents page end in a number; listed: its items; place: the page that holds each of the items in
+    the first line; appears: whether the first line of the matter occurs in the rest; starts: whether the
+    rest begins with it; summary: the first sentence; summaries: that of each of several nodes;
+    structure: a node for each heading, or one for the text; items: the headings; search: all nodes that
+    share words with the query, those that share the most first.
     """
     task, _, matter = prompt.partition("\n")
     if task == "contents":
         lines = [x for x in matter.split("\n") if re.search(r"(\.{3,}|\s)\d+\s*$", x)]
         return json.dumps({"toc_detected": "yes" if len(lines) >= 3 else "no"})
+    if task in ("numbered", "listed"):
+        items = [m.groups() for x in matter.split("\n") if (m := LISTED.match(x))]
+        if task == "numbered":
+            return json.dumps({"page_index_given_in_toc": "yes" if sum(bool(n) for *_, n in items) * 2 > len(items) else "no"})
+        return json.dumps([{"structure": code, "title": title.strip(), "page": int(n) if n else None} for code, title, n in items], ensure_ascii=False)
+    if task == "place":
+        items, _, text = matter.partition("\n")
+        pages = [(int(n), _flat(body)) for n, body in re.findall(r"【第(\d+)页开始】(.*?)【第\d+页结束】", text, re.S)]
+        at = lambda title: next((n for n, body in pages if title and title in body), None)
+        return json.dumps([{**x, "physical_index": f"<physical_index_{n}>"} for x in json.loads(items) if (n := at(_flat(x.get("title") or ""))) is not None], ensure_ascii=False)
     if task in ("appears", "starts"):
         title, _, text = matter.partition("\n")
-        flat = lambda x: re.sub(r"\W+", "", x).lower()
-        found = flat(text).startswith(flat(title)) if task == "starts" else flat(title) in flat(text)
-        return json.dumps({"answer": "yes" if found and flat(title) else "no"})
+        found = _flat(text).startswith(_flat(title)) if task == "starts" else _flat(title) in _flat(text)
+        return json.dumps({"answer": "yes" if found and _flat(title) else "no"})
     if task == "summary":
-        text = matter.partition("\n")[2] or matter
-        return re.split(r"(?<=[.!?。！？])\s*", text.strip(), maxsplit=1)[0][:200]
+        return _first_sentence(matter.partition("\n")[2] or matter)
+    if task == "summaries":
+        return json.dumps([{"node_id": x["node_id"], "summary": _first_sentence(x["text"])} for x in json.loads(matter)], ensure_ascii=False)
     if task in ("structure", "items"):
         return _structure(matter, task)
     if task == "search":
@@ -109,6 +121,16 @@ def by_rule(prompt: str) -> str:
 
 
 MARK = re.compile(r"【第(\d+)页开始】")
+#: A line of a contents page: code, title and, after leaders, a colon or spaces, a page.
+LISTED = re.compile(r"\s*(\d+(?:\.\d+)*)[.)]?\s+(\S.*?)(?:(?:\s*[:：]\s*|\s*\.{3,}\s*|\s+)(\d+))?\s*$")
+
+
+def _flat(text: str) -> str:
+    return re.sub(r"\W+", "", text).lower()
+
+
+def _first_sentence(text: str) -> str:
+    return re.split(r"(?<=[.!?。！？])\s*", text.strip(), maxsplit=1)[0]
 
 
 def _structure(text: str, task: str) -> str:
@@ -138,7 +160,7 @@ def _search(query: str, tree: str) -> str:
         stack += node.get("children") or []
     found.sort()
     answer = f"See {found[0][3]}." if found else "Nothing was found."
-    return json.dumps({"answer": answer, "node_ids": [x[2] for x in found[:5]]}, ensure_ascii=False)
+    return json.dumps({"answer": answer, "node_ids": [x[2] for x in found]}, ensure_ascii=False)
 
 
 def key(*parts: Column | str) -> Column:
@@ -146,18 +168,31 @@ def key(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(col(p) for p in parts)), 256)
 
 
-def complete(requests: DataFrame, provider: Provider = by_rule, calls: int = 20, prompt: str = "prompt") -> DataFrame:
-    """Adds `reply` and `problem` to requests: one call for each row; a call that fails has its problem, and no reply."""
+def complete(requests: DataFrame, provider: Provider = by_rule, calls: int = 20, prompt: str = "prompt", attempts: int = 5, rate: float | None = None) -> DataFrame:
+    """Adds `reply` and `problem` to requests: one call for each row; a call that fails has its problem, and no reply.
+
+    There are as many partitions as calls may be under way. A call that fails with RetryableError is
+    tried `attempts` times more. `rate` is the calls a second of all partitions together; without one
+    they are not limited.
+    """
     names = requests.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), "reply string", "problem string"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limiter = Limiter(rate / calls) if rate else None
+
+        def limited(text: str) -> str:
+            if limiter:
+                limiter.take()
+            return provider(text)
+
+        ask = with_retries(limited, attempts)
         for frame in frames:
             replies: list[str | None] = []
             problems: list[str | None] = []
             for text in frame[prompt]:
                 try:
-                    replies.append(provider(text))
+                    replies.append(ask(text))
                     problems.append(None)
                 except Exception as problem:  # noqa: BLE001  reported as the row's
                     replies.append(None)
@@ -170,19 +205,25 @@ def complete(requests: DataFrame, provider: Provider = by_rule, calls: int = 20,
 def completed(requests: DataFrame, cache: DataFrame | None = None, provider: Provider = by_rule, now: float | None = None, keep: float = 3600.0, calls: int = 20) -> DataFrame:
     """complete() for requests(key, prompt, ...) that the cache(key, reply, at) doesn't answer; adds `cached`.
 
-    Replies older than `keep` seconds don't count. Equal requests are asked once.
+    Replies older than `keep` seconds don't count; of several the last one does. Equal requests are asked once.
     """
     if cache is None:
         fresh, hits = requests, None
     else:
-        valid = cache if now is None else cache.where(F.col("at") >= F.lit(now - keep))
-        hits = requests.join(valid.select("key", "reply").dropDuplicates(["key"]), "key").withColumns({"problem": F.lit(None).cast("string"), "cached": F.lit(True)})
+        valid = latest(cache if now is None else cache.where(F.col("at") >= F.lit(now - keep)))
+        hits = requests.join(valid.select("key", "reply"), "key").withColumns({"problem": F.lit(None).cast("string"), "cached": F.lit(True)})
         fresh = requests.join(valid.select("key"), "key", "left_anti")
     asked = complete(fresh.select("key", "prompt").dropDuplicates(["key"]), provider, calls).drop("prompt")
     made = fresh.join(asked, "key").withColumn("cached", F.lit(False))
     return made if hits is None else made.unionByName(hits.select(made.columns))
 
 
+def remembered(cache: DataFrame, told: DataFrame, now: float, most: int = 10_000) -> DataFrame:
+    """The cache(key, reply, at) after the replies told(key, reply): used entries are as of now, the oldest beyond `most` go."""
+    used = told.where("reply is not null").select("key", "reply").withColumn("at", F.lit(now)).dropDuplicates(["key"])
+    return pruned(latest(cache.select("key", "reply", "at").unionByName(used)), most)
+
+
 def split(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with `cached`: whether the cache has their key."""
     known = cache.select("key").distinct().withColumn("cached", F.lit(True))

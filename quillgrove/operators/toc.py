@@ -88,7 +88,8 @@ def merge_items(existing: DataFrame, additional: DataFrame) -> DataFrame:
             keep.append(not known)
         return frame[keep][["doc_id", "structure", "title", "list_index", "added"]]
 
-    return own.groupBy("doc_id").applyInPandas(run, "doc_id long, structure string, title string, list_index int, added boolean")
+    kinds = dict(existing.dtypes)
+    return own.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, structure string, title string, list_index {kinds['list_index']}, added boolean")
 
 
 def merge_new_items(existing: DataFrame, additional: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions.text import chapter_number, is_chapter_title, node_id, parent_structure
 from quillgrove.operators.toc import end_pages
+from quillgrove.plans.lineage import settled
 
 ROOT = "Document"
 SPAN = 16
@@ -179,12 +180,35 @@ def looked_up(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("query_id", rank.alias("rank"), "node_id", "title", "start_page", "end_page")
 
 
+def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Nodes with `level` (0 for a root), `top` (the ancestor below the root, or the node itself at level 0 and 1) and `leaf`.
+
+    Trees of any depth: a join for each level that there is. A node that no root leads to is an error.
+    """
+    below = nodes.where("parent_id is not null").select(key, F.col("node_id"), "parent_id")
+    level = settled(nodes.where("parent_id is null").select(key, "node_id", F.lit(0).alias("level"), F.col("node_id").alias("top")))
+    every = level
+    while not level.isEmpty():
+        above = level.select(key, F.col("node_id").alias("parent_id"), "top", "level")
+        top = F.when(F.col("level") == 0, F.col("node_id")).otherwise(F.col("top"))
+        level = settled(below.join(above, [key, "parent_id"]).select(key, "node_id", (F.col("level") + 1).alias("level"), top.alias("top")))
+        every = every.unionByName(level)
+    inner = below.select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    met = settled(nodes.join(every, [key, "node_id"], "left").join(inner, [key, "node_id"], "left"))
+    if not met.where("level is null").isEmpty():
+        raise ValueError("some nodes belong to no root")
+    return met.withColumn("leaf", F.col("inner").isNull()).drop("inner")
+
+
 def appended(nodes: DataFrame, trees: DataFrame, other_nodes: DataFrame, other_trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trees with other trees of the same tree_id behind them: (nodes, trees).
 
-    nodes(tree_id, node_id, parent_id, title, start_page, end_page), trees(tree_id, total_pages,
-    document_info, version). The other tree's pages come after the first one's; both get a new root.
-    A tree without another one stays as it is; one that is new comes as it is.
+    nodes(tree_id, node_id, parent_id, title, start_page, end_page, ...), trees(tree_id, total_pages,
+    document_info, version). The other tree's pages come after the first one's; both get a new root, as
+    its first and second child where nodes have an ordinal, a level deeper where they have a depth. All
+    other columns stay as they are; one that only one side has is null on the other. Where both use a
+    node_id, the other tree's nodes are named anew. A tree without another one stays as it is; one that
+    is new comes as it is.
     """
     pair = trees.join(other_trees.select("tree_id", F.col("total_pages").alias("more"), F.col("document_info").alias("info")), "tree_id", "full_outer")
     both = F.col("total_pages").isNotNull() & F.col("more").isNotNull()
@@ -193,67 +217,77 @@ def appended(nodes: DataFrame, trees: DataFrame, other_nodes: DataFrame, other_t
     version = F.when(F.col("total_pages").isNull(), F.lit(0)).otherwise(F.col("version") + F.when(both, 1).otherwise(0))
     made = pair.select("tree_id", total.cast("int").alias("total_pages"), info.alias("document_info"), version.cast("int").alias("version"), F.coalesce("total_pages", F.lit(0)).alias("offset"), both.alias("both"))
     root = node_id("tree_id", F.lit("combined"), F.col("version"))
-    keep = made.select("tree_id", "offset", "both", root.alias("root"))
-    own = nodes.join(keep, "tree_id").withColumn("parent_id", F.when(F.col("parent_id").isNull() & F.col("both"), F.col("root")).otherwise(F.col("parent_id")))
-    moved = other_nodes.join(keep, "tree_id").withColumn("parent_id", F.when(F.col("parent_id").isNull() & F.col("both"), F.col("root")).otherwise(F.col("parent_id")))
-    for c in ("start_page", "end_page"):
-        moved = moved.withColumn(c, F.col(c) + F.col("offset"))
-    tops = made.where("both").select("tree_id", root.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("Combined Document").alias("title"), F.lit(1).alias("start_page"), F.col("total_pages").alias("end_page"))
-    columns = ["tree_id", "node_id", "parent_id", "title", "start_page", "end_page"]
-    return tops.unionByName(own.select(columns)).unionByName(moved.select(columns)), made.drop("offset", "both")
+    clash = nodes.select("tree_id", "node_id").join(other_nodes.select("tree_id", "node_id"), ["tree_id", "node_id"]).select("tree_id").distinct().withColumn("clash", F.lit(True))
+    keep = made.join(clash, "tree_id", "left").select("tree_id", "offset", "both", "clash", "version", root.alias("root"))
+
+    def under(own: DataFrame, place: int) -> DataFrame:
+        met = own.join(keep, "tree_id")
+        if place == 2:
+            renamed = lambda c: F.when(F.col("clash") & F.col(c).isNotNull(), node_id("tree_id", F.col("version"), F.col(c))).otherwise(F.col(c))
+            met = met.withColumns({"node_id": renamed("node_id"), "parent_id": renamed("parent_id"), "start_page": F.col("start_page") + F.col("offset"), "end_page": F.col("end_page") + F.col("offset")})
+        lifted = F.col("both") & F.col("parent_id").isNull()
+        changes = {"parent_id": F.when(lifted, F.col("root")).otherwise(F.col("parent_id"))}
+        if "ordinal" in own.columns:
+            changes["ordinal"] = F.when(lifted, F.lit(place)).otherwise(F.col("ordinal"))
+        if "depth" in own.columns:
+            changes["depth"] = F.col("depth") + F.when(F.col("both"), 1).otherwise(0)
+        return met.withColumns(changes).select(own.columns)
+
+    tops = made.where("both").select(
+        "tree_id", root.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("Combined Document").alias("title"), F.lit(1).alias("start_page"), F.col("total_pages").alias("end_page"),
+        *(F.lit(v).alias(c) for c, v in (("ordinal", 1), ("depth", 0)) if c in nodes.columns),
+    )
+    return under(nodes, 1).unionByName(under(other_nodes, 2), allowMissingColumns=True).unionByName(tops, allowMissingColumns=True), made.drop("offset", "both")
 
 
 def groups_merged(groups: DataFrame) -> DataFrame:
-    """The trees of page groups as one for each document: (doc_id, node_id, parent_id, ordinal, depth, title, start_page, end_page).
+    """The trees of page groups as one for each document: groups' columns, ordinal and depth.
 
-    groups(doc_id, group_no, node_id, parent_id, title, start_page, end_page): what stands below a
-    group's root, or the root itself if nothing does, comes under one root. A node and all below it
-    end before the next top node begins, even if that is before its own start.
+    groups(doc_id, group_no, node_id, parent_id, title, start_page, end_page, ...), trees of any depth:
+    what stands below a group's root, or the root itself if nothing does, comes under one root. A node
+    and all below it end before the next top node begins, even if that is before its own start. A
+    document of one group keeps its tree. Siblings are in the order of `ordinal` if groups have one, else
+    of pages; columns that only groups have are null for the new root.
     """
-    inner = groups.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
-    marked = groups.join(inner, ["doc_id", "node_id"], "left")
-    roots_ = marked.where("parent_id is null")
+    names = [c for c in groups.columns if c not in ("group_no", "ordinal", "depth")]
+    order = [c for c in ("ordinal", "start_page", "node_id") if c in groups.columns]
     single = groups.where("parent_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_page").alias("low"), F.max("end_page").alias("high"))
-    lifted = marked.join(roots_.where("inner").select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi").unionByName(roots_.where("inner is null"), allowMissingColumns=True)
+    marked = levelled(groups).join(single.select("doc_id", "n"), "doc_id")
+    several = marked.where("n > 1 and not (level = 0 and not leaf)")
     by_start = Window.partitionBy("doc_id").orderBy("start_page", "node_id")
-    tops = lifted.select("doc_id", "node_id", "title", "start_page", "end_page", F.row_number().over(by_start).alias("ordinal"), (F.lead("start_page").over(by_start) - 1).alias("limit"))
-    tops = tops.withColumn("end_page", F.when(F.col("limit").isNull(), F.col("end_page")).otherwise(F.least("end_page", "limit")))
-    below = marked.join(tops.select("doc_id", F.col("node_id").alias("parent_id"), "limit"), ["doc_id", "parent_id"])
-    below = below.withColumn("end_page", F.coalesce(F.least("end_page", F.coalesce("limit", "end_page")), F.col("end_page")))
-    root = single.select("doc_id", node_id("doc_id", F.lit(ROOT)).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.lit(ROOT).alias("title"), F.col("low").alias("start_page"), F.col("high").alias("end_page"))
-    own = tops.select("doc_id", "node_id", node_id("doc_id", F.lit(ROOT)).alias("parent_id"), "ordinal", F.lit(1).alias("depth"), "title", "start_page", "end_page")
-    deep = below.select("doc_id", "node_id", "parent_id", F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("start_page", "node_id")).alias("ordinal"), F.lit(2).alias("depth"), "title", "start_page", "end_page")
-    return root.unionByName(own).unionByName(deep)
+    tops = several.where("node_id = top").select("doc_id", "top", F.row_number().over(by_start).alias("nth"), (F.lead("start_page").over(by_start) - 1).alias("limit"))
+    met = several.join(tops, ["doc_id", "top"])
+    is_top = F.col("node_id") == F.col("top")
+    beside = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy(*order))
+    new_root = node_id("doc_id", F.lit(ROOT))
+    own = met.withColumns({
+        "ordinal": F.when(is_top, F.col("nth")).otherwise(beside), "depth": F.when(is_top, F.lit(1)).otherwise(F.col("level")),
+        "parent_id": F.when(is_top, new_root).otherwise(F.col("parent_id")), "end_page": F.least("end_page", F.coalesce("limit", "end_page")),
+    })
+    alone = marked.where("n = 1").withColumns({"ordinal": beside, "depth": F.col("level")})
+    root = single.where("n > 1").select("doc_id", new_root.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.lit(ROOT).alias("title"), F.col("low").alias("start_page"), F.col("high").alias("end_page"))
+    columns = [*names, "ordinal", "depth"]
+    return own.select(columns).unionByName(alone.select(columns)).unionByName(root, allowMissingColumns=True)
 
 
-def as_json(nodes: DataFrame, levels: int = 4) -> DataFrame:
+def as_json(nodes: DataFrame) -> DataFrame:
     """(doc_id, tree): each tree as JSON, children in order, without empty fields.
 
     nodes: (doc_id, node_id, parent_id, ordinal, title, start_page, end_page, summary). Levels are put
-    together from the lowest one up.
+    together from the lowest one up, as many as there are.
     """
-    fields = lambda: [F.col(c) for c in ("node_id", "title", "start_page", "end_page", "summary")]
-    level = nodes.where("parent_id is null").select("doc_id", "node_id", F.lit(0).alias("level"))
-    every = level
-    for k in range(1, levels):
-        level = nodes.join(level.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"]).select("doc_id", "node_id", F.lit(k).alias("level"))
-        every = every.unionByName(level)
-    own = nodes.join(every, ["doc_id", "node_id"])
+    fields = [F.col(c) for c in ("node_id", "title", "start_page", "end_page", "summary")]
+    own = levelled(nodes)
+    deepest = own.agg(F.max("level")).first()[0] or 0
     below: DataFrame | None = None
-    for k in reversed(range(levels)):
+    for k in range(deepest, -1, -1):
         rows = own.where(F.col("level") == k)
-        if below is None:
-            rows = rows.withColumn("children", F.lit(None).cast("array<string>"))
-        else:
-            rows = rows.join(below, ["doc_id", "node_id"], "left")
-        head = F.to_json(F.struct(*fields()))
+        rows = rows.withColumn("children", F.lit(None).cast("array<string>")) if below is None else rows.join(below, ["doc_id", "node_id"], "left")
         children = F.concat(F.lit(',"children":['), F.array_join("children", ","), F.lit("]}"))
-        text = F.when(F.col("children").isNull(), head).otherwise(F.concat(F.expr("substring(h, 1, length(h) - 1)"), children))
-        rows = rows.withColumn("h", head).withColumn("tree", text)
+        rows = rows.withColumn("h", F.to_json(F.struct(*fields)))
+        rows = rows.withColumn("tree", F.when(F.col("children").isNull(), F.col("h")).otherwise(F.concat(F.expr("substring(h, 1, length(h) - 1)"), children)))
         below = rows.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "tree"))), lambda c: c["tree"]).alias("children"))
-        if k == 0:
-            return rows.select("doc_id", "tree")
-    raise ValueError("levels must be positive")
+    return rows.select("doc_id", "tree")
 
 
 def from_json(trees: dict | str, doc_id: int) -> list[tuple]:

@@ -160,12 +160,13 @@ def tree_merge_versions(spark, sf):
     return tree.appended(*_tree_of(spark, sf, 1), *_tree_of(spark, sf, 0))[1]
 
 
-@query(f"""with {TREE}, g as (select * from nodes), tops as (select *, lead(start_page) over (partition by doc_id order by start_page, node_id) - 1 as lim, row_number() over (partition by doc_id order by start_page, node_id)::int as o
-    from g where contains(structure, '.'))
-    select doc_id, 0 as depth, 1 as ordinal, 'Document' as title, min(start_page) as start_page, max(end_page) as end_page from g where not contains(structure, '.') group by doc_id
-    union all select doc_id, 1, o, title, start_page, case when lim is null then end_page else least(end_page, lim) end from tops""")
+@query(f"""with {TREE}, n as (select doc_id, count(*) as groups from nodes where not contains(structure, '.') group by doc_id), g as (select * from nodes join n using (doc_id)),
+    tops as (select *, lead(start_page) over (partition by doc_id order by start_page, node_id) - 1 as lim, row_number() over (partition by doc_id order by start_page, node_id)::int as o from g where contains(structure, '.') and groups > 1)
+    select doc_id, 0 as depth, 1 as ordinal, 'Document' as title, min(start_page) as start_page, max(end_page) as end_page from g where not contains(structure, '.') and groups > 1 group by doc_id
+    union all select doc_id, 1, o, title, start_page, case when lim is null then end_page else least(end_page, lim) end from tops
+    union all select doc_id, depth - 1, row_number() over (partition by doc_id, parent_id order by ordinal)::int, title, start_page, end_page from g where groups = 1""")
 def tree_group_merge(spark, sf):
-    groups = settled(nodes(spark, sf).select("doc_id", "node_id", "parent_id", "title", "start_page", "end_page"))
+    groups = settled(nodes(spark, sf).select("doc_id", "node_id", "parent_id", "ordinal", "title", "start_page", "end_page"))
     return tree.groups_merged(groups).select("doc_id", "depth", "ordinal", "title", "start_page", "end_page")
 
 
@@ -370,7 +371,11 @@ def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
     return own.where("half = 0").drop("half"), own.where("half = 1").drop("half")
 
 
-@query()
+@query(f"""with recursive {TOC}, h as (select * from toc), u as ({UNIQUE}), q as (select doc_id, structure, title, list_index, l_partkey % 2 = 1 as added, row_number() over (partition by doc_id order by l_partkey % 2, list_index) as k from u),
+    w as (select q.*, [structure] as codes, case when trim(title) <> '' then [trim(title)] else []::varchar[] end as names, true as keep from q where k = 1
+      union all select q.*, list_append(w.codes, q.structure), case when trim(q.title) <> '' and not (q.added and (list_contains(w.codes, q.structure) or list_contains(w.names, trim(q.title)))) then list_append(w.names, trim(q.title)) else w.names end,
+        not (q.added and (list_contains(w.codes, q.structure) or (trim(q.title) <> '' and list_contains(w.names, trim(q.title))))) from w join q on q.doc_id = w.doc_id and q.k = w.k + 1)
+    select doc_id, structure, title, list_index, added from w where keep""")
 def merge_items_dedup(spark, sf):
     return toc.merge_items(*_halves(spark, sf))
 
@@ -583,16 +588,25 @@ def summary_batches(spark, sf):
     return summaries.summary_batches(own)
 
 
-@query()
+@query(f"with {TOC}, c as (select doc_id, count(*) as n from toc where list_index < 300 group by doc_id) select doc_id, 0 as page from c where n >= 3")
 def contents_detection(spark, sf):
-    return pipeline.contents_pages(adapters.conversation_pages(spark, sf))
+    """Of each customer a contents page of the first two chapters, then one of plain words."""
+    line = F.concat_ws(" ", "structure", "title", F.lit("....."), F.col("physical_index").cast("string"))
+    contents = items(spark, sf).where("list_index < 300").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    two = contents.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("page_number"), "text"), F.struct(F.lit(2).alias("page_number"), F.lit("Plain words.").alias("text")))).alias("p")).select("doc_id", "p.*")
+    return pipeline.contents_pages(two)
 
 
-@query()
+FLAT = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
+
+@query(f"""with {CONV}, i as (select doc_id, page_number as list_index, substr(text, 1, 12) as title, (page_number + doc_id % 2)::int as physical_index from pages)
+    select i.doc_id, list_index, title, physical_index, coalesce({FLAT.format('title')} <> '' and contains({FLAT.format('text')}, {FLAT.format('title')}), false) as appears
+    from i left join pages p on p.doc_id = i.doc_id and p.page_number = i.physical_index""")
 def title_appearance(spark, sf):
     pages = adapters.conversation_pages(spark, sf)
     own = pages.select("doc_id", F.col("page_number").alias("list_index"), F.substring("text", 1, 12).alias("title"), (F.col("page_number") + F.col("doc_id") % 2).cast("int").alias("physical_index"))
-    return pipeline.verified(own, pages)
+    return pipeline.verified(own, pages).select("doc_id", "list_index", "title", "physical_index", "appears")
 
 
 @query()

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
 
-    Model replies are asked for once, and the plan stays small. Where the session names no folder
-    (local runs), a temporary one is set.
+    Model replies are asked for once, and the plan stays small. Only a local session that names no
+    folder gets a temporary one; on a cluster, whose executors would not see it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="quillgrove-"))
     return df.checkpoint()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrove.functions.jsonrepair import lenient_json, strict_json
-from quillgrove.functions.text import clean_title, language, node_id, normalize_structure, page_tags, physical_index, script_counts
+from quillgrove.functions.text import clean_title, dots_to_colon, language, node_id, normalize_structure, page_tags, physical_index, script_counts
 from quillgrove.operators import grouping, summaries, toc, tree
 from quillgrove.operators.provider import Provider, by_rule, complete, completed, key
 from quillgrove.plans.lineage import settled
@@ -19,30 +19,86 @@ def languages(pages: DataFrame) -> DataFrame:
     return grouping.full_text(pages).select("doc_id", language(script_counts("text", SAMPLE_CHARACTERS)).alias("language"))
 
 
-def contents_pages(pages: DataFrame, provider: Provider = by_rule, limit: int = SAMPLE_PAGES) -> DataFrame:
-    """(doc_id, page) of the first run of contents pages; what the model can't be asked has no verdict."""
-    asked = pages.withColumn("page", F.col("page_number") - 1).withColumn("prompt", F.concat(F.lit("contents\n"), F.col("text")))
-    told = complete(asked.select("doc_id", "page", "prompt"), provider)
-    verdict = F.lower(F.get_json_object(lenient_json("reply"), "$.toc_detected")) == "yes"
-    return toc.toc_run(told.select("doc_id", "page", F.when(F.col("problem").isNull(), F.coalesce(verdict, F.lit(False))).alias("is_toc")), limit)
+def contents_pages(pages: DataFrame, provider: Provider = by_rule, limit: int = SAMPLE_PAGES, calls: int = 20) -> DataFrame:
+    """(doc_id, page) of the first run of contents pages; what the model can't be asked has no verdict.
 
+    The first `limit` pages are asked about; the others only where the run reaches that far.
+    """
 
-def contents_text(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text) of the contents pages, with their leaders as colons. Pages that don't exist are left out."""
-    from quillgrove.functions.text import dots_to_colon
+    def verdicts(own: DataFrame) -> DataFrame:
+        asked = own.withColumn("prompt", F.concat(F.lit("contents\n"), F.col("text")))
+        told = complete(asked.select("doc_id", "page", "prompt"), provider, calls)
+        verdict = F.lower(F.get_json_object(lenient_json("reply"), "$.toc_detected")) == "yes"
+        return settled(told.select("doc_id", "page", F.when(F.col("problem").isNull(), F.coalesce(verdict, F.lit(False))).alias("is_toc")))
+
+    placed = pages.select("doc_id", (F.col("page_number") - 1).alias("page"), "text")
+    first = verdicts(placed.where(F.col("page") < limit))
+    reaching = settled(toc.toc_run(first, limit).where(F.col("page") == limit - 1).select("doc_id"))
+    if not reaching.isEmpty():
+        first = first.unionByName(verdicts(placed.where(F.col("page") >= limit).join(reaching, "doc_id", "left_semi")))
+    return toc.toc_run(first, limit)
 
+
+def contents_text(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, last, text) of the contents pages and the number of the last one, with leaders as colons. Pages that don't exist are left out."""
     met = pages.join(found.select("doc_id", (F.col("page") + 1).alias("page_number")), ["doc_id", "page_number"])
     listed = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    return met.groupBy("doc_id").agg(dots_to_colon(F.array_join(F.transform(listed, lambda p: p["text"]), "\n")).alias("text"))
+    return met.groupBy("doc_id").agg(F.max("page_number").alias("last"), dots_to_colon(F.array_join(F.transform(listed, lambda p: p["text"]), "\n")).alias("text"))
+
+
+def contents_modes(contents: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
+    """(doc_id, mode): whether a document's contents pages give page numbers."""
+    told = complete(contents.select("doc_id", F.concat(F.lit("numbered\n"), F.col("text")).alias("prompt")), provider, calls)
+    given = F.lower(F.get_json_object(lenient_json("reply"), "$.page_index_given_in_toc")) == "yes"
+    return told.select("doc_id", F.when(given, "numbered").otherwise("unnumbered").alias("mode"))
+
+
+def contents_items(contents: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
+    """(doc_id, list_index, structure, title, page) that contents pages list."""
+    told = settled(complete(contents.select("doc_id", F.concat(F.lit("listed\n"), F.col("text")).alias("prompt")), provider, calls))
+    rows = toc.parse_items(told.select("doc_id", lenient_json("reply").alias("json")), "structure string, title string, page string")
+    return rows.select("doc_id", "list_index", normalize_structure("structure").alias("structure"), clean_title("title").alias("title"), F.col("page").try_cast("int").alias("page"))
 
 
-def items_of(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000) -> DataFrame:
+def placed_items(items: DataFrame, texts: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
+    """(doc_id, title, physical_index): the first page of texts(doc_id, part, text), tagged ones, that the model finds an item on."""
+    listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("list_index", "structure", "title"))), lambda x: F.struct(x["structure"].alias("structure"), x["title"].alias("title"))))
+    asked = texts.join(items.groupBy("doc_id").agg(listed.alias("items")), "doc_id").select("doc_id", "part", F.concat(F.lit("place\n"), F.col("items"), F.lit("\n"), F.col("text")).alias("prompt"))
+    told = settled(complete(asked, provider, calls))
+    rows = toc.parse_items(told.select("doc_id", "part", lenient_json("reply").alias("json")))
+    return rows.withColumn("at", physical_index("physical_index")).where("at > 0").groupBy("doc_id", "title").agg(F.min("at").alias("physical_index"))
+
+
+def numbered_items(pages: DataFrame, contents: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
+    """Items of contents pages with page numbers: where some of them are found in the pages after gives the offset of all."""
+    items = settled(contents_items(contents, provider, calls))
+    after = pages.join(contents.select("doc_id", "last"), "doc_id").where(F.col("page_number").between(F.col("last") + 1, F.col("last") + 1 + SAMPLE_PAGES))
+    listed = F.array_sort(F.collect_list(F.struct("page_number", page_tags("text", "page_number").alias("t"))))
+    texts = after.groupBy("doc_id").agg(F.lit(1).alias("part"), F.array_join(F.transform(listed, lambda p: p["t"]), "").alias("text"))
+    found = items.join(placed_items(items, texts, provider, calls), ["doc_id", "title"])
+    total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_in_all"))
+    pairs = settled(toc.title_pairs(found.select("doc_id", "title", "list_index", "physical_index"), items))
+    offsets = settled(toc.page_offsets(pairs, pages.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1).select("doc_id", "page_offset").join(total, "doc_id"))
+    met = items.join(offsets, "doc_id").withColumn("physical_index", F.col("page") + F.col("page_offset"))
+    return met.select("doc_id", "structure", "title", "list_index", "page", F.when(F.col("physical_index") > 0, F.col("physical_index")).alias("physical_index"))
+
+
+def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
+    """Items of contents pages without page numbers: each is looked for in the groups of the pages after."""
+    items = settled(contents_items(contents, provider, calls))
+    after = pages.join(contents.select("doc_id", "last"), "doc_id").where("page_number > last").drop("last")
+    texts = grouping.balanced_groups(after, tokens).select("doc_id", F.col("group_no").alias("part"), "text")
+    met = items.join(placed_items(items, texts, provider, calls), ["doc_id", "title"], "left")
+    return met.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
+
+
+def items_of(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
     """Contents items (doc_id, structure, title, list_index, page, physical_index) that a model finds in the text.
 
     A document's text is asked for in groups of pages; what later groups add is merged in order.
     """
     groups = grouping.balanced_groups(pages, tokens)
-    told = settled(complete(groups.select("doc_id", "group_no", F.concat(F.lit("items\n"), F.col("text")).alias("prompt")), provider))
+    told = settled(complete(groups.select("doc_id", "group_no", F.concat(F.lit("items\n"), F.col("text")).alias("prompt")), provider, calls))
     shape = "array<struct<structure: string, title: string, physical_index: string>>"
     rows = told.select("doc_id", "group_no", F.posexplode(F.from_json(lenient_json("reply"), shape)).alias("pos", "i"))
     rows = rows.select("doc_id", "group_no", (F.col("group_no") * 100_000 + F.col("pos")).cast("int").alias("list_index"), normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), physical_index("i.physical_index").alias("physical_index"))
@@ -73,20 +129,51 @@ def repaired(items: DataFrame, pages: DataFrame, provider: Provider = by_rule) -
     return items.join(found, ["doc_id", "list_index"], "left").withColumn("physical_index", F.coalesce("found", "physical_index")).withColumn("appears", F.col("appears") | F.col("found").isNotNull()).drop("found")
 
 
-def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None) -> DataFrame:
+def headed_items(items: DataFrame, pages: DataFrame, last: DataFrame) -> DataFrame:
+    """Valid items within their document's pages, with the headings of its pages, and total_pages."""
+    own = toc.valid_items(items).join(last, "doc_id")
+    own = own.withColumn("physical_index", toc.clamp(F.coalesce("physical_index", "page"), "total_pages"))
+    return settled(toc.upsert_headings(own.drop("total_pages"), pages.join(own.select("doc_id").distinct(), "doc_id", "left_semi")).join(last, "doc_id"))
+
+
+def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False) -> DataFrame:
     """nodes(doc_id, node_id, parent_id, ordinal, depth, structure, title, start_page, end_page, summary) of pages.
 
-    With `verify`, titles are looked for on their pages: documents of which a third or more are right
-    are repaired, those with fewer get a node for each page. So do documents without any item.
+    Items come from contents pages with page numbers, else from contents pages without, else from the
+    text. A document for which a way gives nothing goes on to the next one. So does, with `verify`, one
+    with fewer than three tenths of its titles on their pages; wrong ones of the others are looked for
+    again. Documents that no way serves get a node for each page.
     """
-    last = pages.groupBy("doc_id").agg(F.max("page_number").alias("total_pages"))
-    items = toc.valid_items(items_of(pages, provider, tokens)).join(last, "doc_id")
-    items = items.withColumn("physical_index", toc.clamp(F.coalesce("physical_index", "page"), "total_pages"))
-    items = settled(toc.upsert_headings(items.drop("total_pages"), pages).join(last, "doc_id"))
-    if verify:
-        told = settled(verified(items, pages, provider))
-        routes = toc.accuracy(told).select("doc_id", "route")
-        items = settled(repaired(told, pages, provider).join(routes.where("route <> 'fallback'"), "doc_id", "left_semi").drop("appears"))
+    last = settled(pages.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")))
+    contents = settled(contents_text(pages, contents_pages(pages, provider, calls=calls)))
+    modes = settled(contents_modes(contents, provider, calls))
+    ways = {
+        "numbered": lambda own: numbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), provider, calls),
+        "unnumbered": lambda own: unnumbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), provider, tokens, calls),
+        "text": lambda own: items_of(own, provider, tokens, calls),
+    }
+    done: list[DataFrame] = []
+    waiting = last.join(modes, "doc_id", "left").select("doc_id", F.coalesce("mode", F.lit("text")).alias("mode"))
+    tried: list[str] = []
+    for mode, way in ways.items():
+        tried.append(mode)
+        asked = waiting.where(F.col("mode").isin(tried))
+        for made in done:
+            asked = asked.join(made.select("doc_id").distinct(), "doc_id", "left_anti")
+        asked = settled(asked.select("doc_id"))
+        if asked.isEmpty():
+            continue
+        own = pages.join(asked, "doc_id", "left_semi")
+        items = headed_items(way(own), own, last)
+        if verify:
+            told = settled(verified(items, own, provider))
+            routes = toc.accuracy(told).select("doc_id", "route")
+            items = settled(repaired(told, own, provider).join(routes.where("route <> 'fallback'"), "doc_id", "left_semi").drop("appears"))
+        done.append(items)
+    columns = ["doc_id", "structure", "title", "list_index", "page", "physical_index", "total_pages"]
+    items = done[0].select(columns) if done else last.limit(0).select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in zip(columns[1:], ("string", "string", "int", "int", "int", "int"), strict=True)))
+    for made in done[1:]:
+        items = items.unionByName(made.select(columns))
     plain = pages.join(items, "doc_id", "left_anti")
     chinese = languages(plain).select("doc_id", (F.col("language.code") == "zh").alias("chinese"))
     rest = toc.fallback_items(plain.join(chinese, "doc_id"), F.col("chinese")).withColumn("list_index", F.lit(None).cast("int")).join(last, "doc_id")
@@ -104,17 +191,17 @@ def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_00
     )
     own = nodes.withColumn("parent_id", F.coalesce("parent_id", node_id("doc_id", F.lit(tree.ROOT)))).select(root.columns)
     out = settled(root.unionByName(own).withColumn("summary", F.lit(None).cast("string")))
-    return settled(summaries.summarised(out, pages, provider, cache)) if summarise else out
+    return settled(summaries.summarised(out, pages, provider, cache, calls, batched)) if summarise else out
 
 
-def grouped_trees(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000) -> DataFrame:
+def grouped_trees(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
     """nodes of documents by page groups: the model's structure of each group, and all of them merged."""
     groups = grouping.greedy_groups(pages, tokens)
     tagged = pages.withColumn("tagged", page_tags("text", "page_number"))
     met = groups.select("doc_id", "group_no", "start_page", "end_page").join(tagged, "doc_id").where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "tagged"))), lambda p: p["tagged"]), "")
     asked = met.groupBy("doc_id", "group_no", "start_page", "end_page").agg(F.concat(F.lit("structure\n"), text).alias("prompt"))
-    told = settled(complete(asked, provider))
+    told = settled(complete(asked, provider, calls))
     shape = "struct<title: string, children: array<struct<title: string, physical_index: int>>>"
     parsed = told.withColumn("t", F.from_json(strict_json("reply"), shape))
     root_id = node_id("doc_id", "group_no")
@@ -129,12 +216,13 @@ def grouped_trees(pages: DataFrame, provider: Provider = by_rule, tokens: int =
     return settled(tree.groups_merged(settled(roots.unionByName(children))))
 
 
-def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000) -> tuple[DataFrame, DataFrame]:
-    """Trees with new documents behind them; pages.doc_id names the tree. See tree.appended."""
-    new = grouped_trees(pages, provider, tokens).withColumnRenamed("doc_id", "tree_id")
+def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20, info: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trees with new documents behind them; pages.doc_id names the tree, `info` the new document. See tree.appended."""
+    new = grouped_trees(pages, provider, tokens, calls).withColumnRenamed("doc_id", "tree_id")
+    new = new.select([c for c in new.columns if c in nodes.columns])
     counts = pages.groupBy(F.col("doc_id").alias("tree_id")).agg(F.count(F.lit(1)).cast("int").alias("total_pages"))
-    made = counts.withColumns({"document_info": F.concat(F.lit("document "), F.col("tree_id").cast("string")), "version": F.lit(0)})
-    return tree.appended(nodes, trees, new, made)
+    about = F.concat(F.lit("document "), F.col("tree_id").cast("string")) if info is None else info
+    return tree.appended(nodes, trees, new, counts.withColumns({"document_info": about, "version": F.lit(0)}))
 
 
 def search(queries: DataFrame, nodes: DataFrame, provider: Provider = by_rule, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
