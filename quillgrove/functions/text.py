@@ -6,7 +6,7 @@ Lengths that the data model gives in bytes use octet_length, those in characters
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of any script, and what a title or page may keep, as regular expression classes.
@@ -164,12 +164,18 @@ SKIPPED = r"[\p{P}\p{S}\p{Z}\s\x{85}]"
 DISPLAY = {"zh": "Chinese (中文)", "en": "English", "ja": "Japanese (日本語)", "ko": "Korean (한국어)"}
 
 
-def script_counts(text: Column | str, sample: int = 2000) -> Column:
-    """Characters of each script, and in all, among the first `sample`, less white space, punctuation and symbols."""
-    seen = F.regexp_replace(F.substring(F.coalesce(col(text), F.lit("")), 1, sample), SKIPPED, "")
+def script_counts(text: Column | str, sample: int | None = None) -> Column:
+    """Characters of each script, and in all, less white space, punctuation and symbols; of the whole text, or its first `sample` characters."""
+    whole = F.coalesce(col(text), F.lit(""))
+    seen = F.regexp_replace(whole if sample is None else F.substring(whole, 1, sample), SKIPPED, "")
     return F.struct(F.length(seen).alias("total"), *(F.regexp_count(seen, F.lit(f"[{ranges}]")).alias(name) for name, (ranges, _, _) in SCRIPTS.items()))
 
 
+def with_scripts(texts: DataFrame, text: Column | str = "text", sample: int | None = None) -> DataFrame:
+    """texts with their script_counts() as `scripts`. They are generated, so that what reads several of them counts once."""
+    return texts.withColumn("scripts", F.explode(F.array(script_counts(text, sample))))
+
+
 def language(counts: Column | str) -> Column:
     """code, name, script and confidence from script_counts(); ties go to the script that is listed first.
 

@@ -137,8 +137,14 @@ def tree_page_fallback(spark, sf):
     return toc.fallback_items(pages, F.col("doc_id") % 2 == 0)
 
 
-def _tree_of(spark, sf, odd: int) -> tuple[DataFrame, DataFrame]:
-    own = nodes(spark, sf).where(F.col("structure").like("%.%") == F.lit(False)).where((F.length("structure") % 2) == odd)
+def _trees_of(spark, sf) -> list[DataFrame]:
+    """Trees of a customer's chapters with codes of an odd length, then of an even one: nodes and trees of each."""
+    every = settled(nodes(spark, sf))
+    return [x for odd in (1, 0) for x in _tree_of(every, odd)]
+
+
+def _tree_of(every: DataFrame, odd: int) -> tuple[DataFrame, DataFrame]:
+    own = every.where(F.col("structure").like("%.%") == F.lit(False)).where((F.length("structure") % 2) == odd)
     own = own.select(F.col("doc_id").alias("tree_id"), "node_id", F.lit(None).cast("string").alias("parent_id"), "title", "start_page", "end_page")
     trees = own.groupBy("tree_id").agg(F.max("end_page").alias("total_pages")).withColumns({"document_info": F.concat(F.lit(f"part {odd} of "), F.col("tree_id").cast("string")), "version": F.lit(0)})
     return own, trees
@@ -149,7 +155,7 @@ def _tree_of(spark, sf, odd: int) -> tuple[DataFrame, DataFrame]:
     select tree_id, title, case when odd = 0 then start_page + coalesce(a, 0) else start_page end as start_page, case when odd = 0 then end_page + coalesce(a, 0) else end_page end as end_page from own join t using (tree_id)
     union all select tree_id, 'Combined Document', 1, a + b from t where a is not null and b is not null""")
 def tree_merge_offset(spark, sf):
-    return tree.appended(*_tree_of(spark, sf, 1), *_tree_of(spark, sf, 0))[0].select("tree_id", "title", "start_page", "end_page")
+    return tree.appended(*_trees_of(spark, sf))[0].select("tree_id", "title", "start_page", "end_page")
 
 
 @query(f"""with {TREE}, own as (select doc_id as tree_id, end_page, length(structure) % 2 as odd from nodes where not contains(structure, '.')),
@@ -157,7 +163,7 @@ def tree_merge_offset(spark, sf):
     select tree_id, coalesce(a, 0) + coalesce(b, 0) as total_pages, case when a is not null and b is not null then 'Combined document: part 1 of ' || tree_id || ' + part 0 of ' || tree_id
     when a is null then 'part 0 of ' || tree_id else 'part 1 of ' || tree_id end as document_info, (a is not null and b is not null)::int as version from t""")
 def tree_merge_versions(spark, sf):
-    return tree.appended(*_tree_of(spark, sf, 1), *_tree_of(spark, sf, 0))[1]
+    return tree.appended(*_trees_of(spark, sf))[1]
 
 
 @query(f"""with {TREE}, n as (select doc_id, count(*) as groups from nodes where not contains(structure, '.') group by doc_id), g as (select * from nodes join n using (doc_id)),
@@ -190,7 +196,7 @@ RANGES = [(k, a, b) for k, (a, b) in enumerate([(1, 3), (6, 10), (25, 30), (48,
 
 @query(f"with {TREE}, {values('r', RANGES, 'range_id, first_page, last_page')} select doc_id, structure, start_page, end_page, range_id from nodes, r where doc_id % 7 = range_id and start_page <= last_page and end_page >= first_page")
 def nodes_overlapping_pages(spark, sf):
-    own = nodes(spark, sf)
+    own = settled(nodes(spark, sf))
     ranges = literal(spark, RANGES, "range_id int, first_page int, last_page int")
     asked = own.select("doc_id").distinct().withColumn("range_id", (F.col("doc_id") % 7).cast("int")).join(F.broadcast(ranges), "range_id")
     return tree.overlapping(own, asked).select("doc_id", "structure", "start_page", "end_page", "range_id")
@@ -209,7 +215,7 @@ def node_text(spark, sf):
     m as (select query_id, pos, n.* from w join nodes n on n.doc_id = w.doc_id and n.node_id = substr(sha256(t), 1, 16))
     select query_id, row_number() over (partition by query_id order by pos)::int as rank, node_id, title, start_page, end_page from m""")
 def node_lookup_ordered(spark, sf):
-    own = nodes(spark, sf)
+    own = settled(nodes(spark, sf))
     ids = F.array(*(text.node_id("doc_id", F.lit(code)) for code in ("2.1", "none", "1", "2.1")))
     wanted = own.select("doc_id").distinct().select(F.col("doc_id").alias("query_id"), "doc_id", ids.alias("node_ids"))
     return tree.looked_up(wanted, own)
@@ -493,14 +499,14 @@ scalar("batch_limits", MODELS, "model string", f"{LIMIT} as context, greatest(10
 scalar("optimal_batch", [(3, 5000), (5, 10), (6, 60000), (100, 100000), (1000, 100000), (200, 9000000)], "nodes int, total int", "case when nodes <= 5 then nodes else greatest(5, least(50, nodes // 10)) end::int as size, case when nodes <= 5 then 100000 else greatest(10000, least(100000, (total // nodes) * greatest(5, least(50, nodes // 10)))) end::int as tokens", lambda: tokens.batch_plan("nodes", "total")["size"].alias("size"), lambda: tokens.batch_plan("nodes", "total")["tokens"].alias("tokens"))
 scalar("backoff_schedule", [(k,) for k in range(8)], "attempt int", "least(pow(2, attempt), 32)::double as seconds", lambda: tokens.retry_delay("attempt").alias("seconds"))
 SPOKEN = ["你好，世界。这是一个测试", "Hello, world 123", "안녕하세요 세계", "これは日本語のテストです", "漢字かな", "Привет, мир", "مرحبا بالعالم", "नमस्ते", "สวัสดี", "", "12345 !!", "mostly Latin 中文", "×÷^_"]
-CLASS = "regexp_replace(substr({0}, 1, 2000), '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s\\x{{85}}]', '', 'g')"
+CLASS = "regexp_replace({0}, '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s\\x{{85}}]', '', 'g')"
 RE2 = {name: ranges for name, (ranges, _, _) in text.SCRIPTS.items()}
 COUNTS = ", ".join(f"(length(s) - length(regexp_replace(s, '[{ranges}]', '', 'g')))::int as {name}" for name, ranges in RE2.items())
 
 
 @query(f"with s as (select doc_id, {CLASS.format('text')} as s from documents) select doc_id, length(s)::int as total, {COUNTS} from s")
 def script_histogram(spark, sf):
-    return adapters.table(spark, sf, "documents").select("doc_id", text.script_counts("text").alias("c")).select("doc_id", "c.*")
+    return text.with_scripts(adapters.table(spark, sf, "documents")).select("doc_id", "scripts.*")
 
 
 BEST = "greatest(Han, Hangul, Hiragana, Katakana, Cyrillic, Arabic, Devanagari, Thai, Latin)"
@@ -511,13 +517,13 @@ SURE = f"case when total = 0 or {BEST} = 0 then 0.0::double when {LANGUAGE} = 'e
 
 @query(f"with s as (select doc_id, {CLASS.format('text')} as s from documents), c as (select doc_id, length(s)::int as total, {COUNTS} from s) select doc_id, {LANGUAGE} as code, round({SURE}, 9) as confidence from c")
 def detect_language(spark, sf):
-    found = adapters.table(spark, sf, "documents").select("doc_id", text.language(text.script_counts("text")).alias("l"))
+    found = text.with_scripts(adapters.table(spark, sf, "documents")).select("doc_id", text.language("scripts").alias("l"))
     return found.select("doc_id", "l.code", F.round("l.confidence", 9).alias("confidence"))
 
 
 @query(f"with {values('v', [(x,) for x in SPOKEN], 'text')}, s as (select text, {CLASS.format('text')} as s from v), c as (select text, length(s)::int as total, {COUNTS} from s) select text, {LANGUAGE} as code, round({SURE}, 9) as confidence, case {LANGUAGE} when 'zh' then 'Chinese (中文)' when 'ja' then 'Japanese (日本語)' when 'ko' then 'Korean (한국어)' when 'ru' then 'Russian' when 'ar' then 'Arabic' when 'hi' then 'Hindi' when 'th' then 'Thai' else 'English' end as shown from c")
 def detect_language_scripts(spark, sf):
-    found = literal(spark, [(x,) for x in SPOKEN], "text string").select("text", text.language(text.script_counts("text")).alias("l"))
+    found = text.with_scripts(literal(spark, [(x,) for x in SPOKEN], "text string")).select("text", text.language("scripts").alias("l"))
     return found.select("text", "l.code", F.round("l.confidence", 9).alias("confidence"), text.language_name("l.code", "l.name").alias("shown"))
 
 
@@ -619,14 +625,14 @@ def update_tree(spark, sf):
     pages = adapters.conversation_pages(spark, sf)
     made = pipeline.grouped_trees(pages, tokens=200).withColumnRenamed("doc_id", "tree_id")
     trees = pages.groupBy(F.col("doc_id").alias("tree_id")).agg(F.count(F.lit(1)).cast("int").alias("total_pages"), F.lit("first").alias("document_info"), F.lit(0).alias("version"))
-    return pipeline.update(made, trees, pages.where("doc_id % 2 = 0"), tokens=300)[0]
+    return pipeline.update(made, trees, pages, tokens=300)[0]
 
 
 @query()
 def search_answers(spark, sf):
     pages = adapters.conversation_pages(spark, sf)
     own = pipeline.generate(pages, tokens=400, summarise=True)
-    asked = pages.where("page_number = 2").select(F.col("doc_id").cast("string").alias("query_id"), "doc_id", F.substring("text", 1, 60).alias("query"))
+    asked = pages.where("page_number = 1").select(F.col("doc_id").cast("string").alias("query_id"), "doc_id", F.regexp_replace("text", "\\n", " ").alias("query"))
     return pipeline.search(asked, own)[1]
 
 

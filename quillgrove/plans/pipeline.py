@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrove.functions.jsonrepair import lenient_json, strict_json
-from quillgrove.functions.text import clean_title, dots_to_colon, language, node_id, normalize_structure, page_tags, physical_index, script_counts
+from quillgrove.functions.text import clean_title, dots_to_colon, language, node_id, normalize_structure, page_tags, physical_index, with_scripts
 from quillgrove.operators import grouping, summaries, toc, tree
 from quillgrove.operators.provider import Provider, by_rule, complete, completed, key
 from quillgrove.plans.lineage import settled
@@ -16,7 +16,7 @@ SAMPLE_PAGES, SAMPLE_CHARACTERS = 20, 2000
 
 def languages(pages: DataFrame) -> DataFrame:
     """(doc_id, language) from each document's text."""
-    return grouping.full_text(pages).select("doc_id", language(script_counts("text", SAMPLE_CHARACTERS)).alias("language"))
+    return with_scripts(grouping.full_text(pages), "text", SAMPLE_CHARACTERS).select("doc_id", language("scripts").alias("language"))
 
 
 def contents_pages(pages: DataFrame, provider: Provider = by_rule, limit: int = SAMPLE_PAGES, calls: int = 20) -> DataFrame:
