@@ -1,10 +1,11 @@
 """Near-duplicate join on the Jaccard similarity of word n-grams, with Bayesian candidate pruning.
 
-Texts that share a band of MinHash values fall into one candidate component. Within a component,
-texts of comparable size are compared block by block: MinHash values are compared a few at a time,
-and a pair is dropped as soon as the posterior probability that it reaches the threshold is below
-the tolerance. The pairs that are left are verified on their whole n-gram sets. Pairs never become
-rows: a block returns each text's number of links and which of its texts hang together.
+Texts that share a band of MinHash values are candidates. They are compared within the band's bucket
+by one byte of each MinHash value, a few at a time: a pair is dropped as soon as the posterior
+probability that it reaches the threshold is below the tolerance. What the pairs left tie together is a
+component. Its texts of comparable size are compared block by block, with whole MinHash values first;
+the pairs left then are verified on their whole n-gram sets. Pairs never become rows: a bucket returns
+which of its texts hang together, a block that and each text's number of links.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.store import components, keyed, named, sorted_groups, stored
+from quillgrove.llm.store import NO_ID, components, keyed, named, sorted_groups, stored, whole_groups
 
 U = np.uint64
 GRAM, THRESHOLD = 5, Fraction(8, 10)
@@ -27,8 +28,9 @@ BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared between two prunings, and the probability under which a pair is dropped.
 STEP, TOLERANCE = 25, 1e-7
-#: Texts on one side of a block.
-BLOCK = 256
+#: Texts on one side of a block, texts of a bucket that are tied together at once, and in a bucket of
+#: which all pairs are looked at.
+BLOCK, BUCKET, FEW = 128, 2048, 8
 
 _made: dict = {}
 
@@ -120,7 +122,7 @@ def linked(left: list, right: list | None, threshold: Fraction, tolerance: float
     """
     own = right is None
     (a, x), (b, y) = left, left if own else right
-    steps = [least_matches(k, float(threshold), tolerance) for k in range(STEP, HASHES + 1, STEP)]
+    steps = _steps(threshold, tolerance)
     same = np.zeros((len(a), len(b)), np.int16)
     for k in range(STEP):
         same += a[:, k, None] == b[None, :, k]
@@ -184,16 +186,78 @@ def _column_bytes(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(buffer, np.uint8) if buffer.size else np.zeros(0, np.uint8)
 
 
+def _steps(threshold: Fraction, tolerance: float) -> list[int]:
+    return [least_matches(k, float(threshold), tolerance) for k in range(STEP, HASHES + 1, STEP)]
+
+
+def alike(low: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: Fraction, steps: list[int]) -> np.ndarray:
+    """Which pairs of rows a and b may reach the threshold, by their numbers of n-grams and single bytes of MinHash values."""
+    stay = np.flatnonzero(np.minimum(sizes[a], sizes[b]) * threshold.denominator >= np.maximum(sizes[a], sizes[b]) * threshold.numerator)
+    count = np.zeros(len(stay), np.int64)
+    for at, least in enumerate(steps):
+        part = slice(at * STEP, (at + 1) * STEP)
+        count = count + (low[a[stay], part] == low[b[stay], part]).sum(axis=1)
+        own = count >= least
+        stay, count = stay[own], count[own]
+    out = np.zeros(len(a), bool)
+    out[stay] = True
+    return out
+
+
+def _spanning(low: np.ndarray, sizes: np.ndarray, first: int, end: int, threshold: Fraction, steps: list[int]) -> tuple[list, list]:
+    """Pairs that tie together what hangs together among rows first..end: what is reached is not compared again."""
+    out: tuple[list, list] = [], []
+    left = np.arange(first, end)
+    ahead: list[int] = []
+    while len(left):
+        if not ahead:
+            ahead, left = [int(left[0])], left[1:]
+        x = ahead.pop()
+        hit = alike(low, sizes, np.full(len(left), x), left, threshold, steps)
+        ahead += left[hit].tolist()
+        out[0].append(np.full(hit.sum(), x))
+        out[1].append(left[hit])
+        left = left[~hit]
+    return out
+
+
+def _tied(batches: Iterator[pa.RecordBatch], threshold: Fraction, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the texts of a bucket that hang together."""
+    steps = _steps(threshold, tolerance)
+    for table in whole_groups(batches, ["band", "i", "j"], 20_000):
+        node, sizes, band, one, two = (table.column(c).to_numpy() for c in ("node", "n_grams", "band", "i", "j"))
+        low = np.frombuffer(b"".join(x.as_buffer() for x in table.column("low")), np.uint8).reshape(-1, HASHES)
+        begin = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        many = np.diff(np.append(begin, len(node)))
+        of = np.repeat(np.arange(len(begin)), many)
+        i, j = [], []
+        for d in range(1, FEW):
+            a = np.flatnonzero((of[d:] == of[:-d]) & (many[of[d:]] <= FEW)) if len(of) > d else np.zeros(0, np.int64)
+            a = a[alike(low, sizes, a, a + d, threshold, steps)]
+            i.append(a)
+            j.append(a + d)
+        for g in np.flatnonzero(many > FEW).tolist():
+            a, b = _spanning(low, sizes, int(begin[g]), int(begin[g] + many[g]), threshold, steps)
+            i += a
+            j += b
+        root = _roots(len(node), np.concatenate(i).astype(np.int64), np.concatenate(j).astype(np.int64))
+        k = np.flatnonzero(root != np.arange(len(node)))
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(node[root[k]])], names=["a", "b"])
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, packed = [], []
+        sizes, packed, low = [], [], []
         for text in _column_bytes(batch.column("text")):
             found = grams(text)
+            values = signature(found) if len(found) else None
             sizes.append(len(found))
-            packed.append(bands(signature(found)).tobytes() if len(found) else None)
+            packed.append(bands(values).tobytes() if len(found) else None)
+            low.append(values.astype(np.uint8).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
-            names=["doc_id", "node", "n_grams", "bands"],
+            [*(batch.column(c) for c in KEYS), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(low, pa.binary())],
+            names=[*KEYS, "n_grams", "bands", "low"],
         )
 
 
@@ -243,35 +307,56 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: Fraction, tolerance:
             yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(links[k]), pa.array(root[k])], names=["node", "links", "root"])
 
 
+#: A row's id, and two hashes that stand for its text.
+KEYS = ("doc_id", "h1", "h2")
+
+
+def text_keys() -> tuple:
+    """Two independent 64-bit hashes of a text."""
+    return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(29), "text").alias("h2")
+
+
+def candidates(texts: DataFrame, threshold: Fraction, tolerance: float) -> DataFrame:
+    """(a, b) that tie together all texts(node, n_grams, bands, low) that may be links: they share a bucket and pass its pruning.
+
+    A bucket of more than BUCKET texts is cut into parts, of which any two meet.
+    """
+    rows = texts.select("node", "bands").mapInArrow(_spread, "band long, node long")
+    shared = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = rows.join(shared, "band").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
+    met = stored(met.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), "parts").cast("int")), "buckets")
+    pairs = F.expr("if(parts = 1, array(struct(0 as i, 0 as j)), transform(filter(sequence(0, parts - 1), k -> k <> part), k -> struct(least(k, part) as i, greatest(k, part) as j)))")
+    # By sorting at every size: what fits into a broadcast here won't on a large corpus.
+    dealt = met.hint("merge").join(texts.select("node", "n_grams", "low"), "node").select("band", "node", "n_grams", "low", F.explode(pairs).alias("p")).select("band", "p.*", "node", "n_grams", "low")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    return dealt.mapInArrow(lambda b: _tied(b, threshold, tolerance), "a long, b long").distinct()
+
+
 def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Classes of near-duplicates among documents(doc_id, text).
 
-    Returns for each row doc_id, node (a hash of the text), n_grams, class_node (the same for all of
-    a class), class_id, n_links, n_copies. A link is
+    Returns for each row doc_id, h1 and h2 (hashes of the text), n_grams, class_node (the same for all of
+    a class, null for a class of one text), class_id, n_links, n_copies. A link is
     between two different texts whose sets of 5-grams of words have at least the Jaccard
     similarity `threshold`; n_links counts the texts that a row's text is linked to, n_copies the
     rows that hold this text. A class is what links and copies tie together; class_id is its
-    smallest doc_id. A text of fewer than five words has all its words as its one n-gram. Null
+    smallest doc_id that is not null. A text of fewer than five words has all its words as its one n-gram. Null
     texts and those without words are classes of their own, and repeated rows copies.
     """
-    docs = keyed(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
-    base = stored(docs.mapInArrow(_banded, "doc_id long, node long, n_grams long, bands binary"), "bands")
-    texts = base.where("n_grams > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    texts = stored(texts, "texts")
-    rows = texts.select("node", "bands").mapInArrow(_spread, "band long, node long")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1").select("band", "hub")
-    met = rows.join(stored(shared, "shared"), "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    parts = components(met)
+    docs = keyed(docs).select("doc_id", *text_keys(), "text")
+    base = stored(docs.mapInArrow(_banded, "doc_id long, h1 long, h2 long, n_grams long, bands binary, low binary"), "bands")
+    texts = base.where("n_grams > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("known_id"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("n_grams", "bands", "low")))
+    texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    parts = components(candidates(texts, threshold, tolerance))
     # A similarity of t needs sizes that differ by no more than a factor of t: cells of sizes, of
     # which only equal and neighbouring ones are compared.
     cell = F.floor(F.log(F.col("n_grams").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
-    members = stored(texts.join(parts, "node").select("node", "doc_id", F.col("root").alias("part"), cell.alias("cell")), "members")
+    members = stored(texts.join(parts, "node").select("node", *KEYS, F.col("root").alias("part"), cell.alias("cell")), "members")
     cells = stored(members.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cells")
     around = lambda by, name: cells.select("part", (F.col("cell") + by).alias("cell"), F.col("blocks").alias(name))
     members = members.join(cells.join(around(-1, "above"), ["part", "cell"], "left").join(around(1, "below"), ["part", "cell"], "left").fillna(0), ["part", "cell"])
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int"))
-    # By sorting at every size: what fits into a broadcast here won't on a large corpus.
-    active = stored(members, "active").hint("merge").join(docs, ["doc_id", "node"])
+    active = stored(members, "active").hint("merge").join(docs, list(KEYS))
     payload = active.select("part", "cell", "block", "blocks", "above", "below", "node", "text").mapInArrow(
         _payload, "part long, cell int, block int, blocks int, above int, below int, node long, hashes binary, grams binary"
     )
@@ -285,11 +370,11 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     dealt = dealt.repartition("part", "cell", "other", "i", "j").sortWithinPartitions("part", "cell", "other", "i", "j", "node")
     found = stored(dealt.mapInArrow(lambda b: _compare(b, threshold, tolerance), "node long, links long, root long"), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    tied = texts.select("node", "doc_id", "n_copies").join(classes, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left")
+    tied = texts.select("node", "h1", "h2", "known_id", "n_copies").join(classes, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left")
     tied = stored(tied.where("n_copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node")), "tied")
-    ids = stored(tied.groupBy("root").agg(F.min("doc_id").alias("class_id")), "ids")
-    known = stored(tied.join(ids, "root").select("node", F.col("root").alias("class_node"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "known")
-    own = base.select("doc_id", "node", "n_grams").join(known, "node", "left")
-    return named(
-        own.select("doc_id", "node", "n_grams", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_grams") > 0, F.coalesce("n_copies", F.lit(1))).otherwise(1).cast("long").alias("n_copies"))
-    ).withColumn("class_id", F.nullif(F.col("class_id"), F.lit(-(1 << 63))))
+    ids = stored(tied.groupBy("root").agg(F.min("known_id").alias("class_id")), "ids")
+    known = stored(tied.join(ids, "root").select("h1", "h2", F.col("root").alias("class_node"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "known")
+    own = named(base.select(*KEYS, "n_grams").join(known, ["h1", "h2"], "left"))
+    copies = F.when(F.col("n_grams") > 0, F.coalesce("n_copies", F.lit(1))).otherwise(1).cast("long")
+    alone = F.col("class_node").isNull()
+    return own.select(*KEYS, "n_grams", "class_node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), copies.alias("n_copies"))

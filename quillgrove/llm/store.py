@@ -119,6 +119,29 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Ite
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], least: int) -> Iterator[pa.Table]:
+    """Tables of at least so many rows (the last may have fewer) that end where a run of equal integer keys does; batches must arrive sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change |= c[1:] != c[:-1]
+        at = np.flatnonzero(change)
+        if not len(at):
+            held = table.to_batches()
+            continue
+        cut = int(at[-1]) + 1
+        yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: (node, root), root the smallest node; edges (a, b) as longs.
 

@@ -60,9 +60,10 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 256), (2, 7)])
-def test_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "bucket"), [(1, 128, 2048), (2, 7, 4)])
+def test_against_brute_force(spark, monkeypatch, seed, block, bucket):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BUCKET", bucket)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, node int")
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in J.join(docs).collect()}
@@ -72,7 +73,7 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
 def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "other text"), (None, "a b c d e f")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_copies) for r in J.join(docs).collect())
-    assert got == [("1", "None", 0, 3), ("1", "None", 0, 3), ("2", "2", 0, 1), ("None", "None", 0, 3)]
+    assert got == [("1", "1", 0, 3), ("1", "1", 0, 3), ("2", "2", 0, 1), ("None", "1", 0, 3)]
     assert J.join(docs.limit(0)).count() == 0
 
 
@@ -87,3 +88,29 @@ def test_pruning_keeps_what_may_reach_the_threshold():
         i, _ = J.linked([values, [x, y]], None, Fraction(8, 10), 1e-7)
         total, lost = total + 1, lost + (len(i) == 0)
     assert lost == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.8 to 0.83, each of words of its own."""
+    rng, rows = random.Random(3), []
+    for k in range(300):
+        words = [f"w{k}x{m}" for m in range(rng.randint(80, 200))]
+        # n - 4 grams; a word appended adds one and takes none: (n - 4) / (n - 4 + m)
+        more = int((len(words) - 4) * rng.uniform(0.2, 0.25))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *(f"v{k}x{m}" for m in range(more))]))]
+    sets = sets_of([t for _, t in rows])
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.84 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = {r.doc_id: r.class_id for r in J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) == 300
+
+
+def test_bucket_is_tied_as_by_all_pairs():
+    rng = np.random.default_rng(1)
+    pools = [np.unique(rng.integers(0, 1 << 62, 120).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(rng.permutation(pools[rng.integers(3)])[:110]) for _ in range(40)]
+    low = np.stack([J.signature(x) for x in sets]).astype(np.uint8)
+    sizes, steps = np.array([len(x) for x in sets]), J._steps(J.THRESHOLD, 1e-7)
+    a, b = np.triu_indices(40, 1)
+    keep = J.alike(low, sizes, a, b, J.THRESHOLD, steps)
+    i, j = (np.concatenate(x) for x in J._spanning(low, sizes, 0, 40, J.THRESHOLD, steps))
+    assert (J._roots(40, i, j) == J._roots(40, a[keep], b[keep])).all() and len(set(J._roots(40, i, j).tolist())) < 10
