@@ -23,18 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest doc_id stays. Those without words all stay."""
-    found = stored(keyed(jaccard_join.join(docs)).where("n_grams > 0"), "classes")
-    stays = found.groupBy("class_node").agg(F.min(F.struct("doc_id", "node")).alias("s")).select("s.doc_id", "s.node")
-    goes = found.select("doc_id", "node").distinct().join(stored(stays, "stays"), ["doc_id", "node"], "left_anti")
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_node": F.xxhash64("text")})
-    goes = stored(goes, "goes").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    rest = own.join(goes, ["_id", "_node"], "left_anti")
-    if not found.groupBy("doc_id", "node").count().where("count > 1").isEmpty():  # rows that repeat one in everything
-        worded = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D]", " ")), " ", 2)) > 0
-        blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D]", " ")) == ""
-        rest = rest.where(worded & ~blank).dropDuplicates(["_id", "_node"]).unionByName(rest.where(blank))
-    return rest.select(docs.columns)
+    """Of each class of near-duplicates the document of the smallest doc_id stays, of equal rows one. Those without words all stay.
+
+    A null doc_id counts as the smallest; null and empty texts have no words; an empty table stays empty.
+    """
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = stored(keyed(jaccard_join.join(docs)).where("n_grams > 0 and (class_node is not null or n_copies > 1)"), "classes")
+    first = stored(found.groupBy("class_node").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("s")).select("s.*"), "stays")
+    own = keyed(numbered).select("_row", "doc_id", *jaccard_join.text_keys())
+    rows = own.join(found.distinct().select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"])
+    # Equal rows are told apart by their number; the smallest of the one that stays does.
+    stays = rows.join(first, ["doc_id", "h1", "h2"]).groupBy("doc_id", "h1", "h2").agg(F.min("_row").alias("_row"))
+    goes = stored(rows.select("_row").join(stays.select("_row"), "_row", "left_anti"), "goes")
+    return numbered.join(goes, "_row", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
