@@ -30,7 +30,7 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 25, 1e-7
 #: Texts on one side of a block, texts of a bucket that are tied together at once, and in a bucket of
 #: which all pairs are looked at.
-BLOCK, BUCKET, FEW = 128, 2048, 8
+BLOCK, BUCKET, FEW = 64, 2048, 8
 
 _made: dict = {}
 

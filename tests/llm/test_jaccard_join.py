@@ -60,7 +60,7 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "block", "bucket"), [(1, 128, 2048), (2, 7, 4)])
+@pytest.mark.parametrize(("seed", "block", "bucket"), [(1, 64, 2048), (2, 7, 4)])
 def test_against_brute_force(spark, monkeypatch, seed, block, bucket):
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "BUCKET", bucket)
