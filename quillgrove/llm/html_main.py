@@ -1,7 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 Each page becomes a light element tree. The hashes of its element subtrees are counted per host in
-Spark; subtrees that recur across many pages of their host are deleted there. What is left of the
+Spark, over pages of different texts; subtrees that recur across many pages of their host are deleted
+there. A subtree has a hash of all that it holds; one that is mostly links (a menu, a list of related
+pages) also one of its shape alone, as its links may differ from page to page. What is left of the
 article, less elements that are no article by their kind or name, is the text.
 """
 
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quillgrove.llm.store import keyed, named, stored
 
-#: A subtree is template if at least so many of its host's pages, and this share of them, have it.
-PAGES, SHARE = 10, 0.3
+#: A subtree is template if at least so many of its host's pages of different texts, and this share of
+#: them, have it: variants of a template count each. A shape needs the larger share.
+PAGES, SHARE, SHAPE_SHARE = 5, 0.1, 0.3
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,20 +45,23 @@ NO_NAMES = frozenset(
     "disclaimer disqus footer gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager paginate pagination paywall popup promo promoted promotion "
     "recommendations recommended related replies reply respond search share sharing sidebar sidebars signup skip skip-link social sponsor sponsored subscribe subscription toolbar tooltip widget widgets".split()
 )
+#: What may follow such a word and a hyphen in a name, which then says the same.
+SUFFIXES = frozenset("area aside banner bar block bottom box button buttons container content form footer group header holder inner item items left link links list main menu modal nav notice outer panel popup right section slot text thread title top unit wrap wrapper widget zone".split())
 NO_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 NAME = re.compile(r"[\s_]+")
 PART = re.compile(r"[-:]+")
+DIGITS = re.compile(r"\d*$")
 
 
 class Element:
-    __slots__ = ("attrs", "children", "digest", "length", "links", "parent", "tag")
+    __slots__ = ("attrs", "children", "digest", "length", "links", "parent", "shape", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.digest, self.length, self.links = 0, 0, 0
+        self.digest, self.shape, self.length, self.links = 0, 0, 0, 0
 
     def attributes(self) -> dict[str, str]:
         found: dict[str, str] = {}
@@ -63,6 +69,10 @@ class Element:
             found.setdefault(name.lower(), html.unescape(value.strip("\"'")))
         return found
 
+    def listed(self) -> bool:
+        """Whether it is mostly links."""
+        return 0 < self.length <= 2 * self.links
+
     def dropped(self) -> bool:
         """Whether it is no article text by its kind, name, role or being hidden."""
         if self.tag in NO_TEXT:
@@ -78,7 +88,8 @@ class Element:
         if self.tag == "article":  # a comment may be one; other names say nothing of it
             return not {"comment", "comments", "reply"}.isdisjoint(names)
         for name in names:
-            if name in NO_NAMES or not NO_NAMES.isdisjoint(PART.split(name)[:1]):
+            first, *rest = PART.split(name)
+            if name in NO_NAMES or DIGITS.sub("", first) in NO_NAMES and all(DIGITS.sub("", x) in SUFFIXES or not DIGITS.sub("", x) for x in rest):
                 return True
         return False
 
@@ -141,10 +152,14 @@ def walk(root: Element) -> Iterator[Element]:
         stack += [c for c in reversed(now.children) if not isinstance(c, str)]
 
 
+def _hash(parts: list[str]) -> int:
+    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def digest(root: Element) -> None:
-    """Sets each element's hash (of kind, attributes, texts and children) and its lengths of text and link text."""
+    """Sets each element's hash (of kind, attributes, texts and children), lengths of text and link text, and for what is mostly links the hash of its shape: kinds, names and the kinds of children, however many."""
     for e in reversed(list(walk(root))):
-        parts = [e.tag, " ".join(e.attrs.split())]
+        parts, shapes = [e.tag, " ".join(e.attrs.split())], set()
         e.length = e.links = 0
         for c in e.children:
             if isinstance(c, str):
@@ -153,20 +168,23 @@ def digest(root: Element) -> None:
                 e.length += len(words)
             else:
                 parts.append(f"\x01{c.digest}")
+                shapes.add(c.shape)
                 e.length += c.length
                 e.links += c.links
         if e.tag == "a":
             e.links = e.length
-        e.digest = int.from_bytes(blake2b("\x00".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
+        e.digest = _hash(parts)
+        e.shape = _hash(["shape", e.tag, "" if e.tag == "a" else parts[1], *map(str, sorted(shapes))]) if e.listed() or e.tag == "a" else 0
 
 
-def counted(root: Element) -> set[int]:
-    """Hashes of the subtrees that are counted: blocks with text or links."""
-    return {e.digest for e in walk(root) if e.tag in BLOCK and e.length and e.tag not in ("html", "body")}
+def counted(root: Element) -> tuple[set[int], set[int]]:
+    """Hashes of the subtrees that are counted: blocks with text, and shapes of blocks that are mostly links."""
+    blocks = [e for e in walk(root) if e.tag in BLOCK and e.length and e.tag not in ("html", "body", "article", "main")]
+    return {e.digest for e in blocks}, {e.shape for e in blocks if e.shape}
 
 
 def prune(root: Element, template: frozenset[int]) -> None:
-    """Deletes template subtrees, and what is no article text. Paragraphs of an article are no template."""
+    """Deletes template subtrees, and what is no article text. In an article only lists of links are template: articles are copied, too."""
     stack = [(root, False)]
     while stack:
         now, inside = stack.pop()
@@ -174,7 +192,8 @@ def prune(root: Element, template: frozenset[int]) -> None:
         kept: list = []
         for c in now.children:
             if not isinstance(c, str):
-                if c.dropped() or (c.digest in template and c.tag not in ("html", "body", "article", "main") and not (inside and c.tag in PROSE)):
+                known = c.tag in BLOCK and c.tag not in ("html", "body", "article", "main") and (c.digest in template or c.shape in template)
+                if c.dropped() or (known and (c.listed() or not inside)):
                     kept.append(" ")
                     continue
                 if c.tag in ("header", "hgroup"):
@@ -269,30 +288,34 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE, shape_share: float = SHAPE_SHARE) -> DataFrame:
     """(host, template): hashes of the subtrees that recur across many pages of a host.
 
-    Of each host only counts are kept; as a page has only so many subtrees, those on a given share
-    of a host's pages are few whatever its size.
+    Copies of a page count once. Of each host only counts are kept; as a page has only so many
+    subtrees, those on a given share of a host's pages are few whatever its size.
     """
     sites = pages.select(host(F.col("url")).alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, of, kinds = [], [], [], []
             for site, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 if page.is_valid and site:
                     root = parse(page.as_py())
                     digest(root)
-                    own = [0, *counted(root)]  # 0 counts the page
+                    blocks, shapes = counted(root)
+                    own = [0, *blocks, *shapes]  # 0 counts the page
                     hosts += [site] * len(own)
                     found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "subtree"])
+                    of += [root.digest] * len(own)
+                    kinds += [x in shapes for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(of, pa.int64()), pa.array(kinds, pa.bool_())], names=["host", "subtree", "page", "shape"])
 
-    counts = sites.mapInArrow(run, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counts = sites.mapInArrow(run, "host string, subtree long, page long, shape boolean").distinct().groupBy("host", "subtree", "shape").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.where(F.col("n") >= least), "subtrees")
     whole = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where("subtree <> 0").join(whole, "host").where(F.col("n") >= F.col("pages") * share)
+    needed = F.when(F.col("shape"), F.lit(shape_share)).otherwise(F.lit(share)) * F.col("pages")
+    often = counts.where("subtree <> 0").join(whole, "host").where(F.col("n") >= needed)
     return stored(often.groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("template")), "templates")
 
 

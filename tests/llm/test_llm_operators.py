@@ -45,6 +45,55 @@ def test_templates(spark):
     assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names():
+    page = lambda body: html_main.main_text(f"<html><body>{body}</body></html>")
+    assert page("<article>Text.<div class='share-prices'>Up</div><div class=notice-of-motion>We move</div></article>") == "Text.\n\nUp\n\nWe move"
+    assert page("<article>Text.<div class='ad-slot2'>a</div><div id=cookie-banner>b</div><div class='sidebar left'>c</div><div class=comment-list>d</div><div class=nav>e</div></article>") == "Text."
+
+
+def plain_templates(rows, least, share, shape_share):
+    """Counts subtrees of each host by nested tuples in place of hashes; gives texts by the same deletion."""
+
+    def tree(e):
+        return (e.tag, " ".join(e.attrs.split()), tuple(" ".join(c.split()) if isinstance(c, str) else tree(c) for c in e.children))
+
+    def shape(e):
+        return (e.tag, "" if e.tag == "a" else " ".join(e.attrs.split()), frozenset(shape(c) for c in e.children if not isinstance(c, str))) if e.tag == "a" or e.listed() else None
+
+    sites = {}
+    for url, page in rows:
+        root = html_main.parse(page)
+        html_main.digest(root)
+        blocks = [e for e in html_main.walk(root) if e.tag in html_main.BLOCK and e.length and e.tag not in ("html", "body", "article", "main")]
+        sites.setdefault(url, {})[tree(root)] = ({tree(e) for e in blocks}, {shape(e) for e in blocks if e.listed()}, {tree(e): e.digest for e in blocks} | {shape(e): e.shape for e in blocks if e.listed()})
+    found = {}
+    for url, pages in sites.items():
+        exact, shapes = Counter(x for p in pages.values() for x in p[0]), Counter(x for p in pages.values() for x in p[1])
+        named = {k: v for p in pages.values() for k, v in p[2].items()}
+        found[url] = {named[x] for c, s in ((exact, share), (shapes, shape_share)) for x, n in c.items() if n >= least and n >= s * len(pages)}
+    return found
+
+
+def test_templates_against_plain_counts(spark):
+    rng, rows = random.Random(9), []
+    word = lambda: rng.choice("abcdefghij") * rng.randint(1, 3)
+    for k in range(160):
+        menu = "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(rng.randint(2, 5)))
+        notice = f"<div><span>Notice {rng.randrange(4)}</span></div>"  # four of them, in turn
+        body = f"<p>{' '.join(word() for _ in range(30))}</p>" if k % 10 else "<p>the same page</p>"
+        rows.append((f"http://h{k % 3}.example/{k}", f"<body><div><ul>{menu}</ul></div>{notice}<div><h1>T{k}</h1>{body}</div><section>See {word()}<ul>{menu}</ul></section></body>"))
+    expected = plain_templates([(u.split("/")[2], p) for u, p in rows], 5, 0.1, 0.3)
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: set(r.template) for r in html_main.templates(frame).collect()}
+    assert got == {k: v for k, v in expected.items() if v} and len(got) == 3
+    texts = {r.page_id: r.text for r in html_main.extract(frame).collect()}
+    for k, (url, page) in enumerate(rows):
+        assert texts[k] == html_main.main_text(page, frozenset(got[url.split("/")[2]]))
+        if k % 10:  # the others' paragraph recurs
+            assert re.fullmatch(rf"T{k}\n\n[a-j ]+(\n\nSee [a-j]+)?", texts[k])
+        assert "Notice" not in texts[k] and len(texts[k]) < len(html_main.main_text(page))
+
+
 # ---- toxicity
 
 
