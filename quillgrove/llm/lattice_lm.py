@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillgrove.llm.store import stored
 
 U = np.uint64
-#: Most frequent words that each executor knows by heart; others are joined.
-HEAD = 1 << 18
+#: Most frequent words that each executor knows by heart, and their bytes at most; others are joined.
+HEAD, HEAD_BYTES = 1 << 18, 1 << 23
 #: Passes of expectation maximisation, and what each piece's count is raised by.
 PASSES, FLOOR = 2, 0.01
 #: Classes of texts at most.
@@ -318,6 +318,22 @@ def fit(words: DataFrame, texts: list[int], path: str) -> Model:
     return Model(pieces, scores, table, int(table[:, 0].sum()), sums[0])
 
 
+def head(words: DataFrame, most: int = HEAD, most_bytes: int = HEAD_BYTES) -> DataFrame:
+    """The commonest of words(word, c_all, ...), as many as fit: those from a count on that a histogram of counts gives.
+
+    The histogram has eight steps for each doubling of the count; all words of a step are taken or none.
+    """
+    step = F.floor(F.log2("c_all") * 8).cast("int")
+    found = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("bytes")).collect()
+    least, n, size = None, 0, 0
+    for r in sorted(found, key=lambda r: -r.step):
+        n, size = n + r.n, size + r.bytes
+        if n > most or size > most_bytes:
+            break
+        least = r.step
+    return words.where(step >= least) if least is not None else words.limit(0)
+
+
 def score(docs: DataFrame, path: str | None = None, part: int = 10, most: int = CLASSES) -> DataFrame:
     """Scores documents(doc_id, text, lang); learns from those whose crc32(doc_id as text) mod `part` is not 0.
 
@@ -358,8 +374,8 @@ def score(docs: DataFrame, path: str | None = None, part: int = 10, most: int =
 
     scored = words.mapInArrow(marginals, "word binary, c_all long, " + ", ".join(f"{c} double" for c in numbers))
     scored = stored(scored, "scored")
-    head = scored.orderBy(F.desc("c_all"), "word").limit(HEAD).drop("c_all").toArrow()
-    by_heart = spark.sparkContext.broadcast((head.column("word").to_pylist(), np.stack([head.column(c).to_numpy() for c in numbers], 1)))
+    top = head(scored).drop("c_all").toArrow()
+    by_heart = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.stack([top.column(c).to_numpy() for c in numbers], 1)))
     names = ["row", "word", "doc_id", "held_out", "n_tokens", *(f"_{c}" for c in numbers)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

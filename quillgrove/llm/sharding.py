@@ -165,7 +165,7 @@ def even_shards(rows: DataFrame, members: DataFrame, links: DataFrame, shards: i
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Shards of documents(doc_id, text), equal texts together as far as equal counts allow.
 
-    Returns per row doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null). Null and
+    An empty table gives no rows; other columns are ignored. Returns per row doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null). Null and
     empty texts are equal. Rows that are equal in everything are rows of their own. A group larger
     than a shard becomes stars of a shard's size each, whose centres are linked. At most as many
     groups as there are shards are cut.
@@ -176,13 +176,13 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     base = stored(base, "rows")
     capacity = max(1, base.count() // shards)
-    groups = base.groupBy("text_hash", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = base.select("row", "text_hash", "size").join(stored(groups, "groups"), ["text_hash", "size"])
+    groups = base.groupBy("text_hash", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = base.select("row", "text_hash", "size", "text_crc32").join(stored(groups, "groups"), ["text_hash", "size", "text_crc32"])
     members = stored(members.withColumn("star", F.pmod(F.xxhash64(F.lit(7), "row"), F.ceil(F.col("n") * 1.1 / capacity))), "members")
-    stars = stored(members.groupBy("text_hash", "size", "star").agg(F.min("row").alias("centre")), "stars")
-    middles = stored(stars.groupBy("text_hash", "size").agg(F.min("centre").alias("middle")), "middles")
-    links = members.join(stars, ["text_hash", "size", "star"]).select(F.col("row").alias("a"), F.col("centre").alias("b"))
-    links = links.unionByName(stars.join(middles, ["text_hash", "size"]).select(F.col("centre").alias("a"), F.col("middle").alias("b"))).where("a <> b")
-    grouping = members.join(middles, ["text_hash", "size"]).select("row", F.col("middle").alias("group"))
+    stars = stored(members.groupBy("text_hash", "size", "text_crc32", "star").agg(F.min("row").alias("centre")), "stars")
+    middles = stored(stars.groupBy("text_hash", "size", "text_crc32").agg(F.min("centre").alias("middle")), "middles")
+    links = members.join(stars, ["text_hash", "size", "text_crc32", "star"]).select(F.col("row").alias("a"), F.col("centre").alias("b"))
+    links = links.unionByName(stars.join(middles, ["text_hash", "size", "text_crc32"]).select(F.col("centre").alias("a"), F.col("middle").alias("b"))).where("a <> b")
+    grouping = members.join(middles, ["text_hash", "size", "text_crc32"]).select("row", F.col("middle").alias("group"))
     out = even_shards(base, grouping, links, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

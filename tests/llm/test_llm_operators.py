@@ -146,8 +146,39 @@ def test_marginal_is_the_sum_over_segmentations():
         assert gained[place[p]] == pytest.approx(change / 1e-6, rel=1e-3, abs=1e-6)
 
 
-def test_scores(spark):
+def plain_scores(model, docs, train):
+    """score of each text: sums over classes of products over words, each over all segmentations by a plain recursion."""
+    place = {p: k for k, p in enumerate(model.pieces)}
+    memory = {}
+
+    def lattice(word, c):
+        if (word, c) not in memory:
+            text = b" " + word
+            ways = [1.0] + [0.0] * len(text)
+            for end in range(1, len(text) + 1):
+                for begin in range(max(0, end - 24), end):
+                    if text[begin:end] in place:
+                        ways[end] += ways[begin] * math.exp(model.scores[c, place[text[begin:end]]])
+            memory[word, c] = ways[-1]
+        return memory[word, c]
+
+    out = []
+    for words in docs:
+        likely = []
+        for c, (tokens, types, texts, discount) in enumerate(model.words):
+            held = tokens + texts
+            log = math.log10(texts / model.train_docs) + math.log10(texts / held)
+            for w in words:
+                log += math.log10(max(train[c][w] - discount, 0) / held + discount * types / held * lattice(w, c))
+            likely.append(log)
+        out.append(max(likely) + math.log10(sum(10 ** max(x - max(likely), -300) for x in likely)))
+    return out
+
+
+def test_scores(spark, monkeypatch):
     rng = random.Random(2)
+    models, fit = [], lattice_lm.fit
+    monkeypatch.setattr(lattice_lm, "fit", lambda *a: models.append(fit(*a)) or models[-1])
     syllables = {"en": ["th", "er", "ing", "on"], "fr": ["eau", "é", "oi", "que"]}
     docs = []
     for k in range(300):
@@ -169,11 +200,27 @@ def test_scores(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(tokens), sum(train[w] > 0 for w in tokens), total)
         assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.1) / (total + 0.1 * (types + 1))) for w in tokens), abs=1e-6)
         assert math.isfinite(r.score) and r.score < 0
+    langs = Counter(l or "" for d, _, l in docs if not held(d))
+    order = sorted(langs, key=lambda l: (-langs[l], l))[: lattice_lm.CLASSES - 1]
+    by_class = [Counter(w for d, t, l in docs if not held(d) and (l or "") == o for w in words(t)) for o in order]
+    short = [(d, words(t)) for d, t, _ in docs if max(map(len, words(t)), default=0) < 60]
+    assert len(models[0].words) == len(order)
+    for (d, _), expected in zip(short, plain_scores(models[0], [w for _, w in short], by_class), strict=True):
+        assert own[d].score == pytest.approx(expected, abs=1e-5)
     unseen = [r for r in got if r.held_out and r.n_tokens > 10]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
     assert lattice_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_head(spark):
+    words = spark.createDataFrame([(b"w%d" % k, 1 + k // 10) for k in range(100)], "word binary, c_all long")
+    assert lattice_lm.head(words).count() == 100 and lattice_lm.head(words.limit(0)).count() == 0
+    for most in (5, 15, 50):
+        found = lattice_lm.head(words, most).collect()
+        assert len(found) <= most and (not found or min(r.c_all for r in found) == 11 - len(found) // 10)
+    assert lattice_lm.head(words, 100, 60).count() == 20
+
+
 # ---- top-k
 
 
