@@ -167,9 +167,10 @@ def plain_scores(model, docs, train):
         likely = []
         for c, (tokens, types, texts, discount) in enumerate(model.words):
             held = tokens + texts
+            rest = discount * types / held if types else 1.0
             log = math.log10(texts / model.train_docs) + math.log10(texts / held)
             for w in words:
-                log += math.log10(max(train[c][w] - discount, 0) / held + discount * types / held * lattice(w, c))
+                log += math.log10(max(train[c][w] - discount, 0) / held + rest * lattice(w, c))
             likely.append(log)
         out.append(max(likely) + math.log10(sum(10 ** max(x - max(likely), -300) for x in likely)))
     return out
