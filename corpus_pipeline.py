@@ -17,7 +17,10 @@ def _doc() -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the labelled ones among them, rejects go."""
+    """Documents that the classifier chain, fitted on the labelled ones among them, rejects go.
+
+    Null and empty texts get what the biases say; repeated rows fare alike; an empty table stays empty.
+    """
     chain = toxicity.chain_for(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).where(F.col("p_toxic") <= toxicity.LIMIT).select(docs.columns)
 
@@ -27,15 +30,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null doc_id counts as the smallest; null and empty texts have no words; an empty table stays empty.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = stored(keyed(jaccard_join.join(docs)).where("n_grams > 0 and (class_node is not null or n_copies > 1)"), "classes")
-    first = stored(found.groupBy("class_node").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("s")).select("s.*"), "stays")
-    own = keyed(numbered).select("_row", "doc_id", *jaccard_join.text_keys())
-    rows = own.join(found.distinct().select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"])
-    # Equal rows are told apart by their number; the smallest of the one that stays does.
-    stays = rows.join(first, ["doc_id", "h1", "h2"]).groupBy("doc_id", "h1", "h2").agg(F.min("_row").alias("_row"))
-    goes = stored(rows.select("_row").join(stays.select("_row"), "_row", "left_anti"), "goes")
-    return numbered.join(goes, "_row", "left_anti").select(docs.columns)
+    keys = ["_id", "_h1", "_h2"]
+    found = keyed(jaccard_join.join(docs)).where("class_node is not null")
+    found = stored(found.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "class_node"), "classes")
+    stays = stored(found.groupBy("class_node").agg(F.min(F.struct(*keys)).alias("s")).select("s.*"), "stays")
+    goes = stored(found.select(keys).distinct().join(stays, keys, "left_anti"), "goes")
+    own = docs.withColumns(dict(zip(keys, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), *jaccard_join.text_keys()), strict=True)))
+    rest = own.join(goes, keys, "left_anti")
+    again = stored(found.groupBy(keys).count().where("count > 1").select(keys), "again")  # rows that repeat one in id and text
+    if not again.isEmpty():
+        rest = rest.join(again, keys, "left_anti").unionByName(rest.join(again, keys, "left_semi").dropDuplicates(keys))
+    return rest.select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +56,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none; repeated rows go or stay together."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc").alias("_doc")).distinct()
     return docs.withColumn("_doc", _doc()).join(stored(found, "contaminated"), "_doc", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in sequences; null and empty texts are one token each, repeated rows are packed each."""
     return packing.pack(docs)
 
 
