@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from quillgrove.llm.store import keyed, named, stored
 
-#: Fixed value: what a word is made of, before A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: what a word is made of, before A-Z are lowered. Java matches this much faster than
+#: the equal class that names what is left out.
+WORD = r"[a-z0-9A-Z\x80-\x{10FFFF}]+"
 WINDOW = 10
 
 
