@@ -361,6 +361,16 @@ def test_decontaminate(spark):
     assert none.where("contaminated").count() == 0 and none.count() == len(docs)
 
 
+def test_words_of_every_code_point(spark):
+    """The class of the operator and the contract's say the same of each code point."""
+    plain = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + "".join(f"{chr(c)}b" for c in points[k : k + 4096]) for k in range(0, len(points), 4096)] + ["", None, "  ", "x" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", decontaminate.words("text").alias("w")).collect()
+    assert len(rows) == len(texts)
+    assert all(row["w"] == plain.findall(texts[row["k"]] or "") for row in rows)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b x c"), (2, "c b a"), (3, "a x x x x x b c"), (4, "a b"), (5, "b a c b")], "doc_id long, text string")
     wanted = spark.createDataFrame([(9, "a"), (9, "b"), (9, "c")], "window long, term string")
