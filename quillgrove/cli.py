@@ -13,7 +13,7 @@ from quillgrove.functions.text import page_range
 from quillgrove.operators.tree import as_json, from_json
 from quillgrove.plans import pipeline
 from quillgrove.plans.lineage import settled
-from quillgrove.sources.adapters import files, markdown_pages, pdf_pages
+from quillgrove.sources.readers import READERS
 
 #: What an index file's nodes are as rows; a file is one tree, whose document is ONE.
 ONE = "0"
@@ -42,11 +42,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def pages_of(spark: SparkSession, path: str) -> DataFrame:
-    docs = files(spark, path)
-    problems = docs.where("problem is not null").select("source_path", "problem").collect()
-    if problems:
-        raise SystemExit("; ".join(f"{p.source_path}: {p.problem}" for p in problems))
-    return markdown_pages(docs).unionByName(pdf_pages(docs)) if path.lower().endswith(".pdf") else markdown_pages(docs)
+    pages, problems = READERS.pages(spark, path)
+    found = problems.collect()  # of one file
+    if found:
+        raise SystemExit("; ".join(f"{p.source_path}: {p.problem}" for p in found))
+    return pages
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:

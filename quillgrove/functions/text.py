@@ -202,8 +202,3 @@ def language_name(code: Column | str, name: Column | str) -> Column:
     for key, shown in DISPLAY.items():
         found = F.when(col(code) == key, shown).otherwise(found)
     return found
-
-
-def language_instruction(code: Column | str, confidence: Column | str) -> Column:
-    """What a prompt says of the language to answer in; nothing below a confidence of 0.3."""
-    return F.when(col(confidence) < 0.3, "").when(col(code) == "zh", "请用中文回答。").otherwise(F.concat(F.lit("Answer in "), language_name(code, F.lit("the document's language")), F.lit(".")))

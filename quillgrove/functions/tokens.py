@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +61,35 @@ def truncated(text: Column | str, most: int) -> Column:
     return F.when(F.octet_length(col(text)) <= 4 * most, col(text)).otherwise(whole)
 
 
+def bpe_count(text: Column | str, path: str) -> Column:
+    """Tokens of a vocabulary, of which `path` is a file of the tokenizers library on every executor; null for null."""
+    return _bpe(path, lambda own, texts: [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)], "int")(col(text))
+
+
+def bpe_truncated(text: Column | str, most: int, path: str) -> Column:
+    """The text's beginning of `most` tokens, cut between characters; a text that has no more stays as it is."""
+
+    def cut(own, texts: list[str]) -> list[str]:
+        return [t if len(e.ids) <= most else t[: e.offsets[most][0]] for t, e in zip(texts, own.encode_batch(texts, add_special_tokens=False), strict=True)]
+
+    return _bpe(path, cut, "string")(col(text))
+
+
+def _bpe(path: str, work: Callable, kind: str):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        for batch in batches:
+            known = batch.notna()
+            out = pd.Series([None] * len(batch), dtype=object)
+            out[known.to_numpy()] = work(own, batch[known].tolist())
+            yield out.astype("Int32") if kind == "int" else out
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
+
+
 def context_limit(model: Column | str) -> Column:
     """Tokens that a model takes: by name, else by family, else 32768."""
     names = F.create_map(*(F.lit(x) for pair in LIMITS.items() for x in pair))

@@ -84,13 +84,14 @@ def by_rule(prompt: str) -> str:
     """The offline provider: the task is the prompt's first line, its matter what follows.
 
     contents: whether at least three lines end in leaders or a number; numbered: whether most lines of
-    a contents page end in a number; listed: its items; place: the page that holds each of the items in
+    a contents page end in a number; listed: its items; complete: yes, as those are all; place: the page that holds each of the items in
     the first line; appears: whether the first line of the matter occurs in the rest; starts: whether the
     rest begins with it; summary: the first sentence; summaries: that of each of several nodes;
     structure: a node for each heading, or one for the text; items: the headings; search: all nodes that
     share words with the query, those that share the most first.
     """
-    task, _, matter = prompt.partition("\n")
+    head, _, matter = prompt.partition("\n")
+    task = head.partition(" ")[0]
     if task == "contents":
         lines = [x for x in matter.split("\n") if re.search(r"(\.{3,}|\s)\d+\s*$", x)]
         return json.dumps({"toc_detected": "yes" if len(lines) >= 3 else "no"})
@@ -99,6 +100,8 @@ def by_rule(prompt: str) -> str:
         if task == "numbered":
             return json.dumps({"page_index_given_in_toc": "yes" if sum(bool(n) for *_, n in items) * 2 > len(items) else "no"})
         return json.dumps([{"structure": code, "title": title.strip(), "page": int(n) if n else None} for code, title, n in items], ensure_ascii=False)
+    if task == "complete":
+        return json.dumps({"completed": "yes"})
     if task == "place":
         items, _, text = matter.partition("\n")
         pages = [(int(n), _flat(body)) for n, body in re.findall(r"【第(\d+)页开始】(.*?)【第\d+页结束】", text, re.S)]
@@ -180,6 +183,8 @@ def complete(requests: DataFrame, provider: Provider = by_rule, calls: int = 20,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limiter = Limiter(rate / calls) if rate else None
+        if limiter and hasattr(provider, "listeners"):
+            provider.listeners.append(lambda left: limiter.left(left // calls))
 
         def limited(text: str) -> str:
             if limiter:

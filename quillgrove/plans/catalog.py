@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrove.functions import jsonrepair, text, tokens
+from quillgrove.functions import jsonrepair, prompts, text, tokens
 from quillgrove.operators import grouping, provider, summaries, toc, tree
 from quillgrove.plans import pipeline
 from quillgrove.plans.lineage import settled
@@ -188,6 +188,19 @@ def chapter_dedup(spark, sf):
     return tree.chapters_merged(literal(spark, CHAPTERS, "doc_id int, node_id string, ordinal int, title string, start_page int, end_page int"))
 
 
+@query("""with o as (select o_custkey as doc_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) as ordinal from orders),
+    t as (select *, first_value(id) over (partition by doc_id, ordinal % 3 order by id % 4 desc, ordinal rows between unbounded preceding and unbounded following) as "into" from o)
+    select doc_id, l_orderkey::varchar || '.' || l_linenumber::varchar as node_id, "into"::varchar as parent_id from lineitem join t on l_orderkey = id""")
+def chapter_children(spark, sf):
+    """A customer's orders are top nodes of three chapters; where chapters are one, their lineitems move."""
+    ordinal = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    title = F.concat(F.lit("第"), (ordinal % 3 + 1).cast("string"), F.lit("章"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 4).cast("int")))
+    tops = adapters.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("node_id"), ordinal.alias("ordinal"), title.alias("title"), F.lit(1).alias("start_page"), F.lit(2).alias("end_page"))
+    below = adapters.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("node_id"), "l_linenumber").join(tops.select("doc_id", "node_id"), "node_id")
+    children = below.select("doc_id", F.concat_ws(".", "node_id", F.col("l_linenumber").cast("string")).alias("node_id"), F.col("node_id").alias("parent_id"))
+    return tree.reparented(children, tree.chapters_merged(tops)).select("doc_id", "node_id", "parent_id")
+
+
 # ---- lookups
 
 
@@ -244,6 +257,22 @@ def empty_page_ocr_trigger(spark, sf):
     return adapters.needs_ocr(adapters.document_pages(spark, sf))
 
 
+@query(f"""with {LINES}, n as (select doc_id, count(*) as pages, count(*) filter (not regexp_matches(coalesce(text, ''), '[^\\s\\p{{Z}}\\x{{85}}]')) as e from pages group by doc_id),
+    sound as (select doc_id from n where not (e = pages or e > pages * 3 // 10))
+    select doc_id, page_number, text from pages where doc_id in (from sound)
+    union all select doc_id, 1, 'scan of ' || doc_id from documents where doc_id not in (from sound) and doc_id % 7 <> 0""")
+def ocr_pages(spark, sf):
+    """Documents with too little text are read from images, of which every seventh can't be."""
+
+    def recognise(image: bytes) -> str:
+        if int(image.split()[-1]) % 7 == 0:
+            raise ValueError("unreadable")
+        return image.decode()
+
+    images = adapters.table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), F.encode(F.concat(F.lit("scan of "), F.col("doc_id")), "UTF-8").alias("image"))
+    return adapters.with_ocr(adapters.document_pages(spark, sf), images, recognise)[0]
+
+
 @query(f"with {CONV} select doc_id, page_number, '【第' || page_number || '页开始】' || chr(10) || text || chr(10) || '【第' || page_number || '页结束】' || chr(10) || chr(10) as tagged from pages")
 def page_tags(spark, sf):
     return adapters.conversation_pages(spark, sf).select("doc_id", "page_number", text.page_tags("text", "page_number").alias("tagged"))
@@ -521,6 +550,15 @@ def detect_language(spark, sf):
     return found.select("doc_id", "l.code", F.round("l.confidence", 9).alias("confidence"))
 
 
+SHOWN = f"case {LANGUAGE} when 'zh' then 'Chinese (中文)' when 'ja' then 'Japanese (日本語)' when 'ko' then 'Korean (한국어)' when 'ru' then 'Russian' when 'ar' then 'Arabic' when 'hi' then 'Hindi' when 'th' then 'Thai' else 'English' end"
+
+
+@query(f"with s as (select doc_id, {CLASS.format('text')} as s from documents), c as (select doc_id, length(s)::int as total, {COUNTS} from s) select doc_id, 'items' || case when {LANGUAGE} = 'en' and {SURE} < 0.5 then '' else ' ' || {SHOWN} end || chr(10) as line from c")
+def prompt_language(spark, sf):
+    found = text.with_scripts(adapters.table(spark, sf, "documents")).select("doc_id", text.language("scripts").alias("l"))
+    return found.select("doc_id", prompts.task_line("items", "l").alias("line"))
+
+
 @query(f"with {values('v', [(x,) for x in SPOKEN], 'text')}, s as (select text, {CLASS.format('text')} as s from v), c as (select text, length(s)::int as total, {COUNTS} from s) select text, {LANGUAGE} as code, round({SURE}, 9) as confidence, case {LANGUAGE} when 'zh' then 'Chinese (中文)' when 'ja' then 'Japanese (日本語)' when 'ko' then 'Korean (한국어)' when 'ru' then 'Russian' when 'ar' then 'Arabic' when 'hi' then 'Hindi' when 'th' then 'Thai' else 'English' end as shown from c")
 def detect_language_scripts(spark, sf):
     found = text.with_scripts(literal(spark, [(x,) for x in SPOKEN], "text string")).select("text", text.language("scripts").alias("l"))
@@ -603,6 +641,15 @@ def contents_detection(spark, sf):
     return pipeline.contents_pages(two)
 
 
+@query(f"""with {TOC}, l as (select doc_id, structure, title, physical_index, structure || ' ' || title || ' ..... ' || physical_index as line from toc where title <> '' and physical_index is not null and list_index < 400)
+    select doc_id, (row_number() over (partition by doc_id order by line) - 1)::int as list_index, structure, title, physical_index as page from l""")
+def contents_listed(spark, sf):
+    """The items that a contents page of each customer's first three chapters lists."""
+    line = F.concat_ws(" ", "structure", "title", F.lit("....."), F.col("physical_index").cast("string"))
+    own = items(spark, sf).where("title <> '' and physical_index is not null and list_index < 400")
+    return pipeline.contents_items(own.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text")))
+
+
 FLAT = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
 
 

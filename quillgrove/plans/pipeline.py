@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrove.functions.jsonrepair import lenient_json, strict_json
+from quillgrove.functions.prompts import task_line
 from quillgrove.functions.text import clean_title, dots_to_colon, language, node_id, normalize_structure, page_tags, physical_index, with_scripts
 from quillgrove.operators import grouping, summaries, toc, tree
 from quillgrove.operators.provider import Provider, by_rule, complete, completed, key
@@ -53,11 +54,37 @@ def contents_modes(contents: DataFrame, provider: Provider = by_rule, calls: int
     return told.select("doc_id", F.when(given, "numbered").otherwise("unnumbered").alias("mode"))
 
 
-def contents_items(contents: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
-    """(doc_id, list_index, structure, title, page) that contents pages list."""
-    told = settled(complete(contents.select("doc_id", F.concat(F.lit("listed\n"), F.col("text")).alias("prompt")), provider, calls))
-    rows = toc.parse_items(told.select("doc_id", lenient_json("reply").alias("json")), "structure string, title string, page string")
-    return rows.select("doc_id", "list_index", normalize_structure("structure").alias("structure"), clean_title("title").alias("title"), F.col("page").try_cast("int").alias("page"))
+LISTED = "array<struct<structure: string, title: string, page: string>>"
+
+
+def contents_items(contents: DataFrame, provider: Provider = by_rule, calls: int = 20, rounds: int = 5) -> DataFrame:
+    """(doc_id, list_index, structure, title, page) that contents pages list.
+
+    The model is asked whether it has listed all, and for the rest where it hasn't, `rounds` times at
+    most. What it can't be asked is taken to be complete; a round that adds nothing is the last one.
+    """
+
+    def replies(asked: DataFrame) -> DataFrame:
+        return settled(complete(asked.select("doc_id", "prompt"), provider, calls))
+
+    def listed(told: DataFrame) -> DataFrame:
+        return told.select("doc_id", F.coalesce(F.from_json(lenient_json("reply"), LISTED), F.array().cast(LISTED)).alias("more"))
+
+    about = lambda task: F.concat(F.lit(f"{task}\n"), F.to_json("held"), F.lit("\n"), F.col("text"))
+    begun = listed(replies(contents.withColumn("prompt", F.concat(F.lit("listed\n"), F.col("text")))))
+    open_ = settled(contents.select("doc_id", "text").join(begun.withColumnRenamed("more", "held"), "doc_id"))
+    done = open_.limit(0)
+    for _ in range(rounds):
+        lacking = replies(open_.withColumn("prompt", about("complete"))).where(F.lower(F.get_json_object(lenient_json("reply"), "$.completed")) == "no").select("doc_id")
+        done = done.unionByName(open_.join(lacking, "doc_id", "left_anti"))
+        open_ = settled(open_.join(lacking, "doc_id", "left_semi"))
+        if open_.isEmpty():
+            break
+        more = settled(listed(replies(open_.withColumn("prompt", about("continue")))).where(F.size("more") > 0))
+        done = done.unionByName(open_.join(more, "doc_id", "left_anti"))
+        open_ = settled(open_.join(more, "doc_id").select("doc_id", "text", F.concat("held", "more").alias("held")))
+    rows = done.unionByName(open_).select("doc_id", F.posexplode("held").alias("list_index", "i"))
+    return rows.select("doc_id", "list_index", normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), F.col("i.page").try_cast("int").alias("page"))
 
 
 def placed_items(items: DataFrame, texts: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
@@ -92,13 +119,15 @@ def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider =
     return met.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
 
 
-def items_of(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
+def items_of(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20, spoken: DataFrame | None = None) -> DataFrame:
     """Contents items (doc_id, structure, title, list_index, page, physical_index) that a model finds in the text.
 
     A document's text is asked for in groups of pages; what later groups add is merged in order.
+    `spoken`, languages() of the documents, makes prompts name the language.
     """
     groups = grouping.balanced_groups(pages, tokens)
-    told = settled(complete(groups.select("doc_id", "group_no", F.concat(F.lit("items\n"), F.col("text")).alias("prompt")), provider, calls))
+    groups = groups if spoken is None else groups.join(spoken, "doc_id", "left")
+    told = settled(complete(groups.select("doc_id", "group_no", F.concat(task_line("items", None if spoken is None else "language"), F.col("text")).alias("prompt")), provider, calls))
     shape = "array<struct<structure: string, title: string, physical_index: string>>"
     rows = told.select("doc_id", "group_no", F.posexplode(F.from_json(lenient_json("reply"), shape)).alias("pos", "i"))
     rows = rows.select("doc_id", "group_no", (F.col("group_no") * 100_000 + F.col("pos")).cast("int").alias("list_index"), normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), physical_index("i.physical_index").alias("physical_index"))
@@ -109,8 +138,13 @@ def items_of(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_00
     return found.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
 
 
-def verified(items: DataFrame, pages: DataFrame, provider: Provider = by_rule, task: str = "appears") -> DataFrame:
-    """Adds `appears`: whether the model finds the title on its page (task starts: at its beginning); false without one."""
+def verified(items: DataFrame, pages: DataFrame, provider: Provider = by_rule, task: str = "appears", skip: bool = False) -> DataFrame:
+    """Adds `appears`: whether the model finds the title on its page (task starts: at its beginning); false without one.
+
+    With `skip` nothing is asked and all do.
+    """
+    if skip:
+        return items.withColumn("appears", F.lit(True))
     met = items.join(pages.select("doc_id", F.col("page_number").alias("physical_index"), "text"), ["doc_id", "physical_index"], "left")
     asked = met.where("text is not null").withColumn("prompt", F.concat(F.lit(f"{task}\n"), F.col("title"), F.lit("\n"), F.col("text")))
     told = settled(complete(asked.select("doc_id", "list_index", "prompt"), provider))
@@ -136,21 +170,23 @@ def headed_items(items: DataFrame, pages: DataFrame, last: DataFrame) -> DataFra
     return settled(toc.upsert_headings(own.drop("total_pages"), pages.join(own.select("doc_id").distinct(), "doc_id", "left_semi")).join(last, "doc_id"))
 
 
-def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False) -> DataFrame:
+def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False, name_language: bool = False) -> DataFrame:
     """nodes(doc_id, node_id, parent_id, ordinal, depth, structure, title, start_page, end_page, summary) of pages.
 
     Items come from contents pages with page numbers, else from contents pages without, else from the
     text. A document for which a way gives nothing goes on to the next one. So does, with `verify`, one
     with fewer than three tenths of its titles on their pages; wrong ones of the others are looked for
-    again. Documents that no way serves get a node for each page.
+    again. Documents that no way serves get a node for each page. With `name_language` the model is told
+    which language a document is in.
     """
+    spoken = settled(languages(pages)) if name_language else None
     last = settled(pages.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")))
     contents = settled(contents_text(pages, contents_pages(pages, provider, calls=calls)))
     modes = settled(contents_modes(contents, provider, calls))
     ways = {
         "numbered": lambda own: numbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), provider, calls),
         "unnumbered": lambda own: unnumbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), provider, tokens, calls),
-        "text": lambda own: items_of(own, provider, tokens, calls),
+        "text": lambda own: items_of(own, provider, tokens, calls, spoken),
     }
     done: list[DataFrame] = []
     waiting = last.join(modes, "doc_id", "left").select("doc_id", F.coalesce("mode", F.lit("text")).alias("mode"))
@@ -191,7 +227,7 @@ def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_00
     )
     own = nodes.withColumn("parent_id", F.coalesce("parent_id", node_id("doc_id", F.lit(tree.ROOT)))).select(root.columns)
     out = settled(root.unionByName(own).withColumn("summary", F.lit(None).cast("string")))
-    return settled(summaries.summarised(out, pages, provider, cache, calls, batched)) if summarise else out
+    return settled(summaries.summarised(out, pages, provider, cache, calls, batched, spoken)) if summarise else out
 
 
 def grouped_trees(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions.text import clean_text
+from quillgrove.operators.provider import with_retries
+from quillgrove.plans.lineage import settled
 
 EXTENSIONS = ("pdf", "PDF", "md", "markdown", "MD", "MARKDOWN")
 PDF_BYTES = 50 * 1024 * 1024
@@ -51,15 +53,19 @@ def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> DataFrame:
     """documents(doc_id, source_path, kind, content, problem) from files; unsupported ones have a problem, no content.
 
-    The kind comes from the extension, of which just those of EXTENSIONS are known. A PDF must begin
+    The kind comes from the extension, of which just those of EXTENSIONS are known, or of `kinds`
+    (kinds by lower-case extension) in any case. A PDF must begin
     with %PDF- and have 50 MiB at most.
     """
     extension = F.regexp_extract("path", r"\.([^./\\]+)$", 1)
     found = spark.read.format("binaryFile").load(path).select("path", "length", "content", extension.alias("ext"))
-    kind = F.when(F.col("ext").isin("pdf", "PDF"), "pdf").when(F.col("ext").isin(*EXTENSIONS), "markdown")
+    if kinds is None:
+        kind = F.when(F.col("ext").isin("pdf", "PDF"), "pdf").when(F.col("ext").isin(*EXTENSIONS), "markdown")
+    else:
+        kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.lower("ext"))
     problem = (
         F.when(kind.isNull(), F.concat(F.lit("unsupported file type: "), F.col("ext")))
         .when((kind == "pdf") & ~pdf_ok("content"), "not a PDF, or too large")
@@ -131,27 +137,96 @@ def _pypdf(content: bytes) -> list[str]:
         from pypdf import PdfReader
     except ImportError as problem:
         raise RuntimeError("reading PDF needs a reader or the package pypdf") from problem
-    return [page.extract_text() for page in PdfReader(io.BytesIO(content)).pages]
+    return [_rows(page) for page in PdfReader(io.BytesIO(content)).pages]
 
 
-def ocr_pages(docs: DataFrame, recognise) -> DataFrame:
-    """pages of image documents: recognise(bytes) gives the texts of a document's pages; an error fails the document.
+def _rows(page) -> str:
+    """A page's text by rows; as the package orders it where places can't be had."""
+    pieces: list[tuple[float, float, str]] = []
+    try:
+        page.extract_text(visitor_text=lambda text, _, place, *more: pieces.append((place[4], place[5], text)))
+        if text := by_rows(pieces):
+            return text
+    except Exception:  # noqa: BLE001  the plain order serves
+        pass
+    return page.extract_text() or ""
+
+
+def by_rows(pieces: list[tuple[float, float, str]]) -> str:
+    """Text of pieces (x, y, text): a line for each height, from the top (the largest y), pieces from the left, a space between."""
+    rows: dict[int, list[tuple[float, str]]] = {}
+    for x, y, text in pieces:
+        if text.strip():
+            rows.setdefault(round(y), []).append((x, text.strip()))
+    return "\n".join(" ".join(t for _, t in sorted(rows[y], key=lambda p: p[0])) for y in sorted(rows, reverse=True))
+
 
-    Returns doc_id, page_number, text, problem: of a document that failed one row with its problem.
+def rendered(docs: DataFrame, dpi: int = 150, renderer: Callable[[bytes, int], Iterable[bytes]] | None = None) -> DataFrame:
+    """images(doc_id, page_number, image) of PDF documents of files(), a page at a time.
+
+    renderer(bytes, dpi) gives PNG files; where none is given, pypdfium2 is used if it is installed.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = renderer or _pypdfium
         for frame in frames:
-            rows: list[tuple] = []
             for d, c in zip(frame["doc_id"], frame["content"], strict=True):
+                for k, image in enumerate(own(bytes(c), dpi)):
+                    yield pd.DataFrame({"doc_id": [d], "page_number": [k + 1], "image": [image]})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.where("kind = 'pdf' and content is not null").select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, page_number int, image binary")
+
+
+def _pypdfium(content: bytes, dpi: int) -> Iterator[bytes]:
+    import io
+
+    try:
+        import pypdfium2
+    except ImportError as problem:
+        raise RuntimeError("rendering PDF needs a renderer or the package pypdfium2") from problem
+    for page in pypdfium2.PdfDocument(content):
+        out = io.BytesIO()
+        page.render(scale=dpi / 72).to_pil().save(out, "PNG")
+        yield out.getvalue()
+
+
+def recognised(images: DataFrame, recognise: Callable[[bytes], str], calls: int = 20) -> tuple[DataFrame, DataFrame]:
+    """pages(doc_id, page_number, text) of images(doc_id, page_number, image), and problems(doc_id, problem).
+
+    A call for each page, tried again after RetryableError. A document with a page that fails gives no
+    pages but the problem of the first such page. Each image is read once: replies are settled.
+    """
+    kind = dict(images.dtypes)["doc_id"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = with_retries(lambda image: recognise(bytes(image)))
+        for frame in frames:
+            texts: list[str | None] = []
+            problems: list[str | None] = []
+            for image in frame["image"]:
                 try:
-                    rows += [(d, k + 1, text, None) for k, text in enumerate(recognise(bytes(c)))]
+                    texts.append(ask(image))
+                    problems.append(None)
                 except Exception as problem:  # noqa: BLE001  reported as the document's
-                    rows.append((d, None, None, str(problem)))
-            out = pd.DataFrame(rows, columns=["doc_id", "page_number", "text", "problem"])
-            yield out.astype({"page_number": "Int32"})
+                    texts.append(None)
+                    problems.append(f"{type(problem).__name__}: {problem}")
+            yield frame[["doc_id", "page_number"]].assign(text=texts, problem=problems)
+
+    told = settled(images.select("doc_id", "page_number", "image").repartition(calls).mapInPandas(run, f"doc_id {kind}, page_number int, text string, problem string"))
+    problems = told.where("problem is not null").groupBy("doc_id").agg(F.min_by("problem", "page_number").alias("problem"))
+    return told.join(problems, "doc_id", "left_anti").select("doc_id", "page_number", clean_text(F.coalesce("text", F.lit(""))).alias("text")), problems
+
 
-    return docs.select("doc_id", "content").mapInPandas(run, "doc_id string, page_number int, text string, problem string")
+def with_ocr(pages: DataFrame, images: DataFrame, recognise: Callable[[bytes], str], calls: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Pages, and problems, where documents that need it are read from images(doc_id, page_number, image).
+
+    Those are the ones that needs_ocr() names, and those with images but no page of text. One without
+    images keeps its pages.
+    """
+    flagged = settled(images.select("doc_id").distinct().join(needs_ocr(pages).where("not needs_ocr").select("doc_id"), "doc_id", "left_anti"))
+    read, problems = recognised(images.join(flagged, "doc_id", "left_semi"), recognise, calls)
+    return pages.join(flagged, "doc_id", "left_anti").select("doc_id", "page_number", "text").unionByName(read), problems
 
 
 def needs_ocr(pages: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Ways to find items, batches of summaries, retries, trees of any depth, and the command line."""
 
+import io
 import json
+import urllib.error
 
 import pytest
 
 from quillgrove import cli
-from quillgrove.operators import provider, summaries, tree
+from quillgrove.functions import prompts, tokens
+from quillgrove.operators import chat, provider, summaries, tree
 from quillgrove.plans import pipeline
 
 
@@ -50,6 +53,80 @@ def test_batched_summaries(spark):
     assert rows(summaries.summarised(nodes, pages, odd, batched=True), "node_id", "summary") == expected  # one by one
 
 
+def test_contents_are_asked_for_until_complete(spark):
+    """One document's entries come one at a time; of another the rest never comes; a third one can't be asked."""
+
+    def told(prompt):
+        task, _, rest = prompt.partition("\n")
+        if "broken" in rest and task == "complete":
+            raise ValueError("no")
+        held = json.loads(rest.partition("\n")[0]) if task in ("complete", "continue") else []
+        lines = rest.split("\n")[0 if task == "listed" else 1 :]
+        if task == "complete":
+            return json.dumps({"completed": "yes" if len(held) == len(lines) else "no"})
+        more = lines[len(held) : len(held) + 1] if task == "listed" or "stuck" not in rest else []
+        return json.dumps([{"structure": x.split()[0], "title": x.split()[1], "page": int(x.split()[2])} for x in more])
+
+    contents = spark.createDataFrame([(1, "1 a 3\n2 b 4\n3 c 9"), (2, "1 stuck 3\n2 d 4"), (3, "1 broken 3\n2 e 5")], "doc_id long, text string")
+    found = rows(pipeline.contents_items(contents, told), "doc_id", "list_index", "structure", "title", "page")
+    assert found == [(1, 0, "1", "a", 3), (1, 1, "2", "b", 4), (1, 2, "3", "c", 9), (2, 0, "1", "stuck", 3), (3, 0, "1", "broken", 3)]
+    assert rows(pipeline.contents_items(contents, told, rounds=1).where("doc_id = 1"), "title") == [("a",), ("b",)]
+
+
+def test_prompts_name_the_language(spark):
+    seen = lambda prompt: prompt.partition("\n")[0] if prompt.startswith("summary") else provider.by_rule(prompt)
+    pages = spark.createDataFrame([(1, 1, "第一页的正文，没有标题。"), (2, 1, "1234 5678")], "doc_id long, page_number int, text string")
+    nodes = pipeline.generate(pages, seen, summarise=True, name_language=True).where("depth = 1")
+    assert rows(nodes, "doc_id", "summary") == [(1, "summary Chinese (中文)"), (2, "summary")]
+    batched = pipeline.generate(pages, summarise=True, batched=True, name_language=True).where("depth = 1 and doc_id = 1")
+    assert batched.first().summary.startswith("第一页的正文")
+
+
+class Service:
+    """Stands for a chat completions service; `status` is what it answers with."""
+
+    def __init__(self, reply, status=200):
+        self.reply, self.status, self.asked = reply, status, []
+
+    def __call__(self, request, timeout):
+        self.asked.append(request)
+        if self.status != 200:
+            raise urllib.error.HTTPError(request.full_url, self.status, "", {}, None)
+        held = io.BytesIO(json.dumps({"choices": [{"message": {"content": self.reply}}]}).encode())
+        held.headers = {chat.LEFT: "7"}
+        return held
+
+
+def test_chat():
+    service, left = Service("fine"), []
+    ask = chat.chat("http://host/v1/", "m", "secret", opener=service)
+    ask.listeners.append(left.append)
+    assert ask("summary Chinese (中文)\nTitle\ntext") == "fine" and left == [7]
+    sent = json.loads(service.asked[0].data)
+    assert service.asked[0].full_url == "http://host/v1/chat/completions" and service.asked[0].get_header("Authorization") == "Bearer secret"
+    system, user = (m["content"] for m in sent["messages"])
+    assert system.startswith(prompts.DIRECT) and "Chinese" in system and user.endswith("Title\ntext") and user != "Title\ntext"
+    assert prompts.rendered("other\nx") == "other\nx" and not sent["stream"]
+    for status, kind in ((429, provider.RetryableError), (503, provider.RetryableError), (400, urllib.error.HTTPError)):
+        with pytest.raises(kind):
+            chat.chat("http://host", "m", opener=Service("", status))("x")
+    assert chat.recogniser("https://host", "m", opener=Service("read"))(b"png") == "read"
+    for url, model in (("host", "m"), ("http://host", "")):
+        with pytest.raises(ValueError):
+            chat.recogniser(url, model)
+
+
+def test_bpe(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    own.save(path := str(tmp_path / "t.json"))
+    texts = spark.createDataFrame([("a b c",), ("",), (None,)], "text string")
+    found = texts.select("text", tokens.bpe_count("text", path).alias("n"), tokens.bpe_truncated("text", 2, path).alias("cut")).collect()
+    assert [tuple(r) for r in found] == [("a b c", 3, "a b "), ("", 0, ""), (None, None, None)]
+
+
 def test_retries_and_cache(spark):
     def flaky(prompt):
         flaky.calls = getattr(flaky, "calls", 0) + 1

@@ -4,7 +4,7 @@ import pytest
 
 from quillgrove.operators import grouping, provider, toc, tree
 from quillgrove.plans import pipeline
-from quillgrove.sources import adapters, sinks
+from quillgrove.sources import adapters, readers, sinks
 
 
 def rows(df, *names):
@@ -97,8 +97,19 @@ def test_markdown(tmp_path, spark):
     assert len(page) == 1 and page[0].page_number == 1
     assert page[0].text.split() == ["Acme公司", "Some", "bold", "link", "text", "item", "Next"]
     assert [r.text for r in adapters.pdf_pages(found, lambda b: ["one", None]).orderBy("page_number").collect()] == ["one", ""]
-    failed = adapters.ocr_pages(found.where("kind = 'pdf' and content is not null"), lambda b: 1 // 0).first()
-    assert failed.page_number is None and failed.problem
+    images = adapters.rendered(found, 72, lambda b, dpi: [b[:4], str(dpi).encode()])
+    assert rows(images.withColumn("image", images["image"].cast("string")), "page_number", "image") == [(1, "%PDF"), (2, "72")]
+    pages, problems = adapters.recognised(images, lambda b: b.decode() if b.startswith(b"%") else 1 // 0)
+    assert pages.count() == 0 and problems.first().problem.startswith("ZeroDivisionError")
+    assert rows(adapters.recognised(images, lambda b: b.decode())[0], "page_number", "text") == [(1, "%PDF"), (2, "72")]
+    made, problems = readers.READERS.pages(spark, f"file://{tmp_path}/*.[mt][dx]*")
+    assert [r.text.split()[0] for r in made.collect()] == ["Acme公司"] and problems.count() == 1
+    own = readers.Readers().add("pdf", [".PDF"], lambda docs: adapters.pdf_pages(docs, lambda b: ["", ""]))
+    read, problems = own.pages(spark, f"file://{tmp_path}/d.pdf", lambda b: "seen " + b.decode(), lambda b, dpi: [b"1", b"2"])
+    assert rows(read, "page_number", "text") == [(1, "seen 1"), (2, "seen 2")] and problems.count() == 0
+    with pytest.raises(ValueError, match="unsupported"):
+        own.reader("md")
+    assert adapters.by_rows([(9, 700.2, "b"), (1, 699.9, "a "), (1, 650, "c"), (2, 640, " ")]) == "a b\nc"
 
 
 def test_generate_search_update(spark, tmp_path):
