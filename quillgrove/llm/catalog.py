@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrove.llm import decontaminate, html_main, jaccard_join, lattice_lm, packing, sharding, suffix_dedup, topk, toxicity, warc
+from quillgrove.llm import decontaminate, html_main, jaccard_join, lattice_lm, packing, sharding, spelling, suffix_dedup, topk, toxicity, warc
 from quillgrove.llm.store import table
 
 
@@ -50,9 +50,14 @@ def op10_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op11_letter_parity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_site_template_removal, op2_classifier_chain, op3_best_two_fit, op4_subword_lattice, op5_no_random_access,
     op6_label_propagation, op7_suffix_array_dedup, op8_positional_index, op9_chunked_records, op10_bayes_jaccard,
+    op11_letter_parity_bands,
 )
 
 _VECTORS = """
@@ -92,9 +97,40 @@ from p left join last using (payload_digest, payload_bytes)
 """
 
 
+def crc32(code_points: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 of a text of code points below 2048, given as a list: a bit at a time."""
+    octets = f"flatten(list_transform({code_points}, lambda c: case when c < 128 then [c] else [192 + (c >> 6), 128 + (c & 63)] end))"
+    bits = f"flatten(list_transform({octets}, lambda b: list_transform(range(8), lambda k: (b::bigint >> k::int) & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+def code_points(text: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda x: unicode(x))"
+
+
+OP11 = f"""
+with recursive found as (select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+each_run as (select id, run, count(*) as times from found where length(run) >= 7 group by all),
+hashed as (select run, times, {crc32(code_points("id || ':' || run"))} as h from each_run),
+cut as (select times, case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed),
+w as (select word, sum(times)::bigint as n from cut where length(word) >= 7 group by word having sum(times) >= 2),
+blank as (select word, n, left(word, k - 1) || '_' || substr(word, k + 1) as p from (select word, n, unnest(range(1, length(word) + 1)) as k from w)),
+shorter as (select distinct word, n, left(word, k - 1) || substr(word, k + 1) as p from (select word, n, unnest(range(1, length(word) + 1)) as k from w)),
+near as (select distinct a.word, b.word as other, b.n as m from blank a join blank b on a.p = b.p and a.word <> b.word
+    union all select s.word, w.word, w.n from shorter s join w on s.p = w.word union all select w.word, s.word, s.n from shorter s join w on s.p = w.word),
+best as (select word, count(*) as n_near from near group by word),
+top as (select word, other, m from near qualify row_number() over (partition by word order by m desc, other) = 1),
+formed as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 10 * w.n then other end as form, case when m >= 10 * w.n then m end as form_n
+    from w left join best on best.word = w.word left join top on top.word = w.word),
+walk as (select word, word as here, 0 as step from formed union all select walk.word, f.form, step + 1 from walk join formed f on f.word = walk.here where f.form is not null),
+ends as (select word, arg_max(here, step) as root from walk group by word)
+select f.word, form, root, n, n_near, form_n from formed f join ends using (word)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9}
+    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9, "op11_letter_parity_bands": OP11}
