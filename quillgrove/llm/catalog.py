@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrove.llm import decontaminate, html_main, jaccard_join, lattice_lm, packing, sharding, spelling, suffix_dedup, topk, toxicity, warc
+from quillgrove.llm import attribution, decontaminate, html_main, jaccard_join, lattice_lm, packing, sharding, spelling, suffix_dedup, topk, toxicity, warc
 from quillgrove.llm.store import table
 
 
@@ -54,10 +54,14 @@ def op11_letter_parity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_eager_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 QUERIES = (
     op1_site_template_removal, op2_classifier_chain, op3_best_two_fit, op4_subword_lattice, op5_no_random_access,
     op6_label_propagation, op7_suffix_array_dedup, op8_positional_index, op9_chunked_records, op10_bayes_jaccard,
-    op11_letter_parity_bands,
+    op11_letter_parity_bands, op13_eager_accumulators,
 )
 
 _VECTORS = """
@@ -128,9 +132,28 @@ select f.word, form, root, n, n_near, form_n from formed f join ends using (word
 """
 
 
+def _batch(key: str) -> str:
+    return f"(epoch_us(arrived_at) // 3600000000 + case when {crc32(code_points(f'{key}::varchar'))} % 4 = 0 then 240 else 0 end)"
+
+
+OP13 = f"""
+with c0 as (select distinct click_id as id, client_id as client, epoch_us(ts) as ts, {_batch('click_id')} as h from clicks where client_id is not null and ts is not null),
+s0 as (select sale_id, client_id as client, epoch_us(sold_at) as sold, {_batch('sale_id')} as h from sales where client_id is not null and sold_at is not null),
+edge as (select min(h) as lo, max(h) as hi from c0),
+c as (select id, client, ts, (10 * (h - lo)) // (hi - lo + 1) as b from c0, edge),
+s as (select sale_id, client, sold, greatest(0, least(9, (10 * (h - lo)) // (hi - lo + 1))) as b from s0, edge),
+mark as (select k as b, least((select max(ts) from c where b < k), (select max(sold) from s where b < k)) - 172800000000 as w from range(0, 10) t(k)
+    where (select max(ts) from c where b < k) is not null and (select max(sold) from s where b < k) is not null),
+held as (select id, client, ts from c left join mark using (b) where w is null or ts >= w),
+ends as (select s.*, coalesce(sold < w, false) as late, case when coalesce(sold < w, false) then b else coalesce((select min(m.b) from mark m where m.b > s.b and s.sold < m.w), 10) end as batch from s left join mark using (b)),
+met as (select sale_id, count(*) as n, arg_min(id, (-ts, id)) as best from ends join held on held.client = ends.client and not late and ts between sold - 604800000000 and sold group by sale_id)
+select sale_id, batch::integer as batch, late, best as click_id, coalesce(n, 0)::bigint as n_clicks from ends left join met using (sale_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9, "op11_letter_parity_bands": OP11}
+    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9, "op11_letter_parity_bands": OP11, "op13_eager_accumulators": OP13}
