@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrove.llm import attribution, decontaminate, html_main, jaccard_join, lattice_lm, packing, sharding, spelling, suffix_dedup, topk, toxicity, warc
+from quillgrove.llm import attribution, decontaminate, html_main, jaccard_join, lattice_lm, license_scan, packing, sharding, spelling, suffix_dedup, topk, toxicity, warc
 from quillgrove.llm.store import table
 
 
@@ -54,6 +54,10 @@ def op11_letter_parity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_eager_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
@@ -61,7 +65,7 @@ def op13_eager_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_site_template_removal, op2_classifier_chain, op3_best_two_fit, op4_subword_lattice, op5_no_random_access,
     op6_label_propagation, op7_suffix_array_dedup, op8_positional_index, op9_chunked_records, op10_bayes_jaccard,
-    op11_letter_parity_bands, op13_eager_accumulators,
+    op11_letter_parity_bands, op12_license_containment, op13_eager_accumulators,
 )
 
 _VECTORS = """
@@ -151,9 +155,33 @@ select sale_id, batch::integer as batch, late, best as click_id, coalesce(n, 0):
 """
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Counts the shared tokens of every block and template, without any filter.
+OP12 = f"""
+with doc as (select row_number() over () as row, doc_id, {_WORDS.format('text')} as w from documents),
+phrase as (select label, string_split(p, ' ') as p from (values {', '.join(f'({_text(p)}, {_text(x)})' for p, x in license_scan.PHRASES.items())}) t(p, label)),
+base as (select row, label, k - 1 as start from (select row, w, unnest(range(1, len(w) + 1)) as k from doc where list_contains(w, 'by') or list_contains(w, 'public') or list_contains(w, 'rights')), phrase where w[k] = p[1] and list_slice(w, k, k + len(p) - 1) = p),
+template as (select template, label, {_WORDS.format('t')} as w from (values {', '.join(f'({k}, {_text(x)}, {_text(t)})' for k, (x, t) in enumerate(license_scan.TEMPLATES))}) t(template, label, t)),
+token as (select template, label, len(w) as span, len(list_distinct(w)) as size, ceil(len(list_distinct(w)) * {license_scan.THRESHOLD} - 1e-9) as need, unnest(list_distinct(w)) as token from template),
+place as (select row, k - 1 as pos, w[k] as token from (select row, w, unnest(range(1, len(w) + 1)) as k from doc)),
+block as (select row, template, any_value(label) as label, any_value(size) as size, any_value(need) as need, unnest([pos // span, pos // span - 1]) as block, token from place join token using (token) group by row, template, block, token),
+held as (select row, template, any_value(label) as label, count(distinct token) / any_value(size) as share from block where block >= 0 group by row, template, block having count(distinct token) >= any_value(need)),
+b as (select row, count(*) as n_base, min(start) as first_word, max(start) as last_word, list(distinct label) as labels from base group by row),
+h as (select row, list(distinct label) as labels, max(share) as share from held group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+    array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(h.labels, [])))), ',') as labels,
+    case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from doc left join b using (row) left join h using (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9, "op11_letter_parity_bands": OP11, "op13_eager_accumulators": OP13}
+    return {"op5_no_random_access": OP5, "op8_positional_index": OP8, "op9_chunked_records": OP9, "op11_letter_parity_bands": OP11, "op12_license_containment": OP12, "op13_eager_accumulators": OP13}
