@@ -85,7 +85,8 @@ def by_rule(prompt: str) -> str:
 
     contents: whether at least three lines end in leaders or a number; numbered: whether most lines of
     a contents page end in a number; listed: its items; complete: yes, as those are all; place: the page that holds each of the items in
-    the first line; appears: whether the first line of the matter occurs in the rest; starts: whether the
+    the first line; locate: the same list as in the first line, with the pages that it lacks and the text
+    has; more: items, those that the first line holds left out; appears: whether the first line of the matter occurs in the rest; starts: whether the
     rest begins with it; summary: the first sentence; summaries: that of each of several nodes;
     structure: a node for each heading, or one for the text; items: the headings; search: all nodes that
     share words with the query, those that share the most first.
@@ -107,6 +108,15 @@ def by_rule(prompt: str) -> str:
         pages = [(int(n), _flat(body)) for n, body in re.findall(r"【第(\d+)页开始】(.*?)【第\d+页结束】", text, re.S)]
         at = lambda title: next((n for n, body in pages if title and title in body), None)
         return json.dumps([{**x, "physical_index": f"<physical_index_{n}>"} for x in json.loads(items) if (n := at(_flat(x.get("title") or ""))) is not None], ensure_ascii=False)
+    if task == "locate":
+        items, _, text = matter.partition("\n")
+        pages = [(int(n), _flat(body)) for n, body in re.findall(r"【第(\d+)页开始】(.*?)【第\d+页结束】", text, re.S)]
+        at = lambda x: x.get("physical_index") or next((n for n, body in pages if _flat(x.get("title") or "") and _flat(x["title"]) in body), None)
+        return json.dumps([{**x, "physical_index": at(x)} for x in json.loads(items)], ensure_ascii=False)
+    if task == "more":
+        held, _, text = matter.partition("\n")
+        known = {x.get("title") for x in json.loads(held)}
+        return json.dumps([x for x in json.loads(_structure(text, "items")) if x["title"] not in known], ensure_ascii=False)
     if task in ("appears", "starts"):
         title, _, text = matter.partition("\n")
         found = _flat(text).startswith(_flat(title)) if task == "starts" else _flat(title) in _flat(text)
@@ -123,6 +133,9 @@ def by_rule(prompt: str) -> str:
     return ""
 
 
+#: Rules need no network: they may be applied in whatever partitions there are.
+by_rule.local = True
+
 MARK = re.compile(r"【第(\d+)页开始】")
 #: A line of a contents page: code, title and, after leaders, a colon or spaces, a page.
 LISTED = re.compile(r"\s*(\d+(?:\.\d+)*)[.)]?\s+(\S.*?)(?:(?:\s*[:：]\s*|\s*\.{3,}\s*|\s+)(\d+))?\s*$")
@@ -171,40 +184,37 @@ def key(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(col(p) for p in parts)), 256)
 
 
-def complete(requests: DataFrame, provider: Provider = by_rule, calls: int = 20, prompt: str = "prompt", attempts: int = 5, rate: float | None = None) -> DataFrame:
-    """Adds `reply` and `problem` to requests: one call for each row; a call that fails has its problem, and no reply.
+def complete(requests: DataFrame, provider: Provider = by_rule, calls: int | None = 20, prompt: str = "prompt", attempts: int = 5) -> DataFrame:
+    """Adds `reply`, `problem` and `left` to requests: one call for each row; a call that fails has its problem, and no reply.
 
-    There are as many partitions as calls may be under way. A call that fails with RetryableError is
-    tried `attempts` times more. `rate` is the calls a second of all partitions together; without one
-    they are not limited.
+    There are as many partitions as calls may be under way; with None those that there are. A call that
+    fails with RetryableError is tried `attempts` times more. `left` is how many calls the service said
+    were left, null where it didn't.
     """
     names = requests.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), "reply string", "problem string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields), "reply string", "problem string", "left int"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = Limiter(rate / calls) if rate else None
-        if limiter and hasattr(provider, "listeners"):
-            provider.listeners.append(lambda left: limiter.left(left // calls))
-
-        def limited(text: str) -> str:
-            if limiter:
-                limiter.take()
-            return provider(text)
-
-        ask = with_retries(limited, attempts)
+        heard: list[int] = []
+        if hasattr(provider, "listeners"):
+            provider.listeners.append(heard.append)
+        ask = with_retries(provider, attempts)
         for frame in frames:
             replies: list[str | None] = []
             problems: list[str | None] = []
+            left: list[int | None] = []
             for text in frame[prompt]:
+                heard.clear()
                 try:
                     replies.append(ask(text))
                     problems.append(None)
                 except Exception as problem:  # noqa: BLE001  reported as the row's
                     replies.append(None)
                     problems.append(f"{type(problem).__name__}: {problem}")
-            yield frame[names].assign(reply=replies, problem=problems)
+                left.append(heard[-1] if heard else None)
+            yield frame[names].assign(reply=replies, problem=problems, left=pd.array(left, "Int32"))
 
-    return requests.repartition(calls).mapInPandas(run, schema)
+    return (requests if calls is None else requests.repartition(calls)).mapInPandas(run, schema)
 
 
 def completed(requests: DataFrame, cache: DataFrame | None = None, provider: Provider = by_rule, now: float | None = None, keep: float = 3600.0, calls: int = 20) -> DataFrame:
@@ -218,7 +228,7 @@ def completed(requests: DataFrame, cache: DataFrame | None = None, provider: Pro
         valid = latest(cache if now is None else cache.where(F.col("at") >= F.lit(now - keep)))
         hits = requests.join(valid.select("key", "reply"), "key").withColumns({"problem": F.lit(None).cast("string"), "cached": F.lit(True)})
         fresh = requests.join(valid.select("key"), "key", "left_anti")
-    asked = complete(fresh.select("key", "prompt").dropDuplicates(["key"]), provider, calls).drop("prompt")
+    asked = complete(fresh.select("key", "prompt").dropDuplicates(["key"]), provider, calls).drop("prompt", "left")
     made = fresh.join(asked, "key").withColumn("cached", F.lit(False))
     return made if hits is None else made.unionByName(hits.select(made.columns))
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrove.functions.text import HEADING, col, normalize_structure, normalize_title, page_tags, strip, titles_match
+from quillgrove.functions.text import HEADING, bounded_distance, col, digit_changes, normalize_structure, normalize_title, page_tags, strip, titles_match
 
 
 def valid_items(items: DataFrame) -> DataFrame:
@@ -32,34 +32,67 @@ def toc_run(verdicts: DataFrame, limit: int = 20) -> DataFrame:
     return first.where("run = first").select("doc_id", "page")
 
 
+#: Edits that two titles may be apart, and the pieces that a title is cut into: one more, so that edits leave one whole.
+EDITS, PIECES = 3, 4
+
+
+def near_keys(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(doc_id, k, key): different titles of left(doc_id, k) and right(doc_id, key) that titles_match()'s loose rule takes for one.
+
+    Three edits leave one of four pieces of a title as it is. So a title meets those that have one of its
+    pieces near the piece's place: a hash join on document, length, piece and text, in place of comparing
+    all titles of a document. Both sides are taken once for each document and title.
+    """
+    one, other = left.select("doc_id", "k").distinct(), right.select("doc_id", "key").distinct()
+    # Piece i of a title of n characters: n div 4 of them, one more in the last n mod 4 pieces.
+    size = lambda n, i: F.floor(n / PIECES).cast("int") + F.when(i >= PIECES - n % PIECES, 1).otherwise(0)
+    begin = lambda n, i: i * F.floor(n / PIECES).cast("int") + F.greatest(F.lit(0), i - (PIECES - n % PIECES))
+    n, i = F.col("n"), F.col("i")
+    pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
+    cut = one.select("doc_id", "k", F.length("k").alias("n"), pieces.alias("i")).select("doc_id", "k", "n", "i", F.col("k").substr(begin(n, i) + 1, size(n, i)).alias("piece"))
+    lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("key") - EDITS), F.length("key") + EDITS))
+    wide = other.select("doc_id", "key", F.length("key").alias("m"), lengths.alias("n")).select("*", pieces.alias("i"))
+    # A piece moves by the edits before it at most, and by those after it when counted from the end.
+    grown = F.col("m") - n
+    low = F.greatest(F.lit(0), begin(n, i) - i, begin(n, i) + grown - (EDITS - i))
+    high = F.least(F.col("m") - size(n, i), begin(n, i) + i, begin(n, i) + grown + (EDITS - i))
+    places = wide.withColumns({"low": low, "high": high}).where("low <= high").select("doc_id", "key", "n", "i", F.explode(F.sequence("low", "high")).alias("at"))
+    parts = places.select("doc_id", "key", "n", "i", F.col("key").substr(F.col("at") + 1, size(n, i)).alias("piece")).distinct()
+    met = cut.join(parts, ["doc_id", "n", "i", "piece"]).where(F.col("k") != F.col("key")).select("doc_id", "k", "key").distinct()
+    return met.where((bounded_distance("k", "key", EDITS) <= EDITS) & (digit_changes("k", "key") <= 1))
+
+
 def title_pairs(physical: DataFrame, logical: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(doc_id, title, page, physical_index): for each item with a physical index the first with a logical page and its title.
 
     Both sides: (doc_id, title, list_index, and the one or the other page). Equal titles meet by a
-    hash join; titles of up to four characters, which may differ a little, in a join of their own.
+    hash join; those that may differ a little (of up to four characters, or all with `fuzzy`) by their
+    pieces, see near_keys().
     """
     left = physical.where("physical_index is not null").select("doc_id", F.col("title").alias("own"), F.col("list_index").alias("nth"), "physical_index").withColumn("key", normalize_title("own"))
     right = logical.where("page is not null").select("doc_id", "title", "list_index", "page").withColumn("key", normalize_title("title"))
     met = left.join(right, ["doc_id", "key"]).select("doc_id", "own", "nth", "physical_index", "title", "list_index", "page")
     near = left if fuzzy else left.where(F.length("key") <= 4)
     other = right if fuzzy else right.where(F.length("key") <= 4)
-    loose = near.withColumnRenamed("key", "k").join(other, "doc_id").where((F.col("k") != F.col("key")) & titles_match("own", "title", fuzzy))
+    keys = near_keys(near.select("doc_id", F.col("key").alias("k")), other)
+    loose = near.withColumnRenamed("key", "k").join(keys, ["doc_id", "k"]).join(other, ["doc_id", "key"])
+    loose = loose if fuzzy else loose.where(titles_match("own", "title"))
     both = met.unionByName(loose.select(met.columns))
     first = F.row_number().over(Window.partitionBy("doc_id", "nth").orderBy("list_index"))
     return both.withColumn("first", first).where("first = 1").select("doc_id", "title", "page", "physical_index")
 
 
 def page_offsets(pairs: DataFrame, total_pages: Column | int) -> DataFrame:
-    """(doc_id, pairs, median_offset, mode_offset, page_offset) of title pairs.
+    """(doc_id, pairs, median_offset, mode_offset, page_offset) of title pairs; total_pages is a number, or a column of each document's own.
 
     The offset is the median difference, of three pairs at least, unless it is more than half the
     pages; else the commonest, the smallest of equally common ones. The mean of the middle two is
     cut towards 0.
     """
     differences = F.sort_array(F.collect_list(F.col("physical_index") - F.col("page")))
-    found = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("pairs"), differences.alias("d"), F.mode(F.col("physical_index") - F.col("page"), True).alias("mode_offset"))
+    found = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("pairs"), differences.alias("d"), F.mode(F.col("physical_index") - F.col("page"), True).alias("mode_offset"), F.max(total_pages if isinstance(total_pages, Column) else F.lit(total_pages)).alias("total"))
     median = F.expr("if(pairs % 2 = 1, d[int(pairs div 2)], cast((d[int(greatest(pairs div 2, 1)) - 1] + d[int(least(pairs div 2, pairs - 1))]) div 2 as int))")
-    own = F.when((F.col("pairs") >= 3) & (F.abs(median) <= F.floor((total_pages if isinstance(total_pages, Column) else F.lit(total_pages)) / 2)), median)
+    own = F.when((F.col("pairs") >= 3) & (F.abs(median) <= F.floor(F.col("total") / 2)), median)
     return found.withColumn("median_offset", own.cast("int")).select("doc_id", "pairs", "median_offset", "mode_offset", F.coalesce("median_offset", "mode_offset").alias("page_offset"))
 
 
@@ -140,11 +173,9 @@ def end_pages(items: DataFrame, total_pages: Column | int, ties: tuple[str, ...]
     Of several items on a page all but the last end there. Items without a page have no end.
     """
     ranked = sorted_rank(items, ties)
-    after = Window.partitionBy("doc_id").orderBy("physical_index").rangeBetween(1, Window.unboundedFollowing)
-    following = F.min("physical_index").over(after)
     beside = F.lead("physical_index").over(Window.partitionBy("doc_id").orderBy("nth"))
     last = total_pages if isinstance(total_pages, Column) else F.lit(total_pages)
-    end = F.when(beside == F.col("physical_index"), F.col("physical_index")).otherwise(F.coalesce(following, last))
+    end = F.when(beside == F.col("physical_index"), F.col("physical_index")).otherwise(F.coalesce(beside, last))
     return ranked.withColumn("end_page", F.when(F.col("physical_index").isNotNull(), end))
 
 
@@ -169,16 +200,19 @@ def neighbour_bounds(items: DataFrame, first: Column | int = 0, last: Column | i
     value = F.col("physical_index") if known is None else F.when(known, F.col("physical_index"))
     own = Window.partitionBy("doc_id").orderBy("list_index")
     before = F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(value, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("doc_id").orderBy(F.desc("list_index"))  # backwards, as a frame up to the end is read anew for each row
+    after = F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return items.withColumns({"before": F.coalesce(before, as_column(first)), "after": F.coalesce(after, as_column(last)) if last is not None else after})
 
 
-def last_index(items: DataFrame, pages: int) -> DataFrame:
+def last_index(items: DataFrame, pages: Column | int) -> DataFrame:
     """(doc_id, last_index, verify): the last known physical index in the list; verification needs it to reach half the pages."""
-    found = items.where("physical_index is not null").groupBy("doc_id").agg(F.max_by("physical_index", "list_index").alias("last_index"))
-    every = items.select("doc_id").distinct().join(found, "doc_id", "left").fillna(0, ["last_index"])
-    return every.withColumn("verify", (F.col("last_index") > 0) & (F.col("last_index") >= F.lit(pages) / 2))
+    known = F.col("physical_index").isNotNull()
+    total = F.max(pages if isinstance(pages, Column) else F.lit(pages)).alias("total")
+    found = items.groupBy("doc_id").agg(F.max(F.when(known, F.struct("list_index", "physical_index"))).alias("m"), total)
+    every = found.select("doc_id", F.coalesce("m.physical_index", F.lit(0)).alias("last_index"), "total")
+    return every.withColumn("verify", (F.col("last_index") > 0) & (F.col("last_index") >= F.col("total") / 2)).drop("total")
 
 
 def accuracy(verdicts: DataFrame, least: float = 0.5, warn: float = 0.3) -> DataFrame:

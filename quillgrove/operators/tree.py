@@ -7,9 +7,7 @@ prefix of the code.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions.text import chapter_number, is_chapter_title, node_id, parent_structure
@@ -98,26 +96,42 @@ def built(items: DataFrame, total_pages: int, ties: tuple[str, ...] = ()) -> Dat
     return linked(with_ancestors(ranged))
 
 
-def roots(nodes: DataFrame, total_pages: int) -> DataFrame:
-    """(doc_id, title, start_page, end_page, wrapped): a document's root.
+def roots(nodes: DataFrame, total_pages: Column | int) -> DataFrame:
+    """(doc_id, title, start_page, end_page, wrapped): a document's root; total_pages is a number, or a column of nodes.
 
     Several top nodes, or one that is a chapter, are wrapped in one over all pages; another single
     one is the root itself, and ends where its subtree does.
     """
     deepest = nodes.groupBy("doc_id").agg(F.max("end_page").alias("last"))
     top = nodes.where("depth = 1").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("start_page").alias("start"), F.max("end_page").alias("end"), F.first("title").alias("title")
-    )
+        F.count(F.lit(1)).alias("n"), F.min("start_page").alias("start"), F.max("end_page").alias("end"), F.first("title").alias("title"),
+        F.max(total_pages if isinstance(total_pages, Column) else F.lit(total_pages)).alias("total"),
+    )
     wrapped = (F.col("n") > 1) | is_chapter_title("title")
     return top.join(deepest, "doc_id").select(
         "doc_id",
         F.when(wrapped, ROOT).otherwise(F.col("title")).alias("title"),
         F.when(wrapped, F.least(F.lit(1), F.col("start"))).otherwise(F.col("start")).alias("start_page"),
-        F.when(wrapped, F.greatest(F.lit(total_pages), F.col("end"))).otherwise(F.col("last")).alias("end_page"),
+        F.when(wrapped, F.greatest("total", "end")).otherwise(F.col("last")).alias("end_page"),
         wrapped.alias("wrapped"),
     )
 
 
+def rooted(nodes: DataFrame, last: DataFrame) -> DataFrame:
+    """Nodes of documents with their root, chosen as roots() does; last(doc_id, total_pages). A single node that is the root stands at depth 0."""
+    columns = ["doc_id", "node_id", "parent_id", "ordinal", "depth", "structure", "title", "start_page", "end_page"]
+    chosen = settled(roots(nodes.join(last, "doc_id"), F.col("total_pages")))
+    root_id = node_id("doc_id", F.lit(ROOT))
+    top = chosen.where("wrapped").select("doc_id", root_id.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.lit("").alias("structure"), "title", "start_page", "end_page")
+    own = nodes.join(chosen.select("doc_id", "wrapped", F.col("end_page").alias("last")), "doc_id")
+    alone = ~F.col("wrapped") & (F.col("depth") == 1)
+    own = own.withColumns({
+        "parent_id": F.when(F.col("wrapped"), F.coalesce("parent_id", root_id)).otherwise(F.col("parent_id")), "end_page": F.when(alone, F.col("last")).otherwise(F.col("end_page")),
+        "depth": F.when(F.col("wrapped"), F.col("depth")).otherwise(F.col("depth") - 1),
+    })
+    return top.unionByName(own.select(columns))
+
+
 def flat(items: DataFrame, total_pages: int) -> DataFrame:
     """Every item under one root: (doc_id, ordinal, title, start_page, end_page); ordinal 0 is the root."""
     own = items.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("nth")).alias("ordinal"), "title", F.col("physical_index").alias("start_page"), "end_page")
@@ -146,6 +160,24 @@ def reparented(children: DataFrame, merged: DataFrame) -> DataFrame:
     return children.join(to, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.coalesce("into", "parent_id")).drop("into")
 
 
+def chapters_joined(nodes: DataFrame) -> DataFrame:
+    """Nodes (as linked() makes them, with `size`) where top nodes of one chapter number are one, with the children of all.
+
+    Its range is that of the leaves below it, so of those that had children if any had; else that of all.
+    """
+    tops = nodes.where("depth = 1")
+    merged = settled(chapters_merged(tops).select("doc_id", "node_id", "into"))
+    parent = F.col("size") > 1
+    ranges = tops.join(merged, ["doc_id", "node_id"]).groupBy("doc_id", F.col("into").alias("node_id")).agg(
+        F.coalesce(F.min(F.when(parent, F.col("start_page"))), F.min("start_page")).alias("start_page"), F.coalesce(F.max(F.when(parent, F.col("end_page"))), F.max("end_page")).alias("end_page"),
+        (F.sum("size") - F.count(F.lit(1)) + 1).alias("size"),
+    )
+    kept = tops.drop("start_page", "end_page", "size").join(ranges, ["doc_id", "node_id"])
+    below = reparented(nodes.where("depth > 1"), merged)
+    beside = Window.partitionBy("doc_id", "parent_id").orderBy("start_page", F.length("structure"), "structure")
+    return kept.select(nodes.columns).unionByName(below.select(nodes.columns)).withColumn("ordinal", F.row_number().over(beside))
+
+
 def overlapping(nodes: DataFrame, ranges: DataFrame, span: int = SPAN) -> DataFrame:
     """Nodes and the ranges(range_id, doc_id, first_page, last_page) that they share a page with, both ends included.
 
@@ -180,24 +212,63 @@ def looked_up(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("query_id", rank.alias("rank"), "node_id", "title", "start_page", "end_page")
 
 
+NO_ROOT = "some nodes belong to no root"
+
+
 def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Nodes with `level` (0 for a root), `top` (the ancestor below the root, or the node itself at level 0 and 1) and `leaf`.
 
-    Trees of any depth: a join for each level that there is. A node that no root leads to is an error.
+    Trees of any depth, by pointer doubling: each node points at an ancestor some way up, and in a round
+    takes over that one's pointer, so a depth of d takes log2(d) joins. Pointers end at the nodes below
+    the roots. A node that no root leads to, in a cycle or below a missing one, is an error.
+    """
+    own = settled(nodes.select(key, "node_id", "parent_id"))
+    is_root = F.col("parent_id").isNull()
+    top = own.where(is_root).select(key, F.col("node_id").alias("parent_id"), F.lit(True).alias("below_root"))
+    met = own.where(~is_root).join(top, [key, "parent_id"], "left")
+    done = F.coalesce("below_root", F.lit(False))
+    state = settled(met.select(key, "node_id", F.when(done, F.col("node_id")).otherwise(F.col("parent_id")).alias("up"), F.when(done, 0).otherwise(1).alias("way"), done.alias("done")))
+    most = state.count()
+    for k in range(most.bit_length() + 1):
+        open_ = state.where("not done")
+        if open_.isEmpty():
+            break
+        if k == most.bit_length() or not open_.where("up = node_id").isEmpty():
+            raise ValueError(f"{NO_ROOT}: {[tuple(r) for r in open_.select(key, 'node_id').limit(3).collect()]}")
+        on = state.select(key, F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("way").alias("more"), F.col("done").alias("there"))
+        moved = open_.join(on, [key, "up"], "left").select(key, "node_id", F.coalesce("further", "up").alias("up"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("there", F.lit(False)).alias("done"))
+        state = settled(state.where("done").unionByName(moved))
+    inner = own.where(~is_root).select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    placed = state.select(key, "node_id", (F.col("way") + 1).alias("level"), F.col("up").alias("top"))
+    met = nodes.join(placed, [key, "node_id"], "left").join(inner, [key, "node_id"], "left")
+    out = met.withColumns({"level": F.coalesce("level", F.lit(0)), "top": F.coalesce("top", "node_id"), "leaf": F.col("inner").isNull()})
+    return settled(out.drop("inner"))
+
+
+def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, node_id, size, start_page, end_page): a node's subtree, and the range of the leaves in it; trees without codes, of any depth.
+
+    By pointer doubling: after round k a node holds what the nodes less than 2^k steps below it add up
+    to, and knows its ancestor 2^k steps up, which it passes that on to. A depth of d takes log2(d)
+    rounds of as many rows as there are nodes. A cycle is an error.
     """
-    below = nodes.where("parent_id is not null").select(key, F.col("node_id"), "parent_id")
-    level = settled(nodes.where("parent_id is null").select(key, "node_id", F.lit(0).alias("level"), F.col("node_id").alias("top")))
-    every = level
-    while not level.isEmpty():
-        above = level.select(key, F.col("node_id").alias("parent_id"), "top", "level")
-        top = F.when(F.col("level") == 0, F.col("node_id")).otherwise(F.col("top"))
-        level = settled(below.join(above, [key, "parent_id"]).select(key, "node_id", (F.col("level") + 1).alias("level"), top.alias("top")))
-        every = every.unionByName(level)
-    inner = below.select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
-    met = settled(nodes.join(every, [key, "node_id"], "left").join(inner, [key, "node_id"], "left"))
-    if not met.where("level is null").isEmpty():
-        raise ValueError("some nodes belong to no root")
-    return met.withColumn("leaf", F.col("inner").isNull()).drop("inner")
+    own = settled(nodes.select(key, "node_id", "parent_id", "start_page", "end_page"))
+    inner = own.where("parent_id is not null").select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    leaf = F.col("inner").isNull()
+    held = settled(own.join(inner, [key, "node_id"], "left").select(key, "node_id", F.lit(1).cast("long").alias("size"), F.when(leaf, F.col("start_page")).alias("start_page"), F.when(leaf, F.col("end_page")).alias("end_page")))
+    up = settled(own.where("parent_id is not null").select(key, "node_id", F.col("parent_id").alias("up")))
+    most = up.count().bit_length()
+    for k in range(most + 2):
+        if up.isEmpty():
+            break
+        if k > most or not up.where("up = node_id").isEmpty():
+            raise ValueError(f"{NO_ROOT}: {[tuple(r) for r in up.select(key, 'node_id').limit(3).collect()]}")
+        passed = held.join(up, [key, "node_id"]).groupBy(key, F.col("up").alias("node_id")).agg(F.sum("size").alias("more"), F.min("start_page").alias("low"), F.max("end_page").alias("high"))
+        met = held.join(passed, [key, "node_id"], "left")
+        held = settled(met.select(key, "node_id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.least("start_page", "low").alias("start_page"), F.greatest("end_page", "high").alias("end_page")))
+        on = up.select(key, F.col("node_id").alias("up"), F.col("up").alias("further"))
+        up = settled(up.join(on, [key, "up"]).select(key, "node_id", F.col("further").alias("up")))
+    return held
 
 
 def appended(nodes: DataFrame, trees: DataFrame, other_nodes: DataFrame, other_trees: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,13 +361,28 @@ def as_json(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tree")
 
 
-def from_json(trees: dict | str, doc_id: int) -> list[tuple]:
-    """Rows (doc_id, node_id, parent_id, ordinal, title, start_page, end_page, summary) of a tree's JSON."""
-    rows: list[tuple] = []
-    stack = [(json.loads(trees) if isinstance(trees, str) else trees, None, 1)]
-    while stack:
-        node, parent, ordinal = stack.pop()
-        rows.append((doc_id, node["node_id"], parent, ordinal, node["title"], node["start_page"], node["end_page"], node.get("summary")))
-        stack += [(c, node["node_id"], k + 1) for k, c in enumerate(node.get("children") or [])]
-    return rows
+def from_json(trees: DataFrame) -> DataFrame:
+    """Nodes (doc_id, node_id, parent_id, ordinal, depth, title, start_page, end_page, summary) of trees(doc_id, tree), JSON as as_json() writes it.
 
+    The JSON becomes a variant, of which each round takes out the children of one level, in all
+    documents at once. Text that is no JSON is an error; a null tree has no nodes.
+    """
+    one = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
+    level = settled(trees.where("tree is not null").select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.parse_json("tree").alias("v")))
+    out: DataFrame | None = None
+    depth = 0
+    while out is None or not level.isEmpty():
+        rows = level.select("doc_id", one("node_id", "string"), "parent_id", "ordinal", F.lit(depth).alias("depth"), one("title", "string"), one("start_page", "int"), one("end_page", "int"), one("summary", "string"))
+        out = rows if out is None else out.unionByName(rows)
+        inside = level.select("doc_id", one("node_id", "string"), F.try_variant_get("v", "$.children", "variant").alias("c")).where("c is not null")
+        children = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("c").outer()))
+        level = settled(children.select("doc_id", F.col("node_id").alias("parent_id"), (F.col("pos") + 1).alias("ordinal"), F.col("value").alias("v")))
+        depth += 1
+    return out
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes of the index files of a folder: each file one JSON object {"root": tree, ...}, or a tree itself; doc_id is the file's path."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.parse_json("value").alias("v"))
+    root = F.coalesce(F.to_json(F.try_variant_get("v", "$.root", "variant")), F.to_json("v"))
+    return from_json(text.select("doc_id", root.alias("tree")))

@@ -621,11 +621,6 @@ def json_repair(spark, sf):
     return literal(spark, [(x,) for x in BROKEN], "reply string").select("reply", jsonrepair.strict_json("reply").alias("strict"), jsonrepair.lenient_json("reply").alias("lenient"))
 
 
-@query()
-def text_chunks(spark, sf):
-    return grouping.text_chunks(adapters.table(spark, sf, "documents"), 300)
-
-
 @query()
 def summary_batches(spark, sf):
     own = nodes(spark, sf).where("depth = 2").select("doc_id", "node_id", ((F.col("end_page") - F.col("start_page") + 1) * 900).alias("tokens"))
@@ -662,27 +657,4 @@ def title_appearance(spark, sf):
     return pipeline.verified(own, pages).select("doc_id", "list_index", "title", "physical_index", "appears")
 
 
-@query()
-def generate_tree(spark, sf):
-    return pipeline.generate(adapters.conversation_pages(spark, sf), tokens=400, verify=True, summarise=True)
-
-
-@query()
-def update_tree(spark, sf):
-    pages = adapters.conversation_pages(spark, sf)
-    made = pipeline.grouped_trees(pages, tokens=200).withColumnRenamed("doc_id", "tree_id")
-    trees = pages.groupBy(F.col("doc_id").alias("tree_id")).agg(F.count(F.lit(1)).cast("int").alias("total_pages"), F.lit("first").alias("document_info"), F.lit(0).alias("version"))
-    return pipeline.update(made, trees, pages, tokens=300)[0]
-
-
-@query()
-def search_answers(spark, sf):
-    pages = adapters.conversation_pages(spark, sf)
-    own = pipeline.generate(pages, tokens=400, summarise=True)
-    asked = pages.where("page_number = 1").select(F.col("doc_id").cast("string").alias("query_id"), "doc_id", F.regexp_replace("text", "\\n", " ").alias("query"))
-    return pipeline.search(asked, own)[1]
-
-
-@query()
-def tree_json(spark, sf):
-    return tree.as_json(pipeline.generate(adapters.conversation_pages(spark, sf), tokens=400))
+from quillgrove.plans import model_catalog  # noqa: E402, F401  adds its queries

@@ -1,15 +1,23 @@
-"""generate, update and search over many documents at once."""
+"""generate, update and search over many documents at once.
+
+Every step asks through a Model, given as such or as a plain provider: what fails is asked for again,
+and what stays failed is in the model's problems (strict: an error), while the document goes on with
+what it has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions.jsonrepair import lenient_json, strict_json
 from quillgrove.functions.prompts import task_line
 from quillgrove.functions.text import clean_title, dots_to_colon, language, node_id, normalize_structure, page_tags, physical_index, with_scripts
 from quillgrove.operators import grouping, summaries, toc, tree
-from quillgrove.operators.provider import Provider, by_rule, complete, completed, key
+from quillgrove.operators.model import Model
+from quillgrove.operators.provider import Provider, by_rule
 from quillgrove.plans.lineage import settled
 
 SAMPLE_PAGES, SAMPLE_CHARACTERS = 20, 2000
@@ -20,17 +28,18 @@ def languages(pages: DataFrame) -> DataFrame:
     return with_scripts(grouping.full_text(pages), "text", SAMPLE_CHARACTERS).select("doc_id", language("scripts").alias("language"))
 
 
-def contents_pages(pages: DataFrame, provider: Provider = by_rule, limit: int = SAMPLE_PAGES, calls: int = 20) -> DataFrame:
+def contents_pages(pages: DataFrame, provider: Provider | Model = by_rule, limit: int = SAMPLE_PAGES, calls: int = 20) -> DataFrame:
     """(doc_id, page) of the first run of contents pages; what the model can't be asked has no verdict.
 
     The first `limit` pages are asked about; the others only where the run reaches that far.
     """
+    model = Model.of(provider, calls)
 
     def verdicts(own: DataFrame) -> DataFrame:
         asked = own.withColumn("prompt", F.concat(F.lit("contents\n"), F.col("text")))
-        told = complete(asked.select("doc_id", "page", "prompt"), provider, calls)
+        told = model.ask(asked.select("doc_id", "page", "prompt"), "contents")
         verdict = F.lower(F.get_json_object(lenient_json("reply"), "$.toc_detected")) == "yes"
-        return settled(told.select("doc_id", "page", F.when(F.col("problem").isNull(), F.coalesce(verdict, F.lit(False))).alias("is_toc")))
+        return told.select("doc_id", "page", F.when(F.col("problem").isNull(), F.coalesce(verdict, F.lit(False))).alias("is_toc"))
 
     placed = pages.select("doc_id", (F.col("page_number") - 1).alias("page"), "text")
     first = verdicts(placed.where(F.col("page") < limit))
@@ -47,9 +56,9 @@ def contents_text(pages: DataFrame, found: DataFrame) -> DataFrame:
     return met.groupBy("doc_id").agg(F.max("page_number").alias("last"), dots_to_colon(F.array_join(F.transform(listed, lambda p: p["text"]), "\n")).alias("text"))
 
 
-def contents_modes(contents: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
+def contents_modes(contents: DataFrame, provider: Provider | Model = by_rule, calls: int = 20) -> DataFrame:
     """(doc_id, mode): whether a document's contents pages give page numbers."""
-    told = complete(contents.select("doc_id", F.concat(F.lit("numbered\n"), F.col("text")).alias("prompt")), provider, calls)
+    told = Model.of(provider, calls).ask(contents.select("doc_id", F.concat(F.lit("numbered\n"), F.col("text")).alias("prompt")), "numbered")
     given = F.lower(F.get_json_object(lenient_json("reply"), "$.page_index_given_in_toc")) == "yes"
     return told.select("doc_id", F.when(given, "numbered").otherwise("unnumbered").alias("mode"))
 
@@ -57,112 +66,208 @@ def contents_modes(contents: DataFrame, provider: Provider = by_rule, calls: int
 LISTED = "array<struct<structure: string, title: string, page: string>>"
 
 
-def contents_items(contents: DataFrame, provider: Provider = by_rule, calls: int = 20, rounds: int = 5) -> DataFrame:
+def contents_items(contents: DataFrame, provider: Provider | Model = by_rule, calls: int = 20, rounds: int = 5) -> DataFrame:
     """(doc_id, list_index, structure, title, page) that contents pages list.
 
     The model is asked whether it has listed all, and for the rest where it hasn't, `rounds` times at
     most. What it can't be asked is taken to be complete; a round that adds nothing is the last one.
     """
+    model = Model.of(provider, calls)
 
-    def replies(asked: DataFrame) -> DataFrame:
-        return settled(complete(asked.select("doc_id", "prompt"), provider, calls))
+    def replies(asked: DataFrame, task: str) -> DataFrame:
+        return model.ask(asked.select("doc_id", "prompt"), task)
 
     def listed(told: DataFrame) -> DataFrame:
         return told.select("doc_id", F.coalesce(F.from_json(lenient_json("reply"), LISTED), F.array().cast(LISTED)).alias("more"))
 
     about = lambda task: F.concat(F.lit(f"{task}\n"), F.to_json("held"), F.lit("\n"), F.col("text"))
-    begun = listed(replies(contents.withColumn("prompt", F.concat(F.lit("listed\n"), F.col("text")))))
+    begun = listed(replies(contents.withColumn("prompt", F.concat(F.lit("listed\n"), F.col("text"))), "listed"))
     open_ = settled(contents.select("doc_id", "text").join(begun.withColumnRenamed("more", "held"), "doc_id"))
     done = open_.limit(0)
     for _ in range(rounds):
-        lacking = replies(open_.withColumn("prompt", about("complete"))).where(F.lower(F.get_json_object(lenient_json("reply"), "$.completed")) == "no").select("doc_id")
+        lacking = replies(open_.withColumn("prompt", about("complete")), "complete").where(F.lower(F.get_json_object(lenient_json("reply"), "$.completed")) == "no").select("doc_id")
         done = done.unionByName(open_.join(lacking, "doc_id", "left_anti"))
         open_ = settled(open_.join(lacking, "doc_id", "left_semi"))
         if open_.isEmpty():
             break
-        more = settled(listed(replies(open_.withColumn("prompt", about("continue")))).where(F.size("more") > 0))
+        more = settled(listed(replies(open_.withColumn("prompt", about("continue")), "continue")).where(F.size("more") > 0))
         done = done.unionByName(open_.join(more, "doc_id", "left_anti"))
         open_ = settled(open_.join(more, "doc_id").select("doc_id", "text", F.concat("held", "more").alias("held")))
     rows = done.unionByName(open_).select("doc_id", F.posexplode("held").alias("list_index", "i"))
     return rows.select("doc_id", "list_index", normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), F.col("i.page").try_cast("int").alias("page"))
 
 
-def placed_items(items: DataFrame, texts: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
+def placed_items(items: DataFrame, texts: DataFrame, provider: Provider | Model = by_rule, calls: int = 20) -> DataFrame:
     """(doc_id, title, physical_index): the first page of texts(doc_id, part, text), tagged ones, that the model finds an item on."""
     listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("list_index", "structure", "title"))), lambda x: F.struct(x["structure"].alias("structure"), x["title"].alias("title"))))
     asked = texts.join(items.groupBy("doc_id").agg(listed.alias("items")), "doc_id").select("doc_id", "part", F.concat(F.lit("place\n"), F.col("items"), F.lit("\n"), F.col("text")).alias("prompt"))
-    told = settled(complete(asked, provider, calls))
+    told = Model.of(provider, calls).ask(asked, "place")
     rows = toc.parse_items(told.select("doc_id", "part", lenient_json("reply").alias("json")))
     return rows.withColumn("at", physical_index("physical_index")).where("at > 0").groupBy("doc_id", "title").agg(F.min("at").alias("physical_index"))
 
 
-def numbered_items(pages: DataFrame, contents: DataFrame, provider: Provider = by_rule, calls: int = 20) -> DataFrame:
-    """Items of contents pages with page numbers: where some of them are found in the pages after gives the offset of all."""
-    items = settled(contents_items(contents, provider, calls))
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(doc_id, total_pages)"""
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_pages"))
+
+
+def numbered_items(pages: DataFrame, contents: DataFrame, provider: Provider | Model = by_rule, calls: int = 20) -> DataFrame:
+    """Items of contents pages with page numbers: where some of them are found in the pages after gives the offset of all.
+
+    Items that the offset gives no page, as their contents line has none, are looked for between their
+    neighbours.
+    """
+    model = Model.of(provider, calls)
+    items = settled(contents_items(contents, model))
     after = pages.join(contents.select("doc_id", "last"), "doc_id").where(F.col("page_number").between(F.col("last") + 1, F.col("last") + 1 + SAMPLE_PAGES))
     listed = F.array_sort(F.collect_list(F.struct("page_number", page_tags("text", "page_number").alias("t"))))
     texts = after.groupBy("doc_id").agg(F.lit(1).alias("part"), F.array_join(F.transform(listed, lambda p: p["t"]), "").alias("text"))
-    found = items.join(placed_items(items, texts, provider, calls), ["doc_id", "title"])
-    total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages_in_all"))
-    pairs = settled(toc.title_pairs(found.select("doc_id", "title", "list_index", "physical_index"), items))
-    offsets = settled(toc.page_offsets(pairs, pages.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1).select("doc_id", "page_offset").join(total, "doc_id"))
+    found = items.join(placed_items(items, texts, model), ["doc_id", "title"])
+    pairs = toc.title_pairs(found.select("doc_id", "title", "list_index", "physical_index"), items).join(page_counts(pages), "doc_id")
+    offsets = settled(toc.page_offsets(pairs, F.col("total_pages")).select("doc_id", "page_offset"))
     met = items.join(offsets, "doc_id").withColumn("physical_index", F.col("page") + F.col("page_offset"))
-    return met.select("doc_id", "structure", "title", "list_index", "page", F.when(F.col("physical_index") > 0, F.col("physical_index")).alias("physical_index"))
+    placed = met.select("doc_id", "structure", "title", "list_index", "page", F.when(F.col("physical_index") > 0, F.col("physical_index")).alias("physical_index"))
+    return filled(settled(placed), pages, model)
+
+
+def filled(items: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, calls: int = 20) -> DataFrame:
+    """Items without a physical index get the first page between their neighbours' that has their title; those after the last known one stay."""
+    bounded = toc.neighbour_bounds(items, 0).where(F.col("physical_index").isNull() & F.col("after").isNotNull())
+    found = found_between(bounded, pages, Model.of(provider, calls), "fill")
+    met = items.join(found, ["doc_id", "list_index"], "left")
+    return met.withColumns({"page": F.when(F.col("found").isNull(), F.col("page")), "physical_index": F.coalesce("found", "physical_index")}).drop("found")
+
 
+def found_between(bounded: DataFrame, pages: DataFrame, model: Model, step: str) -> DataFrame:
+    """(doc_id, list_index, found): the first page from `before` to `after`, both included, that the model finds a title on."""
+    wide = bounded.where("before <= after").select("doc_id", "list_index", "title", F.explode(F.sequence(F.greatest("before", F.lit(1)), F.greatest("after", F.lit(1)))).alias("page_number"))
+    asked = wide.join(pages, ["doc_id", "page_number"]).withColumn("prompt", F.concat(F.lit("appears\n"), F.col("title"), F.lit("\n"), F.col("text")))
+    told = model.ask(asked.select("doc_id", "list_index", "page_number", "prompt"), step)
+    return told.where(F.lower(F.get_json_object(lenient_json("reply"), "$.answer")) == "yes").groupBy("doc_id", "list_index").agg(F.min("page_number").alias("found"))
 
-def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
-    """Items of contents pages without page numbers: each is looked for in the groups of the pages after."""
-    items = settled(contents_items(contents, provider, calls))
+
+def _as_list(items: DataFrame) -> DataFrame:
+    """(doc_id, held): items as the JSON that a prompt shows, in the order of the list."""
+    shown = F.struct("list_index", "structure", "title", "physical_index")
+    listed = F.transform(F.array_sort(F.collect_list(shown)), lambda x: F.struct(x["structure"].alias("structure"), x["title"].alias("title"), F.when(x["physical_index"].isNotNull(), F.concat(F.lit("<physical_index_"), x["physical_index"], F.lit(">"))).alias("physical_index")))
+    return items.groupBy("doc_id").agg(F.to_json(listed).alias("held"))
+
+
+def _rounds(groups: DataFrame):
+    """The groups of pages as rounds: the first one of every document, the second one, and so on, each with `group_no`."""
+    held = settled(groups)
+    for k in range(1, (held.agg(F.max("group_no")).first()[0] or 0) + 1):
+        yield k, held.where(F.col("group_no") == k)
+
+
+def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
+    """Items of contents pages without page numbers: each is looked for in the groups of the pages after.
+
+    A round for each group, over all documents at once: the model is shown the items with the pages
+    found so far, and its reply counts only if it is as long as the list. What it gives a page for, again
+    or for the first time, has that page from then on.
+    """
+    model = Model.of(provider, calls)
+    items = settled(contents_items(contents, model).select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("physical_index")))
     after = pages.join(contents.select("doc_id", "last"), "doc_id").where("page_number > last").drop("last")
-    texts = grouping.balanced_groups(after, tokens).select("doc_id", F.col("group_no").alias("part"), "text")
-    met = items.join(placed_items(items, texts, provider, calls), ["doc_id", "title"], "left")
-    return met.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
+    for _, group in _rounds(grouping.balanced_groups(after, tokens)):
+        asked = group.join(_as_list(items), "doc_id").select("doc_id", F.concat(F.lit("locate\n"), F.col("held"), F.lit("\n"), F.col("text")).alias("prompt"))
+        rows = toc.parse_items(model.ask(asked, "locate").select("doc_id", lenient_json("reply").alias("json")))
+        replies = rows.select("doc_id", F.col("list_index").alias("nth"), physical_index("physical_index").alias("physical_index"))
+        items = settled(toc.assign_pages(items, replies))
+    return items.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
 
 
-def items_of(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20, spoken: DataFrame | None = None) -> DataFrame:
+def items_of(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, spoken: DataFrame | None = None) -> DataFrame:
     """Contents items (doc_id, structure, title, list_index, page, physical_index) that a model finds in the text.
 
-    A document's text is asked for in groups of pages; what later groups add is merged in order.
+    A document's text is asked for group by group, a round for each over all documents at once: the
+    model is shown the items found so far, and what it adds is merged. Of the first group an index below
+    1 is none; of the later ones an index that can't be read is 0, so the first page.
     `spoken`, languages() of the documents, makes prompts name the language.
     """
+    model = Model.of(provider, calls)
     groups = grouping.balanced_groups(pages, tokens)
     groups = groups if spoken is None else groups.join(spoken, "doc_id", "left")
-    told = settled(complete(groups.select("doc_id", "group_no", F.concat(task_line("items", None if spoken is None else "language"), F.col("text")).alias("prompt")), provider, calls))
+    spoken_in = None if spoken is None else "language"
     shape = "array<struct<structure: string, title: string, physical_index: string>>"
-    rows = told.select("doc_id", "group_no", F.posexplode(F.from_json(lenient_json("reply"), shape)).alias("pos", "i"))
-    rows = rows.select("doc_id", "group_no", (F.col("group_no") * 100_000 + F.col("pos")).cast("int").alias("list_index"), normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), physical_index("i.physical_index").alias("physical_index"))
-    rows = rows.where((F.col("group_no") > 1) | F.col("physical_index").isNull() | (F.col("physical_index") > 0))
-    names = ["doc_id", "structure", "title", "list_index"]
-    merged = toc.merge_items(rows.where("group_no = 1").select(names), rows.where("group_no > 1").select(names))
-    found = merged.join(rows.select("doc_id", "list_index", "physical_index"), ["doc_id", "list_index"])
-    return found.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
-
-
-def verified(items: DataFrame, pages: DataFrame, provider: Provider = by_rule, task: str = "appears", skip: bool = False) -> DataFrame:
+    items: DataFrame | None = None
+    for k, group in _rounds(groups):
+        if k == 1:
+            asked = group.select("doc_id", F.concat(task_line("items", spoken_in), F.col("text")).alias("prompt"))
+        else:
+            held = F.coalesce("held", F.lit("[]"))
+            asked = group.join(_as_list(items), "doc_id", "left").select("doc_id", F.concat(task_line("more", spoken_in), held, F.lit("\n"), F.col("text")).alias("prompt"))
+        told = model.ask(asked, "items")
+        rows = told.select("doc_id", F.posexplode(F.from_json(lenient_json("reply"), shape)).alias("pos", "i"))
+        at = physical_index("i.physical_index")
+        index = F.when(at > 0, at) if k == 1 else F.when(F.coalesce("i.physical_index", F.lit("")) != "", F.coalesce(at, F.lit(0)))
+        rows = rows.select("doc_id", "pos", normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), index.alias("physical_index"))
+        if items is None:
+            items = settled(rows.withColumnRenamed("pos", "list_index"))
+            continue
+        sizes = items.groupBy("doc_id").agg((F.max("list_index") + 1).alias("size"))
+        new = settled(rows.join(sizes, "doc_id", "left").select("doc_id", "structure", "title", (F.coalesce("size", F.lit(0)) + F.col("pos")).alias("list_index"), "physical_index"))
+        names = ["doc_id", "structure", "title", "list_index"]
+        asked_now = new.select("doc_id").distinct()
+        added = toc.merge_items(items.join(asked_now, "doc_id", "left_semi").select(names), new.select(names)).where("added")
+        items = settled(items.unionByName(added.select(names).join(new.select("doc_id", "list_index", "physical_index"), ["doc_id", "list_index"]).select(items.columns)))
+    if items is None:
+        return pages.limit(0).select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("structure", "string"), ("title", "string"), ("list_index", "int"), ("page", "int"), ("physical_index", "int"))))
+    return items.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
+
+
+def verified(items: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, task: str = "appears", skip: bool = False, fresh: bool = False) -> DataFrame:
     """Adds `appears`: whether the model finds the title on its page (task starts: at its beginning); false without one.
 
-    With `skip` nothing is asked and all do.
+    Where the model could not be asked it is null. With `skip` nothing is asked and all do; with `fresh`
+    no cache is.
     """
     if skip:
         return items.withColumn("appears", F.lit(True))
     met = items.join(pages.select("doc_id", F.col("page_number").alias("physical_index"), "text"), ["doc_id", "physical_index"], "left")
     asked = met.where("text is not null").withColumn("prompt", F.concat(F.lit(f"{task}\n"), F.col("title"), F.lit("\n"), F.col("text")))
-    told = settled(complete(asked.select("doc_id", "list_index", "prompt"), provider))
-    said = told.select("doc_id", "list_index", (F.lower(F.get_json_object(lenient_json("reply"), "$.answer")) == "yes").alias("appears"))
-    return items.join(said, ["doc_id", "list_index"], "left").withColumn("appears", F.coalesce("appears", F.lit(False)))
+    told = Model.of(provider).ask(asked.select("doc_id", "list_index", "prompt"), task, fresh=fresh)
+    yes = F.coalesce(F.lower(F.get_json_object(lenient_json("reply"), "$.answer")) == "yes", F.lit(False))
+    said = told.select("doc_id", "list_index", F.when(F.col("problem").isNull(), yes).alias("appears"), F.lit(True).alias("asked"))
+    return items.join(said, ["doc_id", "list_index"], "left").withColumn("appears", F.when(F.col("asked").isNull(), F.lit(False)).otherwise(F.col("appears"))).drop("asked")
 
 
-def repaired(items: DataFrame, pages: DataFrame, provider: Provider = by_rule) -> DataFrame:
+def repaired(items: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule) -> DataFrame:
     """Items whose title is not on their page move to the first page between their right neighbours that has it."""
     last = pages.groupBy("doc_id").agg(F.max("page_number").alias("last"))
     bounded = toc.neighbour_bounds(items.join(last, "doc_id"), 0, F.col("last"), F.col("appears"))
-    wrong = bounded.where("not appears and before <= after").select("doc_id", "list_index", "title", F.explode(F.sequence(F.greatest("before", F.lit(1)), "after")).alias("page_number"))
-    asked = wrong.join(pages, ["doc_id", "page_number"]).withColumn("prompt", F.concat(F.lit("appears\n"), F.col("title"), F.lit("\n"), F.col("text")))
-    told = settled(complete(asked.select("doc_id", "list_index", "page_number", "prompt"), provider))
-    found = told.where(F.lower(F.get_json_object(lenient_json("reply"), "$.answer")) == "yes").groupBy("doc_id", "list_index").agg(F.min("page_number").alias("found"))
+    found = found_between(bounded.where("not appears"), pages, Model.of(provider), "repair")
     return items.join(found, ["doc_id", "list_index"], "left").withColumn("physical_index", F.coalesce("found", "physical_index")).withColumn("appears", F.col("appears") | F.col("found").isNotNull()).drop("found")
 
 
+def checked(items: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, repair: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Items after verification, and (doc_id, route): accept, repair, fallback or unverified.
+
+    Documents whose last known index is before the middle are taken as they are. Documents of which
+    fewer than half of the titles are on their pages are verified once more. From a half on, items that
+    are wrong are looked for again; of documents below three tenths no items are left.
+    """
+    model = Model.of(provider)
+    total = page_counts(pages).withColumnRenamed("total_pages", "in_all")
+    ends = settled(toc.last_index(items.join(total, "doc_id"), F.col("in_all")).select("doc_id", "verify"))
+    asked = items.join(ends.where("verify"), "doc_id", "left_semi")
+    told = settled(verified(asked, pages, model))
+    routes = settled(toc.accuracy(told.where("appears is not null and physical_index is not null")).select("doc_id", "route"))
+    again = settled(routes.where("route <> 'accept'").select("doc_id"))
+    if not again.isEmpty():
+        second = verified(asked.join(again, "doc_id", "left_semi"), pages, model, fresh=True)
+        told = settled(told.join(again, "doc_id", "left_anti").unionByName(second))
+        routes = settled(toc.accuracy(told.where("appears is not null and physical_index is not null")).select("doc_id", "route"))
+    every = settled(ends.join(routes, "doc_id", "left").select("doc_id", F.coalesce("route", F.when(F.col("verify"), F.lit("fallback")).otherwise(F.lit("unverified"))).alias("route")))
+    failed = told.groupBy("doc_id").agg(F.max(F.col("appears").isNotNull()).alias("any")).where("not any").select("doc_id")
+    every = settled(every.join(failed.withColumn("f", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("f"), "unverified").otherwise(F.col("route")).alias("route")))
+    sound = told.join(every.where("route = 'accept'"), "doc_id", "left_semi")
+    fixed = (repaired(sound, pages, model) if repair else sound).drop("appears")
+    rest = items.join(every.where("route in ('repair', 'unverified')"), "doc_id", "left_semi")
+    return settled(fixed.select(items.columns).unionByName(rest)), every
+
+
 def headed_items(items: DataFrame, pages: DataFrame, last: DataFrame) -> DataFrame:
     """Valid items within their document's pages, with the headings of its pages, and total_pages."""
     own = toc.valid_items(items).join(last, "doc_id")
@@ -170,23 +275,38 @@ def headed_items(items: DataFrame, pages: DataFrame, last: DataFrame) -> DataFra
     return settled(toc.upsert_headings(own.drop("total_pages"), pages.join(own.select("doc_id").distinct(), "doc_id", "left_semi")).join(last, "doc_id"))
 
 
-def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False, name_language: bool = False) -> DataFrame:
+def generate(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False, name_language: bool = False, strict: bool = False, repair: bool = True, starts: bool = False) -> DataFrame:
     """nodes(doc_id, node_id, parent_id, ordinal, depth, structure, title, start_page, end_page, summary) of pages.
 
     Items come from contents pages with page numbers, else from contents pages without, else from the
     text. A document for which a way gives nothing goes on to the next one. So does, with `verify`, one
-    with fewer than three tenths of its titles on their pages; wrong ones of the others are looked for
-    again. Documents that no way serves get a node for each page. With `name_language` the model is told
-    which language a document is in.
+    with fewer than three tenths of its titles on their pages (checked()). Documents that no way serves
+    get a node for each page. Chapters of one number become one. A single section that is no chapter is
+    the root, else the root is "Document". With `name_language` the model is told which language a
+    document is in; with `starts` a column `appear_start` says whether a title begins its page.
+    A plain provider's failures are warned of; pass a Model to have them as rows, or strict for an error.
     """
+    model = Model.of(provider, calls, strict, cache)
+    out = _generated(pages, model, tokens, verify, batched if summarise else None, name_language, repair, starts)
+    if model is not provider:
+        _warn(model, pages)
+    return out
+
+
+def _warn(model: Model, pages: DataFrame) -> None:
+    if model.failed:
+        warnings.warn(f"{model.problems(pages.sparkSession).count()} requests failed; pass a Model to see which", stacklevel=3)
+
+
+def _generated(pages: DataFrame, model: Model, tokens: int, verify: bool, batched: bool | None, name_language: bool, repair: bool, starts: bool) -> DataFrame:
     spoken = settled(languages(pages)) if name_language else None
-    last = settled(pages.groupBy("doc_id").agg(F.max("page_number").alias("total_pages")))
-    contents = settled(contents_text(pages, contents_pages(pages, provider, calls=calls)))
-    modes = settled(contents_modes(contents, provider, calls))
+    last = settled(page_counts(pages))
+    contents = settled(contents_text(pages, contents_pages(pages, model)))
+    modes = settled(contents_modes(contents, model))
     ways = {
-        "numbered": lambda own: numbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), provider, calls),
-        "unnumbered": lambda own: unnumbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), provider, tokens, calls),
-        "text": lambda own: items_of(own, provider, tokens, calls, spoken),
+        "numbered": lambda own: numbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), model),
+        "unnumbered": lambda own: unnumbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), model, tokens),
+        "text": lambda own: items_of(own, model, tokens, spoken=spoken),
     }
     done: list[DataFrame] = []
     waiting = last.join(modes, "doc_id", "left").select("doc_id", F.coalesce("mode", F.lit("text")).alias("mode"))
@@ -202,9 +322,7 @@ def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_00
         own = pages.join(asked, "doc_id", "left_semi")
         items = headed_items(way(own), own, last)
         if verify:
-            told = settled(verified(items, own, provider))
-            routes = toc.accuracy(told).select("doc_id", "route")
-            items = settled(repaired(told, own, provider).join(routes.where("route <> 'fallback'"), "doc_id", "left_semi").drop("appears"))
+            items = checked(items, own, model, repair)[0]
         done.append(items)
     columns = ["doc_id", "structure", "title", "list_index", "page", "physical_index", "total_pages"]
     items = done[0].select(columns) if done else last.limit(0).select("doc_id", *(F.lit(None).cast(k).alias(c) for c, k in zip(columns[1:], ("string", "string", "int", "int", "int", "int"), strict=True)))
@@ -219,32 +337,33 @@ def generate(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_00
     ranged = tree.first_wins(toc.end_pages(settled(every), F.col("total_pages"), ("title",))).select("doc_id", "structure", "title", F.col("physical_index").alias("start_page"), "end_page")
     ranged = settled(ranged)
     wide = tree.placeholders(ranged, 1).drop("end_page").join(last, "doc_id").withColumnRenamed("total_pages", "end_page")
-    nodes = settled(tree.linked(tree.rolled_up(ranged.unionByName(wide))))
-    top = nodes.groupBy("doc_id").agg(F.min("start_page").alias("low")).join(last, "doc_id")
-    root = top.select(
-        "doc_id", node_id("doc_id", F.lit(tree.ROOT)).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"),
-        F.lit("").alias("structure"), F.lit(tree.ROOT).alias("title"), F.least(F.lit(1), F.col("low")).alias("start_page"), F.col("total_pages").alias("end_page"),
-    )
-    own = nodes.withColumn("parent_id", F.coalesce("parent_id", node_id("doc_id", F.lit(tree.ROOT)))).select(root.columns)
-    out = settled(root.unionByName(own).withColumn("summary", F.lit(None).cast("string")))
-    return settled(summaries.summarised(out, pages, provider, cache, calls, batched, spoken)) if summarise else out
-
-
-def grouped_trees(pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
-    """nodes of documents by page groups: the model's structure of each group, and all of them merged."""
+    nodes = settled(tree.chapters_joined(tree.linked(tree.rolled_up(ranged.unionByName(wide)))))
+    out = settled(tree.rooted(nodes, last).withColumn("summary", F.lit(None).cast("string")))
+    if starts:
+        out = settled(with_starts(out, pages, model))
+    return out if batched is None else settled(summaries.summarised(out, pages, model, batched=batched, spoken=spoken))
+
+
+def with_starts(nodes: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, skip: bool = False) -> DataFrame:
+    """Nodes with `appear_start`: yes where the title begins its first page, no where it doesn't, is nowhere or can't be asked about. `skip`: yes."""
+    own = nodes.select("doc_id", F.col("node_id").alias("list_index"), "title", F.col("start_page").alias("physical_index"))
+    told = verified(own, pages, provider, "starts", skip).select("doc_id", F.col("list_index").alias("node_id"), F.when(F.col("appears"), "yes").otherwise("no").alias("appear_start"))
+    return nodes.join(told, ["doc_id", "node_id"], "left")
+
+
+def grouped_trees(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
+    """nodes of documents by page groups: the model's structure of each group, and all of them merged. A group that can't be asked for is left out."""
     groups = grouping.greedy_groups(pages, tokens)
     tagged = pages.withColumn("tagged", page_tags("text", "page_number"))
     met = groups.select("doc_id", "group_no", "start_page", "end_page").join(tagged, "doc_id").where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "tagged"))), lambda p: p["tagged"]), "")
     asked = met.groupBy("doc_id", "group_no", "start_page", "end_page").agg(F.concat(F.lit("structure\n"), text).alias("prompt"))
-    told = settled(complete(asked, provider, calls))
+    told = Model.of(provider, calls).ask(asked, "structure").where("problem is null")
     shape = "struct<title: string, children: array<struct<title: string, physical_index: int>>>"
     parsed = told.withColumn("t", F.from_json(strict_json("reply"), shape))
     root_id = node_id("doc_id", "group_no")
     roots = parsed.select("doc_id", "group_no", root_id.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.coalesce("t.title", F.lit(tree.ROOT)).alias("title"), "start_page", "end_page")
     rows = parsed.select("doc_id", "group_no", "start_page", "end_page", F.posexplode("t.children").alias("pos", "c"))
-    from pyspark.sql import Window
-
     begins = F.greatest("start_page", F.least("end_page", F.coalesce("c.physical_index", "start_page")))
     placed = rows.withColumn("at", begins)
     following = F.lead("at").over(Window.partitionBy("doc_id", "group_no").orderBy("pos"))
@@ -252,25 +371,43 @@ def grouped_trees(pages: DataFrame, provider: Provider = by_rule, tokens: int =
     return settled(tree.groups_merged(settled(roots.unionByName(children))))
 
 
-def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provider = by_rule, tokens: int = 16_000, calls: int = 20, info: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Trees with new documents behind them; pages.doc_id names the tree, `info` the new document. See tree.appended."""
-    new = grouped_trees(pages, provider, tokens, calls).withColumnRenamed("doc_id", "tree_id")
-    new = new.select([c for c in new.columns if c in nodes.columns])
+def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, info: Column | None = None, by_groups: bool = True, summarise: bool = False, batched: bool = False, verify: bool = False, name_language: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Trees with new documents behind them; pages.doc_id names the tree, `info` the new document. See tree.appended.
+
+    The new document's tree is made by page groups, or else as generate() makes it, with verification;
+    with `summarise` its nodes get summaries. Columns that only one side's nodes have are null on the other.
+    """
+    model = Model.of(provider, calls, strict)
+    if by_groups:
+        spoken = settled(languages(pages)) if name_language else None
+        new = grouped_trees(pages, model, tokens)
+        if summarise:
+            new = settled(summaries.summarised(new.withColumn("summary", F.lit(None).cast("string")), pages, model, batched=batched, spoken=spoken))
+    else:
+        new = _generated(pages, model, tokens, verify, batched if summarise else None, name_language, True, False)
+    new = new.withColumnRenamed("doc_id", "tree_id")
+    missing = {c: F.lit(None).cast(t) for c, t in new.dtypes if c not in nodes.columns}
     counts = pages.groupBy(F.col("doc_id").alias("tree_id")).agg(F.count(F.lit(1)).cast("int").alias("total_pages"))
     about = F.concat(F.lit("document "), F.col("tree_id").cast("string")) if info is None else info
-    return tree.appended(nodes, trees, new, counts.withColumns({"document_info": about, "version": F.lit(0)}))
+    out = tree.appended(nodes.withColumns(missing) if missing else nodes, trees, new, counts.withColumns({"document_info": about, "version": F.lit(0)}))
+    if model is not provider:
+        _warn(model, pages)
+    return out
 
 
-def search(queries: DataFrame, nodes: DataFrame, provider: Provider = by_rule, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, nodes: DataFrame, provider: Provider | Model = by_rule, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers (query_id, query, answer) and referenced nodes (query_id, rank, node_id, ...) of queries(query_id, doc_id, query).
 
     The model sees the query and the document's tree; ids that it names and the tree hasn't are
     left out. Empty queries, and documents without a tree, give no answer.
     """
+    model = Model.of(provider, cache=cache)
     trees = settled(tree.as_json(nodes))
     asked = queries.where(F.trim("query") != "").join(trees, "doc_id")
-    asked = asked.withColumn("prompt", F.concat(F.lit("search\n"), F.col("query"), F.lit("\n"), F.col("tree"))).withColumn("key", key(F.lit("search"), "query", F.sha2("tree", 256)))
-    told = settled(completed(asked.select("query_id", "doc_id", "query", "key", "prompt"), cache, provider))
+    asked = asked.withColumn("prompt", F.concat(F.lit("search\n"), F.col("query"), F.lit("\n"), F.col("tree")))
+    told = model.ask(asked.select("query_id", "doc_id", "query", "prompt"), "search", unique=True)
+    if model is not provider:
+        _warn(model, nodes)
     shape = "struct<answer: string, node_ids: array<string>>"
     parsed = told.select("query_id", "doc_id", "query", F.from_json(strict_json("reply"), shape).alias("r"))
     wanted = parsed.select("query_id", "doc_id", F.coalesce("r.node_ids", F.array().cast("array<string>")).alias("node_ids"))
