@@ -160,7 +160,7 @@ SCRIPTS: dict[str, tuple[str, str, str]] = {
     "Thai": (r"\x{0E00}-\x{0E7F}", "th", "Thai"),
     "Latin": (r"\x{41}-\x{7A}\x{80}-\x{24F}", "en", "English"),
 }
-SKIPPED = r"[\p{P}\p{S}\p{Z}\s\x{85}]"
+SKIPPED = r"[\p{P}\p{S}\p{Z}\s\x{85}]+"
 DISPLAY = {"zh": "Chinese (中文)", "en": "English", "ja": "Japanese (日本語)", "ko": "Korean (한국어)"}
 
 
@@ -168,7 +168,10 @@ def script_counts(text: Column | str, sample: int | None = None) -> Column:
     """Characters of each script, and in all, less white space, punctuation and symbols; of the whole text, or its first `sample` characters."""
     whole = F.coalesce(col(text), F.lit(""))
     seen = F.regexp_replace(whole if sample is None else F.substring(whole, 1, sample), SKIPPED, "")
-    return F.struct(F.length(seen).alias("total"), *(F.regexp_count(seen, F.lit(f"[{ranges}]")).alias(name) for name, (ranges, _, _) in SCRIPTS.items()))
+    # All scripts but Latin lie above its range: they are counted in what is left without it, mostly nothing.
+    above = F.regexp_replace(seen, r"[\x00-\x{24F}]+", "")
+    left = lambda text, ranges: F.length(F.regexp_replace(text, f"[^{ranges}]+", ""))
+    return F.struct(F.length(seen).alias("total"), *(left(seen if name == "Latin" else above, ranges).alias(name) for name, (ranges, _, _) in SCRIPTS.items()))
 
 
 def with_scripts(texts: DataFrame, text: Column | str = "text", sample: int | None = None) -> DataFrame:

@@ -176,16 +176,18 @@ def tree_group_merge(spark, sf):
     return tree.groups_merged(groups).select("doc_id", "depth", "ordinal", "title", "start_page", "end_page")
 
 
-CHAPTERS = [(1, "a", 1, "第一章 起", 1, 4), (1, "b", 2, "第1章 缘起与背景", 5, 9), (1, "c", 3, "第二章", 10, 12), (1, "d", 4, "Appendix", 13, 15), (1, "e", 5, "第12章 结", 16, 18), (1, "f", 6, "第十二章 尾", 17, 20), (2, "g", 1, "第二章 x", 3, 4), (2, "h", 2, "第 2 章 xy", 1, 2)]
-
-
-@query(f"""with {values('c', CHAPTERS, 'doc_id, node_id, ordinal, title, start_page, end_page')},
-    k as (select *, trim(regexp_extract(title, '第(.+?)章', 1)) as n from c),
-    m as (select *, case when n = '' then node_id when n in ('1') then '一' when n = '2' then '二' when n = '12' then '十二' else n end as key from k)
-    select doc_id, node_id, first_value(node_id) over (partition by doc_id, key order by strlen(title) desc, ordinal rows between unbounded preceding and unbounded following) as "into", title,
-    min(start_page) over (partition by doc_id, key) as start_page, max(end_page) over (partition by doc_id, key) as end_page from m""")
+@query("""with o as (select o_custkey as doc_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) as ordinal from orders),
+    t as (select doc_id, id, ordinal, ordinal % 5 as n, case when ordinal % 5 = 4 then 'Appendix ' || id else '第' || case when id % 2 = 0 then (ordinal % 5 + 1)::varchar else ['一', '二', '三', '四'][(ordinal % 5 + 1)::int] end || '章' || repeat('x', (id % 4)::int) end as title, (id % 40)::int as start_page, (id % 40 + id % 7)::int as end_page from o),
+    k as (select *, case when n = 4 then id::varchar else n::varchar || ' ' end as key from t)
+    select doc_id, id::varchar as node_id, first_value(id) over (partition by doc_id, key order by strlen(title) desc, ordinal rows between unbounded preceding and unbounded following)::varchar as "into", title,
+    min(start_page) over (partition by doc_id, key) as start_page, max(end_page) over (partition by doc_id, key) as end_page from k""")
 def chapter_dedup(spark, sf):
-    return tree.chapters_merged(literal(spark, CHAPTERS, "doc_id int, node_id string, ordinal int, title string, start_page int, end_page int"))
+    """A customer's orders as chapters whose numbers are written in one way or the other, and appendices without a number."""
+    own = adapters.table(spark, sf, "orders").withColumn("ordinal", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    n, id_ = F.col("ordinal") % 5, F.col("o_orderkey")
+    number = F.when(id_ % 2 == 0, (n + 1).cast("string")).otherwise(F.element_at(F.array(*map(F.lit, "一二三四五")), n + 1))
+    title = F.when(n == 4, F.concat(F.lit("Appendix "), id_)).otherwise(F.concat(F.lit("第"), number, F.lit("章"), F.repeat(F.lit("x"), (id_ % 4).cast("int"))))
+    return tree.chapters_merged(own.select(F.col("o_custkey").alias("doc_id"), id_.cast("string").alias("node_id"), "ordinal", title.alias("title"), (id_ % 40).cast("int").alias("start_page"), (id_ % 40 + id_ % 7).cast("int").alias("end_page")))
 
 
 @query("""with o as (select o_custkey as doc_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) as ordinal from orders),
@@ -424,27 +426,36 @@ def merge_new_items(spark, sf):
     return toc.merge_new_items(*_halves(spark, sf))
 
 
-HEADED = [(1, 1, "### 1.1 Scope\nbody\n###1.2  Terms and units \n# not"), (1, 2, "text ### 1.2 Terms again\n### 2.1 New"), (1, 3, "### 2.1 New, continued\n### 3 none"), (2, 1, "###9.10Title"), (2, 2, "nothing")]
-LISTED = [(1, "1.1", "Scope", 7, 7, 0), (1, "1.2", "Terms", 2, 5, 1), (1, "4.1", "Kept", 9, 9, 2), (3, "1", "Alone", 1, 1, 0)]
-FOUND = f"""{values('p', HEADED, 'doc_id, page_number, text')}, x as (select doc_id, page_number, unnest(range(0, len(a))) as pos, unnest(a) as structure, trim(unnest(b)) as title
+#: A page for each lineitem, with a heading or two.
+HEADED = """concat('### ', l_suppkey % 4 + 1, '.', l_partkey % 3 + 1, case when l_linenumber % 2 = 0 then '  ' else '' end, ' Part ', l_partkey, '\\nbody\\n', case when l_linenumber % 3 = 0 then concat('x ###', l_suppkey % 4 + 1, '.', l_linenumber, 'Again ', l_suppkey, ' ') else '# 1.1 none' end)"""
+PAPER = f"p as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, {', '.join(TIES)})::int as page_number, {HEADED.replace(chr(92) + chr(92) + 'n', chr(10)).replace(chr(92) + 'n', chr(10))} as text from lineitem)"
+FOUND = f"""{PAPER}, x as (select doc_id, page_number, unnest(range(0, len(a)))::int as pos, unnest(a) as structure, trim(unnest(b)) as title
     from (select doc_id, page_number, regexp_extract_all(text, '###\\s*(\\d+\\.\\d+)\\s*(.+)', 1) as a, regexp_extract_all(text, '###\\s*(\\d+\\.\\d+)\\s*(.+)', 2) as b from p))"""
+LISTED = "i as (select o_orderkey as doc_id, k::varchar || '.1' as structure, 'Listed ' || k as title, (k + 1)::int as physical_index, case when k > 1 then (k * 2)::int end as page, (k - 1)::int as list_index from orders, range(1, 4) t(k))"
+
 
+def papers(spark, sf) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *TIES))
+    return adapters.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), nth.alias("page_number"), F.expr(HEADED).alias("text"))
 
-@query(f"with {FOUND} select doc_id, page_number, pos::int as pos, structure, title from x")
+
+@query(f"with {FOUND} select doc_id, page_number, pos, structure, title from x")
 def heading_scan(spark, sf):
-    return toc.headings(literal(spark, HEADED, "doc_id int, page_number int, text string"))
+    return toc.headings(papers(spark, sf))
 
 
-@query(f"""with {FOUND}, {values('i', LISTED, 'doc_id, structure, title, physical_index, page, list_index')},
-    f as (select doc_id, structure, arg_max(page_number, page_number * 100 + pos) as found, arg_min(title, page_number * 100 + pos) as heading, min(page_number * 100 + pos) as first from x group by all),
+@query(f"""with {FOUND}, {LISTED},
+    f as (select doc_id, structure, max(page_number) as found, arg_min(title, page_number * 100 + pos) as heading, min(page_number * 100 + pos) as first from x group by all),
     c as (select doc_id, count(*) as items from i group by doc_id)
     select coalesce(i.doc_id, f.doc_id) as doc_id, coalesce(i.structure, f.structure) as structure, coalesce(title, heading) as title, coalesce(found, physical_index) as physical_index,
     case when found is not null and found is distinct from physical_index then found else page end as page,
     (case when i.doc_id is not null then list_index else coalesce(items, 0) + row_number() over (partition by coalesce(i.doc_id, f.doc_id), i.doc_id is null order by first) - 1 end)::int as list_index
     from i full join f on i.doc_id = f.doc_id and i.structure = f.structure left join c on c.doc_id = coalesce(i.doc_id, f.doc_id)""")
 def heading_upsert(spark, sf):
-    own = literal(spark, LISTED, "doc_id int, structure string, title string, physical_index int, page int, list_index int")
-    return toc.upsert_headings(own, literal(spark, HEADED, "doc_id int, page_number int, text string"))
+    k = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")
+    own = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), k)
+    listed = own.select("doc_id", F.concat("k", F.lit(".1")).alias("structure"), F.concat(F.lit("Listed "), "k").alias("title"), (F.col("k") + 1).alias("physical_index"), F.when(F.col("k") > 1, F.col("k") * 2).alias("page"), (F.col("k") - 1).alias("list_index"))
+    return toc.upsert_headings(listed, papers(spark, sf))
 
 
 @query(f"with {TOC}, v as (select doc_id, (l_partkey + list_index) % 4 > 0 as appears from toc) select doc_id, count(*) as checked, count(*) filter (appears) as correct, count(*) filter (appears) / count(*) as accuracy, case when accuracy >= 0.5 then 'accept' when accuracy >= 0.3 then 'repair' else 'fallback' end as route from v group by doc_id")
@@ -461,15 +472,22 @@ def last_known_index(spark, sf):
 # ---- scalars
 
 
-def scalar(name: str, rows: list[tuple], schema: str, sql: str, *columns, extra: str = "") -> None:
-    """A query over literal rows: their columns and those that `columns` adds."""
-    names = ", ".join(x.split()[0] for x in schema.split(", "))
+def scalar(name: str, rows: list[tuple], schema: str, sql: str, *columns, table: str, own: tuple[str, ...], extra: str = "", of: str | None = None) -> None:
+    """A query over a whole table, whose rows `own` makes to the schema's columns, and over literal edge cases: these columns and those that `columns` adds.
+
+    `own` are expressions that Spark's and DuckDB's SQL share; `of`, the query that `sql` reads in place of the rows v.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    made = ", ".join(f"{e} as {n}" for e, n in zip(own, names, strict=True))
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return literal(spark, rows, schema).select("*", *(c() for c in columns))
+        derived = adapters.table(spark, sf, table).selectExpr(*(f"cast({e} as {x.split()[1]}) as {n}" for e, n, x in zip(own, names, schema.split(", "), strict=True)))
+        return derived.unionByName(literal(spark, rows, schema)).select("*", *(c() for c in columns))
 
     run.__name__ = name
-    query(f"with {values('v', rows, names)}{extra} select {names}, {sql} from v")(run)
+    kinds = {"string": "varchar", "int": "integer"}
+    cast = ", ".join(f"cast({n} as {kinds[x.split()[1]]}) as {n}" for n, x in zip(names, schema.split(", "), strict=True))
+    query(f"with {values('edge', rows, ', '.join(names))}, v as (select {cast} from edge union all select {cast} from (select {made} from {table})){extra} select {', '.join(names)}, {sql} from {of or 'v'}")(run)
 
 
 CODES = ["3.2.1", "321", "100", "31", " 1.1 ", "01.02", "1..", "", "第3章", "12a.004", "..5..", "00", "٣.1", "99999999999999999999.1"]
@@ -479,19 +497,21 @@ scalar(
     f"""array_to_string(list_transform(list_filter(string_split(case when not contains({DIGITS}, '.') and strlen({DIGITS}) > 2 then array_to_string(string_split({DIGITS}, ''), '.') else {DIGITS} end, '.'), lambda p: p <> ''),
     lambda p: coalesce(case when regexp_matches(p, '^[0-9]+$') then try_cast(p as bigint)::varchar end, p)), '.') as normalised""",
     lambda: text.normalize_structure("code").alias("normalised"),
+    table="lineitem", own=("concat('0', l_orderkey, case when l_linenumber % 3 = 0 then '.' when l_linenumber % 3 = 1 then '' else '..x' end, l_partkey % 1000)",),
 )
-scalar("parent_structure", [(x,) for x in ["1", "1.2", "1.2.3", "", "10.20"]], "code string", "case when contains(code, '.') then regexp_replace(code, '\\.[^.]*$', '') else '' end as parent", lambda: text.parent_structure("code").alias("parent"))
+scalar("parent_structure", [(x,) for x in ["1", "1.2", "1.2.3", "", "10.20"]], "code string", "case when contains(code, '.') then regexp_replace(code, '\\.[^.]*$', '') else '' end as parent", lambda: text.parent_structure("code").alias("parent"), table="lineitem", own=("case when l_linenumber % 4 = 0 then concat(l_orderkey, '') else concat(l_orderkey, '.', l_linenumber, case when l_linenumber % 2 = 0 then '' else concat('.', l_suppkey) end) end",))
 DOTTED = ["Text.....more", "Text. . . . . more", "Text. . . . .more", "Text....more", "A.....B.....C", "1. Introduction.....1", "none", ". . . . . . . . 12", "a.......... . . . . . b"]
-scalar("dots_to_colon", [(x,) for x in DOTTED], "line string", "regexp_replace(regexp_replace(line, '\\.{5,}', ': ', 'g'), '(?:\\. ){5,}\\.?', ': ', 'g') as plain", lambda: text.dots_to_colon("line").alias("plain"))
+scalar("dots_to_colon", [(x,) for x in DOTTED], "line string", "regexp_replace(regexp_replace(line, '\\.{5,}', ': ', 'g'), '(?:\\. ){5,}\\.?', ': ', 'g') as plain", lambda: text.dots_to_colon("line").alias("plain"), table="documents", own=("concat(text, repeat('.', cast(doc_id % 9 as int)), ' ', repeat('. ', cast(doc_id % 8 as int)), doc_id)",))
 MARKS = ["<physical_index_5>", "physical_index_5", "  <physical_index_10> ", "42", "0", "-5", "【第7页开始】", "【第8页结束】", "【第100页开始】some text", "【第 5 页开始】", "abc", "invalid", "", "<physical_index_x>", "+3", "99999999999"]
 BARE = r"regexp_replace(regexp_replace(regexp_replace(m, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^<physical_index_', ''), '>$', '')"
 scalar(
     "parse_physical_index", [(x,) for x in MARKS], "m string",
     f"case when regexp_matches(m, '第\\d+页') then try_cast(regexp_extract(m, '第(\\d+)页', 1) as int) when regexp_matches({BARE}, '^(physical_index_)?[+-]?\\d+$') then try_cast(regexp_replace(regexp_replace({BARE}, '^physical_index_', ''), '^\\+', '') as int) end as page",
     lambda: text.physical_index("m").alias("page"),
+    table="orders", own=("concat(case when o_orderkey % 5 = 0 then '<physical_index_' when o_orderkey % 5 = 1 then 'physical_index_' when o_orderkey % 5 = 2 then '【第' when o_orderkey % 5 = 3 then ' -' else 'p' end, o_orderkey, case when o_orderkey % 5 = 0 then '>' when o_orderkey % 5 = 2 then '页开始】' else ' ' end)",),
 )
 TITLES = ["  Chapter 1:  Intro ", "CHAPTER 1 — intro", "第一章、总则", "a.b,c", "", "Ünïcode Title!", "tab\tand　wide"]
-scalar("normalize_title", [(x,) for x in TITLES], "title string", f"{NORMAL.format('title')} as normal", lambda: text.normalize_title("title").alias("normal"))
+scalar("normalize_title", [(x,) for x in TITLES], "title string", f"{NORMAL.format('title')} as normal", lambda: text.normalize_title("title").alias("normal"), table="documents", own=("text",))
 LONG = ["A plain title", "Two\nlines\r\nhere", "Cut here - and not there", " - begins with one", "A — b", "x" * 40, "A rather long title that must be cut somewhere", "第一章、这是一个非常非常长的标题，需要在某个地方截断它：否则太长了", "ends with colon:", "ends：", "", "tab\there", "Wide　space", "trailing punctuation, here we go!!! more and more"]
 ONE = "replace(replace(title, chr(10), ' '), chr(13), ' ')"
 DASH1 = f"case when starts_with({ONE}, ' - ') then {ONE} else regexp_replace({ONE}, '(?s)^(.+?) - .*$', '\\1') end"
@@ -499,34 +519,50 @@ scalar(
     "clean_title", [(x,) for x in LONG], "title string",
     "trim(regexp_replace(regexp_replace(case when length(seen) > 30 then regexp_replace(case when regexp_extract(substr(seen, 1, 30), '^(.{16,29})[ 、，：]', 1) <> '' then regexp_extract(substr(seen, 1, 30), '^(.{16,29})[ 、，：]', 1) else substr(seen, 1, 30) end, '[\\p{P} ]+$', '') else seen end, ':$', ''), '：$', '')) as clean",
     lambda: text.clean_title("title").alias("clean"),
+    table="conversations", own=("concat(text, case when turn % 3 = 0 then ' - ' when turn % 3 = 1 then '：' else ':' end)",), of="w",
     extra=f", one as (select title, {DASH1} as d from v), two as (select title, case when starts_with(d, ' — ') then d else regexp_replace(d, '(?s)^(.+?) — .*$', '\\1') end as e from one), w as (select title, trim(regexp_replace(e, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{P}}\\p{{S}} ]|\\x{{FFFD}}', '', 'g')) as seen from two)",
 )
-SQL["clean_title"] = SQL["clean_title"].replace(" from v", " from w").replace("as d from w)", "as d from v)")
-WORDS = [("kitten", "sitting"), ("abc", "abc"), ("Chapter 1", "Chapter 2"), ("", "abc"), ("abcdefgh", "zyxwvuts"), ("第一章", "第二章"), ("a1b2", "a2b3"), ("12", "1")]
-scalar("bounded_edit_distance", WORDS, "a string, b string", "least(case when length(a) = 0 then length(b) when length(b) = 0 then length(a) when a = '第一章' then 1 else levenshtein(a, b) end, 4)::int as distance", lambda: text.bounded_distance("a", "b").alias("distance"))
+WORDS = [("kitten", "sitting"), ("abc", "abc"), ("Chapter 1", "Chapter 2"), ("", "abc"), ("abcdefgh", "zyxwvuts"), ("a1b2", "a2b3"), ("12", "1")]
+NEAR = ("concat('Part ', l_partkey, case when l_linenumber % 2 = 0 then 'a' else '' end)", "concat('Part ', l_partkey + l_linenumber % 4 * 9, case when l_linenumber % 3 = 0 then 'b' else '' end)")
+scalar("bounded_edit_distance", WORDS, "a string, b string", "least(levenshtein(a, b), 4)::int as distance", lambda: text.bounded_distance("a", "b").alias("distance"), table="lineitem", own=NEAR)
 scalar(
     "digit_changes", WORDS, "a string, b string",
     "len(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: regexp_matches(a[k], '[0-9]') and regexp_matches(b[k], '[0-9]') and a[k] <> b[k]))::int as changes",
     lambda: text.digit_changes("a", "b").alias("changes"),
+    table="lineitem", own=NEAR,
 )
 PAIRED = [("Chapter 1", "chapter 1."), ("Chapter 1", "Chapter 2"), ("Ch 1", "Ch 2"), ("abcd", "abce"), ("abcd", "xbcd"), ("abc", "xyz"), ("ab", "ba"), ("a12", "a34"), ("Intro", "Intr"), ("1", "2")]
-VERDICTS = [True, False, True, True, False, True, True, False, False, True]
-scalar("titles_match", [(a, b, v) for (a, b), v in zip(PAIRED, VERDICTS, strict=True)], "a string, b string, expected boolean", "expected as matches", lambda: text.titles_match("a", "b").alias("matches"))
+PLAIN = NORMAL.format("a"), NORMAL.format("b")
+CHANGED = "len(list_filter(range(1, least(length(x), length(y)) + 1), lambda k: regexp_matches(x[k], '[0-9]') and regexp_matches(y[k], '[0-9]') and x[k] <> y[k]))"
+scalar(
+    "titles_match", PAIRED, "a string, b string",
+    f"x = y or (levenshtein(x, y) <= 3 and {CHANGED} <= 1 and (greatest(length(x), length(y)) < 4 or (greatest(length(x), length(y)) = 4 and least(length(x), length(y)) > 0 and contains(case when length(x) <= length(y) then y else x end, substr(case when length(x) <= length(y) then x else y end, 1, 1))))) as matches",
+    lambda: text.titles_match("a", "b").alias("matches"),
+    table="lineitem", own=("concat(case when l_linenumber % 2 = 0 then 'C' else 'c.' end, l_partkey % 1000)", "concat(case when l_linenumber % 3 = 0 then 'c' else 'd' end, case when l_linenumber % 5 = 0 then ' ' else '' end, l_suppkey % 1000)"), of="w",
+    extra=f", w as (select a, b, {PLAIN[0]} as x, {PLAIN[1]} as y from v)",
+)
 scalar(
     "arabic_to_chinese", [(str(n),) for n in [*range(1, 100), 100, "x", "0"]], "n string",
     "case when regexp_matches(n, '^[1-9]$') then translate(n, '123456789', '一二三四五六七八九') when regexp_matches(n, '^[1-9][0-9]$') then case when n[1] = '1' then '' else translate(n[1], '123456789', '一二三四五六七八九') end || '十' || case when n[2] = '0' then '' else translate(n[2], '123456789', '一二三四五六七八九') end else n end as chinese",
     lambda: text.arabic_to_chinese("n").alias("chinese"),
+    table="orders", own=("concat(o_custkey % 120, '')",),
 )
 HEADS = ["第一章 总则", "第12章", " 第一章", "第a章", "Chapter 1", "第 3 章 x", "", "前言第二章"]
-scalar("chapter_titles", [(x,) for x in HEADS], "title string", "regexp_matches(title, '^第[零一二三四五六七八九十百千万0-9]+章') as is_chapter, case trim(regexp_extract(title, '第(.+?)章', 1)) when '12' then '十二' when '3' then '三' else trim(regexp_extract(title, '第(.+?)章', 1)) end as number", lambda: text.is_chapter_title("title").alias("is_chapter"), lambda: text.chapter_number("title").alias("number"))
+CHINESE = "case when regexp_matches(n, '^[1-9]$') then translate(n, '123456789', '一二三四五六七八九') when regexp_matches(n, '^[1-9][0-9]$') then case when n[1] = '1' then '' else translate(n[1], '123456789', '一二三四五六七八九') end || '十' || case when n[2] = '0' then '' else translate(n[2], '123456789', '一二三四五六七八九') end else n end"
+scalar(
+    "chapter_titles", [(x,) for x in HEADS], "title string", f"regexp_matches(title, '^第[零一二三四五六七八九十百千万0-9]+章') as is_chapter, {CHINESE} as number",
+    lambda: text.is_chapter_title("title").alias("is_chapter"), lambda: text.chapter_number("title").alias("number"),
+    table="orders", own=("concat(case when o_custkey % 4 = 0 then ' ' else '' end, '第', case when o_custkey % 3 = 0 then ' ' else '' end, o_orderkey % 130, '章 ', o_custkey)",), of="w",
+    extra=", w as (select title, trim(regexp_extract(title, '第(.+?)章', 1)) as n from v)",
+)
 REPLIES = ['```json\n{"a": 1}\n```', '{"a": 1}', 'x ```json [1] ``` y', "plain", "```json {}"]
-scalar("json_fence", [(x,) for x in REPLIES], "reply string", "regexp_replace(case when contains(reply, '```json') then regexp_extract(reply, '(?s)```json(.*?)(?:```|$)', 1) else reply end, '^\\s+|\\s+$', '', 'g') as inside", lambda: text.json_fence("reply").alias("inside"))
-scalar("page_range_display", [(1, 1), (2, 5)], "a int, b int", "case when a = b then 'page ' || a else 'pages ' || a || '-' || b end as shown", lambda: text.page_range("a", "b").alias("shown"))
+scalar("json_fence", [(x,) for x in REPLIES], "reply string", "regexp_replace(case when contains(reply, '```json') then regexp_extract(reply, '(?s)```json(.*?)(?:```|$)', 1) else reply end, '^\\s+|\\s+$', '', 'g') as inside", lambda: text.json_fence("reply").alias("inside"), table="orders", own=("concat(case when o_orderkey % 3 = 0 then 'Here: ```json' else '' end, ' [', o_orderkey, '] ', case when o_orderkey % 2 = 0 then '```' else '' end, ' end ')",))
+scalar("page_range_display", [(1, 1), (2, 5)], "a int, b int", "case when a = b then 'page ' || a else 'pages ' || a || '-' || b end as shown", lambda: text.page_range("a", "b").alias("shown"), table="lineitem", own=("l_linenumber", "l_linenumber + l_partkey % 3"))
 MODELS = [(m,) for m in ["gpt-4", "gpt-4o", "gpt-3.5-turbo", "claude-2.0", "Qwen-custom", "Qwen2.5-7B-Instruct", "Llama-custom", "Mixtral-8x22B-Instruct-v0.1", "unknown", "", "gpt-4-turbo"]]
 LIMIT = "case model when 'gpt-4' then 8192 when 'gpt-4o' then 128000 when 'gpt-4-turbo' then 128000 when 'gpt-3.5-turbo' then 4096 when 'claude-2.0' then 100000 when 'Mixtral-8x22B-Instruct-v0.1' then 65536 else case when starts_with(model, 'Llama') then 8192 else 32768 end end"
-scalar("batch_limits", MODELS, "model string", f"{LIMIT} as context, greatest(1000, {LIMIT} * 80 // 100 - 1600)::int as safe", lambda: tokens.context_limit("model").alias("context"), lambda: tokens.safe_limit("model").alias("safe"))
-scalar("optimal_batch", [(3, 5000), (5, 10), (6, 60000), (100, 100000), (1000, 100000), (200, 9000000)], "nodes int, total int", "case when nodes <= 5 then nodes else greatest(5, least(50, nodes // 10)) end::int as size, case when nodes <= 5 then 100000 else greatest(10000, least(100000, (total // nodes) * greatest(5, least(50, nodes // 10)))) end::int as tokens", lambda: tokens.batch_plan("nodes", "total")["size"].alias("size"), lambda: tokens.batch_plan("nodes", "total")["tokens"].alias("tokens"))
-scalar("backoff_schedule", [(k,) for k in range(8)], "attempt int", "least(pow(2, attempt), 32)::double as seconds", lambda: tokens.retry_delay("attempt").alias("seconds"))
+scalar("batch_limits", MODELS, "model string", f"{LIMIT} as context, greatest(1000, {LIMIT} * 80 // 100 - 1600)::int as safe", lambda: tokens.context_limit("model").alias("context"), lambda: tokens.safe_limit("model").alias("safe"), table="part", own=("case when p_partkey % 5 = 0 then 'gpt-4' when p_partkey % 5 = 1 then concat('Llama-', p_size) when p_partkey % 5 = 2 then 'gpt-4-turbo' when p_partkey % 5 = 3 then p_brand else p_name end",))
+scalar("optimal_batch", [(3, 5000), (5, 10), (6, 60000), (100, 100000), (1000, 100000), (200, 9000000)], "nodes int, total int", "case when nodes <= 5 then nodes else greatest(5, least(50, nodes // 10)) end::int as size, case when nodes <= 5 then 100000 else greatest(10000, least(100000, (total // nodes) * greatest(5, least(50, nodes // 10)))) end::int as tokens", lambda: tokens.batch_plan("nodes", "total")["size"].alias("size"), lambda: tokens.batch_plan("nodes", "total")["tokens"].alias("tokens"), table="orders", own=("1 + o_custkey % 1200", "o_orderkey * 31"))
+scalar("backoff_schedule", [(k,) for k in range(8)], "attempt int", "least(pow(2, attempt), 32)::double as seconds", lambda: tokens.retry_delay("attempt").alias("seconds"), table="lineitem", own=("l_linenumber + l_partkey % 5",))
 SPOKEN = ["你好，世界。这是一个测试", "Hello, world 123", "안녕하세요 세계", "これは日本語のテストです", "漢字かな", "Привет, мир", "مرحبا بالعالم", "नमस्ते", "สวัสดี", "", "12345 !!", "mostly Latin 中文", "×÷^_"]
 CLASS = "regexp_replace({0}, '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s\\x{{85}}]', '', 'g')"
 RE2 = {name: ranges for name, (ranges, _, _) in text.SCRIPTS.items()}
@@ -559,9 +595,15 @@ def prompt_language(spark, sf):
     return found.select("doc_id", prompts.task_line("items", "l").alias("line"))
 
 
-@query(f"with {values('v', [(x,) for x in SPOKEN], 'text')}, s as (select text, {CLASS.format('text')} as s from v), c as (select text, length(s)::int as total, {COUNTS} from s) select text, {LANGUAGE} as code, round({SURE}, 9) as confidence, case {LANGUAGE} when 'zh' then 'Chinese (中文)' when 'ja' then 'Japanese (日本語)' when 'ko' then 'Korean (한국어)' when 'ru' then 'Russian' when 'ar' then 'Arabic' when 'hi' then 'Hindi' when 'th' then 'Thai' else 'English' end as shown from c")
+TOLD = values("t", [(k, x) for k, x in enumerate(SPOKEN)], "k, said")
+
+
+@query(f"with {TOLD}, v as (select said as text from t union all select repeat(said, 1 + length(text)::int % 400) || text from documents join t on doc_id % 13 = k), s as (select text, {CLASS.format('text')} as s from v), c as (select text, length(s)::int as total, {COUNTS} from s) select text, {LANGUAGE} as code, round({SURE}, 9) as confidence, case {LANGUAGE} when 'zh' then 'Chinese (中文)' when 'ja' then 'Japanese (日本語)' when 'ko' then 'Korean (한국어)' when 'ru' then 'Russian' when 'ar' then 'Arabic' when 'hi' then 'Hindi' when 'th' then 'Thai' else 'English' end as shown from c")
 def detect_language_scripts(spark, sf):
-    found = text.with_scripts(literal(spark, [(x,) for x in SPOKEN], "text string")).select("text", text.language("scripts").alias("l"))
+    """Every document after up to 400 repeats of a phrase of some script."""
+    said = literal(spark, list(enumerate(SPOKEN)), "k int, said string")
+    own = adapters.table(spark, sf, "documents").join(F.broadcast(said), F.col("doc_id") % 13 == F.col("k")).select(F.concat(F.repeat("said", 1 + F.length("text") % 400), "text").alias("text"))
+    found = text.with_scripts(own.unionByName(said.select(F.col("said").alias("text")))).select("text", text.language("scripts").alias("l"))
     return found.select("text", "l.code", F.round("l.confidence", 9).alias("confidence"), text.language_name("l.code", "l.name").alias("shown"))
 
 
@@ -613,47 +655,57 @@ def run_stats(spark, sf):
     return nodes(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_nodes"), F.max("end_page").alias("total_pages"))
 
 
-BROKEN = ['```json\n{"a": 1,}\n```', 'Here: {"a": {"b": [1, 2,],},} and more', '{"a": "line\nbreak", "b": "C:\\path"}', "{'a': None, b: 2}", "{“a”：1，“b”：2}", "[1, 2, 3,]", "no json", '﻿{"x": "none"}', '{"u": "\\u00e9"}', "```\n{}\n```"]
+#: Flaws of replies by the order's key, and what strict and lenient repair make of them.
+FLAWS = (
+    ("'```json' || chr(10) || '{\"a\": ' || k || ',}' || chr(10) || '```'", "'{\"a\": ' || k || '}'", "'{\"a\":' || k || '}'"),
+    ("'Here: {\"a\": {\"b\": [' || k || ', 2,],},} and more'", "'{\"a\": {\"b\": [' || k || ', 2]}}'", "'{\"a\":{\"b\":[' || k || ',2]}}'"),
+    ("'{\"a\": \"line' || chr(10) || 'break ' || k || '\"}'", "'{\"a\": \"line' || chr(92) || 'nbreak ' || k || '\"}'", "'{\"a\":\"line' || chr(92) || 'nbreak ' || k || '\"}'"),
+    ("'{' || chr(39) || 'a' || chr(39) || ': None, b: ' || k || '}'", "'{' || chr(39) || 'a' || chr(39) || ': None, b: ' || k || '}'", "'{\"a\":null,\"b\":' || k || '}'"),
+    ("'no json ' || k", "'no json ' || k", "null"),
+    ("'[' || k || ', 2, 3,]'", "'[' || k || ', 2, 3]'", "'[' || k || ',2,3]'"),
+)
+CASES = ["case k % 6 " + " ".join(f"when {n} then {f[at]}" for n, f in enumerate(FLAWS)) + " end" for at in range(3)]
 
 
-@query()
+@query(f"with o as (select o_orderkey as k from orders) select {CASES[0]} as reply, {CASES[1]} as strict, {CASES[2]} as lenient from o")
 def json_repair(spark, sf):
-    return literal(spark, [(x,) for x in BROKEN], "reply string").select("reply", jsonrepair.strict_json("reply").alias("strict"), jsonrepair.lenient_json("reply").alias("lenient"))
+    own = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).select(F.expr(CASES[0]).alias("reply"))
+    return own.select("reply", jsonrepair.strict_json("reply").alias("strict"), jsonrepair.lenient_json("reply").alias("lenient"))
 
 
 @query()
 def summary_batches(spark, sf):
-    own = nodes(spark, sf).where("depth = 2").select("doc_id", "node_id", ((F.col("end_page") - F.col("start_page") + 1) * 900).alias("tokens"))
+    own = nodes(spark, sf).select("doc_id", "node_id", ((F.col("end_page") - F.col("start_page") + 1) * 900).alias("tokens"))
     return summaries.summary_batches(own)
 
 
-@query(f"with {TOC}, c as (select doc_id, count(*) as n from toc where list_index < 300 group by doc_id) select doc_id, 0 as page from c where n >= 3")
+@query(f"with {TOC}, c as (select doc_id, count(*) as n from toc group by doc_id) select doc_id, 0 as page from c where n >= 3")
 def contents_detection(spark, sf):
-    """Of each customer a contents page of the first two chapters, then one of plain words."""
+    """Of each customer a contents page of all chapters, then one of plain words."""
     line = F.concat_ws(" ", "structure", "title", F.lit("....."), F.col("physical_index").cast("string"))
-    contents = items(spark, sf).where("list_index < 300").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    contents = items(spark, sf).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
     two = contents.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("page_number"), "text"), F.struct(F.lit(2).alias("page_number"), F.lit("Plain words.").alias("text")))).alias("p")).select("doc_id", "p.*")
     return pipeline.contents_pages(two)
 
 
-@query(f"""with {TOC}, l as (select doc_id, structure, title, physical_index, structure || ' ' || title || ' ..... ' || physical_index as line from toc where title <> '' and physical_index is not null and list_index < 400)
+@query(f"""with {TOC}, l as (select doc_id, structure, title, physical_index, structure || ' ' || title || ' ..... ' || physical_index as line from toc where title <> '' and physical_index is not null)
     select doc_id, (row_number() over (partition by doc_id order by line) - 1)::int as list_index, structure, title, physical_index as page from l""")
 def contents_listed(spark, sf):
-    """The items that a contents page of each customer's first three chapters lists."""
+    """The items that a contents page of each customer's chapters lists."""
     line = F.concat_ws(" ", "structure", "title", F.lit("....."), F.col("physical_index").cast("string"))
-    own = items(spark, sf).where("title <> '' and physical_index is not null and list_index < 400")
+    own = items(spark, sf).where("title <> '' and physical_index is not null")
     return pipeline.contents_items(own.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text")))
 
 
 FLAT = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
 
 
-@query(f"""with {CONV}, i as (select doc_id, page_number as list_index, substr(text, 1, 12) as title, (page_number + doc_id % 2)::int as physical_index from pages)
+@query(f"""with {CONV}, i as (select doc_id, page_number as list_index, split_part(text, chr(10), 1) as title, (page_number + doc_id % 2)::int as physical_index from pages)
     select i.doc_id, list_index, title, physical_index, coalesce({FLAT.format('title')} <> '' and contains({FLAT.format('text')}, {FLAT.format('title')}), false) as appears
     from i left join pages p on p.doc_id = i.doc_id and p.page_number = i.physical_index""")
 def title_appearance(spark, sf):
     pages = adapters.conversation_pages(spark, sf)
-    own = pages.select("doc_id", F.col("page_number").alias("list_index"), F.substring("text", 1, 12).alias("title"), (F.col("page_number") + F.col("doc_id") % 2).cast("int").alias("physical_index"))
+    own = pages.select("doc_id", F.col("page_number").alias("list_index"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (F.col("page_number") + F.col("doc_id") % 2).cast("int").alias("physical_index"))
     return pipeline.verified(own, pages).select("doc_id", "list_index", "title", "physical_index", "appears")
 
 
