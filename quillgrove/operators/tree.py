@@ -361,6 +361,30 @@ def as_json(nodes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tree")
 
 
+def outlines(groups: DataFrame) -> DataFrame:
+    """groups_merged()'s input from groups(doc_id, group_no, start_page, end_page, v): v a variant {"title", "children": [{"title", "physical_index", "children"}]}.
+
+    A level a round, over all groups at once. A section begins on its page, or where the one that holds
+    it does, within that one's range, and ends where the next one beside it begins, or with what holds it.
+    """
+    title = F.try_variant_get("v", "$.title", "string")
+    level = settled(groups.select("doc_id", "group_no", node_id("doc_id", "group_no").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.coalesce(title, F.lit(ROOT)).alias("title"), "start_page", "end_page", "v"))
+    out: DataFrame | None = None
+    depth = 0
+    while out is None or not level.isEmpty():
+        rows = level.drop("v")
+        out = rows if out is None else out.unionByName(rows)
+        inside = level.select("doc_id", "group_no", F.col("node_id").alias("parent_id"), "start_page", "end_page", F.try_variant_get("v", "$.children", "variant").alias("c")).where("c is not null")
+        children = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("c").outer())).withColumnRenamed("value", "v")
+        begins = F.greatest("start_page", F.least("end_page", F.coalesce(F.try_variant_get("v", "$.physical_index", "int"), "start_page")))
+        following = F.lead("at").over(Window.partitionBy("doc_id", "group_no", "parent_id").orderBy("pos"))
+        own = node_id("doc_id", "group_no", "pos") if depth == 0 else node_id("parent_id", "pos")
+        placed = children.withColumn("at", begins)
+        level = settled(placed.select("doc_id", "group_no", own.alias("node_id"), "parent_id", title.alias("title"), F.col("at").alias("start_page"), F.greatest("at", F.coalesce(following, "end_page")).alias("end_page"), "v"))
+        depth += 1
+    return out
+
+
 def from_json(trees: DataFrame) -> DataFrame:
     """Nodes (doc_id, node_id, parent_id, ordinal, depth, title, start_page, end_page, summary) of trees(doc_id, tree), JSON as as_json() writes it.
 

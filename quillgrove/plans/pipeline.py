@@ -160,7 +160,7 @@ def _rounds(groups: DataFrame):
         yield k, held.where(F.col("group_no") == k)
 
 
-def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
+def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, vocabulary: str | None = None) -> DataFrame:
     """Items of contents pages without page numbers: each is looked for in the groups of the pages after.
 
     A round for each group, over all documents at once: the model is shown the items with the pages
@@ -170,7 +170,7 @@ def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider |
     model = Model.of(provider, calls)
     items = settled(contents_items(contents, model).select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("physical_index")))
     after = pages.join(contents.select("doc_id", "last"), "doc_id").where("page_number > last").drop("last")
-    for _, group in _rounds(grouping.balanced_groups(after, tokens)):
+    for _, group in _rounds(grouping.balanced_groups(after, tokens, vocabulary)):
         asked = group.join(_as_list(items), "doc_id").select("doc_id", F.concat(F.lit("locate\n"), F.col("held"), F.lit("\n"), F.col("text")).alias("prompt"))
         rows = toc.parse_items(model.ask(asked, "locate").select("doc_id", lenient_json("reply").alias("json")))
         replies = rows.select("doc_id", F.col("list_index").alias("nth"), physical_index("physical_index").alias("physical_index"))
@@ -178,7 +178,7 @@ def unnumbered_items(pages: DataFrame, contents: DataFrame, provider: Provider |
     return items.select("doc_id", "structure", "title", "list_index", F.lit(None).cast("int").alias("page"), "physical_index")
 
 
-def items_of(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, spoken: DataFrame | None = None) -> DataFrame:
+def items_of(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, spoken: DataFrame | None = None, vocabulary: str | None = None) -> DataFrame:
     """Contents items (doc_id, structure, title, list_index, page, physical_index) that a model finds in the text.
 
     A document's text is asked for group by group, a round for each over all documents at once: the
@@ -187,7 +187,7 @@ def items_of(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int
     `spoken`, languages() of the documents, makes prompts name the language.
     """
     model = Model.of(provider, calls)
-    groups = grouping.balanced_groups(pages, tokens)
+    groups = grouping.balanced_groups(pages, tokens, vocabulary)
     groups = groups if spoken is None else groups.join(spoken, "doc_id", "left")
     spoken_in = None if spoken is None else "language"
     shape = "array<struct<structure: string, title: string, physical_index: string>>"
@@ -275,7 +275,7 @@ def headed_items(items: DataFrame, pages: DataFrame, last: DataFrame) -> DataFra
     return settled(toc.upsert_headings(own.drop("total_pages"), pages.join(own.select("doc_id").distinct(), "doc_id", "left_semi")).join(last, "doc_id"))
 
 
-def generate(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False, name_language: bool = False, strict: bool = False, repair: bool = True, starts: bool = False) -> DataFrame:
+def generate(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, verify: bool = False, summarise: bool = False, cache: DataFrame | None = None, calls: int = 20, batched: bool = False, name_language: bool = False, strict: bool = False, repair: bool = True, starts: bool = False, vocabulary: str | None = None) -> DataFrame:
     """nodes(doc_id, node_id, parent_id, ordinal, depth, structure, title, start_page, end_page, summary) of pages.
 
     Items come from contents pages with page numbers, else from contents pages without, else from the
@@ -284,10 +284,11 @@ def generate(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int
     get a node for each page. Chapters of one number become one. A single section that is no chapter is
     the root, else the root is "Document". With `name_language` the model is told which language a
     document is in; with `starts` a column `appear_start` says whether a title begins its page.
+    Page groups have as many `tokens` at most, estimated or counted by a `vocabulary` (a file).
     A plain provider's failures are warned of; pass a Model to have them as rows, or strict for an error.
     """
     model = Model.of(provider, calls, strict, cache)
-    out = _generated(pages, model, tokens, verify, batched if summarise else None, name_language, repair, starts)
+    out = _generated(pages, model, tokens, verify, batched if summarise else None, name_language, repair, starts, vocabulary)
     if model is not provider:
         _warn(model, pages)
     return out
@@ -298,15 +299,15 @@ def _warn(model: Model, pages: DataFrame) -> None:
         warnings.warn(f"{model.problems(pages.sparkSession).count()} requests failed; pass a Model to see which", stacklevel=3)
 
 
-def _generated(pages: DataFrame, model: Model, tokens: int, verify: bool, batched: bool | None, name_language: bool, repair: bool, starts: bool) -> DataFrame:
+def _generated(pages: DataFrame, model: Model, tokens: int, verify: bool, batched: bool | None, name_language: bool, repair: bool, starts: bool, vocabulary: str | None = None) -> DataFrame:
     spoken = settled(languages(pages)) if name_language else None
     last = settled(page_counts(pages))
     contents = settled(contents_text(pages, contents_pages(pages, model)))
     modes = settled(contents_modes(contents, model))
     ways = {
         "numbered": lambda own: numbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), model),
-        "unnumbered": lambda own: unnumbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), model, tokens),
-        "text": lambda own: items_of(own, model, tokens, spoken=spoken),
+        "unnumbered": lambda own: unnumbered_items(own, contents.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), model, tokens, vocabulary=vocabulary),
+        "text": lambda own: items_of(own, model, tokens, spoken=spoken, vocabulary=vocabulary),
     }
     done: list[DataFrame] = []
     waiting = last.join(modes, "doc_id", "left").select("doc_id", F.coalesce("mode", F.lit("text")).alias("mode"))
@@ -351,27 +352,22 @@ def with_starts(nodes: DataFrame, pages: DataFrame, provider: Provider | Model =
     return nodes.join(told, ["doc_id", "node_id"], "left")
 
 
-def grouped_trees(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20) -> DataFrame:
-    """nodes of documents by page groups: the model's structure of each group, and all of them merged. A group that can't be asked for is left out."""
-    groups = grouping.greedy_groups(pages, tokens)
+def grouped_trees(pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, vocabulary: str | None = None) -> DataFrame:
+    """nodes of documents by page groups: the model's structure of each group, at any depth, and all of them merged.
+
+    A group that can't be asked for is left out; one whose reply is no JSON is a bare root.
+    """
+    groups = grouping.greedy_groups(pages, tokens, vocabulary=vocabulary)
     tagged = pages.withColumn("tagged", page_tags("text", "page_number"))
     met = groups.select("doc_id", "group_no", "start_page", "end_page").join(tagged, "doc_id").where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "tagged"))), lambda p: p["tagged"]), "")
     asked = met.groupBy("doc_id", "group_no", "start_page", "end_page").agg(F.concat(F.lit("structure\n"), text).alias("prompt"))
     told = Model.of(provider, calls).ask(asked, "structure").where("problem is null")
-    shape = "struct<title: string, children: array<struct<title: string, physical_index: int>>>"
-    parsed = told.withColumn("t", F.from_json(strict_json("reply"), shape))
-    root_id = node_id("doc_id", "group_no")
-    roots = parsed.select("doc_id", "group_no", root_id.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.coalesce("t.title", F.lit(tree.ROOT)).alias("title"), "start_page", "end_page")
-    rows = parsed.select("doc_id", "group_no", "start_page", "end_page", F.posexplode("t.children").alias("pos", "c"))
-    begins = F.greatest("start_page", F.least("end_page", F.coalesce("c.physical_index", "start_page")))
-    placed = rows.withColumn("at", begins)
-    following = F.lead("at").over(Window.partitionBy("doc_id", "group_no").orderBy("pos"))
-    children = placed.select("doc_id", "group_no", node_id("doc_id", "group_no", "pos").alias("node_id"), root_id.alias("parent_id"), F.col("c.title").alias("title"), F.col("at").alias("start_page"), F.greatest("at", F.coalesce(following, "end_page")).alias("end_page"))
-    return settled(tree.groups_merged(settled(roots.unionByName(children))))
-
-
-def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, info: Column | None = None, by_groups: bool = True, summarise: bool = False, batched: bool = False, verify: bool = False, name_language: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    outlined = told.select("doc_id", "group_no", "start_page", "end_page", F.try_parse_json(strict_json("reply")).alias("v"))
+    return settled(tree.groups_merged(settled(tree.outlines(outlined))))
+
+
+def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provider | Model = by_rule, tokens: int = 16_000, calls: int = 20, info: Column | None = None, by_groups: bool = True, summarise: bool = False, batched: bool = False, verify: bool = False, name_language: bool = False, strict: bool = False, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Trees with new documents behind them; pages.doc_id names the tree, `info` the new document. See tree.appended.
 
     The new document's tree is made by page groups, or else as generate() makes it, with verification;
@@ -380,11 +376,11 @@ def update(nodes: DataFrame, trees: DataFrame, pages: DataFrame, provider: Provi
     model = Model.of(provider, calls, strict)
     if by_groups:
         spoken = settled(languages(pages)) if name_language else None
-        new = grouped_trees(pages, model, tokens)
+        new = grouped_trees(pages, model, tokens, vocabulary=vocabulary)
         if summarise:
             new = settled(summaries.summarised(new.withColumn("summary", F.lit(None).cast("string")), pages, model, batched=batched, spoken=spoken))
     else:
-        new = _generated(pages, model, tokens, verify, batched if summarise else None, name_language, True, False)
+        new = _generated(pages, model, tokens, verify, batched if summarise else None, name_language, True, False, vocabulary)
     new = new.withColumnRenamed("doc_id", "tree_id")
     missing = {c: F.lit(None).cast(t) for c, t in new.dtypes if c not in nodes.columns}
     counts = pages.groupBy(F.col("doc_id").alias("tree_id")).agg(F.count(F.lit(1)).cast("int").alias("total_pages"))

@@ -251,3 +251,61 @@ def test_data_source(spark, tmp_path):
     only = spark.read.format(pages_format.NAME).schema("source_path string, page_number int").load(str(tmp_path))
     assert sorted(r.page_number or 0 for r in only.collect()) == [0, 0, 1]
     assert spark.read.format(pages_format.NAME).load(str(tmp_path)).where("kind = 'markdown'").count() == 1
+
+
+def test_outlines_of_any_depth(spark):
+    reply = '```json\n{"title": "G", "children": [{"title": "A", "physical_index": 1, "children": [{"title": "A1", "physical_index": 1}, {"title": "A2", "physical_index": "2", "children": [{"title": "deep"}]}]}, {"title": "B", "physical_index": 9}]}\n```'
+    pages = spark.createDataFrame([(1, k, f"page {k} with some words") for k in (1, 2, 3)] + [(2, 1, "no json for this one")], PAGES)
+    told = lambda prompt: "sorry" if "no json" in prompt else reply
+    nodes = pipeline.grouped_trees(pages, told)
+    assert rows(nodes, "doc_id", "depth", "title", "start_page", "end_page") == [(1, 0, "G", 1, 3), (1, 1, "A", 1, 3), (1, 1, "B", 3, 3), (1, 2, "A1", 1, 2), (1, 2, "A2", 2, 3), (1, 3, "deep", 2, 3), (2, 0, "Document", 1, 1)]
+
+
+def test_groups_by_a_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from quillgrove.operators import grouping
+
+    own = Tokenizer(models.WordLevel({"?": 0}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    own.save(path := str(tmp_path / "t.json"))
+    pages = spark.createDataFrame([(1, k, "a b c d e f " + "x" * 50) for k in range(1, 9)] + [(2, 1, "a b c d e f g h i j k l m n o p q r s t u v w"), (2, 2, "aaa bbb ccc ddd")], PAGES)
+    found = grouping.greedy_groups(pages, 20, vocabulary=path).orderBy("doc_id", "group_no").collect()
+    assert all(len(r.text.split()) == r.token_count <= 21 for r in found) and found[-1].end_page == 2  # two pages of overlap and one more
+    assert [r.token_count for r in found if r.doc_id == 2][0] == 20
+    assert all(r.token_count <= 40 for r in grouping.balanced_groups(pages, 20, vocabulary=path).collect())
+
+
+def test_command_line_with_a_service(tmp_path, spark, capsys):
+    """A service on this machine: one that refuses ends the run with a message, one that answers is asked."""
+    import http.server
+    import threading
+
+    from quillgrove import cli
+
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        status = 400
+
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            body = json.dumps({"choices": [{"message": {"content": '[{"structure": "1", "title": "Told", "physical_index": "1"}]'}}]}).encode()
+            self.send_response(self.status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *told):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "a.md").write_text("# Whales\n\nAll about whales.\n")
+    (tmp_path / "key").write_text("secret")
+    out = str(tmp_path / "i.json")
+    how = ["generate", "--md", str(tmp_path / "a.md"), "-o", out, "--model", "m", "--base-url", f"http://127.0.0.1:{server.server_port}/v1", "--key-file", str(tmp_path / "key")]
+    assert cli.main(how) == 1 and "requests failed" in capsys.readouterr().err
+    Service.status = 200
+    assert cli.main(how) == 0 and json.loads((tmp_path / "i.json").read_text())["root"]["title"] == "Told"
+    assert asked[-1]["model"] == "m" and asked[-1]["messages"][0]["role"] == "system"
+    server.shutdown()
