@@ -106,7 +106,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> Da
     """Words of documents(doc_id, text) that lie in windows of items(item_id, text).
 
     Returns per row doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null texts have no
-    words and are not contaminated; repeated rows get a row each; without items nothing is hit.
+    words and are not contaminated; repeated rows get a row each; without items nothing is hit, and an
+    empty table gives no rows; other columns are not looked at.
     """
     wanted = stored(windows(items, length), "windows")
     postings = index(keyed(docs), wanted)

@@ -323,7 +323,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """Main text of pages(page_id, url, html): page_id, url, text, n_chars.
 
     Null, empty and text-less html give ''. A page of a null URL, or one without host, has no site;
-    nothing of it is template. Repeated rows get a row each and count as pages of their own.
+    nothing of it is template. Repeated rows get a row each and count as pages of their own. An empty
+    table gives no rows; other columns are not looked at.
     """
     rows = keyed(pages.select("page_id", "url", "html"), "page_id").withColumn("host", host(F.col("url")))
     met = rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "template")

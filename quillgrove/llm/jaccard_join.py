@@ -341,7 +341,8 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     similarity `threshold`; n_links counts the texts that a row's text is linked to, n_copies the
     rows that hold this text. A class is what links and copies tie together; class_id is its
     smallest doc_id that is not null. A text of fewer than five words has all its words as its one n-gram. Null
-    texts and those without words are classes of their own, and repeated rows copies.
+    texts and those without words are classes of their own, and repeated rows copies. An empty table gives
+    no rows; other columns are not looked at.
     """
     docs = keyed(docs).select("doc_id", *text_keys(), "text")
     base = stored(docs.mapInArrow(_banded, "doc_id long, h1 long, h2 long, n_grams long, bands binary, low binary"), "bands")

@@ -213,6 +213,10 @@ def chain_for(docs: DataFrame, labels: DataFrame) -> Chain:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and toxic (above LIMIT) of each row of documents."""
+    """doc_id, p_low_quality, p_toxic and toxic (above LIMIT) of each row of documents(doc_id, text).
+
+    Null and empty texts get what the biases say; repeated rows get a row each, all the same; a document
+    without a label is judged like the others; an empty table gives no rows; other columns are not looked at.
+    """
     found = score(docs.select("doc_id", "text"), chain_for(docs, labels))
     return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") > LIMIT).alias("toxic"))

@@ -187,6 +187,10 @@ def as_stream(rows: Iterable) -> bytes:
 
 
 def round_trip(pages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Writes pages(page_id, url, html) and reads the archive back. Every row is a record, an empty table none."""
+    """Writes pages(page_id, url, html) and reads the archive back. Every row is a record, an empty table none.
+
+    A null html is an empty payload; a null page_id stays null, a null url is written as none; repeated
+    rows are records each; other columns are not looked at.
+    """
     read_back = read(write(keyed(pages, "page_id"), size))
     return named(named(read_back, "page_id"), "refers_to")
