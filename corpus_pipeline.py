@@ -44,7 +44,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings that occur elsewhere too go from the texts; bytes of a character cut in two go with them."""
+    """Bytes in strings that occur elsewhere too go from the texts; bytes of a character cut in two go with them.
+
+    A null text stays null, an empty one empty; repeated rows are occurrences of each other, so what they
+    share from 200 bytes on goes from all of them; an empty table stays empty, and other columns as they are.
+    """
     found = suffix_dedup.removed(docs).where("n_removed > 0").dropDuplicates(["doc"])
     found = stored(found.select(F.col("doc").alias("_doc"), F.coalesce("kept", F.lit("")).alias("_kept")), "cut")
     met = docs.withColumn("_doc", _doc()).join(found, "_doc", "left")
@@ -56,7 +60,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go. Null and empty texts hold none; repeated rows go or stay together."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none; repeated rows go or stay together; an empty table stays empty, and
+    without items all stay.
+    """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc").alias("_doc")).distinct()
     return docs.withColumn("_doc", _doc()).join(stored(found, "contaminated"), "_doc", "left_anti").select(docs.columns)
 

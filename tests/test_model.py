@@ -38,8 +38,9 @@ def test_failures_are_rows(spark):
     assert {r.problem for r in found.collect()} == {"ValueError: the service is down"}
     with pytest.raises(ModelError, match="items of 1"):
         pipeline.generate(book(spark), down, summarise=True, strict=True)
+    asked = spark.createDataFrame([("q", 1, "whales")], "query_id string, doc_id long, query string")
     with pytest.warns(UserWarning, match="requests failed"):
-        pipeline.generate(book(spark), down)
+        pipeline.search(asked, nodes, lambda prompt: 1 // 0)
     groups = Model(lambda prompt: 1 // 0)
     assert pipeline.grouped_trees(book(spark), groups).count() == 0 and rows(groups.problems(spark), "document", "step") == [("1", "structure")]
 
@@ -122,7 +123,7 @@ def test_replies_that_last(spark, tmp_path):
     assert rows(pipeline.generate(book(spark), again, summarise=True), "node_id", "summary") == first and asked() == before
     assert again.remember() == 1 and rows(kept.read().select("at").distinct(), "at") == [(1050.0,)]
     late = Model(counted, calls=2, replies=kept, now=lambda: 1200.0)
-    pipeline.generate(book(spark), late)
+    late.ask(spark.createDataFrame([(1, "contents\nx")], "doc_id long, prompt string"), "contents")
     assert asked() > before
     entries = spark.createDataFrame([(f"{k:03x}", "r", float(k % 7)) for k in range(500)], model.REPLIES)
     plain = sorted(((-(k % 7), f"{k:03x}") for k in range(500)))
