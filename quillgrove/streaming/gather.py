@@ -23,6 +23,7 @@ from quillgrove.plans import pipeline
 
 WHOLE = "doc_id long, page_number int, text string, whole boolean"
 NODES = "doc_id long, node_id string, parent_id string, ordinal int, depth int, structure string, title string, start_page int, end_page int, summary string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -81,9 +82,9 @@ class Gather(StatefulProcessor):
 def gathered(pages: DataFrame, wait: timedelta = timedelta(minutes=10), keep: timedelta = timedelta(days=1), delay: str = "1 minute") -> DataFrame:
     """The pages of documents of a stream pages(doc_id, page_number, text, total_pages, arrived_at), all of a document in the batch in which it is whole.
 
-    arrived_at is in order but for `delay`: rows further behind are dropped, as a watermark does.
+    arrived_at is in order but for `delay`: rows further behind are dropped, as a watermark does. The
+    query must be started with PROVIDER set to ROCKS.
     """
-    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return pages.withWatermark("arrived_at", delay).groupBy("doc_id").transformWithStateInPandas(Gather(wait, keep), WHOLE, "append", "eventTime")
 
 
@@ -96,7 +97,16 @@ def follow(pages: DataFrame, folder: str, checkpoint: str, provider: Provider |
         nodes.write.mode("overwrite").parquet(f"{folder}/version={batch}")
 
     stream = gathered(pages, wait, keep).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return stream.trigger(**(trigger or {"availableNow": True})).start()
+    conf = pages.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKS)  # the query keeps the settings that it is started with
+    try:
+        return stream.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        if before is None:
+            conf.unset(PROVIDER)
+        else:
+            conf.set(PROVIDER, before)
 
 
 def trees(spark: SparkSession, folder: str) -> DataFrame:
