@@ -673,7 +673,30 @@ def json_repair(spark, sf):
     return own.select("reply", jsonrepair.strict_json("reply").alias("strict"), jsonrepair.lenient_json("reply").alias("lenient"))
 
 
-@query()
+# Kinds first, then the nodes of a document go one by one into lists of batches; at last the small batches are joined, one by one.
+@query(
+    f"""with recursive {TREE},
+    t as (select doc_id, node_id, ((end_page - start_page + 1) * 900)::int as tokens from nodes),
+    k as (select *, case when tokens > 38400 then 0 when tokens > 24000 then 1 else 2 end as kind from t),
+    o as (select *, row_number() over (partition by doc_id order by kind, case when kind = 2 then -tokens end, node_id) as nth from k),
+    alone as (select doc_id, list([node_id] order by nth) filter (kind < 2) as bins, count(*) filter (kind < 2) as m, count(*) as n from o group by doc_id),
+    fill as (select doc_id, m as nth, n, m, coalesce(bins, []) as bins, [0::bigint for b in coalesce(bins, [])] as loads from alone
+      union all select doc_id, nth, n, m, case when spot is null then list_append(bins, [node_id]) else [case when i = spot then list_append(bins[i], node_id) else bins[i] end for i in range(1, len(bins) + 1)] end,
+        case when spot is null then list_append(loads, cost) else [case when i = spot then loads[i] + cost else loads[i] end for i in range(1, len(bins) + 1)] end
+      from (select f.doc_id, o.nth, f.n, f.m, f.bins, f.loads, o.node_id, o.tokens + 200 as cost,
+          list_min([i for i in range(f.m + 1, len(f.bins) + 1) if len(f.bins[i]) < 20 and f.loads[i] + o.tokens + 200 <= 43200]) as spot
+        from fill f join o on o.doc_id = f.doc_id and o.nth = f.nth + 1)),
+    cost as (select doc_id, map(list(node_id), list(tokens + 200)) as c from t group by doc_id),
+    few as (select f.doc_id, 1::bigint as spot, bins, c from fill f join cost using (doc_id) where nth = n
+      union all select doc_id, spot + 1, list_concat(bins[1:spot - 1], list_prepend(r.own, r.rest)), c
+      from (select doc_id, spot, bins, c, list_reduce(list_prepend({{'own': bins[spot], 'rest': []::varchar[][]}}, [{{'own': b, 'rest': []::varchar[][]}} for b in bins[spot + 1:]]),
+          lambda a, x: case when len(a.own) + len(x.own) <= 5 and list_sum([c[i] for i in list_concat(a.own, x.own)]) <= 38400
+            then {{'own': list_concat(a.own, x.own), 'rest': a.rest}} else {{'own': a.own, 'rest': list_append(a.rest, x.own)}} end) as r from few where spot <= len(bins))),
+    last as (select doc_id, bins from few where spot > len(bins)),
+    named as (select doc_id, unnest(range(1, len(bins) + 1))::int as batch_no, unnest(bins) as ids from last),
+    flat as (select doc_id, batch_no, unnest(ids) as node_id from named)
+    select doc_id, node_id, tokens, batch_no from flat join t using (doc_id, node_id)"""
+)
 def summary_batches(spark, sf):
     own = nodes(spark, sf).select("doc_id", "node_id", ((F.col("end_page") - F.col("start_page") + 1) * 900).alias("tokens"))
     return summaries.summary_batches(own)

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgrove.functions import jsonrepair, text, tokens
@@ -83,6 +85,29 @@ def test_packing():
         assert len(b) == 1 or sum(cost[k] + 200 for k in b) <= 48000 * 9 // 10
 
 
+def packed_plainly(tokens, size, limit):
+    """First fit by looking at every batch, then every pair of small ones."""
+    batches = [[k] for k, t in enumerate(tokens) if t > limit * 8 // 10] + [[k] for k, t in enumerate(tokens) if limit // 2 < t <= limit * 8 // 10]
+    closed, load = len(batches), lambda b: sum(tokens[k] + 200 for k in b)
+    for k in sorted((k for k, t in enumerate(tokens) if t <= limit // 2), key=lambda k: -tokens[k]):
+        room = [b for b in batches[closed:] if len(b) < size and load([*b, k]) <= limit * 9 // 10]
+        if room:
+            room[0].append(k)
+        else:
+            batches.append([k])
+    for at, own in enumerate(batches):
+        for other in batches[at + 1 :]:
+            if own and other and len(own + other) <= 5 and load(own + other) <= limit * 8 // 10:
+                own += other
+                other.clear()
+    return [b for b in batches if b]
+
+
+@given(st.lists(st.integers(0, 1200), max_size=40), st.integers(1, 20), st.sampled_from([1000, 3000, 20_000]))
+def test_packing_by_trees(tokens, size, limit):
+    assert summaries.packed(tokens, size, limit) == packed_plainly(tokens, size, limit)
+
+
 def test_limiter_and_retries():
     now, slept = [0.0], []
 
