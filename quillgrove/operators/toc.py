@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,29 +99,17 @@ def merge_items(existing: DataFrame, additional: DataFrame) -> DataFrame:
     """Contents items with those of `additional` that are new: (doc_id, structure, title, list_index, added).
 
     An additional item goes if its normalised code or its trimmed title is known. Its code is known
-    from then on even if it goes for its title. An item is folded after those before it, in a
-    document by itself.
+    from then on even if it goes for its title; its title is not if it goes for its code. So what counts
+    for a code are all items before, and for a title those that did not go for their codes: two windows,
+    on document and code and on document and title. Empty codes and titles are never known.
     """
     both = existing.withColumn("added", F.lit(False)).unionByName(additional.withColumn("structure", normalize_structure("structure")).withColumn("added", F.lit(True)))
     own = both.withColumns({"code": normalize_structure(F.coalesce("structure", F.lit(""))), "name": strip(F.coalesce("title", F.lit("")))})
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["added", "list_index"], kind="stable")
-        codes: set[str] = set()
-        names: set[str] = set()
-        keep = []
-        for added, code, name in zip(frame["added"], frame["code"], frame["name"], strict=True):
-            known = added and code != "" and code in codes
-            codes.update([code] if code else [])
-            if added and not known and name:
-                known = name in names
-            if not known or not added:
-                names.update([name] if name else [])
-            keep.append(not known)
-        return frame[keep][["doc_id", "structure", "title", "list_index", "added"]]
-
-    kinds = dict(existing.dtypes)
-    return own.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, structure string, title string, list_index {kinds['list_index']}, added boolean")
+    before = ("added", F.asc_nulls_last("list_index"), "title", "structure")
+    first = lambda by: ~F.col("added") | (F.col(by) == "") | (F.row_number().over(Window.partitionBy("doc_id", by).orderBy(*before)) == 1)
+    for by in ("code", "name"):
+        own = own.withColumn("first", first(by)).where("first")
+    return own.select("doc_id", "structure", "title", "list_index", "added")
 
 
 def merge_new_items(existing: DataFrame, additional: DataFrame) -> DataFrame:

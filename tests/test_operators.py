@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -67,6 +68,28 @@ def test_overlap(spark):
         assert [found.get(k, 0) for k in range(5)] == list(wanted.values())
 
 
+def test_merge_items_one_by_one(spark):
+    """Against a fold over each document's items in order."""
+    rng = random.Random(3)
+    made = lambda n: [(rng.randrange(40), rng.choice([None, "", "1", "1.1", "2", "3", "4"]), rng.choice([None, "", "A", " A", "B", "C", "D"]), k) for k in range(n)]
+    old, new = made(60), made(400)
+    schema = "doc_id long, structure string, title string, list_index int"
+    want, seen = [], {}
+    for added, row in [(False, r) for r in old] + [(True, r) for r in new]:
+        codes, names = seen.setdefault(row[0], (set(), set()))
+        code, name = row[1] or "", (row[2] or "").strip()
+        known = added and code != "" and code in codes
+        codes.add(code)
+        if not known:
+            known = added and name != "" and name in names
+            names.add(name)
+        if not known:
+            want.append((row[0], row[3], added))
+    got = toc.merge_items(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+    assert rows(got, "doc_id", "list_index", "added") == sorted(want)
+    assert toc.merge_items(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+
+
 def test_groups_merged(spark):
     schema = "doc_id int, group_no int, node_id string, parent_id string, title string, start_page int, end_page int"
     groups = spark.createDataFrame([(1, 1, "g1", None, "G1", 1, 5), (1, 1, "s1", "g1", "S1", 1, 3), (1, 2, "g2", None, "G2", 6, 10), (1, 2, "s2", "g2", "S2", 6, 8), (2, 1, "h1", None, "H1", 1, 10), (2, 2, "h2", None, "H2", 5, 15)], schema)
