@@ -27,7 +27,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def features_of(word: bytes) -> list[bytes]:
-    return [word[:k] for k in BEGINNINGS if k < len(word)] + [word[:40] + b"$"]
+    return [word[:k] for k in BEGINNINGS if k < len(word)] + [word + b"$"]
 
 
 @dataclass
