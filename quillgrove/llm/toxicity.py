@@ -58,7 +58,8 @@ class Reader:
         own = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
         if len(self.known) > 400_000:
             self.known.clear()
-        self.known[word] = own
+        if len(word) <= 64:  # longer ones are read anew, as they could fill the memory
+            self.known[word] = own
         return own
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
