@@ -15,7 +15,7 @@ from quillgrove.functions import chunking
 from quillgrove.operators import grouping, model, provider, toc, tree
 from quillgrove.operators.model import Model
 from quillgrove.plans import pipeline
-from quillgrove.plans.catalog import CONV, LINES, NORMAL, PAGES, TREE, nodes, query
+from quillgrove.plans.catalog import CONV, FLAT, LINES, NORMAL, PAGES, TREE, nodes, query
 from quillgrove.plans.lineage import settled
 from quillgrove.sources import adapters
 
@@ -175,6 +175,83 @@ def text_chunks(spark, sf):
         from chunked_documents, lateral text_chunks(text, 300) group by doc_id""")
 
 
+# ---- where titles are
+
+
+@query(f"""with {CONV}, i as (select doc_id, page_number::varchar as node_id, split_part(text, ' ', case when page_number % 2 = 0 then 1 else 2 end) as title, (page_number + doc_id % 2)::int as start_page from pages)
+    select i.doc_id, node_id, title, start_page, case when {FLAT.format('title')} <> '' and starts_with({FLAT.format('text')}, {FLAT.format('title')}) then 'yes' else 'no' end as appear_start
+    from i left join pages p on p.doc_id = i.doc_id and p.page_number = i.start_page""")
+def title_starts(spark, sf):
+    """Whether first or second words of turns begin their own turn or the next one; one behind the last is nowhere."""
+    pages = adapters.conversation_pages(spark, sf)
+    word = F.split_part("text", F.lit(" "), F.when(F.col("page_number") % 2 == 0, 1).otherwise(2))
+    own = pages.select("doc_id", F.col("page_number").cast("string").alias("node_id"), word.alias("title"), (F.col("page_number") + F.col("doc_id") % 2).cast("int").alias("start_page"))
+    return pipeline.with_starts(own, pages)
+
+
+#: Orders as pages of 50 documents: the k-th order is page k, and an item of its own.
+ORDERS = "b as (select o_custkey % 50 as doc_id, 'x' || o_orderkey || 'x' as title, row_number() over (partition by o_custkey % 50 order by o_orderkey)::int as k, count(*) over (partition by o_custkey % 50)::int as n from orders)"
+
+
+def _orders(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, title, k, n), and pages."""
+    own = adapters.table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("doc_id"), "o_orderkey", F.concat(F.lit("x"), F.col("o_orderkey").cast("string"), F.lit("x")).alias("title"))
+    by = Window.partitionBy("doc_id")
+    listed = settled(own.withColumns({"k": F.row_number().over(by.orderBy("o_orderkey")), "n": F.count(F.lit(1)).over(by).cast("int")}))
+    pages = listed.select("doc_id", F.col("k").alias("page_number"), F.concat("title", F.lit("\nWords on "), F.col("o_orderkey").cast("string"), F.lit(".")).alias("text"))
+    return listed.drop("o_orderkey"), settled(pages)
+
+
+@query(f"""with {ORDERS}, i as (select *, case when k % 3 = 1 and k < n then k end as idx, k * 10 as page from b), l as (select *, max(case when idx is not null then k end) over (partition by doc_id) as last from i)
+    select doc_id, title, k - 1 as list_index, case when idx is null and k < last then null else page end as page, case when k < last then k else idx end as physical_index from l""")
+def items_filled(spark, sf):
+    """Items without an index, looked for between their neighbours; those after the last known one stay without."""
+    listed, pages = _orders(spark, sf)
+    at = F.when((F.col("k") % 3 == 1) & (F.col("k") < F.col("n")), F.col("k"))
+    items = listed.select("doc_id", "title", (F.col("k") - 1).alias("list_index"), (F.col("k") * 10).alias("page"), at.alias("physical_index"))
+    return pipeline.filled(items, pages).select("doc_id", "title", "list_index", "page", "physical_index")
+
+
+@query(f"""with {ORDERS}, w as (select *, case when k > 1 then k - 1 else 2 end as off from b),
+    i as (select *, case doc_id % 4 when 0 then off when 1 then case when k % 5 < 3 then off else k end when 2 then case when k % 5 = 0 then off else k end else case when k <= n // 3 then k end end as idx from w),
+    r as (select doc_id, coalesce(arg_max(idx, k) filter (idx is not null), 0) * 2 as reach, max(n) as n, count(*) filter (idx = k) / count(idx) as share from i group by doc_id),
+    t as (select doc_id, case when reach = 0 or reach < n then 'unverified' when share >= 0.5 then 'accept' when share >= 0.3 then 'repair' else 'fallback' end as route from r)
+    select doc_id, route, title, k - 1 as list_index, case when route = 'accept' then k else idx end as physical_index from t join i using (doc_id) where route <> 'fallback'
+    union all select doc_id, route, null, null, null from t where route = 'fallback'""")
+def verification_routes(spark, sf):
+    """Documents whose items are all on a wrong page, mostly, seldom, or known for the first third only: what checked() makes of them."""
+    listed, pages = _orders(spark, sf)
+    k, kind = F.col("k"), F.col("doc_id") % 4
+    off = F.when(k > 1, k - 1).otherwise(2)
+    seldom, mostly = F.when(k % 5 == 0, off).otherwise(k), F.when(k % 5 < 3, off).otherwise(k)
+    at = F.when(kind == 0, off).when(kind == 1, mostly).when(kind == 2, seldom).otherwise(F.when(k <= F.floor(F.col("n") / 3), k))
+    items = listed.select("doc_id", "title", (k - 1).alias("list_index"), at.cast("int").alias("physical_index"))
+    kept, routes = pipeline.checked(settled(items), pages)
+    return routes.join(kept, "doc_id", "left").select("doc_id", "route", "title", "list_index", "physical_index")
+
+
+#: Markdown of an order, and its text; {} are the order's key, customer, status and priority.
+MARKDOWN = (
+    "Order {0}\n===\n\nPlaced by *customer {1}* on [a day](http://orders/{0}) <http://orders> now.\n\n- code `*{2}*`\n- **two\n  lines**\n\n    of {1}\n\n~~~\nfenced {0}\n~~~\n<div>\nraw {0}\n\n"
+    "### Priority {3} ###\n> quoted __{1}__ line\n\n[ref]: http://orders/{0}\n***\nEnd <b>of</b> a_{1}_b\n\n    set off {0}\n"
+)
+SPOKEN = "Order {0} Placed by customer {1} on a day  now. code *{2}* two lines of {1} \n\nPriority {3} quoted {1} line End of a_{1}_b"
+FIELDS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+def _filled(form: str) -> str:
+    """A form as a SQL expression, for Spark and DuckDB alike."""
+    parts = re.split(r"(\{\d\})", form)
+    return " || ".join(FIELDS[int(x[1])] if x.startswith("{") else " || ".join("chr(10)" if y == "\n" else f"'{y}'" for y in re.split("(\n)", x) if y) for x in parts if x)
+
+
+@query(f"select o_orderkey::varchar as doc_id, 1 as page_number, {_filled(SPOKEN)} as text from orders")
+def markdown_orders(spark, sf):
+    """Orders as Markdown documents, read to pages."""
+    own = adapters.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("markdown").alias("kind"), F.encode(F.expr(_filled(MARKDOWN)), "UTF-8").alias("content"))
+    return adapters.markdown_pages(own)
+
+
 # ---- whole runs
 
 

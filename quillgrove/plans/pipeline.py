@@ -70,7 +70,8 @@ def contents_items(contents: DataFrame, provider: Provider | Model = by_rule, ca
     """(doc_id, list_index, structure, title, page) that contents pages list.
 
     The model is asked whether it has listed all, and for the rest where it hasn't, `rounds` times at
-    most. What it can't be asked is taken to be complete; a round that adds nothing is the last one.
+    most. What it can't be asked is taken to be complete; a round that adds nothing is the last one. A
+    list that the model still calls incomplete is kept as it is, and is one of the model's problems.
     """
     model = Model.of(provider, calls)
 
@@ -84,14 +85,21 @@ def contents_items(contents: DataFrame, provider: Provider | Model = by_rule, ca
     begun = listed(replies(contents.withColumn("prompt", F.concat(F.lit("listed\n"), F.col("text"))), "listed"))
     open_ = settled(contents.select("doc_id", "text").join(begun.withColumnRenamed("more", "held"), "doc_id"))
     done = open_.limit(0)
-    for _ in range(rounds):
-        lacking = replies(open_.withColumn("prompt", about("complete")), "complete").where(F.lower(F.get_json_object(lenient_json("reply"), "$.completed")) == "no").select("doc_id")
+    for turn in range(rounds + 1):
+        said = replies(open_.withColumn("prompt", about("complete")), "complete")
+        lacking = settled(said.where(F.lower(F.get_json_object(lenient_json("reply"), "$.completed")) == "no").select("doc_id"))
         done = done.unionByName(open_.join(lacking, "doc_id", "left_anti"))
         open_ = settled(open_.join(lacking, "doc_id", "left_semi"))
         if open_.isEmpty():
             break
-        more = settled(listed(replies(open_.withColumn("prompt", about("continue")), "continue")).where(F.size("more") > 0))
-        done = done.unionByName(open_.join(more, "doc_id", "left_anti"))
+        if turn == rounds:
+            model.report(open_, "continue", f"contents incomplete after {rounds} rounds")
+            break
+        told = replies(open_.withColumn("prompt", about("continue")), "continue")
+        more = settled(listed(told).where(F.size("more") > 0))
+        stuck = settled(open_.join(more, "doc_id", "left_anti"))
+        model.report(stuck.join(told.where("problem is not null"), "doc_id", "left_anti"), "continue", "contents incomplete, and nothing more was listed")
+        done = done.unionByName(stuck)
         open_ = settled(open_.join(more, "doc_id").select("doc_id", "text", F.concat("held", "more").alias("held")))
     rows = done.unionByName(open_).select("doc_id", F.posexplode("held").alias("list_index", "i"))
     return rows.select("doc_id", "list_index", normalize_structure("i.structure").alias("structure"), clean_title("i.title").alias("title"), F.col("i.page").try_cast("int").alias("page"))

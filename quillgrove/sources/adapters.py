@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -78,27 +79,138 @@ def pdf_ok(content: str):
     return (F.length(content) <= PDF_BYTES) & (F.hex(F.substring(F.col(content), 1, 5)) == b"%PDF-".hex().upper())
 
 
+FENCE = re.compile(r" {0,3}(`{3,}(?!.*`)|~{3,})")
+ATX = re.compile(r" {0,3}#{1,6}(?=[ \t]|$)")
+UNDERLINE = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
+MARKER = re.compile(r" {0,3}(?:(?:[-*+]|\d{1,9}[.)])(?:[ \t]{1,4}|$)|> ?)")
+DEFINITION = re.compile(r" {0,3}\[[^\[\]]+\]:[ \t]*\S+(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+RAW = re.compile(r" {0,3}<(?:/?[A-Za-z][A-Za-z0-9-]*(?=[\s/>]|$)|[!?])")
+#: Within a paragraph: runs of marks, and what stands between. Addresses in angle brackets and tags have no text.
+TOKEN = re.compile(r"`+|\*+|_+|!?\[|\]|<|!|[^`*_!\[\]<]+")
+SILENT = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w.-]+|/?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*|/)?)>")
+TARGET = re.compile(r"\([^()\s]*(?:\s+(?:\"[^\"]*\"|'[^']*'))?\)|\[[^\[\]]*\]")
+
+
+def _spoken(text: str) -> str:
+    """A paragraph's text without marks, in one pass. What stands in code spans is left as it is."""
+    out: list[str] = []
+    marks: list[tuple[str, int]] = []  # runs that may begin emphasis, and their places in `out`
+    begun: Counter[str] = Counter()
+    brackets: list[int] = []
+    spans: dict[int, list[int]] = {}
+    for m in re.finditer("`+", text):
+        spans.setdefault(len(m.group()), []).append(m.start())
+    for places in spans.values():
+        places.reverse()
+    at, comments = 0, True
+    while at < len(text):
+        mark = TOKEN.match(text, at).group()
+        end = at + len(mark)
+        if mark[0] == "`":
+            places = spans[len(mark)]
+            while places and places[-1] <= at:
+                places.pop()
+            if places:
+                mark, end = text[end : places[-1]], places[-1] + len(mark)
+        elif mark[0] in "*_":
+            before, after = text[at - 1 : at], text[end : end + 1]
+            inside = mark[0] == "_" and (before.isalnum() and after.isalnum())
+            if begun[mark] and before.strip() and not inside:
+                while (last := marks.pop())[0] != mark:
+                    begun[last[0]] -= 1
+                begun[mark] -= 1
+                out[last[1]] = mark = ""
+            elif after.strip() and not (mark[0] == "_" and before.isalnum()):
+                marks.append((mark, len(out)))
+                begun[mark] += 1
+        elif mark in ("[", "!["):
+            brackets.append(len(out))
+        elif mark == "]" and brackets:
+            opened = brackets.pop()
+            if target := TARGET.match(text, end):
+                out[opened] = mark = ""
+                end = target.end()
+        elif mark == "<":
+            if silent := SILENT.match(text, at):
+                mark, end = "", silent.end()
+            elif comments and text.startswith("<!--", at):
+                close = text.find("-->", at)
+                comments = close >= 0
+                mark, end = ("", close + 3) if comments else (mark, end)
+        out.append(mark)
+        at = end
+    return "".join(out)
+
+
 def markdown_text(source: str) -> str:
-    """The text of Markdown without its marks: headings begin after an empty line, code blocks go."""
+    """The text of Markdown, by its blocks: an empty line goes before headings, each line ends with a space.
+
+    Code blocks, HTML, breaks, link definitions and addresses in angle brackets have no text. A
+    heading is marked by # or by a line of = or - below its paragraph.
+    """
     out: list[str] = []
-    fence = ""
-    for line in source.replace("\r\n", "\n").split("\n"):
-        mark = re.match(r"\s{0,3}(```+|~~~+)", line)
-        if mark and (not fence or line.strip().startswith(fence)):
-            fence = "" if fence else mark.group(1)
+    paragraph: list[str] = []  # not yet in `out`, as a line below may make it a heading
+    hangs: list[int] = []  # where the text of open list items begins
+    fence = raw = ""
+
+    def close(heading: bool = False) -> None:
+        if heading:
+            out.append("\n\n")
+        if paragraph:
+            out.extend(t + " " for x in _spoken("\n".join(paragraph)).split("\n") if (t := x.strip()))
+        paragraph.clear()
+
+    for line in source.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if fence:
+            inner = line.lstrip("> \t").rstrip()
+            fence = "" if len(inner) >= len(fence) and not inner.strip(fence[0]) else fence
             continue
-        if fence or re.match(r"( {4}|\t)\S", line) and (not out or not out[-1].strip()):
+        if raw:
+            raw = "" if (not line.strip() if raw == "\n" else raw in line) else raw
             continue
-        heading = re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        text = heading.group(2) if heading else re.sub(r"^\s{0,3}(?:[-*+]|\d+[.)]|>)\s+", "", line)
-        if re.fullmatch(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*", line) or re.fullmatch(r"\s*\|?[\s:|-]+\|?\s*", line) and "-" in line:
+        bare = line.lstrip(" \t")
+        line = line[: len(line) - len(bare)].expandtabs(4) + bare
+        indent = len(line) - len(bare)
+        while hangs and bare and not paragraph and indent < hangs[-1]:
+            hangs.pop()
+        base = hangs[-1] if hangs else 0
+        if not paragraph and bare and indent >= base + 4:
             continue
-        text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text)
-        text = re.sub(r"(\*\*|__|\*|(?<!\w)_|~~|`+)(.+?)\1", r"\2", text)
-        if heading:
-            out.append("\n\n")
-        if text.strip():
-            out.append(text.strip() + " ")
+        if paragraph and indent >= base and UNDERLINE.match(line, base):
+            close(heading=True)
+            continue
+        ruler = line.rstrip()[-1:]
+        ruled = len(line.rstrip(ruler + " \t")) if ruler and ruler in "-*_" else len(line)  # from here on it is a break, if it has three
+        is_break = lambda k: k >= ruled and line.count(ruler, k) >= 3  # noqa: E731, B023  within this turn
+        at = min(indent, base)
+        while not is_break(at) and (mark := MARKER.match(line, at)) and mark.end() > at:
+            if ">" not in mark.group() or not paragraph:
+                close()
+            if ">" not in mark.group():
+                while hangs and hangs[-1] > at:
+                    hangs.pop()
+                hangs.append(mark.end())
+            at = mark.end()
+        inner = line[at:]
+        if is_break(at) or not inner.strip():
+            close()
+        elif found := FENCE.match(inner):
+            close()
+            fence = found.group(1)
+        elif found := ATX.match(inner):
+            close()
+            title = inner[found.end() :].strip()
+            bare = title.rstrip("#")
+            paragraph.append(bare if not bare.strip() or bare[-1:] in " \t" else title)
+            close(heading=True)
+        elif not paragraph and DEFINITION.match(inner):
+            continue
+        elif not paragraph and RAW.match(inner):
+            raw = "-->" if inner.lstrip().startswith("<!--") else "\n"
+            raw = "" if raw == "-->" and raw in inner else raw
+        else:
+            paragraph.append(inner)
+    close()
     return "".join(out).strip()
 
 

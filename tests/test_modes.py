@@ -9,6 +9,7 @@ import pytest
 from quillgrove import cli
 from quillgrove.functions import prompts, tokens
 from quillgrove.operators import chat, provider, summaries, tree
+from quillgrove.operators.model import Model, ModelError
 from quillgrove.plans import pipeline
 
 
@@ -71,6 +72,13 @@ def test_contents_are_asked_for_until_complete(spark):
     found = rows(pipeline.contents_items(contents, told), "doc_id", "list_index", "structure", "title", "page")
     assert found == [(1, 0, "1", "a", 3), (1, 1, "2", "b", 4), (1, 2, "3", "c", 9), (2, 0, "1", "stuck", 3), (3, 0, "1", "broken", 3)]
     assert rows(pipeline.contents_items(contents, told, rounds=1).where("doc_id = 1"), "title") == [("a",), ("b",)]
+    own = Model(told)
+    pipeline.contents_items(contents, own, rounds=1)
+    assert rows(own.problems(spark), "document", "step", "problem") == [
+        ("1", "continue", "contents incomplete after 1 rounds"), ("2", "continue", "contents incomplete, and nothing more was listed"), ("3", "complete", "ValueError: no")
+    ]
+    with pytest.raises(ModelError, match="continue of 2"):
+        pipeline.contents_items(contents.where("doc_id = 2"), Model(told, strict=True))
 
 
 def test_prompts_name_the_language(spark):

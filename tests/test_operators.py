@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -135,6 +136,52 @@ def test_markdown(tmp_path, spark):
     assert adapters.by_rows([(9, 700.2, "b"), (1, 699.9, "a "), (1, 650, "c"), (2, 640, " ")]) == "a b\nc"
 
 
+BOOK = """Order *5*
+on two lines
+===
+
+By [me](http://x "t") <http://y> and `*code*` a_b_c *open [x] **over
+lines**.
+
+- one
+- [![in](a.png)](b)
+
+    of the second item
+
+        no text
+1. next
+   - deep
+---
+<div>
+raw
+
+~~~
+fenced
+~~~
+### A # b ###
+> said __so__
+> twice
+
+    code
+[ref]: http://x 'of'
+***
+<!-- a
+b -->
+Last
+---
+"""
+
+
+def test_markdown_blocks():
+    text = "Order 5 on two lines By me  and *code* a_b_c *open [x] over lines. one in of the second item next deep \n\nA # b said so twice \n\nLast"
+    assert adapters.markdown_text(BOOK) == text
+    assert [adapters.markdown_text(x) for x in ("", "\r\n", "#", "* * *", "- - x", "```\nopen")] == ["", "", "", "", "x", ""]
+    for x in ("*a _b ", "[", "`x``y", "<!-- ", "> ", "1. ", "a](x \""):
+        begun = time.perf_counter()
+        adapters.markdown_text(x * 20_000)
+        assert time.perf_counter() - begun < 5
+
+
 def test_generate_search_update(spark, tmp_path):
     text = ["### 1.1 Scope\nAll about whales.", "more", "### 1.2 Method\nHow ships sail.", "### 2.1 Results\nThe whales came back."]
     pages = spark.createDataFrame([(7, k + 1, t) for k, t in enumerate(text)] + [(8, 1, "你好，世界，这里没有标题")], "doc_id long, page_number int, text string")
