@@ -16,3 +16,11 @@ def test_valid_json_stays():
     assert json.loads(jsonrepair.lenient('{"title": "Onha ofononedan， none’s"}')) == {"title": "Onha ofononedan， none’s"}
     assert json.loads(jsonrepair.lenient('{"title": "nonen", "page": None,}')) == {"title": "nonen", "page": None}
     assert jsonrepair.lenient("{'a': None, b: 2}") == '{"a":null,"b":2}'
+
+
+def test_titles_of_two_lines(spark):
+    nodes = spark.createDataFrame([(1, "a", "Ershin.\nInin", 1), (1, "b", "Ershin.\nOther", 1)], "doc_id long, node_id string, title string, start_page int")
+    pages = spark.createDataFrame([(1, 1, "Ershin.\nInin and more")], "doc_id long, page_number int, text string")
+    assert rows(pipeline.with_starts(nodes, pages), "node_id", "appear_start") == [("a", "yes"), ("b", "no")]
+    items = nodes.select("doc_id", F.lit(0).alias("list_index"), "title", F.lit(1).alias("physical_index"))
+    assert rows(pipeline.verified(items.where("title like '%Inin'"), pages), "appears") == [(True,)]
