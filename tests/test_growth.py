@@ -4,8 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillgrove.functions import jsonrepair
-from quillgrove.plans import pipeline
+from quillgrove.functions import jsonrepair, text
+from quillgrove.operators import summaries, toc
+from quillgrove.plans import catalog, pipeline
+from quillgrove.sources import adapters
 
 
 def rows(df, *names):
@@ -24,3 +26,37 @@ def test_titles_of_two_lines(spark):
     assert rows(pipeline.with_starts(nodes, pages), "node_id", "appear_start") == [("a", "yes"), ("b", "no")]
     items = nodes.select("doc_id", F.lit(0).alias("list_index"), "title", F.lit(1).alias("physical_index"))
     assert rows(pipeline.verified(items.where("title like '%Inin'"), pages), "appears") == [(True,)]
+
+
+def test_batches_of_documents_of_any_id(spark):
+    nodes = spark.createDataFrame([(d, f"n{k}", 1000 * (k + 1)) for d in ("a", "b") for k in range(30)], "doc_id string, node_id string, tokens int")
+    names = sorted(f"n{k}" for k in range(30))
+    batches = summaries.packed([1000 * (int(x[1:]) + 1) for x in names], 20, 48_000)
+    expected = sorted((d, names[k], n + 1) for d in ("a", "b") for n, batch in enumerate(batches) for k in batch)
+    assert rows(summaries.summary_batches(nodes), "doc_id", "node_id", "batch_no") == expected
+
+
+def test_copies_of_titles_are_compared_once(spark, monkeypatch):
+    seen = []
+    near = toc.near_keys
+    monkeypatch.setattr(toc, "near_keys", lambda left, right: seen.append((left.count(), right.count())) or near(left, right))
+    left = spark.createDataFrame([(1, "Whales", k, k + 10) for k in range(50)], "doc_id long, title string, list_index int, physical_index int")
+    right = spark.createDataFrame([(1, "whales." if k % 2 else "Whale", k, k) for k in range(50, 0, -1)], "doc_id long, title string, list_index int, page int")
+    assert rows(toc.title_pairs(left, right, fuzzy=True), "title", "page", "physical_index") == [("whales.", 1, k + 10) for k in range(50)]
+    assert seen == [(1, 2)]
+
+
+def test_scripts_are_looked_up(spark, monkeypatch):
+    texts = ["", None, "Abc 12!", "漢字かなカ한글", "Привет مرحبا नमस्ते สวัสดี", "×÷^_\x85\u3000é", "😀a" * 5]
+    found = text.with_scripts(spark.createDataFrame(list(enumerate(texts)), "k int, text string"))
+    assert [r.scripts.total for r in found.orderBy("k").collect()] == [0, 0, 5, 7, 23, 1, 5]
+    assert [(r.scripts.Han, r.scripts.Latin) for r in found.orderBy("k").collect()] == [(0, 0), (0, 0), (0, 3), (2, 0), (0, 0), (0, 1), (0, 5)]
+    assert "regexp_replace" not in found._jdf.queryExecution().toString()
+
+
+def test_items_of_large_tables_are_dealt(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    before = catalog.nodes(spark, sf).collect()
+    monkeypatch.setattr(adapters, "CELL_ROWS", 500)
+    assert adapters.toc_items(spark, sf).rdd.getNumPartitions() > 8
+    assert sorted(map(str, catalog.nodes(spark, sf).collect())) == sorted(map(str, before))
