@@ -66,19 +66,20 @@ def title_pairs(physical: DataFrame, logical: DataFrame, fuzzy: bool = False) ->
 
     Both sides: (doc_id, title, list_index, and the one or the other page). Equal titles meet by a
     hash join; those that may differ a little (of up to four characters, or all with `fuzzy`) by their
-    pieces, see near_keys().
+    pieces, see near_keys(). Copies of a title are compared once.
     """
-    left = physical.where("physical_index is not null").select("doc_id", F.col("title").alias("own"), F.col("list_index").alias("nth"), "physical_index").withColumn("key", normalize_title("own"))
+    left = physical.where("physical_index is not null").select("doc_id", "physical_index", normalize_title("title").alias("key"))
     right = logical.where("page is not null").select("doc_id", "title", "list_index", "page").withColumn("key", normalize_title("title"))
-    met = left.join(right, ["doc_id", "key"]).select("doc_id", "own", "nth", "physical_index", "title", "list_index", "page")
-    near = left if fuzzy else left.where(F.length("key") <= 4)
-    other = right if fuzzy else right.where(F.length("key") <= 4)
-    keys = near_keys(near.select("doc_id", F.col("key").alias("k")), other)
-    loose = near.withColumnRenamed("key", "k").join(keys, ["doc_id", "k"]).join(other, ["doc_id", "key"])
-    loose = loose if fuzzy else loose.where(titles_match("own", "title"))
-    both = met.unionByName(loose.select(met.columns))
-    first = F.row_number().over(Window.partitionBy("doc_id", "nth").orderBy("list_index"))
-    return both.withColumn("first", first).where("first = 1").select("doc_id", "title", "page", "physical_index")
+    # Of titles that are equal when normalised one is compared: the first of the right, any of the left.
+    firsts = right.groupBy("doc_id", "key").agg(F.min_by(F.struct("list_index", "title", "page"), F.struct("list_index", "title")).alias("r"))
+    one = left.select("doc_id", F.col("key").alias("k")).distinct()
+    met = one.join(firsts.withColumnRenamed("key", "k"), ["doc_id", "k"])
+    near = one if fuzzy else one.where(F.length("k") <= 4)
+    other = firsts if fuzzy else firsts.where(F.length("key") <= 4)
+    loose = near_keys(near, other).join(other, ["doc_id", "key"])
+    loose = loose if fuzzy else loose.where(titles_match("k", "key"))
+    found = met.unionByName(loose.select(met.columns)).groupBy("doc_id", F.col("k").alias("key")).agg(F.min(F.struct("r.list_index", "r.title", "r.page")).alias("r"))
+    return left.join(found, ["doc_id", "key"]).select("doc_id", "r.title", "r.page", "physical_index")
 
 
 def page_offsets(pairs: DataFrame, total_pages: Column | int) -> DataFrame:
