@@ -19,6 +19,10 @@ PDF_BYTES = 50 * 1024 * 1024
 TOTAL_PAGES = 50
 
 
+#: Rows of a partition, about.
+CELL_ROWS = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,13 +42,20 @@ def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """toc_items(doc_id, structure, title, physical_index, list_index, ...): orders are a customer's chapters, lineitems their sections.
 
     l_partkey, l_suppkey and l_extendedprice come along: codes repeat, and these make orders total.
+    Large tables are dealt by documents to as many partitions as their rows need, so that what a task
+    sorts and holds does not grow with them.
     """
     chapter = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     joined = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").withColumn("chapter", chapter.cast("int"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    cells = -(-lines.count() // CELL_ROWS)  # of the files' footers
+    wide = cells > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wide:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(cells, "o_custkey")
+        joined, lines = orders.withColumn("chapter", chapter.cast("int")).repartition(cells, "o_orderkey"), lines.repartition(cells, "l_orderkey")
     met = lines.join(joined, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return met.select(
+    out = met.select(
         F.col("o_custkey").alias("doc_id"),
         F.concat_ws(".", F.col("chapter").cast("string"), F.col("l_linenumber").cast("string")).alias("structure"),
         F.coalesce("p_name", F.lit("")).alias("title"),
@@ -52,6 +63,7 @@ def toc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("chapter") * 100 + F.col("l_linenumber")).cast("int").alias("list_index"),
         "l_partkey", "l_suppkey", "l_extendedprice",
     )
+    return out.repartition(cells, "doc_id") if wide else out
 
 
 def files(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> DataFrame:
