@@ -6,6 +6,12 @@ Lengths that the data model gives in bytes use octet_length, those in characters
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,18 +171,49 @@ SCRIPTS: dict[str, tuple[str, str, str]] = {
     "Thai": (r"\x{0E00}-\x{0E7F}", "th", "Thai"),
     "Latin": (r"\x{41}-\x{7A}\x{80}-\x{24F}", "en", "English"),
 }
-SKIPPED = r"[\p{P}\p{S}\p{Z}\s\x{85}]+"
 DISPLAY = {"zh": "Chinese (中文)", "en": "English", "ja": "Japanese (日本語)", "ko": "Korean (한국어)"}
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point a bit for each script, and one for all that counts: neither white space, punctuation nor symbol."""
+    kinds = np.zeros(0x110000, np.uint16)
+    for k, (ranges, _, _) in enumerate(SCRIPTS.values()):
+        for low, high in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", ranges):
+            kinds[int(low, 16) : int(high, 16) + 1] |= 1 << k
+    kinds |= 1 << len(SCRIPTS)
+    skipped = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "PSZ"]
+    kinds[[*skipped, *b"\t\n\x0b\x0c\r", 0x85]] = 0
+    return kinds
+
+
+#: Characters that are counted at once.
+BLOCK = 1 << 20
+
+
+def _counted(texts: pd.Series) -> pd.DataFrame:
+    """Code points of a block of texts looked up at once, and counted up to where each text ends."""
+    names, out = ["total", *SCRIPTS], np.zeros((len(texts), 1 + len(SCRIPTS)), np.int32)
+    lengths = texts.str.len().to_numpy(np.int64)
+    begin = 0
+    while begin < len(texts):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(lengths[begin:]), BLOCK, "right")))
+        found = _kinds()[np.frombuffer("".join(texts.iloc[begin:end]).encode("utf-32-le"), np.uint32)]
+        ends, present = np.cumsum(lengths[begin:end]), int(np.bitwise_or.reduce(found, initial=0))
+        for at, bit in enumerate([len(SCRIPTS), *range(len(SCRIPTS))]):
+            if not present >> bit & 1:
+                continue
+            upto = np.concatenate(([0], np.cumsum((found >> bit) & 1, dtype=np.int64)))
+            out[begin:end, at] = np.diff(upto[ends], prepend=0)
+        begin = end
+    return pd.DataFrame(out, columns=names)
+
+
 def script_counts(text: Column | str, sample: int | None = None) -> Column:
     """Characters of each script, and in all, less white space, punctuation and symbols; of the whole text, or its first `sample` characters."""
     whole = F.coalesce(col(text), F.lit(""))
-    seen = F.regexp_replace(whole if sample is None else F.substring(whole, 1, sample), SKIPPED, "")
-    # All scripts but Latin lie above its range: they are counted in what is left without it, mostly nothing.
-    above = F.regexp_replace(seen, r"[\x00-\x{24F}]+", "")
-    left = lambda text, ranges: F.length(F.regexp_replace(text, f"[^{ranges}]+", ""))
-    return F.struct(F.length(seen).alias("total"), *(left(seen if name == "Latin" else above, ranges).alias(name) for name, (ranges, _, _) in SCRIPTS.items()))
+    counted = F.pandas_udf(_counted, ", ".join(f"{name} int" for name in ("total", *SCRIPTS)))
+    return counted(whole if sample is None else F.substring(whole, 1, sample))
 
 
 def with_scripts(texts: DataFrame, text: Column | str = "text", sample: int | None = None) -> DataFrame:
