@@ -1,11 +1,12 @@
 """What only larger tables showed."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from quillgrove.functions import jsonrepair, text
-from quillgrove.operators import summaries, toc
+from quillgrove.operators import model, summaries, toc, tree
 from quillgrove.plans import catalog, pipeline
 from quillgrove.sources import adapters
 
@@ -60,3 +61,27 @@ def test_items_of_large_tables_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(adapters, "CELL_ROWS", 500)
     assert adapters.toc_items(spark, sf).rdd.getNumPartitions() > 8
     assert sorted(map(str, catalog.nodes(spark, sf).collect())) == sorted(map(str, before))
+
+
+def test_rounds_read_their_own_requests(spark, monkeypatch):
+    plans = []
+    complete = model.complete
+    monkeypatch.setattr(model, "TASK_ROWS", 3)
+    monkeypatch.setattr(model, "complete", lambda own, *more, **named: plans.append(own._jdf.queryExecution().toString()) or complete(own, *more, **named))
+    asked = spark.createDataFrame([(k, f"p{k}") for k in range(10)], "doc_id long, prompt string")
+    told = model.Model(lambda prompt: prompt.upper(), calls=1).ask(asked, "step")
+    assert rows(told, "doc_id", "reply") == [(k, f"P{k}") for k in range(10)]
+    assert len(plans) == 4 and all("PartitionFilters: [isnotnull(_cell" in x for x in plans)
+
+
+def test_subtrees_keep_the_last_rounds_only(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(tree, "Rounds", lambda own: made.append(tree_rounds(own)) or made[-1])
+    chain = [(1, str(k), str(k - 1) if k else None, k, k) for k in range(40)] + [(1, f"{k}.", str(k), k, k + 5) for k in range(40)]
+    found = tree.subtrees(spark.createDataFrame(chain, "doc_id long, node_id string, parent_id string, start_page int, end_page int"))
+    expected = [(str(k), 2 * (40 - k), k, 44) for k in range(40)] + [(f"{k}.", 1, k, k + 5) for k in range(40)]
+    assert rows(found, "node_id", "size", "start_page", "end_page") == sorted(expected)
+    assert made[0].made > 10 and len(os.listdir(made[0].root.removeprefix("file:"))) <= 4
+
+
+tree_rounds = tree.Rounds
