@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions.text import chapter_number, is_chapter_title, node_id, parent_structure
 from quillgrove.operators.toc import end_pages
-from quillgrove.plans.lineage import settled
+from quillgrove.plans.lineage import Rounds, settled
 
 ROOT = "Document"
 SPAN = 16
@@ -249,14 +249,20 @@ def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, node_id, size, start_page, end_page): a node's subtree, and the range of the leaves in it; trees without codes, of any depth.
 
     By pointer doubling: after round k a node holds what the nodes less than 2^k steps below it add up
-    to, and knows its ancestor 2^k steps up, which it passes that on to. A depth of d takes log2(d)
-    rounds of as many rows as there are nodes. A cycle is an error.
+    to, and knows its ancestor 2^k steps up, which it passes that on to. Leaves pass on what they are
+    before the first round. A depth of d takes log2(d) rounds of as many rows as there are inner nodes;
+    of the rounds' tables the last ones are kept. A cycle is an error.
     """
-    own = settled(nodes.select(key, "node_id", "parent_id", "start_page", "end_page"))
-    inner = own.where("parent_id is not null").select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
-    leaf = F.col("inner").isNull()
-    held = settled(own.join(inner, [key, "node_id"], "left").select(key, "node_id", F.lit(1).cast("long").alias("size"), F.when(leaf, F.col("start_page")).alias("start_page"), F.when(leaf, F.col("end_page")).alias("end_page")))
-    up = settled(own.where("parent_id is not null").select(key, "node_id", F.col("parent_id").alias("up")))
+    rounds = Rounds(nodes.sparkSession)
+    inner = nodes.where("parent_id is not null").select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    own = rounds.put(nodes.select(key, "node_id", "parent_id", "start_page", "end_page").join(inner, [key, "node_id"], "left"))
+    one = F.lit(1).cast("long").alias("size")
+    leaves = own.where("inner is null")
+    passed = leaves.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("more"), F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"))
+    above = own.where("inner").select(key, "node_id")
+    held = rounds.put(above.join(passed, [key, "node_id"], "left").select(key, "node_id", (one + F.coalesce("more", F.lit(0))).alias("size"), "start_page", "end_page"))
+    up = rounds.put(own.where("inner and parent_id is not null").select(key, "node_id", F.col("parent_id").alias("up")))
+    rounds.drop()
     most = up.count().bit_length()
     for k in range(most + 2):
         if up.isEmpty():
@@ -265,10 +271,11 @@ def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
             raise ValueError(f"{NO_ROOT}: {[tuple(r) for r in up.select(key, 'node_id').limit(3).collect()]}")
         passed = held.join(up, [key, "node_id"]).groupBy(key, F.col("up").alias("node_id")).agg(F.sum("size").alias("more"), F.min("start_page").alias("low"), F.max("end_page").alias("high"))
         met = held.join(passed, [key, "node_id"], "left")
-        held = settled(met.select(key, "node_id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.least("start_page", "low").alias("start_page"), F.greatest("end_page", "high").alias("end_page")))
+        held = rounds.put(met.select(key, "node_id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.least("start_page", "low").alias("start_page"), F.greatest("end_page", "high").alias("end_page")))
         on = up.select(key, F.col("node_id").alias("up"), F.col("up").alias("further"))
-        up = settled(up.join(on, [key, "up"]).select(key, "node_id", F.col("further").alias("up")))
-    return held
+        up = rounds.put(up.join(on, [key, "up"]).select(key, "node_id", F.col("further").alias("up")))
+        rounds.drop(rounds.made - 3, rounds.made - 2)
+    return held.unionByName(leaves.select(key, "node_id", one, "start_page", "end_page"))
 
 
 def appended(nodes: DataFrame, trees: DataFrame, other_nodes: DataFrame, other_trees: DataFrame) -> tuple[DataFrame, DataFrame]:
