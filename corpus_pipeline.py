@@ -16,11 +16,21 @@ def _doc() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text")
 
 
+#: Rows of an Arrow batch at most. Of whole texts the default of 10,000 are tens of MB, which an executor holds several times beside its heap.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets Arrow's batches for the session, as they are made when a stage's result is read, after its function has ended."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones among them, rejects go.
 
     Null and empty texts get what the biases say; repeated rows fare alike; an empty table stays empty.
     """
+    _small_batches(spark)
     chain = toxicity.chain_for(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).where(F.col("p_toxic") <= toxicity.LIMIT).select(docs.columns)
 
@@ -30,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null doc_id counts as the smallest; null and empty texts have no words; an empty table stays empty.
     """
+    _small_batches(spark)
     keys = ["_id", "_h1", "_h2"]
     found = keyed(jaccard_join.join(docs)).where("class_node is not null")
     found = stored(found.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "class_node"), "classes")
@@ -49,6 +60,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, an empty one empty; repeated rows are occurrences of each other, so what they
     share from 200 bytes on goes from all of them; an empty table stays empty, and other columns as they are.
     """
+    _small_batches(spark)
     found = suffix_dedup.removed(docs).where("n_removed > 0").dropDuplicates(["doc"])
     found = stored(found.select(F.col("doc").alias("_doc"), F.coalesce("kept", F.lit("")).alias("_kept")), "cut")
     met = docs.withColumn("_doc", _doc()).join(found, "_doc", "left")
@@ -71,6 +83,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of all documents in sequences; null and empty texts are one token each, repeated rows are packed each."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.store import NO_ID, components, keyed, named, sorted_groups, stored, whole_groups
+from quillgrove.llm.store import NO_ID, components, keyed, lean, named, sorted_groups, stored, whole_groups
 
 U = np.uint64
 GRAM, THRESHOLD = 5, Fraction(8, 10)
@@ -321,7 +321,7 @@ def candidates(texts: DataFrame, threshold: Fraction, tolerance: float) -> DataF
 
     A bucket of more than BUCKET texts is cut into parts, of which any two meet.
     """
-    rows = texts.select("node", "bands").mapInArrow(_spread, "band long, node long")
+    rows = texts.select("node", "bands").mapInArrow(lean(_spread), "band long, node long")
     shared = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     met = rows.join(shared, "band").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
     met = stored(met.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), "parts").cast("int")), "buckets")
@@ -329,7 +329,7 @@ def candidates(texts: DataFrame, threshold: Fraction, tolerance: float) -> DataF
     # By sorting at every size: what fits into a broadcast here won't on a large corpus.
     dealt = met.hint("merge").join(texts.select("node", "n_grams", "low"), "node").select("band", "node", "n_grams", "low", F.explode(pairs).alias("p")).select("band", "p.*", "node", "n_grams", "low")
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    return dealt.mapInArrow(lambda b: _tied(b, threshold, tolerance), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(lambda b: _tied(b, threshold, tolerance)), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -345,7 +345,7 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     no rows; other columns are not looked at.
     """
     docs = keyed(docs).select("doc_id", *text_keys(), "text")
-    base = stored(docs.mapInArrow(_banded, "doc_id long, h1 long, h2 long, n_grams long, bands binary, low binary"), "bands")
+    base = stored(docs.mapInArrow(lean(_banded), "doc_id long, h1 long, h2 long, n_grams long, bands binary, low binary"), "bands")
     texts = base.where("n_grams > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min(F.nullif("doc_id", F.lit(NO_ID))).alias("known_id"), F.count(F.lit(1)).alias("n_copies"), *(F.first(c).alias(c) for c in ("n_grams", "bands", "low")))
     texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     parts = components(candidates(texts, threshold, tolerance))
@@ -359,7 +359,7 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int"))
     active = stored(members, "active").hint("merge").join(docs, list(KEYS))
     payload = active.select("part", "cell", "block", "blocks", "above", "below", "node", "text").mapInArrow(
-        _payload, "part long, cell int, block int, blocks int, above int, below int, node long, hashes binary, grams binary"
+        lean(_payload), "part long, cell int, block int, blocks int, above int, below int, node long, hashes binary, grams binary"
     )
     meets = F.expr(
         """concat(
@@ -369,7 +369,7 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance: float = TO
     )
     dealt = payload.select("part", "node", "hashes", "grams", F.explode(meets).alias("m")).select("part", "node", "hashes", "grams", "m.*")
     dealt = dealt.repartition("part", "cell", "other", "i", "j").sortWithinPartitions("part", "cell", "other", "i", "j", "node")
-    found = stored(dealt.mapInArrow(lambda b: _compare(b, threshold, tolerance), "node long, links long, root long"), "links")
+    found = stored(dealt.mapInArrow(lean(lambda b: _compare(b, threshold, tolerance)), "node long, links long, root long"), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     tied = texts.select("node", "h1", "h2", "known_id", "n_copies").join(classes, "node", "left").join(found.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left")
     tied = stored(tied.where("n_copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node")), "tied")

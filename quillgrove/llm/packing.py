@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.store import spread_number, stored
+from quillgrove.llm.store import lean, spread_number, stored
 
 #: The white space of the tokenizer's split pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PIECES)
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -200,5 +200,5 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.
 
     ranked = spread_number(made, "length", ["row"], "rank")
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        run, PIECES + ", sequence_id long, offset long"
+        lean(run), PIECES + ", sequence_id long, offset long"
     )

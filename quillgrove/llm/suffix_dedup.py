@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.store import keyed, named, sorted_groups, stored
+from quillgrove.llm.store import keyed, lean, named, sorted_groups, stored
 
 GRAM = 32
 #: Bytes of text hashed at a time, and of run text in a shard.
@@ -138,7 +138,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "doc", "n_bytes", "sha", "anchor", "run", "span"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, doc long, n_bytes long, sha binary, anchor binary, run binary, span binary")
+    return docs.mapInArrow(lean(run), "doc_id long, doc long, n_bytes long, sha binary, anchor binary, run binary, span binary")
 
 
 def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -394,8 +394,8 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     """
     docs = keyed(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), "text")
     base = stored(anchored(docs, length), "runs")
-    often = base.select("anchor").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = base.select("doc", "anchor", "run", "span").mapInArrow(_occurrences, "anchor long, run long, doc long, span long")
+    often = base.select("anchor").mapInArrow(lean(_anchors), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = base.select("doc", "anchor", "run", "span").mapInArrow(lean(_occurrences), "anchor long, run long, doc long, span long")
     places = stored(places.join(stored(often.select("anchor"), "anchors"), "anchor"), "places")
     distinct = places.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("doc", "span")).alias("p"))
     distinct = stored(distinct.select("anchor", "run", "often", "p.*"), "distinct")
@@ -407,7 +407,7 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     # Texts are joined by sorting at every size: what fits into a broadcast here won't on a large corpus.
     ids = stored(places.select("doc").distinct(), "ids")
     texts = stored(docs.select("doc", "text").join(ids.hint("merge"), "doc"), "texts")
-    cut = wanted.hint("merge").join(texts, "doc").mapInArrow(lambda b: _cut(b, length), "anchor long, run long, often long, blocks long, text binary")
+    cut = wanted.hint("merge").join(texts, "doc").mapInArrow(lean(lambda b: _cut(b, length)), "anchor long, run long, often long, blocks long, text binary")
     cut = cut.withColumn("side", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("run"), "blocks")).otherwise(-1).cast("int"))
     light = cut.where("side < 0").select(F.pmod("anchor", F.lit(shards)).alias("shard"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "side", "anchor", "run", "often", "text")
     heavy = cut.where("side >= 0").withColumn("k", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
@@ -415,10 +415,10 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     # Few anchors, if any, are spread; without them the texts of runs are cut once.
     both = light if blocks.isEmpty() else light.unionByName(heavy)
     dealt = both.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "anchor", "run")
-    found = stored(dealt.mapInArrow(lambda b: _shard(b, length), "anchor long, run long, marks binary"), "marks")
-    marked = places.join(found, ["anchor", "run"]).mapInArrow(lambda b: _stretches(b, length), "doc long, a long, b long")
+    found = stored(dealt.mapInArrow(lean(lambda b: _shard(b, length)), "anchor long, run long, marks binary"), "marks")
+    marked = places.join(found, ["anchor", "run"]).mapInArrow(lean(lambda b: _stretches(b, length)), "doc long, a long, b long")
     covered = marked.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))
-    spans = stored(covered.mapInArrow(_merge, "doc long, n_removed long, n_spans long, spans binary"), "spans")
+    spans = stored(covered.mapInArrow(lean(_merge), "doc long, n_removed long, n_spans long, spans binary"), "spans")
     return base.select("doc_id", "doc", "n_bytes", "sha").join(spans, "doc", "left"), texts
 
 
@@ -448,5 +448,5 @@ def removed(docs: DataFrame, length: int = 200) -> DataFrame:
                 names=["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    cut = partly.hint("merge").join(texts, "doc").mapInArrow(run, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = partly.hint("merge").join(texts, "doc").mapInArrow(lean(run), "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return named(plain.unionByName(cut))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.store import keyed, stored
+from quillgrove.llm.store import keyed, lean, stored
 
 #: Labelled documents that a model is fitted on at most, and features of a category.
 SAMPLE, FEATURES = 12_000, 2048
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
             n = np.fromiter(counts.values(), np.int64, len(counts))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(n), *(pa.array(n * k) for k in kind)], names=["feature", "n", *flags])
 
-    found = own.mapInArrow(count, "feature binary, n long, " + ", ".join(f"{c} long" for c in flags))
+    found = own.mapInArrow(lean(count), "feature binary, n long, " + ", ".join(f"{c} long" for c in flags))
     found = stored(found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", *flags))).where("n >= 3"), "features")
     totals = own.agg(F.count(F.lit(1)), *(F.sum(c) for c in flags)).first()
     vocabulary: dict[bytes, int] = {}
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
                 names=["doc_id", *flags, "ids", "vals"],
             )
 
-    rows = own.mapInArrow(read, "doc_id long, " + ", ".join(f"{c} int" for c in flags) + ", ids binary, vals binary").collect()
+    rows = own.mapInArrow(lean(read), "doc_id long, " + ", ".join(f"{c} int" for c in flags) + ", ids binary, vals binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     ids = [np.frombuffer(r.ids, np.int32) for r in rows]
     column = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int64)
@@ -200,7 +200,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(table[:, k].copy()) for k in range(len(names)))], names=[*kept, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), *(f"`{n}` double" for n in names)])
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)
 
 
 #: Above this probability a document is toxic.

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from test_jaccard_join import brute as classes_of
 from test_suffix_dedup import brute as cut_of
 
 import corpus_pipeline
+from quillgrove.llm import store
 from quillgrove.llm.store import stored
 
 INSULTS = ["zzgrr", "zzgrrx", "zzugh"]
@@ -78,3 +81,30 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir[0]).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_workers_give_memory_back():
+    """A worker that lives on is no larger than before a task, though a block above what the task freed is still in use."""
+    kept: list[bytes] = []
+
+    def held() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 // 1_000_000
+
+    def run(batches):
+        blocks = [bytes(4096 + k % 7) for k in range(50_000)]
+        kept.append(bytes(5000))
+        yield from batches
+        del blocks
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    before = held()
+    assert [b.num_rows for b in store.lean(run)(iter([batch]))] == [1]
+    assert held() - before < 60
+
+
+def test_small_batches(spark):
+    """Python gets a stage's texts in batches of a bounded number of rows."""
+    docs = spark.range(3 * corpus_pipeline.BATCH_ROWS).coalesce(1).selectExpr("id as doc_id", "'a b' as text")
+    corpus_pipeline.pack(spark, docs, "")
+    sizes = docs.mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.num_rows])], names=["n"]) for x in b), "n long")
+    assert max(r.n for r in sizes.collect()) <= corpus_pipeline.BATCH_ROWS
