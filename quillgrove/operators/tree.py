@@ -221,8 +221,10 @@ def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     Trees of any depth, by pointer doubling: each node points at an ancestor some way up, and in a round
     takes over that one's pointer, so a depth of d takes log2(d) joins. Pointers end at the nodes below
     the roots. A node that no root leads to, in a cycle or below a missing one, is an error.
+    `nodes` is computed once.
     """
-    own = settled(nodes.select(key, "node_id", "parent_id"))
+    nodes = settled(nodes)
+    own = nodes.select(key, "node_id", "parent_id")
     is_root = F.col("parent_id").isNull()
     top = own.where(is_root).select(key, F.col("node_id").alias("parent_id"), F.lit(True).alias("below_root"))
     met = own.where(~is_root).join(top, [key, "parent_id"], "left")

@@ -138,8 +138,11 @@ def chain_levels(spark, sf):
 
 def _whole_trees(spark, sf) -> DataFrame:
     own = nodes(spark, sf).select("doc_id", "node_id", "parent_id", "ordinal", "title", "start_page", "end_page", F.when(F.col("size") > 1, F.concat(F.lit("on "), "title")).alias("summary"))
-    roots = own.select("doc_id").distinct().select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.lit("All").alias("title"), F.lit(1).alias("start_page"), F.lit(PAGES).alias("end_page"), F.lit(None).cast("string").alias("summary"))
-    return roots.unionByName(own.withColumn("parent_id", F.coalesce("parent_id", F.lit("root"))))
+    # The root comes out of its first child's row, so that the trees are built once.
+    root = F.struct("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.lit("All").alias("title"), F.lit(1).alias("start_page"), F.lit(PAGES).alias("end_page"), F.lit(None).cast("string").alias("summary"))
+    below = F.struct("doc_id", "node_id", F.coalesce("parent_id", F.lit("root")).alias("parent_id"), "ordinal", "title", "start_page", "end_page", "summary")
+    first = F.col("parent_id").isNull() & (F.col("ordinal") == 1)
+    return own.select(F.inline(F.when(first, F.array(root, below)).otherwise(F.array(below))))
 
 
 @query(f"""with {TREE} select doc_id, node_id, coalesce(parent_id, 'root') as parent_id, ordinal, depth, title, start_page, end_page, case when size > 1 then 'on ' || title end as summary from nodes

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions import jsonrepair, text
 from quillgrove.operators import model, summaries, toc, tree
-from quillgrove.plans import catalog, pipeline
+from quillgrove.plans import catalog, model_catalog, pipeline
 from quillgrove.sources import adapters
 
 
@@ -85,3 +85,15 @@ def test_subtrees_keep_the_last_rounds_only(spark, monkeypatch):
 
 
 tree_rounds = tree.Rounds
+
+
+def test_trees_are_built_once(spark, monkeypatch):
+    """What a tree's nodes are made of is computed once, for JSON as for levels."""
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    made = [(1, "a", None, 1, "A", 1, 3, 2), (1, "b", "a", 1, "B", 2, 3, 1), (1, "c", None, 2, "C", 4, 5, 1)]
+    own = spark.createDataFrame(made, "doc_id long, node_id string, parent_id string, ordinal int, title string, start_page int, end_page int, size long")
+    monkeypatch.setattr(model_catalog, "nodes", lambda *_: own.withColumn("parent_id", counted("parent_id")))
+    found = model_catalog.tree_json_read(spark, "")
+    assert rows(found, "node_id", "depth", "ordinal", "summary") == [("a", 1, 1, "on A"), ("b", 2, 1, None), ("c", 1, 2, None), ("root", 0, 1, None)]
+    assert seen.value == 3
