@@ -21,6 +21,12 @@ def test_valid_json_stays():
     assert jsonrepair.lenient("{'a': None, b: 2}") == '{"a":null,"b":2}'
 
 
+def test_valid_json_is_parsed_only(monkeypatch):
+    monkeypatch.setattr(jsonrepair, "NONE", None)
+    assert jsonrepair.lenient('{"title": "None"}') == '{"title":"None"}'
+    assert jsonrepair.lenient('[{"title": "None"}, {"title": "b"}]') == '[{"title":"None"},{"title":"b"}]'
+
+
 def test_titles_of_two_lines(spark):
     nodes = spark.createDataFrame([(1, "a", "Ershin.\nInin", 1), (1, "b", "Ershin.\nOther", 1)], "doc_id long, node_id string, title string, start_page int")
     pages = spark.createDataFrame([(1, 1, "Ershin.\nInin and more")], "doc_id long, page_number int, text string")
@@ -97,3 +103,24 @@ def test_trees_are_built_once(spark, monkeypatch):
     found = model_catalog.tree_json_read(spark, "")
     assert rows(found, "node_id", "depth", "ordinal", "summary") == [("a", 1, 1, "on A"), ("b", 2, 1, None), ("c", 1, 2, None), ("root", 0, 1, None)]
     assert seen.value == 3
+
+
+def test_rounds_read_their_own_groups(spark, monkeypatch):
+    """The n-th round reads the n-th groups only, and carries items of the documents that have one."""
+    carried, plans = [], []
+    as_list, dealt = pipeline._as_list, pipeline._rounds
+    monkeypatch.setattr(pipeline, "_as_list", lambda items: carried.append(rows(items.select("doc_id").distinct(), "doc_id")) or as_list(items))
+    monkeypatch.setattr(pipeline, "_rounds", lambda groups: ((k, group) for k, group in dealt(groups) if plans.append(group._jdf.queryExecution().toString()) or True))
+    pages = spark.createDataFrame([(d, k + 1, "word " * 60) for d, n in ((1, 1), (2, 6)) for k in range(n)], "doc_id long, page_number int, text string")
+    found = pipeline.items_of(pages, model_catalog.adds_up, 200)
+    assert all("PartitionFilters: [isnotnull(group_no" in x for x in plans)
+    assert len(plans) > 2 and carried == [[(2,)]] * (len(plans) - 1)
+    assert [r for r in rows(found, "doc_id", "list_index") if r[0] == 1] == [(1, 0)]
+
+
+def test_contents_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    contents = spark.createDataFrame([(1, "1 Alpha ..... 2\n2 Beta ..... 3")], "doc_id long, text string").withColumn("text", counted("text"))
+    assert rows(pipeline.contents_items(contents), "title", "page") == [("Alpha", 2), ("Beta", 3)]
+    assert seen.value == 1
