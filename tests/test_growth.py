@@ -124,3 +124,45 @@ def test_contents_are_read_once(spark):
     contents = spark.createDataFrame([(1, "1 Alpha ..... 2\n2 Beta ..... 3")], "doc_id long, text string").withColumn("text", counted("text"))
     assert rows(pipeline.contents_items(contents), "title", "page") == [("Alpha", 2), ("Beta", 3)]
     assert seen.value == 1
+
+
+def test_plain_replies_need_no_python(spark, monkeypatch):
+    monkeypatch.setattr(jsonrepair, "lenient", lambda reply: "by Python")
+    told = ['{"answer": "yes"}', '{"answer":"é, {x}"}', '{"answer": "a\\"b"}', '{"answer": "`"}', '{"answer": "a"}\n', '{"a": "b", "c": "d"}', '[{"a": "b"}]', None]
+    found = spark.createDataFrame([(k, x) for k, x in enumerate(told)], "k int, reply string").select("k", jsonrepair.lenient_json("reply").alias("json"))
+    assert [r.json for r in found.orderBy("k").collect()] == ['{"answer":"yes"}', '{"answer":"é, {x}"}', *["by Python"] * 5, None]
+
+
+def test_texts_of_summaries_are_put_together_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    nodes = spark.createDataFrame([(1, "a", "A", 1, 2), (1, "b", "B", 3, 3)], "doc_id long, node_id string, title string, start_page int, end_page int").withColumn("summary", F.lit(None).cast("string"))
+    pages = spark.createDataFrame([(1, k, f"Page {k}. More.") for k in (1, 2, 3)], "doc_id long, page_number int, text string").withColumn("text", counted("text"))
+    assert rows(summaries.summarised(nodes, pages), "node_id", "summary") == [("a", "Page 1."), ("b", "Page 3.")]
+    assert seen.value == 3
+
+
+def test_items_without_a_title_keep_none(spark):
+    ranged = spark.createDataFrame([(1, "1", None, 1, 3), (1, "1.1", "B", 2, 3), (1, "2.1", "C", 4, 5)], "doc_id long, structure string, title string, start_page int, end_page int")
+    assert rows(tree.with_ancestors(ranged), "structure", "title", "size") == [("1", None, 2), ("1.1", "B", 1), ("2", "第2章", 2), ("2.1", "C", 1)]
+
+
+def test_verdicts_are_joined_to_nothing(spark, monkeypatch):
+    """An item takes its verdict along, so two of one place in the list have one each; one on no page is not asked about."""
+    items = spark.createDataFrame([(1, 0, "A", 1), (1, 0, "B", 1), (1, 1, "C", None)], "doc_id long, list_index int, title string, physical_index int")
+    pages = spark.createDataFrame([(1, 1, "A page")], "doc_id long, page_number int, text string")
+    assert rows(pipeline.verified(items, pages), "title", "appears") == [("A", True), ("B", False), ("C", False)]
+
+
+def test_only_titles_that_may_pair_are_compared(spark):
+    items = spark.createDataFrame([(1, k, t, 10 + k) for k, t in enumerate(["Whales!", "Dolphins", "Seal", "Sharks"])], "doc_id long, list_index int, title string, page int")
+    found = spark.createDataFrame([(1, 0, "whales", 3), (1, 2, "Seals", 5)], "doc_id long, list_index int, title string, physical_index int")
+    assert rows(toc.may_pair(found, items), "title") == [("Seal",), ("Whales!",)]
+    assert rows(toc.title_pairs(found, toc.may_pair(found, items)), "title", "page") == rows(toc.title_pairs(found, items), "title", "page")
+
+
+def test_children_of_chapters_that_are_one(spark):
+    made = [(1, "a", None, "1", "第一章", 1, 4, 2, 1), (1, "b", None, "2", "第1章 xyz", 3, 6, 2, 1), (1, "c", None, "3", "第3章", 7, 8, 2, 1), (1, "d", "b", "2.1", "D", 3, 6, 1, 2), (1, "e", "a", "1.1", "E", 4, 4, 1, 2), (1, "f", "c", "3.1", "F", 7, 8, 1, 2)]
+    own = spark.createDataFrame([(*r, 1 if r[1] in "adef" else "_bc".index(r[1]) + 1) for r in made], "doc_id long, node_id string, parent_id string, structure string, title string, start_page int, end_page int, size long, depth int, ordinal int")
+    assert rows(tree.chapters_joined(own), "node_id", "ordinal") == [("b", 1), ("c", 2), ("d", 1), ("e", 2), ("f", 1)]
+    assert rows(tree.chapters_joined(own).where("depth = 2"), "node_id", "parent_id") == [("d", "b"), ("e", "b"), ("f", "c")]
