@@ -7,6 +7,11 @@ prefix of the code.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from quillgrove.plans.lineage import Rounds, settled
 
 ROOT = "Document"
 SPAN = 16
+#: Rows of a cell in which pointers are followed: a task holds their ids.
+CELL_ROWS = 250_000
 
 
 def first_wins(items: DataFrame) -> DataFrame:
@@ -226,9 +233,7 @@ NO_ROOT = "some nodes belong to no root"
 def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Nodes with `level` (0 for a root), `top` (the ancestor below the root, or the node itself at level 0 and 1) and `leaf`.
 
-    Trees of any depth, by pointer doubling: each node points at an ancestor some way up, and in a round
-    takes over that one's pointer, so a depth of d takes log2(d) joins. Pointers end at the nodes below
-    the roots. A node that no root leads to, in a cycle or below a missing one, is an error.
+    Trees of any depth, by pointer doubling, see _pointed(). Pointers end at the nodes below the roots. A node that no root leads to, in a cycle or below a missing one, is an error.
     `nodes` is computed once.
     """
     nodes = settled(nodes)
@@ -238,6 +243,22 @@ def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     met = own.where(~is_root).join(top, [key, "parent_id"], "left")
     done = F.coalesce("below_root", F.lit(False))
     state = settled(met.select(key, "node_id", F.when(done, F.col("node_id")).otherwise(F.col("parent_id")).alias("up"), F.when(done, 0).otherwise(1).alias("way"), done.alias("done")))
+    state = _pointed(state, key)
+    inner = own.where(~is_root).select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    placed = state.select(key, "node_id", (F.col("way") + 1).alias("level"), F.col("up").alias("top"))
+    met = nodes.join(placed, [key, "node_id"], "left").join(inner, [key, "node_id"], "left")
+    out = met.withColumns({"level": F.coalesce("level", F.lit(0)), "top": F.coalesce("top", "node_id"), "leaf": F.col("inner").isNull()})
+    return settled(out.drop("inner"))
+
+
+def _pointed(state: DataFrame, key: str, cells: bool = True) -> DataFrame:
+    """state(key, node_id, up, way, done) with all pointers at their end: `up` the node below the root, `way` steps up.
+
+    In a round each node takes over the pointer of the one that it points at, so a depth of d takes log2(d)
+    joins. Deep trees take one of all rows: after it, rows near each other in the order of their ids
+    walk as far as they can within a cell, and the rounds are over the nodes that pointers from other
+    cells end at. Where ids tell nothing of the tree those are most nodes, and it takes the joins.
+    """
     most = state.count()
     for k in range(most.bit_length() + 1):
         open_ = state.where("not done")
@@ -245,14 +266,54 @@ def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
             break
         if k == most.bit_length() or not open_.where("up = node_id").isEmpty():
             raise ValueError(f"{NO_ROOT}: {[tuple(r) for r in open_.select(key, 'node_id').limit(3).collect()]}")
-        on = state.select(key, F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("way").alias("more"), F.col("done").alias("there"))
-        moved = open_.join(on, [key, "up"], "left").select(key, "node_id", F.coalesce("further", "up").alias("up"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("there", F.lit(False)).alias("done"))
-        state = settled(state.where("done").unionByName(moved))
-    inner = own.where(~is_root).select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
-    placed = state.select(key, "node_id", (F.col("way") + 1).alias("level"), F.col("up").alias("top"))
-    met = nodes.join(placed, [key, "node_id"], "left").join(inner, [key, "node_id"], "left")
-    out = met.withColumns({"level": F.coalesce("level", F.lit(0)), "top": F.coalesce("top", "node_id"), "leaf": F.col("inner").isNull()})
-    return settled(out.drop("inner"))
+        if cells and k == 1:
+            count = max(-(-most // CELL_ROWS), int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            walked = settled(state.repartitionByRange(count, key, "node_id").mapInArrow(_walker(key), state.schema))
+            ends = walked.where("not done").select(key, F.col("up").alias("node_id")).distinct()
+            found = _pointed(settled(walked.join(ends, [key, "node_id"], "left_semi")), key, False)
+            state = settled(walked.where("done").unionByName(_moved(walked.where("not done"), found, key)))
+            lost = state.where("not done").select(key, "node_id").limit(3).collect()
+            if lost:
+                raise ValueError(f"{NO_ROOT}: {[tuple(r) for r in lost]}")
+            break
+        state = settled(state.where("done").unionByName(_moved(open_, state, key)))
+    return state
+
+
+def _moved(open_: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Rows of open_ with the pointers of those rows of state that they point at."""
+    on = state.select(key, F.col("node_id").alias("up"), F.col("up").alias("further"), F.col("way").alias("more"), F.col("done").alias("there"))
+    return open_.join(on, [key, "up"], "left").select(key, "node_id", F.coalesce("further", "up").alias("up"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("there", F.lit(False)).alias("done"))
+
+
+def _walker(key: str):
+    """For mapInArrow: pointers of a partition's rows as far as they lead within it. Rows on a cycle stay as they are."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n = len(rows)
+        numbers = lambda c: pc.fill_null(c.dictionary_encode().combine_chunks().indices, -1).to_numpy(zero_copy_only=False).astype("int64")
+        keys, names = numbers(rows[key]), numbers(pa.chunked_array([*rows["node_id"].chunks, *rows["up"].chunks]))
+        wide = names.max(initial=0) + 2
+        me, on = keys * wide + names[:n], keys * wide + names[n:]
+        order = np.argsort(me, kind="stable")
+        place = np.minimum(np.searchsorted(me, on, sorter=order), max(n - 1, 0))
+        done, way, own = rows["done"].to_numpy(), rows["way"].to_numpy().astype("int64"), np.arange(n)
+        inside = ~done & (me[order[place]] == on) & (keys >= 0) & (names[n:] >= 0)
+        to, walked = np.where(inside, order[place], own), np.where(inside, way, 0)
+        for _ in range(n.bit_length()):
+            if (to[to] == to).all():
+                break
+            walked, to = walked + walked[to], to[to]
+        ends = ~inside[to]
+        to, walked = np.where(ends, to, own), np.where(ends, walked, 0)
+        moved = {"up": rows["up"].take(to), "way": pa.array((walked + way[to]).astype("int32")), "done": pa.array(done[to])}
+        yield from pa.table({c: moved.get(c, rows[c]) for c in rows.column_names}).to_batches(10_000)
+
+    return walk
 
 
 def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:

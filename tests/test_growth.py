@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgrove.functions import jsonrepair, text
@@ -166,3 +167,22 @@ def test_children_of_chapters_that_are_one(spark):
     own = spark.createDataFrame([(*r, 1 if r[1] in "adef" else "_bc".index(r[1]) + 1) for r in made], "doc_id long, node_id string, parent_id string, structure string, title string, start_page int, end_page int, size long, depth int, ordinal int")
     assert rows(tree.chapters_joined(own), "node_id", "ordinal") == [("b", 1), ("c", 2), ("d", 1), ("e", 2), ("f", 1)]
     assert rows(tree.chapters_joined(own).where("depth = 2"), "node_id", "parent_id") == [("d", "b"), ("e", "b"), ("f", "c")]
+
+
+def test_deep_trees_take_one_round_of_all_rows(spark, monkeypatch):
+    seen = []
+    moved = tree._moved
+    monkeypatch.setattr(tree, "_moved", lambda open_, state, key: seen.append((open_.count(), state.count())) or moved(open_, state, key))
+    near = [(1, f"{k:04}", f"{k - 1:04}" if k else None) for k in range(3000)]
+    mixed = [(2, str(k * 997 % 1009), str((k - 1) * 997 % 1009) if k else None) for k in range(1009)]
+    found = tree.levelled(spark.createDataFrame(near + mixed, "doc_id long, node_id string, parent_id string"))
+    expected = [(1, f"{k:04}", k, f"{min(k, 1):04}", k == 2999) for k in range(3000)] + [(2, str(k * 997 % 1009), k, str(min(k, 1) * 997 % 1009), k == 1008) for k in range(1009)]
+    assert rows(found, "doc_id", "node_id", "level", "top", "leaf") == sorted(expected)
+    assert [n for n, _ in seen[:1]] == [4005] and all(of < 1100 for _, of in seen[1:])
+
+
+@pytest.mark.parametrize("bad", [[("x", "y"), ("y", "z"), ("z", "x")], [("x", "gone")]])
+def test_deep_trees_with_nodes_of_no_root(spark, bad):
+    made = [(1, f"{k:04}", f"{k - 1:04}" if k else None) for k in range(50)] + [(1, *r) for r in bad]
+    with pytest.raises(ValueError, match=tree.NO_ROOT):
+        tree.levelled(spark.createDataFrame(made, "doc_id long, node_id string, parent_id string"))
