@@ -186,3 +186,13 @@ def test_deep_trees_with_nodes_of_no_root(spark, bad):
     made = [(1, f"{k:04}", f"{k - 1:04}" if k else None) for k in range(50)] + [(1, *r) for r in bad]
     with pytest.raises(ValueError, match=tree.NO_ROOT):
         tree.levelled(spark.createDataFrame(made, "doc_id long, node_id string, parent_id string"))
+
+
+def test_groups_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    made = [(1, 1, "a", None, "A", 1, 4), (1, 1, "b", "a", "B", 1, 4), (1, 1, "c", "b", "C", 2, 4), (1, 2, "d", None, "D", 3, 6), (2, 1, "e", None, "E", 1, 2), (2, 1, "f", "e", "F", 2, 2)]
+    groups = spark.createDataFrame(made, "doc_id long, group_no int, node_id string, parent_id string, title string, start_page int, end_page int")
+    found = rows(tree.groups_merged(groups.withColumn("title", counted("title"))), "doc_id", "depth", "ordinal", "title", "start_page", "end_page")
+    assert found == [(1, 0, 1, "Document", 1, 6), (1, 1, 1, "B", 1, 2), (1, 1, 2, "D", 3, 6), (1, 2, 1, "C", 2, 2), (2, 0, 1, "E", 1, 2), (2, 1, 1, "F", 2, 2)]
+    assert seen.value == 6
