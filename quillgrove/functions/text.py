@@ -104,9 +104,12 @@ def bounded_distance(a: Column | str, b: Column | str, most: int = 3) -> Column:
 
 def digit_changes(a: Column | str, b: Column | str) -> Column:
     """Places, by byte, where both have a digit and not the same one."""
-    both = F.arrays_zip(F.split(F.regexp_replace(F.hex(F.encode(col(a), "UTF-8")), "(..)(?=.)", "$1 "), " ").alias("x"), F.split(F.regexp_replace(F.hex(F.encode(col(b), "UTF-8")), "(..)(?=.)", "$1 "), " ").alias("y"))
-    digit = lambda v: v.rlike("^3[0-9]$")
-    return F.size(F.filter(both, lambda p: F.coalesce(digit(p["x"]) & digit(p["y"]) & (p["x"] != p["y"]), F.lit(False))))
+    x, y = col(a).cast("binary"), col(b).cast("binary")
+    digit = lambda v: (v >= F.lit(b"0")) & (v <= F.lit(b"9"))
+    at = lambda v, k: v.substr(k, F.lit(1))
+    shared = F.octet_length(x) - F.greatest(F.lit(0), F.octet_length(x) - F.octet_length(y))
+    changed = F.filter(F.sequence(F.lit(1), shared), lambda k: digit(at(x, k)) & digit(at(y, k)) & (at(x, k) != at(y, k)))
+    return F.when(x.isNotNull() & y.isNotNull(), F.when(shared > 0, F.size(changed)).otherwise(0))
 
 
 def titles_match(a: Column | str, b: Column | str, fuzzy: bool = False) -> Column:

@@ -196,3 +196,15 @@ def test_groups_are_read_once(spark):
     found = rows(tree.groups_merged(groups.withColumn("title", counted("title"))), "doc_id", "depth", "ordinal", "title", "start_page", "end_page")
     assert found == [(1, 0, 1, "Document", 1, 6), (1, 1, 1, "B", 1, 2), (1, 1, 2, "D", 3, 6), (1, 2, 1, "C", 2, 2), (2, 0, 1, "E", 1, 2), (2, 1, 1, "F", 2, 2)]
     assert seen.value == 6
+
+
+def test_near_titles_are_not_broadcast(spark):
+    """Files of titles are small beside the pieces and pairs made of them."""
+    left = spark.createDataFrame([(1, f"old bolt {k}", k, k) for k in range(0, 40, 2)], "doc_id long, title string, list_index int, physical_index int")
+    right = spark.createDataFrame([(1, f"old bolt {k}", k, k) for k in range(39, 0, -2)], "doc_id long, title string, list_index int, page int")
+    found = toc.title_pairs(left, right, fuzzy=True)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    near = lambda a, b: sum(x != y for x, y in zip(f"{a}", f"{b}", strict=False)) <= 1
+    assert rows(found, "physical_index", "page") == [(k, next(x for x in range(1, 40, 2) if near(k, x))) for k in range(0, 40, 2)]
+    changes = spark.createDataFrame([("a1b2", "a2b3"), ("12", "1"), ("", "1"), ("é1", "é2"), ("é1", "e12"), (None, "1")], "a string, b string")
+    assert [r.n for r in changes.select(text.digit_changes("a", "b").alias("n")).collect()] == [2, 0, 0, 1, 1, None]
