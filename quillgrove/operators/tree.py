@@ -288,6 +288,18 @@ def _moved(open_: DataFrame, state: DataFrame, key: str) -> DataFrame:
     return open_.join(on, [key, "up"], "left").select(key, "node_id", F.coalesce("further", "up").alias("up"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.coalesce("there", F.lit(False)).alias("done"))
 
 
+def _above(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the place of the row that `up` names, and whether there is one."""
+    n = len(rows)
+    numbers = lambda c: pc.fill_null(c.dictionary_encode().combine_chunks().indices, -1).to_numpy(zero_copy_only=False).astype("int64")
+    keys, names = numbers(rows[key]), numbers(pa.chunked_array([*rows["node_id"].chunks, *rows["up"].chunks]))
+    wide = names.max(initial=0) + 2
+    me, on = keys * wide + names[:n], keys * wide + names[n:]
+    order = np.argsort(me, kind="stable")
+    place = order[np.minimum(np.searchsorted(me, on, sorter=order), max(n - 1, 0))]
+    return place, (me[place] == on) & (keys >= 0) & (names[n:] >= 0)
+
+
 def _walker(key: str):
     """For mapInArrow: pointers of a partition's rows as far as they lead within it. Rows on a cycle stay as they are."""
 
@@ -295,17 +307,12 @@ def _walker(key: str):
         held = list(batches)
         if not held:
             return
-        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = pa.Table.from_batches(held)
         n = len(rows)
-        numbers = lambda c: pc.fill_null(c.dictionary_encode().combine_chunks().indices, -1).to_numpy(zero_copy_only=False).astype("int64")
-        keys, names = numbers(rows[key]), numbers(pa.chunked_array([*rows["node_id"].chunks, *rows["up"].chunks]))
-        wide = names.max(initial=0) + 2
-        me, on = keys * wide + names[:n], keys * wide + names[n:]
-        order = np.argsort(me, kind="stable")
-        place = np.minimum(np.searchsorted(me, on, sorter=order), max(n - 1, 0))
+        place, found = _above(rows, key)
         done, way, own = rows["done"].to_numpy(), rows["way"].to_numpy().astype("int64"), np.arange(n)
-        inside = ~done & (me[order[place]] == on) & (keys >= 0) & (names[n:] >= 0)
-        to, walked = np.where(inside, order[place], own), np.where(inside, way, 0)
+        inside = ~done & found
+        to, walked = np.where(inside, place, own), np.where(inside, way, 0)
         for _ in range(n.bit_length()):
             if (to[to] == to).all():
                 break
@@ -321,10 +328,11 @@ def _walker(key: str):
 def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, node_id, size, start_page, end_page): a node's subtree, and the range of the leaves in it; trees without codes, of any depth.
 
-    By pointer doubling: after round k a node holds what the nodes less than 2^k steps below it add up
-    to, and knows its ancestor 2^k steps up, which it passes that on to. Leaves pass on what they are
-    before the first round. A depth of d takes log2(d) rounds of as many rows as there are inner nodes;
-    of the rounds' tables the last ones are kept. A cycle is an error.
+    Leaves pass on what they are at once. Inner nodes are dealt to cells of near ids, within which each
+    adds up what is below it in its cell. Nodes whose parent is in another cell, and those parents, are
+    a smaller tree that takes pointer doubling, see _summed(); what comes up to a cell's nodes from the
+    others is added up within it once more. Where ids tell nothing of the tree, that smaller one has most
+    nodes. Of the tables in between the last ones are kept. A cycle is an error.
     """
     rounds = Rounds(nodes.sparkSession)
     inner = nodes.where("parent_id is not null").select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
@@ -332,11 +340,39 @@ def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     one = F.lit(1).cast("long").alias("size")
     leaves = own.where("inner is null")
     passed = leaves.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("more"), F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"))
-    above = own.where("inner").select(key, "node_id")
-    held = rounds.put(above.join(passed, [key, "node_id"], "left").select(key, "node_id", (one + F.coalesce("more", F.lit(0))).alias("size"), "start_page", "end_page"))
-    up = rounds.put(own.where("inner and parent_id is not null").select(key, "node_id", F.col("parent_id").alias("up")))
+    above = own.where("inner").select(key, "node_id", F.col("parent_id").alias("up"))
+    held = rounds.put(above.join(passed, [key, "node_id"], "left").select(key, "node_id", "up", (one + F.coalesce("more", F.lit(0))).alias("size"), "start_page", "end_page"))
     rounds.drop()
-    most = up.count().bit_length()
+    count = max(-(-held.count() // CELL_ROWS), int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = ", ".join(f"`{c}` {t}" for c, t in held.dtypes)
+    # A cell's number is written down, as another dealing might draw other bounds.
+    cells = rounds.put(held.repartitionByRange(count, key, "node_id").withColumn("cell", F.spark_partition_id()))
+    rounds.drop(rounds.made - 1)
+    of_cells = lambda df, f, also="": df.groupBy("cell").applyInArrow(f, schema + also)
+    leaving = rounds.put(of_cells(cells.select(*held.columns, "cell"), _leaving(key)).select(key, "node_id", "up"))
+    ports = leaving.select(key, F.col("up").alias("node_id"), F.lit(True).alias("port")).distinct()
+    tops = rounds.put(of_cells(cells.join(ports, [key, "node_id"], "left"), _drawn_together(key)))
+    totals = _summed(tops, key, rounds)
+    add = (F.sum("size").alias("size"), F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"))
+    come = totals.join(leaving, [key, "node_id"]).select(key, F.col("up").alias("node_id"), "size", "start_page", "end_page").groupBy(key, "node_id").agg(*add)
+    come = come.select(key, "node_id", F.col("size").alias("more"), F.col("start_page").alias("low"), F.col("end_page").alias("high"))
+    met = cells.join(come, [key, "node_id"], "left").select(
+        key, "node_id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.least("start_page", "low").alias("start_page"), F.greatest("end_page", "high").alias("end_page"), "cell"
+    )
+    summed = rounds.put(of_cells(met, _added_up(key)))
+    rounds.drop(*range(2, rounds.made))
+    return summed.drop("up").unionByName(leaves.select(key, "node_id", one, "start_page", "end_page"))
+
+
+def _summed(tops: DataFrame, key: str, rounds: Rounds) -> DataFrame:
+    """tops(key, node_id, up, size, start_page, end_page) with sizes and ranges of all below.
+
+    By pointer doubling: after round k a node holds what the nodes less than 2^k steps below it add up
+    to, and knows its ancestor 2^k steps up, which it passes that on to. A depth of d takes log2(d) rounds.
+    """
+    held = tops.drop("up")
+    up = rounds.put(tops.where("up is not null").select(key, "node_id", "up"))
+    most, first = up.count().bit_length(), rounds.made
     for k in range(most + 2):
         if up.isEmpty():
             break
@@ -347,8 +383,70 @@ def subtrees(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
         held = rounds.put(met.select(key, "node_id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.least("start_page", "low").alias("start_page"), F.greatest("end_page", "high").alias("end_page")))
         on = up.select(key, F.col("node_id").alias("up"), F.col("up").alias("further"))
         up = rounds.put(up.join(on, [key, "up"]).select(key, "node_id", F.col("further").alias("up")))
-        rounds.drop(rounds.made - 3, rounds.made - 2)
-    return held.unionByName(leaves.select(key, "node_id", one, "start_page", "end_page"))
+        rounds.drop(*(x for x in (rounds.made - 3, rounds.made - 2) if x >= first))
+    return held
+
+
+def _leaving(key: str):
+    """For applyInArrow: a cell's rows whose parent is in another cell, or nowhere."""
+    return lambda rows: rows.drop_columns("cell").filter(pa.array(~_above(rows, key)[1] & rows["up"].is_valid().to_numpy()))
+
+
+def _below(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A cell's rows: the row above (-1: none here), the one where the way up ends (-1: in a cycle), and [size, low, high] of all below in the cell."""
+    place, found = _above(rows, key)
+    above = np.where(found, place, -1)
+    wide = np.iinfo("int64")
+    values = [pc.fill_null(pc.cast(rows[c], "int64"), none).to_numpy().copy() for c, none in (("size", 0), ("start_page", wide.max), ("end_page", wide.min))]
+    to, end = above.copy(), np.arange(len(rows))
+    for _ in range(len(rows).bit_length() + 1):
+        going = np.flatnonzero(to >= 0)
+        if not len(going):
+            break
+        at = to[going]
+        for v, gather in zip(values, (np.add, np.minimum, np.maximum), strict=True):
+            gather.at(v, at, v[going])
+        end[going], to[going] = end[at], to[at]
+    end[to >= 0] = -1
+    return above, end, values
+
+
+def _with(rows: pa.Table, values: list[np.ndarray]) -> pa.Table:
+    """rows with these sizes and ranges; ends of int64 are null."""
+    out = {c: rows[c] for c in rows.column_names if c not in ("cell", "port")}
+    wide = np.iinfo("int64")
+    for c, v, none in zip(("size", "start_page", "end_page"), values, (wide.min, wide.max, wide.min), strict=True):
+        out[c] = pa.array(v, mask=v == none).cast(rows[c].type)
+    return pa.table(out)
+
+
+def _added_up(key: str):
+    """For applyInArrow: a cell's rows with what is below them in it."""
+    return lambda rows: _with(rows, _below(rows, key)[2])
+
+
+def _drawn_together(key: str):
+    """For applyInArrow: of a cell's rows those that others hang on or that leave it, each under the next such one, with what is below it but in none of them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        above, end, (size, low, high) = _below(rows, key)
+        kept = (above < 0) | pc.fill_null(rows["port"], False).to_numpy() | (end < 0)
+        # The next kept row above each row, by doubling over those that are not kept.
+        to = above.copy()
+        for _ in range(len(rows).bit_length() + 1):
+            going = np.flatnonzero((to >= 0) & ~kept[np.maximum(to, 0)])
+            if not len(going):
+                break
+            to[going] = to[to[going]]
+        inside = kept & (above >= 0)
+        alone = size.copy()
+        np.subtract.at(alone, to[inside], size[inside])
+        names, ups = rows["node_id"].combine_chunks(), rows["up"].combine_chunks()
+        up = pc.if_else(pa.array(above >= 0), names.take(pa.array(np.maximum(to, 0))), ups)
+        out = _with(rows, [alone, low, high])
+        return out.set_column(out.column_names.index("up"), "up", up).filter(pa.array(kept))
+
+    return run
 
 
 def appended(nodes: DataFrame, trees: DataFrame, other_nodes: DataFrame, other_trees: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -208,3 +208,36 @@ def test_near_titles_are_not_broadcast(spark):
     assert rows(found, "physical_index", "page") == [(k, next(x for x in range(1, 40, 2) if near(k, x))) for k in range(0, 40, 2)]
     changes = spark.createDataFrame([("a1b2", "a2b3"), ("12", "1"), ("", "1"), ("é1", "é2"), ("é1", "e12"), (None, "1")], "a string, b string")
     assert [r.n for r in changes.select(text.digit_changes("a", "b").alias("n")).collect()] == [2, 0, 0, 1, 1, None]
+
+
+def test_subtrees_double_between_cells_only(spark, monkeypatch):
+    """Chains of near ids are added up in their cells; ids in any order, several roots, no pages and lone parents give the same as before."""
+    seen = []
+    summed = tree._summed
+    monkeypatch.setattr(tree, "_summed", lambda tops, *more: seen.append(tops.count()) or summed(tops, *more))
+    chain = [(1, f"{k:04}", f"{k - 1:04}" if k else None, k, k) for k in range(3000)] + [(1, "leaf", "2999", 7, 9)]
+    mixed = [(2, str(k * 997 % 1009), str((k - 1) // 3 * 997 % 1009) if k else None, None if k % 2 else k, k) for k in range(1009)] + [(3, "a", "gone", 1, 2), (3, "b", "a", None, None)]
+    found = tree.subtrees(spark.createDataFrame(chain + mixed, "doc_id long, node_id string, parent_id string, start_page int, end_page int"))
+    below = {k: [1, None, None] for k in range(1009)}
+    for k in reversed(range(1009)):
+        if 3 * k + 1 >= 1009:
+            below[k][1:] = [None if k % 2 else k, k]
+        if k:
+            up = below[(k - 1) // 3]
+            up[0] += below[k][0]
+            up[1] = min((x for x in (up[1], below[k][1]) if x is not None), default=None)
+            up[2] = max((x for x in (up[2], below[k][2]) if x is not None), default=None)
+    expected = [(1, f"{k:04}", 3001 - k, 7, 9) for k in range(3000)] + [(1, "leaf", 1, 7, 9)] + [(2, str(k * 997 % 1009), *v) for k, v in below.items()] + [(3, "a", 2, None, None), (3, "b", 1, None, None)]
+    assert sorted(map(str, rows_of(found))) == sorted(map(str, expected))
+    assert seen[0] < 600
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.mark.parametrize("bad", [[("x", "y"), ("y", "z"), ("z", "x")], [(f"{k:04}z", f"{(k + 1) % 40:04}z") for k in range(40)]])
+def test_subtrees_of_cycles(spark, bad):
+    made = [(1, f"{k:04}", f"{k - 1:04}" if k else None, 1, 2) for k in range(50)] + [(1, *r, 1, 2) for r in bad]
+    with pytest.raises(ValueError, match=tree.NO_ROOT):
+        tree.subtrees(spark.createDataFrame(made, "doc_id long, node_id string, parent_id string, start_page int, end_page int"))
