@@ -230,27 +230,32 @@ def looked_up(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 NO_ROOT = "some nodes belong to no root"
 
 
-def levelled(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+def levelled(nodes: DataFrame, key: str = "doc_id", rounds: Rounds | None = None) -> DataFrame:
     """Nodes with `level` (0 for a root), `top` (the ancestor below the root, or the node itself at level 0 and 1) and `leaf`.
 
     Trees of any depth, by pointer doubling, see _pointed(). Pointers end at the nodes below the roots. A node that no root leads to, in a cycle or below a missing one, is an error.
-    `nodes` is computed once.
+    `nodes` is computed once; of the tables in between the last one is kept, in `rounds` if given.
     """
+    rounds = rounds or Rounds(nodes.sparkSession)
     is_root = F.col("parent_id").isNull()
     columns = nodes.columns
     # Read twice: only the roots' ids, and all.
-    nodes = settled(nodes)
+    nodes = rounds.put(nodes)
+    rounds.drop()
     top = nodes.where(is_root).select(key, F.col("node_id").alias("parent_id"), F.lit(True).alias("_below"))
     inner = nodes.where(~is_root).select(key, F.col("parent_id").alias("node_id")).distinct().withColumn("_inner", F.lit(True))
     done = F.coalesce("_below", F.lit(False))
     marked = nodes.join(inner, [key, "node_id"], "left").join(top, [key, "parent_id"], "left")
-    marked = settled(marked.select(*columns, F.when(is_root, 0).otherwise(1).alias("level"), F.col("node_id").alias("top"), F.col("_inner").isNull().alias("leaf"), (is_root | done).alias("_done")))
+    marked = rounds.put(marked.select(*columns, F.when(is_root, 0).otherwise(1).alias("level"), F.col("node_id").alias("top"), F.col("_inner").isNull().alias("leaf"), (is_root | done).alias("_done")))
+    rounds.drop(rounds.made - 1)
     if marked.where("not _done").isEmpty():
         return marked.drop("_done")
     state = marked.where(~is_root).select(key, "node_id", F.when(F.col("_done"), F.col("node_id")).otherwise(F.col("parent_id")).alias("up"), F.when(F.col("_done"), 0).otherwise(1).alias("way"), F.col("_done").alias("done"))
     placed = _pointed(settled(state), key).select(key, "node_id", (F.col("way") + 1).alias("level"), F.col("up").alias("top"))
     deep = marked.where("not _done").drop("level", "top", "_done").join(placed, [key, "node_id"])
-    return settled(marked.where("_done").drop("_done").unionByName(deep))
+    out = rounds.put(marked.where("_done").drop("_done").unionByName(deep))
+    rounds.drop(rounds.made - 1)
+    return out
 
 
 def _pointed(state: DataFrame, key: str, cells: bool = True) -> DataFrame:
@@ -525,10 +530,12 @@ def as_json(nodes: DataFrame) -> DataFrame:
     """(doc_id, tree): each tree as JSON, children in order, without empty fields.
 
     nodes: (doc_id, node_id, parent_id, ordinal, title, start_page, end_page, summary). Levels are put
-    together from the lowest one up, as many as there are.
+    together from the lowest one up, as many as there are; a level's table goes when the next one is written.
     """
+    rounds = Rounds(nodes.sparkSession)
     fields = [F.col(c) for c in ("node_id", "title", "start_page", "end_page", "summary")]
-    own = levelled(nodes)
+    own = levelled(nodes, rounds=rounds)
+    first = rounds.made
     deepest = own.agg(F.max("level")).first()[0] or 0
     below: DataFrame | None = None
     for k in range(deepest, -1, -1):
@@ -537,8 +544,12 @@ def as_json(nodes: DataFrame) -> DataFrame:
         children = F.concat(F.lit(',"children":['), F.array_join("children", ","), F.lit("]}"))
         rows = rows.withColumn("h", F.to_json(F.struct(*fields)))
         rows = rows.withColumn("tree", F.when(F.col("children").isNull(), F.col("h")).otherwise(F.concat(F.expr("substring(h, 1, length(h) - 1)"), children)))
-        below = rows.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "tree"))), lambda c: c["tree"]).alias("children"))
-    return rows.select("doc_id", "tree")
+        if k:
+            below = rounds.put(rows.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "tree"))), lambda c: c["tree"]).alias("children")))
+            rounds.drop(*range(max(first + 1, rounds.made - 1), rounds.made))
+    out = rounds.put(rows.select("doc_id", "tree"))
+    rounds.drop(*range(first, rounds.made))
+    return out
 
 
 def outlines(groups: DataFrame) -> DataFrame:
@@ -569,19 +580,23 @@ def from_json(trees: DataFrame) -> DataFrame:
     """Nodes (doc_id, node_id, parent_id, ordinal, depth, title, start_page, end_page, summary) of trees(doc_id, tree), JSON as as_json() writes it.
 
     The JSON becomes a variant, of which each round takes out the children of one level, in all
-    documents at once. Text that is no JSON is an error; a null tree has no nodes.
+    documents at once; what it took them out of goes. Text that is no JSON is an error; a null tree has no nodes.
     """
     one = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
-    level = settled(trees.where("tree is not null").select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.parse_json("tree").alias("v")))
+    rounds = Rounds(trees.sparkSession)
+    level = rounds.put(trees.where("tree is not null").select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("ordinal"), F.parse_json("tree").alias("v")))
     out: DataFrame | None = None
     depth = 0
     while out is None or not level.isEmpty():
-        rows = level.select("doc_id", one("node_id", "string"), "parent_id", "ordinal", F.lit(depth).alias("depth"), one("title", "string"), one("start_page", "int"), one("end_page", "int"), one("summary", "string"))
+        at = rounds.made
+        rows = rounds.put(level.select("doc_id", one("node_id", "string"), "parent_id", "ordinal", F.lit(depth).alias("depth"), one("title", "string"), one("start_page", "int"), one("end_page", "int"), one("summary", "string")))
         out = rows if out is None else out.unionByName(rows)
         inside = level.select("doc_id", one("node_id", "string"), F.try_variant_get("v", "$.children", "variant").alias("c")).where("c is not null")
         children = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("c").outer()))
-        level = settled(children.select("doc_id", F.col("node_id").alias("parent_id"), (F.col("pos") + 1).alias("ordinal"), F.col("value").alias("v")))
+        level = rounds.put(children.select("doc_id", F.col("node_id").alias("parent_id"), (F.col("pos") + 1).alias("ordinal"), F.col("value").alias("v")))
+        rounds.drop(at)  # its rows and its children are written
         depth += 1
+    rounds.drop(rounds.made)
     return out
 
 

@@ -149,7 +149,7 @@ def _whole_trees(spark, sf) -> DataFrame:
     union all select distinct doc_id, 'root', null, 1, 0, 'All', 1, {PAGES}, null from nodes""")
 def tree_json_read(spark, sf):
     """Trees written as JSON and read back by levels."""
-    return tree.from_json(settled(tree.as_json(_whole_trees(spark, sf))))
+    return tree.from_json(tree.as_json(_whole_trees(spark, sf)))
 
 
 # ---- titles, chunks

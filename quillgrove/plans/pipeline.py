@@ -428,7 +428,7 @@ def search(queries: DataFrame, nodes: DataFrame, provider: Provider | Model = by
     left out. Empty queries, and documents without a tree, give no answer.
     """
     model = Model.of(provider, cache=cache)
-    trees = settled(tree.as_json(nodes))
+    trees = tree.as_json(nodes)
     asked = queries.where(F.trim("query") != "").join(trees, "doc_id")
     asked = asked.withColumn("prompt", F.concat(F.lit("search\n"), one_line("query"), F.lit("\n"), F.col("tree")))
     told = model.ask(asked.select("query_id", "doc_id", "query", "prompt"), "search", unique=True)

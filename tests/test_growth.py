@@ -241,3 +241,19 @@ def test_subtrees_of_cycles(spark, bad):
     made = [(1, f"{k:04}", f"{k - 1:04}" if k else None, 1, 2) for k in range(50)] + [(1, *r, 1, 2) for r in bad]
     with pytest.raises(ValueError, match=tree.NO_ROOT):
         tree.subtrees(spark.createDataFrame(made, "doc_id long, node_id string, parent_id string, start_page int, end_page int"))
+
+
+def kept(monkeypatch):
+    """The folders of Rounds that a tree operator makes from now on."""
+    made = []
+    monkeypatch.setattr(tree, "Rounds", lambda own: made.append(tree_rounds(own)) or made[-1])
+    return lambda: [sorted(map(int, os.listdir(x.root.removeprefix("file:")))) for x in made]
+
+
+def test_json_keeps_its_last_table_only(spark, monkeypatch):
+    own = spark.createDataFrame([(1, str(k), str(k - 1) if k else None, 1, f"T{k}", k, 9, None) for k in range(4)], "doc_id long, node_id string, parent_id string, ordinal int, title string, start_page int, end_page int, summary string")
+    folders = kept(monkeypatch)
+    trees = tree.as_json(own)
+    assert len(folders()) == 1 and len(folders()[0]) == 1
+    assert rows(tree.from_json(trees), "node_id", "depth", "title") == [(str(k), k, f"T{k}") for k in range(4)]
+    assert len(folders()) == 2 and len(folders()[1]) == 4  # a table of nodes a level, none of what they come out of
