@@ -505,9 +505,11 @@ def groups_merged(groups: DataFrame) -> DataFrame:
     """
     names = [c for c in groups.columns if c not in ("group_no", "ordinal", "depth")]
     order = [c for c in ("ordinal", "start_page", "node_id") if c in groups.columns]
-    own = levelled(groups)
+    rounds = Rounds(groups.sparkSession)
+    own = levelled(groups, rounds=rounds)
     single = settled(own.where("parent_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_page").alias("low"), F.max("end_page").alias("high")))
-    marked = settled(own.join(single.select("doc_id", "n"), "doc_id"))
+    marked = rounds.put(own.join(single.select("doc_id", "n"), "doc_id"))
+    rounds.drop(rounds.made - 1)
     several = marked.where("n > 1 and not (level = 0 and not leaf)")
     by_start = Window.partitionBy("doc_id").orderBy("start_page", "node_id")
     beside = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy(*order))

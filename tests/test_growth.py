@@ -257,3 +257,11 @@ def test_json_keeps_its_last_table_only(spark, monkeypatch):
     assert len(folders()) == 1 and len(folders()[0]) == 1
     assert rows(tree.from_json(trees), "node_id", "depth", "title") == [(str(k), k, f"T{k}") for k in range(4)]
     assert len(folders()) == 2 and len(folders()[1]) == 4  # a table of nodes a level, none of what they come out of
+
+
+def test_merged_groups_keep_one_table(spark, monkeypatch):
+    made = [(1, 1, "a", None, "A", 1, 4), (1, 1, "b", "a", "B", 1, 4), (1, 2, "d", None, "D", 3, 6)]
+    folders = kept(monkeypatch)
+    found = tree.groups_merged(spark.createDataFrame(made, "doc_id long, group_no int, node_id string, parent_id string, title string, start_page int, end_page int"))
+    assert rows(found, "depth", "ordinal", "title", "start_page", "end_page") == [(0, 1, "Document", 1, 6), (1, 1, "B", 1, 2), (1, 2, "D", 3, 6)]
+    assert [len(x) for x in folders()] == [1]
