@@ -265,3 +265,13 @@ def test_merged_groups_keep_one_table(spark, monkeypatch):
     found = tree.groups_merged(spark.createDataFrame(made, "doc_id long, group_no int, node_id string, parent_id string, title string, start_page int, end_page int"))
     assert rows(found, "depth", "ordinal", "title", "start_page", "end_page") == [(0, 1, "Document", 1, 6), (1, 1, "B", 1, 2), (1, 2, "D", 3, 6)]
     assert [len(x) for x in folders()] == [1]
+
+
+def test_texts_are_put_together_for_summaries_only(spark, monkeypatch):
+    seen = []
+    text_of = summaries.node_text
+    monkeypatch.setattr(summaries, "node_text", lambda nodes, pages: seen.append(rows(nodes, "title")) or text_of(nodes, pages))
+    nodes = spark.createDataFrame([(1, "r", "Document", 1, 2, None), (1, "a", "A", 1, 1, None), (1, "b", "B", 2, 2, "known")], "doc_id long, node_id string, title string, start_page int, end_page int, summary string")
+    pages = spark.createDataFrame([(1, k, f"Page {k}. More.") for k in (1, 2)], "doc_id long, page_number int, text string")
+    assert rows(summaries.summarised(nodes, pages).where("summary is not null"), "node_id", "summary") == [("a", "Page 1."), ("b", "known")]
+    assert seen == [[("A",)]]
